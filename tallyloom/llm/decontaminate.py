@@ -23,8 +23,9 @@ GRAM = 5
 #: Contaminated: SHARE * words hit >= words.
 SHARE = 20
 BROADCAST_ROWS = 1_000_000
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words are lower-cased after they are split, so A-Z count as letters here.
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUNS = "array<struct<fp:bigint,at:int,windows:array<bigint>>>"
 
