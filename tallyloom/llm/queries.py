@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, token_output
+from . import decontaminate, packing, quality_rules, simhash, token_output
 from .common import new_path, read_table
 from .tokens import default_vocabulary
 
@@ -25,12 +25,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op6_simhash, op9_decontamination)
+    f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op9_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -15,9 +15,43 @@ import numpy as np
 
 #: Texts that the library gets whole.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f]| $")
-#: Pieces that a worker remembers, and the longest piece that is worth remembering.
-MEMORY_PIECES = 600_000
-MEMORY_CHARS = 48
+#: Pieces that a worker remembers (some 150 bytes each), and the longest piece that is worth remembering.
+MEMORY_PIECES = 900_000
+MEMORY_CHARS = 40
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
+class _Pieces(dict):
+    """Ids (bytes) of words, all after a space or all at the start of a line; unknown words are looked up."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+        self.mark = _LETTERS[0x20] if before else ""
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one piece for the pre-tokenizer: straight to the merges
+            letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+            ids = np.array([t.id for t in self.encoder.model.tokenize(self.mark + letters)], dtype="<u4").tobytes()
+        elif word[-1:] in (".", ",", ";", ":", "!", "?") and word[:-1].isalpha():  # two pieces
+            ids = self[word[:-1]] + self.encoder.library(word[-1])
+        else:
+            ids = self.encoder.library(self.before + word)
+        if len(word) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_PIECES:
+                self.clear()
+            self[word] = ids
+        return ids
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -29,47 +63,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.newline = int(self._library("\n")[0])
-        self.newline_ids = self._library("\n").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that hold no newline: one call over their lines, cut at the newline's id."""
-        if not pieces:
-            return []
-        ids = self._library("\n".join(pieces))
-        cuts = np.flatnonzero(ids == self.newline)
-        data, at = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-        ends = [*(4 * cuts).tolist(), len(data)]
-        return [data[a:b] for a, b in zip(at, ends, strict=True)]
+        self.model = self.tokenizer.model
+        self.short: dict[str, bytes] = {}
+        self.newline = self.library("\n")
+        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+
+    def library(self, text: str) -> bytes:
+        """The ids of a text as the library gives them; those of single characters are remembered."""
+        if len(text) != 1:
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if text not in self.short:
+            self.short[text] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.short[text]
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return self._library(text).tobytes()
-        known, out = self.known, []
-        for n, line in enumerate(text.split("\n")):
+            return self.library(text)
+        out, later = [], self.later.__getitem__
+        for line in text.split("\n"):
             first, *words = line.split(" ")
-            if n:
-                out.append("\n")
+            out.append(self.newline)
             if first:
-                out.append(first)
-            out += [f" {w}" for w in words]
-        try:
-            return b"".join([known[p] for p in out])
-        except KeyError:
-            pass
-        if len(known) > MEMORY_PIECES:
-            known.clear()
-        new = list({p for p in out if p not in known} - {"\n"})
-        got = dict(zip(new, self._pieces(new), strict=True)) | {"\n": self.newline_ids}
-        known.update((p, ids) for p, ids in got.items() if len(p) <= MEMORY_CHARS)
-        return b"".join([known[p] if p in known else got[p] for p in out])
+                out.append(self.first[first])
+            out += map(later, words)
+        return b"".join(out[1:])
 
 
 def encoder(path: str) -> Encoder:
