@@ -115,12 +115,11 @@ def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     long = measured.where(~base_failed()).join(good, "doc_id", "left_semi").select("lang", F.explode(rules).alias("r"))
     each = long.select("lang", "r.rule", "r.x", F.explode("r.cuts").alias("cutoff"))
     counts = each.groupBy("lang", "rule", "cutoff").agg(F.count("*").alias("n"), F.count_if(F.col("x") > F.col("cutoff")).alias("k"))
-    strata = counts.agg(F.count_distinct("lang").alias("strata"))
-    tests = F.col("strata") * sum(map(len, RULES.values()))
+    counts = materialized(counts)  # one row for each stratum, rule and cutoff
+    tests = max(1, counts.select("lang").distinct().count()) * sum(map(len, RULES.values()))
     likely = F.col("k") < alpha * F.col("n")  # beyond that the tail is far over any delta
     tail = F.when(likely, _binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(1.0)
-    safe = counts.crossJoin(F.broadcast(strata)).where(tail <= delta / tests)  # strata: one row
-    return safe.groupBy("lang", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return counts.where(tail <= delta / tests).groupBy("lang", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

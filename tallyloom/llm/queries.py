@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, simhash, token_output
+from . import decontaminate, packing, pii, quality_rules, simhash, token_output
 from .common import new_path, read_table
 from .tokens import default_vocabulary
 
@@ -33,8 +33,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op9_decontamination)
+    f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op9_decontamination, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
