@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality_rules, simhash, token_output
+from . import decontaminate, html_extract, packing, pii, quality_rules, simhash, token_output, warc
 from .common import new_path, read_table
 from .tokens import default_vocabulary
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_vocabulary())
 
@@ -29,6 +33,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "op8")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), out)
+    return warc.digests(warc.read_archive(spark, out))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -38,9 +48,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op9_decontamination, op10_pii)
+    f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op8_warc, op9_decontamination, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
