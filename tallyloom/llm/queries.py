@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, packing, pii, quality_rules, simhash, token_output, warc
+from . import decontaminate, html_extract, packing, pii, quality, quality_rules, simhash, token_output, toxicity, warc
 from .common import new_path, read_table
 from .tokens import default_vocabulary
 
@@ -19,12 +19,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "op4")
     manifest = token_output.write_token_files(read_table(spark, sf_dir, "documents"), out, default_vocabulary())
     return token_output.digest_files(spark, manifest)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_token_files, op6_simhash, op7_quality_rules, op8_warc, op9_decontamination, op10_pii)
+    f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_quality, op4_token_files, op5_toxicity, op6_simhash, op7_quality_rules, op8_warc, op9_decontamination, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
