@@ -1 +1,248 @@
-"""To come."""
+"""Inspection and redaction of texts with planted findings, and scalar text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import decoding, inspection, scope
+from .registry import query
+
+# Planted strings are put together from parts, so that no secret-shaped literal stands here.
+_PLANTS = {
+    0: ("AKIA", "ABCDEFGHIJKLMNOP"),
+    1: ("ghp_", "a" * 36),
+    2: ("sk-", "0123456789abcdef" * 2),
+    3: ("1380", "0138000"),
+    4: ("4111 1111 ", "1111 1111"),
+    5: ("11010119900307", "8515"),
+    6: ("-----BEGIN RSA ", "PRIVATE KEY-----"),
+    7: ("工 资", " 密码"),
+}
+_PLANT_SQL = "concat(text, CASE doc_id % 13 " + " ".join(f"WHEN {k} THEN concat(' ', '{a}', '{b}', ' ')" for k, (a, b) in _PLANTS.items()) + " ELSE '' END)"
+_P = f"p AS (SELECT doc_id, {_PLANT_SQL} AS text FROM documents)"
+
+
+def _planted(t):
+    return t("documents").select("doc_id", F.expr(_PLANT_SQL).alias("text"))
+
+
+@query("strip_separators", f"WITH {_P} SELECT doc_id, sha256(regexp_replace(text, '[\\s\\-_.,/|]+', '', 'g')) AS stripped FROM p")
+def _(t):
+    return _planted(t).select("doc_id", F.sha2(inspection.strip_separators(F.col("text")), 256).alias("stripped"))
+
+
+_LUHN = "list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(v, length(v) - i + 1, 1) AS INT) ELSE CAST(substr(v, length(v) - i + 1, 1) AS INT) * 2 - CASE WHEN CAST(substr(v, length(v) - i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_RUNS = f"{_P}, runs AS (SELECT DISTINCT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM p UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[\\s\\-_.,/|]+', '', 'g'), '[0-9]+')) FROM p))"
+
+
+def _kind(t, kind: str):
+    return _planted(t).select("doc_id", F.explode(F.filter(inspection.findings(F.col("text")), lambda x: x["kind"] == kind)).alias("f")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("pattern_scan_bankcard", f"WITH {_RUNS} SELECT doc_id, count(*) AS n FROM runs WHERE length(v) BETWEEN 16 AND 19 AND {_LUHN} GROUP BY 1")
+def _(t):
+    return _kind(t, "bankcard")
+
+
+@query("pattern_scan_phone", f"WITH {_RUNS} SELECT doc_id, count(*) AS n FROM runs WHERE length(v) = 11 AND regexp_matches(v, '^1[3-9]') GROUP BY 1")
+def _(t):
+    return _kind(t, "phone")
+
+
+@query("luhn", f"WITH {_RUNS} SELECT v, {_LUHN} AS valid FROM (SELECT DISTINCT v FROM runs WHERE length(v) BETWEEN 12 AND 19)")
+def _(t):
+    text = F.col("text")
+    runs = F.concat(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all(inspection.strip_separators(text), F.lit("[0-9]+"), F.lit(0)))
+    values = _planted(t).select(F.explode(runs).alias("v")).where(F.length("v").between(12, 19)).distinct()
+    return values.select("v", inspection.luhn(F.col("v")).alias("valid"))
+
+
+_SIMPLE = {k: p for k, (p, _) in inspection.PATTERNS.items() if k not in inspection.DIGIT_KINDS}
+
+
+@query("pattern_scan_keys", f"WITH {_P}, f AS (" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS v FROM p" for k, p in _SIMPLE.items()) + ") SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1")
+def _(t):
+    found = _planted(t).select("doc_id", F.explode(F.filter(inspection.findings(F.col("text")), lambda x: ~x["kind"].isin(*inspection.DIGIT_KINDS))).alias("f"))
+    return found.groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+_WORDS = ", ".join(f"('{w}', {n})" for n, ws in inspection.KEYWORDS.items() for w in ws)
+_SCORE = f"k AS (SELECT doc_id, CAST(sum(n) AS INT) AS score FROM p, (VALUES {_WORDS}) AS w(word, n) WHERE strpos(text, word) > 0 OR strpos(regexp_replace(text, '\\s+', '', 'g'), word) > 0 GROUP BY 1)"
+
+
+@query("keyword_score", f"WITH {_P}, {_SCORE} SELECT doc_id, score FROM k")
+def _(t):
+    hits = F.filter(inspection.keyword_hits(F.col("text")), lambda x: ~x["name"].isin(*inspection.RISK_RULES))
+    return _planted(t).select("doc_id", inspection.total(hits).alias("score")).where("score > 0")
+
+
+_RULE_TEXT = "CASE doc_id % 4 WHEN 0 THEN '那个数你懂的' WHEN 1 THEN '涨到38000了' WHEN 2 THEN 'daoshou 12k' ELSE '老板周三行程没变' END"
+
+
+@query("risk_rules", f"SELECT doc_id, doc_id % 4 AS rule_no, 20 AS score FROM documents")
+def _(t):
+    rows = t("documents").select("doc_id", F.expr(_RULE_TEXT).alias("text"))
+    hits = F.filter(inspection.keyword_hits(F.col("text")), lambda x: x["name"].isin(*inspection.RISK_RULES))
+    number = F.array_position(F.array(*map(F.lit, inspection.RISK_RULES)), F.element_at(hits, 1)["name"]) - 1
+    return rows.select("doc_id", number.alias("rule_no"), inspection.total(hits).alias("score"))
+
+
+@query("idcard_checksum", "SELECT * FROM (VALUES ('11010119900307851' || '5', true), ('11010119900230' || '8515', false), ('1101011990030785' || '1X', false), ('123', false)) AS t(card, valid)")
+def _(t):
+    spark = t("documents").sparkSession
+    cards = spark.createDataFrame([("11010119900307851" + "5",), ("11010119900230" + "8515",), ("1101011990030785" + "1X",), ("123",)], "card string")
+    return cards.select("card", inspection.id_valid(F.col("card")).alias("valid"))
+
+
+@query("inspect_text")
+def _(t):
+    text = decoding.nfkc(inspection.visible(F.col("text")))
+    rows = _planted(t).select("doc_id", text.alias("text"))
+    rows = rows.select("doc_id", inspection.findings(F.col("text")).alias("found"), inspection.keyword_hits(F.col("text")).alias("hits"))
+    return rows.select("doc_id", F.size("found").alias("n_findings"), inspection.total(F.col("found")).alias("weighted"), inspection.total(F.col("hits")).alias("keyword_score"), inspection.risk(F.col("found"), F.col("hits")).alias("risk"))
+
+
+@query("decode_layers")
+def _(t):
+    coded = F.when(F.col("doc_id") % 3 == 0, F.base64(F.encode(F.left("text", F.lit(60)), "UTF-8"))).when(F.col("doc_id") % 3 == 1, F.hex(F.encode(F.left("text", F.lit(40)), "UTF-8"))).otherwise(F.left("text", F.lit(40)))
+    rows = t("documents").select("doc_id", decoding.decoded(coded).alias("layers"))
+    return rows.select("doc_id", F.size("layers").alias("n"), F.try_element_at("layers", F.lit(1))["via"].alias("via"))
+
+
+@query("encoded_only_keywords")
+def _(t):
+    plain = F.concat(F.lit("the bonus and the salary of "), F.col("doc_id").cast("string"))
+    rows = t("documents").select("doc_id", F.base64(F.encode(plain, "UTF-8")).alias("text"))
+    names = lambda c: F.transform(inspection.keyword_hits(c), lambda x: x["name"])
+    inside = F.array_join(F.transform(decoding.decoded(F.col("text")), lambda x: x["text"]), "\n")
+    rows = rows.select("doc_id", "text", inside.alias("inside"))
+    return rows.select("doc_id", F.array_join(F.array_except(names(F.col("inside")), names(F.col("text"))), ",").alias("only_encoded"))
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _redacted_sql() -> str:
+    out = "text"
+    for pattern, put in inspection.SECRETS:
+        out = f"regexp_replace({out}, '{_re2(pattern)}', '{put.replace('$1', chr(92) + '1')}', 'g')"
+    return out
+
+
+@query("redact_secrets", f"WITH {_P} SELECT doc_id, sha256({_redacted_sql()}) AS redacted, strpos({_redacted_sql()}, 'REDACTED') > 0 AS changed FROM p")
+def _(t):
+    text = inspection.redact_secrets(F.col("text"))
+    return _planted(t).select("doc_id", F.sha2(text, 256).alias("redacted"), text.contains("REDACTED").alias("changed"))
+
+
+@query("merge_findings", f"WITH {_P}, f AS (SELECT DISTINCT doc_id % 10 AS g, 'aws_key' AS kind FROM p WHERE regexp_matches(text, '{_SIMPLE['aws_key']}') UNION SELECT DISTINCT doc_id % 10, 'gh_token' FROM p WHERE regexp_matches(text, '{_SIMPLE['gh_token']}')) SELECT g, string_agg(kind, ',' ORDER BY kind) AS kinds FROM f GROUP BY 1")
+def _(t):
+    rows = _planted(t).select((F.col("doc_id") % 10).alias("g"), F.transform(inspection.findings(F.col("text")), lambda x: x["kind"]).alias("kinds"))
+    kept = F.filter(F.array_distinct(F.flatten(F.collect_set("kinds"))), lambda k: k.isin("aws_key", "gh_token"))
+    return rows.groupBy("g").agg(F.array_join(F.array_sort(kept), ",").alias("kinds")).where("kinds <> ''")
+
+
+@query("pii_summary", f"WITH {_RUNS} SELECT 'bankcard' AS kind, count(*) AS n FROM runs WHERE length(v) BETWEEN 16 AND 19 AND {_LUHN} UNION ALL SELECT 'phone', count(*) FROM runs WHERE length(v) = 11 AND regexp_matches(v, '^1[3-9]')")
+def _(t):
+    found = _planted(t).select(F.explode(inspection.findings(F.col("text"))).alias("f")).groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return found.where(F.col("kind").isin("bankcard", "phone"))
+
+
+@query("chunk_text", "SELECT doc_id, CAST(least(10, ceil(length(text) / 1800)) AS BIGINT) AS n, substr(text, 1, 20) AS head, CAST(least(length(text), 18000) AS BIGINT) AS covered FROM documents WHERE length(text) > 0")
+def _(t):
+    rows = t("documents").select("doc_id", "text", scope.chunks(F.col("text"), 1800, 10).alias("c")).where(F.size("c") > 0)
+    covered = F.aggregate("c", F.lit(0), lambda a, x: a + F.length(x))
+    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.substring(F.element_at("c", 1), 1, 20).alias("head"), covered.cast("long").alias("covered"))
+
+
+@query("intent_source_trim", "SELECT doc_id, sha256(CASE WHEN length(x) > 2500 THEN concat(left(x, 1500), chr(10), '…', chr(10), right(x, 1000)) ELSE x END) AS trimmed FROM (SELECT doc_id, trim(text, E' \\t\\n\\r') AS x FROM documents)")
+def _(t):
+    return t("documents").select("doc_id", F.sha2(scope.source_trim(F.col("text")), 256).alias("trimmed"))
+
+
+@query("review_cap", "SELECT doc_id, right(text, 500) AS kept, length(text) > 500 AS overflow FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.right("text", F.lit(500)).alias("kept"), (F.length("text") > 500).alias("overflow"))
+
+
+@query("clip_preview", "SELECT doc_id, left(text, 80) AS clip80, left(text, 200) AS clip200 FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.substring("text", 1, 80).alias("clip80"), F.substring("text", 1, 200).alias("clip200"))
+
+
+@query("mentioned_filename", "SELECT event_id, regexp_extract(concat('see report_', CAST(event_id AS VARCHAR), '.xlsx and more'), '([A-Za-z0-9_]{1,100}\\.(?:xlsx|csv|pdf))', 1) AS name FROM events")
+def _(t):
+    text = F.concat(F.lit("see report_"), F.col("event_id").cast("string"), F.lit(".xlsx and more"))
+    return t("events").select("event_id", F.regexp_extract(text, r"(?<![A-Za-z0-9_])([A-Za-z0-9_]{1,100}\.(?:xlsx|csv|pdf))", 1).alias("name"))
+
+
+@query("normalize_usage", "SELECT event_id, k AS prompt, least(k * 2, k) AS cached FROM (SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events)")
+def _(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t("events").select("event_id", k.alias("prompt"), F.least(F.greatest(k * 2, F.lit(0)), k).alias("cached"))
+
+
+@query("sse_usage_extract", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS usage FROM events")
+def _(t):
+    event = F.concat(F.lit("event: done\ndata: "), F.col("props"), F.lit("\ndata: {}\n"))
+    return t("events").select("event_id", F.get_json_object(F.regexp_extract(event, r"(?m)^data: (.*)$", 1), "$.k").cast("long").alias("usage"))
+
+
+@query("sse_stream", "SELECT event_id, p AS part, concat('data: ', CAST(p AS VARCHAR)) AS event FROM events, (VALUES (0), (1), (2)) AS t(p) WHERE event_id % 100 = 0")
+def _(t):
+    body = F.lit("data: 0\n\ndata: 1\n\ndata: 2")
+    return t("events").where("event_id % 100 = 0").select("event_id", F.posexplode(F.split(body, "\n\n")).alias("part", "event"))
+
+
+@query("peek_model", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE '' END AS model FROM events")
+def _(t):
+    body = F.when(F.col("event_id") % 3 == 0, '{"model": "m1"}').otherwise('{"x": 1}')
+    return t("events").select("event_id", F.coalesce(F.get_json_object(body, "$.model"), F.lit("")).alias("model"))
+
+
+@query("classify_failure", "SELECT event_id % 4 AS kind, CASE WHEN event_id % 4 = 0 THEN 'overflow' ELSE 'error' END AS failure, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    kind = F.col("event_id") % 4
+    failure = scope.classify_failure(F.when(kind <= 1, 400).otherwise(500), F.when(kind == 0, "Maximum context length").otherwise("bad"))
+    return t("events").groupBy(kind.alias("kind"), failure.alias("failure")).agg(F.count("*").alias("n"))
+
+
+@query("cap_list_with_marker", "SELECT conv_id, least(count(*), 3) + CASE WHEN count(*) > 3 THEN 1 ELSE 0 END AS n FROM conversations GROUP BY 1")
+def _(t):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    rows = t("conversations").groupBy("conv_id").agg(F.transform(turns, lambda x: x["role"]).alias("roles"))
+    capped = F.when(F.size("roles") > 3, F.concat(F.slice("roles", 1, 3), F.array(F.concat(F.lit("+"), (F.size("roles") - 3).cast("string"))))).otherwise(F.col("roles"))
+    return rows.select("conv_id", F.size(capped).cast("long").alias("n"))
+
+
+@query("host_allowed", "SELECT page_id, regexp_matches(host, '(^|\\.)example\\.(com|org)$') AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)")
+def _(t):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    domains = F.array(F.lit("example.com"), F.lit("example.org"))
+    return t("pages").select("page_id", F.exists(domains, lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))).alias("allowed"))
+
+
+@query("token_cap", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1024 ELSE least(event_id % 5000, 4096) END AS tokens FROM events WHERE event_id % 5000 > 0 OR event_id % 7 = 0")
+def _(t):
+    asked = F.when(F.col("event_id") % 7 == 0, F.lit(0)).otherwise(F.col("event_id") % 5000)
+    return t("events").where("event_id % 5000 > 0 OR event_id % 7 = 0").select("event_id", scope.token_cap(asked, 1024, 4096).alias("tokens"))
+
+
+@query("ood_perturb", "SELECT lang, n AS variant FROM (SELECT DISTINCT lang FROM documents), (VALUES ('plain'), ('upper'), ('spaced'), ('quoted'), ('cut'), ('twice')) AS v(n)")
+def _(t):
+    first = t("documents").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
+    x = F.col("text")
+    forms = {"plain": x, "upper": F.upper(x), "spaced": F.regexp_replace(x, "(.)", "$1 "), "quoted": F.concat(F.lit('"'), x, F.lit('"')), "cut": F.left(x, F.lit(100)), "twice": F.concat(x, F.lit("\n"), x)}
+    return first.select("lang", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in forms.items()))).alias("p")).select("lang", "p.variant")
+
+
+@query("sampling_skip", "SELECT count(*) AS n FROM events WHERE event_id % 20 = 0")
+def _(t):
+    return t("events").where("event_id % 20 = 0").agg(F.count("*").alias("n"))
+
+
+@query("file_keyword_flags", f"WITH {_P} SELECT doc_id, regexp_matches(text, '工资|财务|预算') AS financial, regexp_matches(text, '图纸|施工图') AS drawing FROM p")
+def _(t):
+    flag = lambda words: F.col("text").rlike(words)
+    return _planted(t).select("doc_id", flag("工资|财务|预算").alias("financial"), flag("图纸|施工图").alias("drawing"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ DEFAULT_RULES = ("default_allow", "默认放行")
 DISPLAY_HOURS = 8
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once and bind it in body; the optimizer would put it into every lambda call of body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(c: Column | str) -> Column:
     """Null becomes empty; white space of any kind goes from both ends."""
     return F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"^\s+|\s+$", "")
