@@ -1 +1,144 @@
-"""To come."""
+"""Suggestion rules, rankings of candidates and tiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import stats, suggest
+from .registry import query
+from .stats import LAB, RL, SINCE, UNTIL, _BLOCKED, _IN, _LOCAL
+
+TH = suggest.Thresholds(volume=1, limit_calls=1, limit_peak=1, white_calls=1, error_rate=0.01)
+HOURS = 24.0
+KR = ("request_log", "key_rules")
+_KNOWN = "known AS (SELECT DISTINCT key_name FROM request_log WHERE key_name <> '' AND key_name <> 'key9')"
+_TIER = f"t AS (SELECT key_name, count(*) AS calls, count(*) FILTER ({_BLOCKED} OR {_LOCAL}) AS violations FROM request_log WHERE key_name <> '' AND {_IN} GROUP BY 1)"
+_OPEN = "key_name IN (SELECT key_name FROM known) AND key_name NOT IN (SELECT key_name FROM key_rules WHERE kind = 'black')"
+_ZERO = f"""{_KNOWN}, {_TIER}, z AS (SELECT *, CASE WHEN calls >= 20 AND violations >= 5 AND violations / calls >= 0.45 THEN 'key_rate_black'
+  WHEN key_name IN (SELECT key_name FROM key_rules WHERE kind = 'white') THEN CASE WHEN violations >= 2 THEN 'key_white_revoke' END WHEN calls >= 1 AND violations = 0 THEN 'key_whitelist' END AS type FROM t WHERE {_OPEN})"""
+ZERO = suggest.Thresholds(black_rate=0.45, white_calls=1)
+
+
+def _log(t):
+    return stats.window(t("request_log"), SINCE, UNTIL)
+
+
+def _known(t):
+    return t("request_log").where("key_name <> '' AND key_name <> 'key9'").select("key_name").distinct()
+
+
+def _zero(t):
+    return suggest.key_tiers(_log(t), t("key_rules"), _known(t), ZERO, HOURS)
+
+
+@query("suggest_key_tier", f"WITH {_ZERO} SELECT concat(type, ':', key_name) AS id, type, CASE type WHEN 'key_rate_black' THEN 'high' WHEN 'key_white_revoke' THEN 'warn' ELSE 'info' END AS severity, key_name AS subject, CAST(violations AS DOUBLE) AS number FROM z WHERE type IS NOT NULL", KR)
+def _(t):
+    return _zero(t)
+
+
+@query("suggest_key_blacklist", f"WITH {_ZERO} SELECT concat('key_blacklist:', key_name) AS id, 'key_blacklist' AS type, 'high' AS severity, key_name AS subject, CAST(violations AS DOUBLE) AS number FROM z WHERE violations >= 20 AND coalesce(type, '') <> 'key_rate_black'", KR)
+def _(t):
+    return suggest.key_blacklist(_log(t), t("key_rules"), _known(t), _zero(t), ZERO, HOURS)
+
+
+def _found(kind: str, severity: str, dim: str, number: str, having: str) -> str:
+    return f"SELECT concat('{kind}:', label) AS id, '{kind}' AS type, '{severity}' AS severity, label AS subject, CAST({number} AS DOUBLE) AS number FROM (SELECT CASE WHEN {dim} = '' THEN '(unknown)' ELSE {dim} END AS label, count(*) AS calls, count(*) FILTER (status_code >= 500) AS errors FROM request_log WHERE {_IN} GROUP BY 1) WHERE {having}"
+
+
+@query("suggest_volume_watch", _found("volume_watch", "info", "client_ip", "calls", "calls >= 40"), RL)
+def _(t):
+    return suggest.volume_watch(_log(t), suggest.Thresholds(volume=40), HOURS)
+
+
+@query("suggest_model_errors", _found("model_error_rate", "warn", "model", "errors", "calls >= 30 AND errors / calls >= 0.01"), RL)
+def _(t):
+    return suggest.model_errors(_log(t), TH, HOURS)
+
+
+_RULES = "SELECT name, priority, action, locked, hits FROM (VALUES ('a', 10, 'route_local', false, 15), ('b', 20, 'route_local', false, 50), ('c', 30, 'block', false, 12), ('d', 40, 'block', false, 25), ('e', 50, 'block', true, 99), ('f', 60, 'block', false, 70), ('g', 70, 'block', false, 80), ('h', 80, 'allow', false, 3)) AS t(name, priority, action, locked, hits)"
+
+
+@query("rule_reorder", f"""WITH r AS ({_RULES}), s AS (SELECT *, sum(CAST(locked AS INT)) OVER (PARTITION BY action ORDER BY priority, name) AS seg FROM r), u AS (SELECT * FROM s WHERE NOT locked AND hits >= 10),
+  k AS (SELECT *, row_number() OVER (PARTITION BY action, seg ORDER BY priority, name) AS slot, row_number() OVER (PARTITION BY action, seg ORDER BY hits DESC, priority, name) AS want FROM u)
+  SELECT a.name, a.priority, b.priority AS new_priority FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot WHERE a.priority <> b.priority""")
+def _(t):
+    return suggest.reorder(t("keys").sparkSession.sql(_RULES), 10)
+
+
+@query("reorder_apply", f"""WITH r AS ({_RULES}), s AS (SELECT *, sum(CAST(locked AS INT)) OVER (PARTITION BY action ORDER BY priority, name) AS seg FROM r), u AS (SELECT * FROM s WHERE NOT locked AND hits >= 10),
+  k AS (SELECT *, row_number() OVER (PARTITION BY action, seg ORDER BY priority, name) AS slot, row_number() OVER (PARTITION BY action, seg ORDER BY hits DESC, priority, name) AS want FROM u),
+  n AS (SELECT a.name, b.priority AS p FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot) SELECT r.name, coalesce(p, priority) AS priority FROM r LEFT JOIN n USING (name)""")
+def _(t):
+    rules = t("keys").sparkSession.sql(_RULES)
+    moved = suggest.reorder(rules, 10).select("name", "new_priority")
+    return rules.join(moved, "name", "left").select("name", F.coalesce("new_priority", "priority").alias("priority"))
+
+
+_NAMES = "SELECT name, created FROM (VALUES ('rule0', TIMESTAMP '2023-01-01 00:00:00'), ('rule1', TIMESTAMP '2023-01-01 00:00:00'), ('old', TIMESTAMP '2023-01-01 00:00:00'), ('young', TIMESTAMP '2024-01-24 00:00:00'), ('default_allow', TIMESTAMP '2023-01-01 00:00:00')) AS t(name, created)"
+
+
+@query("anti_silent_rules", f"WITH n AS ({_NAMES}), e AS (SELECT DISTINCT rule AS name FROM audit), h AS (SELECT DISTINCT rule AS name FROM audit WHERE rule <> 'rule1') SELECT name, name IN (SELECT name FROM e) AS fired_before FROM n WHERE name <> 'default_allow' AND name NOT IN (SELECT name FROM h) AND (name IN (SELECT name FROM e) OR created <= TIMESTAMP '2024-01-11 12:00:00')", ("audit",))
+def _(t):
+    rows = t("audit").select(F.col("rule").alias("name")).distinct()
+    return suggest.silent_rules(rows.sparkSession.sql(_NAMES), rows.where("name <> 'rule1'"), rows, UNTIL)
+
+
+@query("anti_idle_whitelist", "SELECT key_name FROM key_rules WHERE kind = 'white' AND key_name NOT IN (SELECT key_name FROM request_log)", KR)
+def _(t):
+    return suggest.idle_whitelist(t("key_rules"), t("request_log"))
+
+
+@query("suggest_add_limit", f"WITH m AS (SELECT provider, model, max(c) AS peak, CAST(sum(c) AS BIGINT) AS calls FROM (SELECT provider, model, date_trunc('minute', ts) AS m, count(*) AS c FROM request_log WHERE provider <> '' AND model <> '' AND {_IN} GROUP BY ALL) GROUP BY 1, 2) SELECT provider, model, calls, peak, greatest(10, peak * 2) AS rpm FROM m WHERE model <> 'base' ORDER BY calls DESC, provider, model LIMIT 3", RL)
+def _(t):
+    log = _log(t)
+    limited = log.sparkSession.createDataFrame([("local", "base")], "provider string, model string")
+    return suggest.add_limits(log, limited, TH, HOURS)
+
+
+@query("suggest_local_share", f"SELECT allowed, routed, CAST(routed / (allowed + routed) AS DOUBLE) AS share FROM (SELECT count(*) FILTER (action = 'allow') AS allowed, count(*) FILTER (action = 'route_local') AS routed FROM request_log WHERE {_IN})", RL)
+def _(t):
+    return suggest.local_share(_log(t))
+
+
+_EMITTED = "SELECT type, severity, seq FROM (VALUES ('a', 'info', 1), ('a', 'info', 2), ('a', 'info', 3), ('a', 'info', 4), ('b', 'high', 5), ('b', 'high', 6), ('c', 'warn', 7), ('c', 'warn', 8)) AS t(type, severity, seq)"
+
+
+@query("suggestion_cap", f"SELECT type, severity, seq FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS k FROM ({_EMITTED})) WHERE k <= 3 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, seq LIMIT 5")
+def _(t):
+    return suggest.capped(t("keys").sparkSession.sql(_EMITTED), suggest.Thresholds(total=5))
+
+
+_CANDIDATES = "SELECT model, rank, price_in, context_length, tier, pos FROM (VALUES ('m1', 1, 2e0, 8000, 1, 0), ('m2', 1, 1e0, 32000, 2, 1), ('m3', 2, 5e-1, 128000, 3, 2), ('m4', 3, 9e0, 200000, 3, 3)) AS t(model, rank, price_in, context_length, tier, pos)"
+
+
+@query("candidate_rank", f"SELECT model, row_number() OVER (ORDER BY rank, price_in, model) AS place FROM ({_CANDIDATES}) c")
+def _(t):
+    from pyspark.sql import Window
+
+    rows = t("keys").sparkSession.sql(_CANDIDATES)
+    return rows.select("model", F.row_number().over(Window.orderBy("rank", "price_in", "model")).cast("long").alias("place"))  # a handful of candidates
+
+
+@query("pick_fallback", f"SELECT model FROM ({_CANDIDATES}) c WHERE model NOT IN ('m1') AND context_length > 32000 ORDER BY context_length, rank, price_in LIMIT 1")
+def _(t):
+    rows = t("keys").sparkSession.sql(_CANDIDATES)
+    tried = rows.where("model = 'm1'").select("model")
+    return rows.join(tried, "model", "left_anti").where("context_length > 32000").orderBy("context_length", "rank", "price_in").limit(1).select("model")
+
+
+@query("tier_select", f"SELECT level, model FROM (SELECT l.level, c.model, row_number() OVER (PARTITION BY l.level ORDER BY CASE WHEN tier >= level THEN 0 ELSE 1 END, CASE WHEN tier >= level THEN tier ELSE -tier END, pos) AS k FROM ({_CANDIDATES}) c, (VALUES (1), (2), (3), (4)) AS l(level)) WHERE k = 1")
+def _(t):
+    rows = t("keys").sparkSession.sql(_CANDIDATES)
+    fits = F.col("tier") >= F.col("level")
+    leveled = rows.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("level"))
+    order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, F.col("tier")).otherwise(-F.col("tier")), "pos")
+    return leveled.groupBy("level").agg(F.min_by("model", order).alias("model"))
+
+
+@query("breaker_report", "SELECT provider, model, coalesce(state, 'closed') AS state, CASE WHEN state = 'open' THEN greatest(0, 30 - 12) ELSE 0 END AS cooldown FROM (SELECT DISTINCT provider, model FROM request_log WHERE provider <> '' UNION SELECT 'external', 'extra') LEFT JOIN (SELECT 'external' AS provider, 'fast' AS model, 'open' AS state) USING (provider, model)", RL)
+def _(t):
+    log = t("request_log")
+    known = log.where("provider <> ''").select("provider", "model").union(log.sparkSession.createDataFrame([("external", "extra")], "provider string, model string")).distinct()
+    state = log.sparkSession.createDataFrame([("external", "fast", "open", 12)], "provider string, model string, state string, elapsed int")
+    joined = known.join(F.broadcast(state), ["provider", "model"], "left")
+    return joined.select("provider", "model", F.coalesce("state", F.lit("closed")).alias("state"), F.when(F.col("state") == "open", F.greatest(F.lit(0), 30 - F.col("elapsed"))).otherwise(0).alias("cooldown"))
