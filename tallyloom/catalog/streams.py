@@ -1 +1,67 @@
-"""To come."""
+"""State machines, streams and line sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scope
+from ..sources import jsonl
+from ..streaming import metrics, state
+from .registry import QUERIES, SQL, query
+
+
+def _timed(t):
+    return t("request_log").select("key_name", "provider", F.unix_timestamp("ts").alias("t"), "id", (F.col("status_code") >= 500).alias("failed"), F.when(F.col("id") % 5 != 0, F.col("id") % 4).alias("level"))
+
+
+@query("token_bucket")
+def _(t):
+    return state.fold(_timed(t), "key_name", [], state.two_buckets(1, 0.05), "string")
+
+
+@query("breaker_fsm")
+def _(t):
+    return state.fold(_timed(t), "provider", ["failed"], state.breaker(window=86400, recovery=3600), "string")
+
+
+@query("sticky_tier")
+def _(t):
+    return state.fold(_timed(t), "key_name", ["level"], state.sticky_tier(3600), "long")
+
+
+def _windowed(spark, sf_dir):
+    rows = metrics.drained(metrics.windowed(metrics.read_events(spark, sf_dir)), "complete")
+    return rows.select(scope.stamp(F.col("w.start")).alias("day"), "event_type", "n", "total")
+
+
+QUERIES["stream_windowed_metrics"] = _windowed
+SQL["stream_windowed_metrics"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY 1, 2"
+
+
+@query("source_jsonl", "SELECT event_id AS id, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0")
+def _(t):
+    whole = F.to_json(F.struct(F.col("event_id").alias("id"), F.floor("value").alias("v")))
+    line = F.when(F.col("event_id") % 11 == 0, F.lit(" ")).when(F.col("event_id") % 13 == 0, F.substring(whole, 1, 9)).otherwise(whole)
+    return jsonl.parse(t("events").select(line.alias("value")), "id long, v long")
+
+
+@query("diff_trigger", "SELECT conv_id, turn, text IS DISTINCT FROM lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS changed FROM conversations")
+def _(t):
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t("conversations").select("conv_id", "turn", (~F.col("text").eqNullSafe(before)).alias("changed"))
+
+
+@query("long_windows", "SELECT doc_id, CASE WHEN n <= 4 THEN n ELSE 4 END AS windows FROM (SELECT doc_id, CAST(ceil(length(text) / 500) AS BIGINT) AS n FROM documents)")
+def _(t):
+    n = F.ceil(F.length("text") / 500)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.bround(i * (n - 1) / 3, 0).cast("int")))
+    windows = F.transform(F.when(n <= 4, F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))).otherwise(places), lambda i: F.substring("text", i * 500 + 1, F.lit(500)))
+    return t("documents").select("doc_id", F.size(windows).cast("long").alias("windows"))
+
+
+@query("slim_envelope", "SELECT conv_id, turn, text AS query FROM conversations")
+def _(t):
+    wrapped = F.concat(F.lit("<client>meta</client><query>"), F.col("text"), F.lit("</query>"))
+    return t("conversations").select("conv_id", "turn", F.regexp_extract(wrapped, r"(?s)<query>(.*)</query>", 1).alias("query"))
