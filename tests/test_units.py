@@ -1,0 +1,94 @@
+"""Literal cases of pricing, rules, state machines, scales and checks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.functions import decoding, inspection, scope
+from tallyloom.operators import stats, suggest
+from tallyloom.plans import policy
+from tallyloom.streaming import metrics, state
+
+
+def test_price_formula(spark):
+    billed = spark.createDataFrame(
+        [("p/a", 1_000_000, 500_000, 200_000, 100_000), ("p/b", 100_000, 0, 50_000, 0), ("p/x", 1000, 1000, 0, 0), ("local/y", 1, 1, 0, 0)],
+        "label string, prompt long, completion long, cached long, creation long",
+    )
+    prices = spark.createDataFrame([("p/a", 2.0, 8.0, 0.5), ("p/b", 4.0, 4.0, 0.0)], "label string, price_in double, price_out double, price_cached double")
+    got = {r["label"]: r for r in stats.priced(billed, prices).collect()}
+    assert got["p/a"]["cost"] == pytest.approx(5.9) and not got["p/a"]["cached_at_full"]
+    assert got["p/b"]["cost"] == pytest.approx(0.4) and got["p/b"]["cached_at_full"]
+    assert not got["p/x"]["priced"] and got["p/x"]["cost"] == 0
+    assert got["local/y"]["priced"]
+
+
+def test_thresholds_scale():
+    assert [suggest.scaled(20, h) for h in (24, 168, 720)] == [20, 140, 600]
+    assert suggest.scaled(1000, 168) == 7000 and suggest.scaled(30, 168) == 210
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("p", "p/m"), ("p", "m"), ("", "m"), ("p", ""), ("", ""), (" p ", " m\t"), (None, None)], "provider string, model string")
+    got = [r[0] for r in rows.select(scope.label(F.col("provider"), F.col("model"))).collect()]
+    assert got == ["p/m", "p/m", "m", "p", "(unknown)", "p/m", "(unknown)"]
+
+
+def test_overview_of_nothing(spark):
+    log = spark.createDataFrame([], "action string, status_code int, duration_ms long, client_ip string, prompt_tokens long, completion_tokens long, cached_tokens long")
+    assert [tuple(r) for r in stats.overview(log).collect()] == [(0, 0, 0, 0, 0, 0, 0, 0)]
+
+
+def test_rules_are_checked():
+    with pytest.raises(ValueError):
+        policy.Rule("x", "allow", {"any": [{"all": []}]})
+    with pytest.raises(ValueError):
+        policy.Rule("x", "fly", "always")
+    with pytest.raises(ValueError):
+        policy.Rule("x", "allow", "always", 5000)
+
+
+def test_first_match_and_copies(spark):
+    rows = spark.createDataFrame([("s ecret", 1), ("secret", 2), ("fine", 3)], "text string, n int")
+    rules = [policy.Rule("b", "block", {"text contains_any": ["SECRET"]}, 5), policy.Rule("a", "route_local", {"n >=": "2"}, 5)]
+    field = {"text": F.col("text"), "n": F.col("n")}.get
+    copies = {"text": F.regexp_replace("text", " ", "")}
+    assert [r[0] for r in rows.select(policy.decide(rules, field, copies)["rule"]).collect()] == ["b", "b", "a"]
+    assert [r[0] for r in rows.select(policy.decide(rules, field)["rule"]).collect()] == ["default_allow", "b", "a"]
+
+
+def test_machines():
+    def run(step, events):
+        now, out = None, []
+        for e in events:
+            now, x = step(now, e)
+            out.append(x)
+        return out
+
+    assert run(state.token_bucket(1, 2), [(0, 1), (0, 2), (0, 3), (1, 4), (5, 5), (5, 6), (5, 7)]) == [1, 1, 0, 1, 1, 1, 0]
+    assert run(state.two_buckets(10, 2), [(0, 1), (0, 2), (0, 3)]) == ["ok", "ok", "rpm"]
+    fails = [(t, t, True) for t in range(5)]
+    assert run(state.breaker(), [*fails, (10, 6, False), (40, 7, False), (41, 8, False)]) == ["closed"] * 4 + ["open", "open", "half_open", "closed"]
+    assert run(state.breaker(), [*fails, (40, 6, True)])[-1] == "open"
+    assert run(state.sticky_tier(10), [(0, 1, 1), (1, 2, 3), (5, 3, None), (14, 4, 1), (30, 5, 1)]) == [1, 3, 3, 3, 1]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(i % 7), i) for i in range(60) for k in ("a", "b")], "k string, t double, id long").withColumn("id", F.col("id") * 2 + (F.col("k") == "b").cast("int"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    step = state.token_bucket(0.5, 3)
+    batch = sorted(map(tuple, state.fold(rows, "k", [], step, "long").collect()))
+    live = state.stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", [], step, "long", "tokens double, t double")
+    assert sorted(map(tuple, metrics.drained(live, "append").collect())) == batch
+
+
+def test_checks(spark):
+    rows = spark.createDataFrame([("4111111111111111",), ("4111111111111112",)], "c string")
+    assert [r[0] for r in rows.select(inspection.luhn(F.col("c"))).collect()] == [True, False]
+    assert decoding.decode_layers("x " + "aGVsbG8gd29ybGQsIHRoaXMgaXMgYSB0ZXN0" + " y") == [("hello world, this is a test", "base64")]
+    assert decoding.decode_layers("68656c6c6f20776f726c64212121212121") == [("hello world!!!!!!", "hex")]
+
+
+def test_key_tiebreak_of_dimensions(spark):
+    aliases = spark.createDataFrame([("A", "p", "m2", 2, True), ("a", "p", "m1", 1, False)], "alias string, head_provider string, head_model string, priority int, enabled boolean")
+    log = spark.createDataFrame([("x", "a"), ("x", "b")], "provider string, model string")
+    assert [r["label"] for r in stats.with_label(log, aliases).orderBy("model").collect()] == ["p/m2", "x/b"]
