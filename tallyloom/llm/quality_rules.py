@@ -140,3 +140,28 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return measured.join(cuts, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept")
     )
+
+
+def _sql() -> str:
+    cuts = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({list(c)}) AS cutoff" for r, c in RULES.items())
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, CAST({r} AS DOUBLE) AS x, bad FROM m" for r in RULES)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, k, concat_ws(' ', w[k], w[k + 1], w[k + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+b AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(t, '[\p{{Lu}}!]{{2,}}')) AS n_shouted
+  FROM d LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words AS bad, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_lines, 1) AS dup_lines_per_line,
+  n_repeat_words / greatest(n_words, 1) AS repeated_words, n_shouted / greatest(n_words, 1) AS shouted, abs(word_chars / greatest(n_words, 1) - 5) AS word_chars_far_from_5 FROM b),
+l AS ({long}),
+c AS (SELECT lang, rule, CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM l JOIN ({cuts}) USING (rule) WHERE NOT bad AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2, 3),
+s AS (SELECT lang, rule, min(cutoff) AS cutoff FROM c WHERE k < {ALPHA} * n AND {tail} <= {DELTA} / ((SELECT count(DISTINCT lang) FROM c) * {sum(map(len, RULES.values()))}) GROUP BY 1, 2),
+o AS (SELECT DISTINCT doc_id FROM l JOIN s USING (lang, rule) WHERE x > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM m
+"""
+
+
+SQL = _sql()

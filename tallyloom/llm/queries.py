@@ -60,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality_rules.SQL,
     "op8_warc": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
