@@ -246,3 +246,33 @@ def _(t):
 def _(t):
     flag = lambda words: F.col("text").rlike(words)
     return _planted(t).select("doc_id", flag("工资|财务|预算").alias("financial"), flag("图纸|施工图").alias("drawing"))
+
+
+@query("redact_entry", f"WITH {_P} SELECT doc_id, strpos({_redacted_sql()}, 'REDACTED') > 0 AS text_changed, concat('[REDACTED:aws-access-key] ', doc_id % 3) AS reason FROM p")
+def _(t):
+    rows = _planted(t).select("doc_id", F.struct("text", F.array(F.concat(F.lit("AKIA"), F.lit("ABCDEFGHIJKLMNOP "), (F.col("doc_id") % 3).cast("string"))).alias("reasons")).alias("e"))
+    clean = rows.select("doc_id", inspection.redact_secrets(F.col("e.text")).alias("text"), F.transform("e.reasons", inspection.redact_secrets).alias("reasons"))
+    return clean.select("doc_id", F.col("text").contains("REDACTED").alias("text_changed"), F.element_at("reasons", 1).alias("reason"))
+
+
+@query("scope_blocks", "SELECT conv_id, least(5, CAST(count(*) AS BIGINT)) AS blocks FROM conversations WHERE length(text) > 0 GROUP BY 1")
+def _(t):
+    turns = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("back"), F.substring("text", 1, 1800).alias("text"))))
+    rows = t("conversations").where(F.length("text") > 0).groupBy("conv_id").agg(turns.alias("turns"))
+    return rows.select("conv_id", F.size(F.slice("turns", 1, 5)).cast("long").alias("blocks"))
+
+
+@query("tools_text", "SELECT event_id, concat('{\"name\":\"', event_type, '\",\"value\":', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), '}', chr(10), '{\"name\":\"x\",\"value\":1}') AS tools FROM events")
+def _(t):
+    tool = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    tools = F.array(tool(F.col("event_type"), F.floor("value")), tool(F.lit("x"), F.lit(1).cast("long")))
+    return t("events").select("event_id", F.array_join(F.transform(tools, lambda x: F.substring(F.to_json(x), 1, 4000)), "\n").alias("tools"))
+
+
+@query("source_files")
+def _(t):
+    from ..sources import files
+
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("name,工资,date\n"), F.col("text")), "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(b"%PDF-1.4\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    rows = t("documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("path"), content.alias("content"))
+    return files.inspected(rows).select("name", "kind", "mismatch", F.array_join("headers", "|").alias("headers"), F.size("chunks").alias("chunks"), "financial")

@@ -5,7 +5,8 @@ Count thresholds grow with the window: base * max(24, hours) / 24, rounded half
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ class Thresholds:
     token_growth: float = 0.0
 
 
+def thresholds(settings: Mapping[str, str]) -> Thresholds:
+    """Thresholds from text settings; "24:20,168:100" means its 24 h value, unreadable ones the default."""
+    found = {}
+    for field in fields(Thresholds):
+        text = str(settings.get(field.name, "")).strip()
+        if ":" in text:
+            text = dict(p.split(":", 1) for p in text.replace(" ", "").split(",") if ":" in p).get("24", "")
+        try:
+            found[field.name] = type(field.default)(float(text))
+        except ValueError:
+            continue
+    return Thresholds(**found)
+
+
 def scaled(base: float, hours: float) -> int:
     return max(1, round(base * max(24.0, hours) / 24.0))
 

@@ -129,3 +129,35 @@ def merge_chunks(chunks: Column) -> Column:
         F.size(bad) > 0, F.struct(bad[0]["confidence"].alias("confidence"), bad[0]["label"].alias("label"), F.lit(True).alias("degraded"))
     ).otherwise(best)
     return F.struct(pick["label"].alias("label"), pick["confidence"].alias("confidence"), pick["degraded"].alias("degraded"), F.forall(first, lambda x: x["cached"]).alias("cached"), F.array_max(F.transform(first, lambda x: x["latency"])).alias("latency"))
+
+
+_FORM = {"equals": "==", "differs": "!=", "in": "in", "not_in": "not_in", "contains": "contains_any", "regex": "matches_regex", "at_least": ">=", "at_most": "<=", "over": ">", "under": "<"}
+
+
+def build_when(rows: list[Mapping[str, Any]], combiner: str = "any") -> Any:
+    """A form's rows (field, test, value) as a ``when``. An hour span over midnight becomes two conditions of an any."""
+    if not rows:
+        return "always"
+    made: list[dict[str, Any]] = []
+    for r in rows:
+        if r["test"] == "hours":
+            start, end = r["value"]
+            if start > end and combiner == "all" and len(rows) > 1:
+                raise ValueError("a span over midnight can't be part of an all")
+            combiner = "any" if start > end else "all" if len(rows) == 1 else combiner
+            made += [{f"{r['field']} >=": start}, {f"{r['field']} <": end}]
+        else:
+            op, value = _FORM[r["test"]], r["value"]
+            made.append({f"{r['field']} {op}" + (f" {value}" if op in ("==", "!=") else ""): value})
+    return made[0] if len(made) == 1 else {combiner: made}
+
+
+def parse_when(when: Any) -> tuple[str, list[dict[str, Any]]]:
+    """The form's combiner and rows of a ``when``; the inverse of build_when, with spans as their two bounds."""
+    names = {v: k for k, v in _FORM.items()}
+    rows = []
+    for c in conditions(when):
+        key, value = next(iter(c.items()))
+        field, op = key.split()[:2]
+        rows.append({"field": field, "test": names[op], "value": value})
+    return ("all" if isinstance(when, Mapping) and "all" in when else "any"), rows

@@ -92,3 +92,57 @@ def test_key_tiebreak_of_dimensions(spark):
     aliases = spark.createDataFrame([("A", "p", "m2", 2, True), ("a", "p", "m1", 1, False)], "alias string, head_provider string, head_model string, priority int, enabled boolean")
     log = spark.createDataFrame([("x", "a"), ("x", "b")], "provider string, model string")
     assert [r["label"] for r in stats.with_label(log, aliases).orderBy("model").collect()] == ["p/m2", "x/b"]
+
+
+def test_windows():
+    from datetime import datetime
+
+    from tallyloom.functions import windows
+
+    now = datetime(2024, 1, 10, 12)
+    assert windows.parse("24h", now) == datetime(2024, 1, 9, 12) and windows.parse("2d", now) == datetime(2024, 1, 8, 12)
+    assert windows.parse("2024-01-05", now, until=True) == datetime(2024, 1, 5, 23, 59, 59, 999999)
+    assert windows.parse("2024-01-05T08:00:00", now, from_user=True) == datetime(2024, 1, 5)
+    assert windows.parse("2024-01-05T08:00:00+08:00", now) == datetime(2024, 1, 5)
+    assert windows.parse("soon", now) is None
+
+
+def test_forms_and_rules():
+    rows = [{"field": "rule", "test": "contains", "value": ["a"]}, {"field": "risk", "test": "at_least", "value": 5}]
+    assert policy.parse_when(policy.build_when(rows, "all")) == ("all", rows)
+    assert policy.build_when([]) == "always"
+    assert policy.build_when([{"field": "hour", "test": "hours", "value": (22, 6)}]) == {"any": [{"hour >=": 22}, {"hour <": 6}]}
+    assert policy.build_when([{"field": "hour", "test": "hours", "value": (9, 17)}]) == {"all": [{"hour >=": 9}, {"hour <": 17}]}
+
+
+def test_threshold_settings():
+    th = suggest.thresholds({"violations": "24:7,168:100", "error_rate": "0.5", "volume": "many"})
+    assert (th.violations, th.error_rate, th.volume) == (7, 0.5, 1000)
+
+
+def test_files(spark, tmp_path):
+    from tallyloom.sources import files
+
+    (tmp_path / "pay.csv").write_text("title\nname,工资,date\na,1,2\n")
+    (tmp_path / "fake.csv").write_bytes(b"%PDF-1.4 \x00")
+    (tmp_path / "raw.bin").write_bytes(b"\x00\x01\x02")
+    got = {r["name"]: r for r in files.read(spark, str(tmp_path)).collect()}
+    assert got["pay.csv"]["headers"] == ["name", "工资", "date"] and got["pay.csv"]["financial"] and got["pay.csv"]["kind"] == "text"
+    assert got["fake.csv"]["mismatch"] and got["fake.csv"]["kind"] == "pdf" and got["raw.bin"]["kind"] == "unknown"
+
+
+def test_sinks(spark, tmp_path):
+    from tallyloom.sources import jsonl, sinks
+
+    rows = spark.sql("SELECT id, timestamp_seconds(id * 86400) AS ts, IF(id % 4 = 0, NULL, 'abcdef') AS req_id FROM range(10)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sinks.append_stream(live, str(tmp_path / "log"), str(tmp_path / "dead"), lambda: F.col("req_id").isNotNull(), str(tmp_path / "state")).awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 7 and spark.read.parquet(str(tmp_path / "dead")).count() == 3
+    assert sinks.purge(log.drop("day"), "1970-01-04", str(tmp_path / "kept")) == 2
+    assert [tuple(r) for r in sinks.normalized(rows.where("id = 4").select("req_id"), {"req_id": "none"}, {"req_id": 3}).collect()] == [("non",)]
+    spark.createDataFrame([('{"t": 1}',), ('{"t": 2',), ("",), ('{"t": 3}',)], "value string").coalesce(1).write.text(str(tmp_path / "lines"))
+    assert sorted(r["t"] for r in jsonl.read(spark, str(tmp_path / "lines"), "t double").collect()) == [1, 3]
+    jsonl.compact(spark, str(tmp_path / "lines"), str(tmp_path / "short"), "t", 1)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "short")).collect()] == ['{"t": 3}']
