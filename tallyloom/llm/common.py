@@ -56,3 +56,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join many rows of left for each key to one row of right, with hot keys dealt over several tasks.
+
+    A key with more than 1 / (4 x partitions) of left's rows is hot; there can be at most 4 x partitions of those, so
+    they are broadcast. A hot key's rows get one of ceil(rows / limit) salts, and right's row is repeated for
+    each; all repeats together are at most 8 x partitions rows. left must be stable when read again.
+    """
+    parts = 4 * shuffle_partitions(left.sparkSession)
+    limit = max(1, left.count() // parts)
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_spread")))
+    salt = F.when(F.col("_spread").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_spread")).cast("int"))
+    many = left.join(hot, key, "left").withColumn("_salt", salt).drop("_spread")
+    one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))).drop("_spread")
+    return many.join(one, [key, "_salt"], how).drop("_salt")

@@ -2,7 +2,8 @@
 
 An archive is two Parquet tables in one folder: payloads (digest, payload) and records (digest, header). A header is the
 exact bytes of a WARC/1.1 record up to and with its empty line. Joining both on the digest gives the records
-back byte for byte, and a revisit's full payload with them; every payload that is read is hashed again.
+back byte for byte, and a revisit's full payload with them; every payload that is read is hashed again. A digest that
+many records share is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import materialized, spread_join
 
 #: Payloads of fewer bytes are stored as responses each time.
 SMALL = 100
@@ -39,7 +40,7 @@ def records(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = materialized(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes")))
     first = rows.where(F.col("payload_bytes") >= SMALL).groupBy("digest").agg(F.min("page_id").alias("first"))
-    typed = rows.join(first, "digest", "left")
+    typed = spread_join(rows, first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -67,7 +68,7 @@ def write_archive(pages: DataFrame, out: str) -> None:
 
 def read_archive(spark: SparkSession, out: str) -> DataFrame:
     """header, payload (full, of revisits too), record (the WARC record's exact bytes) and the header's fields."""
-    rows = spark.read.parquet(f"{out}/records").join(spark.read.parquet(f"{out}/payloads"), "digest", "left")
+    rows = spread_join(spark.read.parquet(f"{out}/records"), spark.read.parquet(f"{out}/payloads"), "digest", "left")
     checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("a stored payload does not have the digest "), F.col("digest"))).cast("binary")
     )

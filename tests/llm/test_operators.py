@@ -472,3 +472,13 @@ def test_boosted_column_is_the_model(spark):
     rows = spark.createDataFrame([(k, [int(v) for v in r]) for k, r in enumerate(x)], "k int, f array<int>")
     got = [r[0] for r in rows.orderBy("k").select(model.column(F.col("f"))).collect()]
     assert np.allclose(got, model.score(x))
+
+
+def test_spread_join(spark):
+    from tallyloom.llm.common import spread_join
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(900, None), (901, "none")], "id long, k string")
+    right = left.where("k <> 'none'").select("k").distinct().withColumn("v", F.length("k"))
+    want = sorted(map(str, left.join(right, "k", "left").select("id", "k", "v").collect()))
+    assert sorted(map(str, spread_join(left, right, "k", "left").select("id", "k", "v").collect())) == want
+    assert spread_join(left.limit(0), right, "k").count() == 0
