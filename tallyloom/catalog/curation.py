@@ -199,12 +199,12 @@ def _(t):
     return t("audit").where("l2_label IS NOT NULL AND shadow_label IS NOT NULL").groupBy(case.alias("case_")).agg(F.count("*").alias("n"))
 
 
-@query("leaderboard", f"WITH {_SCORED}, c AS (SELECT lang AS candidate, {_CONF} FROM (SELECT lang, want = 1 AS w, got = 1 AS g FROM e) GROUP BY 1) SELECT candidate, tp / (tp + fn) AS recall, rank() OVER (ORDER BY tp / (tp + fn) DESC, candidate) AS place FROM c")
+@query("leaderboard", f"WITH {_SCORED}, c AS (SELECT lang AS candidate, {_CONF} FROM (SELECT lang, want = 1 AS w, got = 1 AS g FROM e) GROUP BY 1) SELECT candidate, recall, rank() OVER (ORDER BY recall DESC NULLS LAST, candidate) AS place FROM (SELECT candidate, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM c)")
 def _(t):
     from pyspark.sql import Window
 
     rows = evaluation.confusion(_scored(t).withColumnRenamed("lang", "candidate"), "candidate").select("candidate", "recall")
-    return rows.withColumn("place", F.rank().over(Window.orderBy(F.desc("recall"), "candidate")).cast("long"))  # one row for each candidate
+    return rows.withColumn("place", F.rank().over(Window.orderBy(F.desc_nulls_last("recall"), "candidate")).cast("long"))  # one row for each candidate
 
 
 @query("relabel_metrics", f"WITH {_SCORED}, c AS (SELECT labels, {_CONF} FROM (SELECT 'original' AS labels, want = 1 AS w, got = 1 AS g FROM e UNION ALL SELECT 'strict', want = 1 AND id % 8 <> 0, got = 1 FROM e) GROUP BY 1) SELECT labels, {_RATES} FROM c")
