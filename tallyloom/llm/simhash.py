@@ -113,9 +113,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest: one row for each group.
 
-    Of rows that repeat such a doc_id one stays, the first by text. All columns of docs are kept.
+    Of rows that repeat such a doc_id one stays, the first by text. Rows without a doc_id can't be told apart by
+    it and all stay. All columns of docs are kept.
     """
     keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     row = F.struct(*docs.columns)
     kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    kept = kept.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
