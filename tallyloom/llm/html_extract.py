@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +66,8 @@ def extract(page: str | None) -> str:
     page = page or ""
     tags, parents, dropped, inside = ["#"], [-1], [False], [False]  # nodes
     blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
-    stack, part, links, link_depth, at = [0], [], 0, 0, 0
+    stack, part, links, at = [0], [], 0, 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that the stack is only searched for what is there
 
     def flush() -> None:
         nonlocal links
@@ -78,10 +80,8 @@ def extract(page: str | None) -> str:
         links = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal link_depth
         for n in stack[depth:]:
-            if tags[n] == "a":
-                link_depth -= 1
+            opened[tags[n]] -= 1
         del stack[depth:]
 
     def say(text: str) -> None:
@@ -89,7 +89,7 @@ def extract(page: str | None) -> str:
         if text and not dropped[stack[-1]]:
             text = html.unescape(text) if "&" in text else text
             part.append(text)
-            if link_depth:
+            if opened["a"] > 0:
                 links += len(text.strip())
 
     while m := _TAG.search(page, at):
@@ -99,7 +99,7 @@ def extract(page: str | None) -> str:
         if not name:
             continue
         if m[1] or m[4]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == name), 0)
+            depth = opened[name] > 0 and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == name)
             if depth:
                 if any(tags[n] in _BLOCK for n in stack[depth:]):
                     flush()
@@ -107,12 +107,13 @@ def extract(page: str | None) -> str:
             continue
         if name in _BLOCK:
             flush()
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == "p" or tags[stack[d]] in _P_SCOPE), 0)
+            depth = opened["p"] > 0 and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == "p" or tags[stack[d]] in _P_SCOPE)
             if depth and tags[stack[depth]] == "p":
                 pop_to(depth)
         if name in _ENDS:
             ends, scope = _ENDS[name]
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] in ends or tags[stack[d]] in scope), 0)
+            some = any(opened[x] > 0 for x in ends)
+            depth = some and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] in ends or tags[stack[d]] in scope)
             while depth and tags[stack[depth]] in ends:
                 pop_to(depth)
                 depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] in ends or tags[stack[d]] in scope), 0)
@@ -132,7 +133,7 @@ def extract(page: str | None) -> str:
         inside.append(inside[up] or article)
         if not attrs.endswith("/") or name not in ("path", "g", "use"):
             stack.append(len(tags) - 1)
-            link_depth += name == "a"
+            opened[name] += 1
     say(page[at:])
     flush()
     return "\n\n".join(text for _, text, _ in _kept(tags, parents, blocks))
