@@ -136,7 +136,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = decontaminate(docs, benchmark).where("contaminated").select("key").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(text, F.col("doc_id"), F.lit("key"))
-    return docs.join(bad.withColumnRenamed("key", "_bad_key"), key == F.col("_bad_key"), "left_anti")
+    return docs.join(bad, key == bad["key"], "left_anti")
 
 
 SQL = r"""

@@ -207,7 +207,8 @@ def _wilson(k: float, n: float, z: float = 1.96) -> float:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("*", text.alias("_text"), text.rlike("[0-9]").alias("_digits"))
+    row = F.struct(*docs.columns).alias("_row")  # so that no column of docs clashes with those added here
+    rows = docs.select(row, text.alias("_text"), text.rlike("[0-9]").alias("_digits"))
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
     return rows.withColumn("_cand", let(F.col("_base"), lambda b: candidates(F.col("_text"), b)))
 
@@ -215,7 +216,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
     """Trees and the score each kind needs, from counts over all documents; math.inf where nothing is proven."""
     rows = _prepared(docs).where(F.size("_cand") > 0)
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
+    fold = F.pmod(F.xxhash64("_row.doc_id", F.lit("calibration")), F.lit(5)) == 0
     each = rows.select(fold.alias("held"), F.explode("_cand").alias("c"))
     counts = each.groupBy("held", F.col("c.f").alias("f")).agg(F.count_if(F.col("c.hit")).alias("pos"), F.count_if(~F.col("c.hit")).alias("neg"))
     got = counts.orderBy("held", "f").collect()  # at most 2 * PATTERNS rows
@@ -235,7 +236,7 @@ def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _text, _base and _all spans (start, kind, end)."""
+    """_row of docs with _text, _base and _all spans (start, kind, end)."""
     model, needed = fit(docs)
     sized = "array<struct<start:int,kind:int,end:int>>"
     passing = {k: v for k, v in needed.items() if v < math.inf}
@@ -271,7 +272,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = _with_spans(docs.select("doc_id", "text"))
     number = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
+    return rows.select("_row.doc_id", *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def redact(docs: DataFrame) -> DataFrame:
     whole = F.aggregate("_all", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     rows = _with_spans(docs)
     found = F.size("_all") > 0
-    out = {"text": F.when(found, whole).otherwise(F.col("text"))}
+    out = {"text": F.when(found, whole).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(found, F.length(whole).cast("long")).otherwise(F.col("n_chars"))
-    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+        out["n_chars"] = F.when(found, F.length(whole).cast("long")).otherwise(F.col("_row.n_chars"))
+    return rows.select(*(out[c].alias(c) if c in out else F.col(f"_row.{c}") for c in docs.columns))

@@ -450,7 +450,7 @@ def test_pii_base(spark):
 
 
 def test_pii_redaction(spark):
-    docs = spark.createDataFrame([(1, "call +1 (988) 555-2485 or é@x a.b@c.de now", 42, "en"), (2, None, 0, "en"), (3, "nothing", 7, "en")], "doc_id long, text string, n_chars long, lang string")
+    docs = spark.createDataFrame([(1, "call +1 (988) 555-2485 or é@x a.b@c.de now", 42, "en"), (2, None, 0, "en"), (3, "nothing", 7, "en")], "doc_id long, text string, n_chars long, lang string").withColumn("_text", F.lit("x")).withColumn("_base", F.lit(1))
     got = pii.redact(docs)
     assert got.columns == docs.columns
     rows = {r["doc_id"]: r for r in got.collect()}
