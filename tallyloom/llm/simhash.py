@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialized
+from .common import bounded_batches, materialized, spread_join
 from .components import connected_components
 
 SHINGLE = 3
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     known = reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fps, known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
