@@ -15,8 +15,8 @@ import numpy as np
 
 #: Texts that the library gets whole.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f]| $")
-#: Pieces that a worker remembers (some 150 bytes each), and the longest piece that is worth remembering.
-MEMORY_PIECES = 900_000
+#: Pieces that a worker remembers of each of two kinds (some 200 bytes each), and the longest piece that is worth remembering.
+MEMORY_PIECES = 250_000
 MEMORY_CHARS = 40
 
 
