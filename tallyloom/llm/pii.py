@@ -2,12 +2,17 @@
 
 Four strict patterns give the base spans. Looser generators propose further, overlapping candidates: matches that
 fail a strict check, digit runs with any separators, national phone numbers, spelled-out mail addresses,
-spaced addresses of machines. Boosted trees over format and context features (never the strict checks
-themselves) learn which candidates look like base spans; a candidate over a base span of its kind is a
-positive. All features are small integers, so the corpus is counted by feature pattern (at most PATTERNS of
-them) in one aggregation and the trees are fitted to those counts on the driver; they come back as CASE expressions.
-A threshold per kind is calibrated on a fifth of the documents: the lowest score whose share of positives is at least
-PRECISION by a Wilson bound. Candidates over it that touch no base span are added.
+spaced addresses of machines. Boosted trees over format and context features rank them. What makes a base span one
+is masked there: a candidate inside a base span has the context of that span, so no "+" is seen; mail addresses show no sign
+for "at"; Luhn and octets are never features. All features are small integers, so the corpus is counted by
+feature pattern (at most PATTERNS of them) in one aggregation and the trees are fitted to those counts on the
+driver; they come back as CASE expressions.
+
+A threshold per kind is calibrated on a fifth of the documents, on the candidates that touch no base span, as only those can be
+added. Whether they are base spans says nothing about them; a witness does that the trees don't see, with a rate among
+real ones and a rate by chance: Luhn (1 and a tenth) for cards, octets (1 and 156 of 900 for each group of three digits)
+for machines, a private cue word before it (its rate among base spans and among other digit runs) for phones and mail. The
+share of real ones follows from the three rates; the lowest score where it is at least PRECISION by Wilson bounds is taken.
 
 Patterns are written with possessive repeats and \\G so that very long runs neither backtrack nor recurse.
 """
@@ -46,6 +51,9 @@ _LOOSE: tuple[tuple[int | None, str], ...] = (
 )
 _PRIVATE = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|address|server|host|ip)\b[^0-9@]{0,12}$"
 _PUBLIC = r"(?i)(?:version|licen[sc]e|v\.?|isbn|no\.?|release|password|token|key|id)\b[^0-9@]{0,12}$"
+#: Chance that a random group of three digits (100 to 999) is at most 255, and that random digits pass the Luhn check.
+_OCTET, _LUHN_CHANCE = 156 / 900, 0.1
+_CANDIDATE = "array<struct<start:int,end:int,f:array<int>,hit:boolean,apart:boolean,label:boolean,valid:boolean,cue:boolean,trial:boolean,chance:double>>"
 _SPAN = "array<struct<start:int,end:int,s:string>>"
 
 
@@ -116,37 +124,56 @@ def _near(char: Column) -> Column:
     )
 
 
-def _features(kind: Column, x: Column, text: Column) -> list[Column]:
-    s, start, end = x["s"], x["start"], x["end"]
+def _features(kind: Column, x: Column, text: Column, anchor: Column, cue: Column) -> list[Column]:
+    s, end = x["s"], x["end"]
     n = F.length(_digits(s))
     digits = F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 12, 3).when(n < 15, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7)
     groups = F.least(F.regexp_count(s, F.lit("[0-9]+")), F.lit(4))
-    separator = F.when(s.contains("("), 3).when(s.contains("."), 2).when(s.rlike("[ -]"), 1).when(s.contains("/"), 4).otherwise(0)
-    before, after = (F.substring(text, start, F.lit(1)), F.substring(text, end + 1, F.lit(1)))
-    context = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-    cue = F.when(context.rlike(_PRIVATE), 2).when(context.rlike(_PUBLIC), 1).otherwise(0)
-    before = F.when(start == 0, 0).otherwise(_near(before))
-    return [kind, digits, groups, separator, before, _near(after), cue]
+    separator = F.when(kind == EMAIL, 0).when(s.contains("("), 3).when(s.contains("."), 2).when(s.rlike("[ -]"), 1).when(s.contains("/"), 4).otherwise(0)
+    before = F.when(anchor == 0, 0).otherwise(_near(F.substring(text, anchor, F.lit(1))))
+    seen = F.when(kind.isin(EMAIL, PHONE), 0).otherwise(cue)  # their witness
+    return [kind, digits, groups, separator, before, _near(F.substring(text, end + 1, F.lit(1))), seen]
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Loose candidates: start, end, f (array of features) and hit (over a base span of the same kind)."""
+    """Loose candidates: start, end, f (array of features), hit (over a base span of the same kind), apart (touches no base span),
+    label (what the trees learn), valid (may be added), cue (a private one before it), trial (the witness can tell) and
+    chance (that the witness speaks for a candidate that isn't real; 0 where that is measured).
+    """
     loose: Sequence[tuple[int | None, str]] = (*_LOOSE, *((k, _BASE[k]) for k in (IP, CARD, PHONE)))
 
+    def described(k: Column, x: Column) -> Column:
+        touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        same = F.filter(touching, lambda b: b["kind"] == k)
+        hit = F.size(same) > 0
+        anchor = F.least(x["start"], F.coalesce(F.get(same, F.lit(0))["start"], x["start"]))
+        context = F.substring(text, F.greatest(anchor - 23, F.lit(1)), F.least(anchor, F.lit(24)))
+        cue = F.when(context.rlike(_PRIVATE), 2).when(context.rlike(_PUBLIC), 1).otherwise(0)
+        f = F.array(*(c.cast("int") for c in _features(k, x, text, anchor, cue)))
+        threes = F.regexp_count(x["s"], F.lit("(?<![0-9])[1-9][0-9]{2}(?![0-9])"))
+        valid = F.when(k == CARD, _valid(CARD, x["s"])).when(k == IP, _valid(IP, F.replace(x["s"], F.lit(" "), F.lit("")))).otherwise(cue != 1)
+        label = F.when(k.isin(CARD, IP), valid).otherwise(hit)
+        trial = F.when(k == IP, threes > 0).when(k == CARD, F.length(_digits(x["s"])).between(12, 19)).otherwise(True)
+        chance = F.when(k == CARD, _LUHN_CHANCE).when(k == IP, F.pow(F.lit(_OCTET), threes)).otherwise(0.0)
+        named = {"start": x["start"], "end": x["end"], "f": f, "hit": hit, "apart": F.size(touching) == 0, "label": label, "valid": valid, "cue": cue == 2, "trial": trial, "chance": chance}
+        return F.struct(*(c.alias(n) for n, c in named.items()))
+
     def of(kind: int | None, pattern: str) -> Column:
         def one(x: Column) -> Column:
-            k = F.lit(kind) if kind is not None else F.when(F.length(_digits(x["s"])) < 12, PHONE).otherwise(CARD)
-            over = F.exists(base, lambda b: (b["kind"] == k) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-            f = F.array(*(c.cast("int") for c in _features(k, x, text)))
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), f.alias("f"), over.alias("hit"))
+            return described(F.lit(kind) if kind is not None else F.when(F.length(_digits(x["s"])) < 12, PHONE).otherwise(CARD), x)
 
         guard = (text.contains("(at)") | text.contains("[at]")) if kind == EMAIL else F.col("_digits")
         enough = _found(text, pattern)
         if kind not in (EMAIL, IP):
             enough = F.filter(enough, lambda x: F.length(_digits(x["s"])) >= 7)
-        return F.when(guard, F.transform(enough, one)).otherwise(F.array().cast("array<struct<start:int,end:int,f:array<int>,hit:boolean>>"))
+        return F.when(guard, F.transform(enough, one)).otherwise(F.array().cast(_CANDIDATE))
 
-    return F.array_distinct(F.concat(*(of(*x) for x in loose)))
+    def mail(b: Column) -> Column:
+        at = F.substring(text, b["start"] + 1, b["end"] - b["start"])
+        return described(F.lit(EMAIL), F.struct(b["start"].alias("start"), b["end"].alias("end"), at.alias("s")))
+
+    mails = F.transform(F.filter(base, lambda b: b["kind"] == EMAIL), mail)
+    return F.array_distinct(F.concat(mails, *(of(*x) for x in loose)))
 
 
 class Boosted:
@@ -201,10 +228,30 @@ class Boosted:
 
 
 def _wilson(k: float, n: float, z: float = 1.96) -> float:
+    """Lower bound of a share (upper with negative z)."""
     p = k / n
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _proven(kind: int, of: dict[str, float], rest: dict[str, float], junk: dict[str, float]) -> float:
+    """A lower bound of the share of real ones among the valid candidates that touch no base span.
+
+    of: counts of the candidates of the kind over a cut, rest: of those below it, junk: of cards and machines that fail their check.
+    """
+    if not of["n"]:
+        return 0.0
+    low = _wilson(of["k"], of["n"])
+    if kind in (CARD, IP):
+        high, chance = 1.0, of["chance"] / of["n"]
+    else:
+        high = _wilson(of["base_k"], of["base_n"], -1.96) if of["base_n"] else 1.0
+        chance = (rest["k"] + junk["bad_k"]) / max(1.0, rest["n"] + junk["bad_n"])
+    share = min(1.0, (low - chance) / (high - chance)) if high > chance else 0.0
+    if kind == CARD and share > 0:  # only those that pass are added
+        share /= share + chance * (1 - share)
+    return share
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*docs.columns).alias("_row")  # so that no column of docs clashes with those added here
@@ -218,18 +265,24 @@ def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
     rows = _prepared(docs).where(F.size("_cand") > 0)
     fold = F.pmod(F.xxhash64("_row.doc_id", F.lit("calibration")), F.lit(5)) == 0
     each = rows.select(fold.alias("held"), F.explode("_cand").alias("c"))
-    counts = each.groupBy("held", F.col("c.f").alias("f")).agg(F.count_if(F.col("c.hit")).alias("pos"), F.count_if(~F.col("c.hit")).alias("neg"))
+    c, kind = F.col("c"), F.get(F.col("c.f"), F.lit(0))
+    witness = F.when(kind.isin(CARD, IP), c["valid"]).otherwise(c["cue"])
+    usable, bad = c["apart"] & c["trial"], c["apart"] & kind.isin(CARD, IP) & ~c["valid"]
+    sums = {"pos": c["label"], "neg": ~c["label"], "k": usable & witness, "n": usable, "base_k": c["hit"] & c["cue"], "base_n": c["hit"], "bad_k": bad & c["cue"], "bad_n": bad}
+    counts = each.groupBy("held", c["f"].alias("f")).agg(*(F.count_if(v).alias(n) for n, v in sums.items()), F.sum(F.when(usable, F.round(c["chance"] * 1e6).cast("long")).otherwise(0)).alias("chance"))
     got = counts.orderBy("held", "f").collect()  # at most 2 * PATTERNS rows
-    table = lambda held: (np.array([r["f"] for r in got if r["held"] == held]).reshape(-1, len(FEATURES)), *(np.array([r[c] for r in got if r["held"] == held], dtype=float) for c in ("pos", "neg")))
-    model = Boosted(*table(False))
-    x, pos, neg = table(True)
+    table = lambda held: (np.array([r["f"] for r in got if r["held"] == held]).reshape(-1, len(FEATURES)), {n: np.array([r[n] for r in got if r["held"] == held], dtype=float) for n in (*sums, "chance")})
+    x, count = table(False)
+    model = Boosted(x, count["pos"], count["neg"])
+    x, count = table(True)
+    count["chance"] /= 1e6
+    total = lambda rows: {n: float(v[rows].sum()) for n, v in count.items()}
     score, needed = np.round(model.score(x), 9), dict.fromkeys(range(4), math.inf)
     for kind in range(4):
         of = np.flatnonzero(x[:, 0] == kind) if len(x) else np.array([], dtype=int)
         for cut in sorted(set(score[of])):
             over = of[score[of] >= cut]
-            k, n = pos[over].sum(), (pos + neg)[over].sum()
-            if _wilson(k, n) >= PRECISION:
+            if _proven(kind, total(over), total(of[score[of] < cut]), total(slice(None))) >= PRECISION:
                 needed[kind] = cut - 1e-6
                 break
     return model, needed
@@ -247,8 +300,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     def chosen(c: Column) -> Column:
         kind = F.get(c["f"], F.lit(0))
         cut = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in passing.items()), F.lit(math.inf))
-        apart = ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return apart & (model.column(c["f"]) >= cut)
+        return c["apart"] & c["valid"] & (model.column(c["f"]) >= cut)
 
     ranked = F.array_sort(F.transform(F.filter("_cand", chosen), lambda c: F.struct((-model.column(c["f"])).alias("rank"), (c["start"] - c["end"]).alias("length"), c["start"].alias("start"), F.get(c["f"], F.lit(0)).alias("kind"), c["end"].alias("end"))))
     # the best candidate first; later ones only where they touch none taken before

@@ -465,6 +465,29 @@ def test_pii_adds_proven_candidates(spark):
     assert all(x in ("", "phone:12:26") for x in (got[1000 + i] for i in range(5)))
 
 
+def luhn_completed(digits):
+    return next(digits + c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits + c))) % 10 == 0)
+
+
+def test_pii_adds_what_a_witness_proves(spark):
+    rng = np.random.default_rng(7)
+    number = lambda i: f"({200 + i % 700}) 555-{1000 + i}"
+    dotted = lambda d: ".".join(d[k : k + 4] for k in range(0, 16, 4))
+    random = lambda: "".join(map(str, rng.integers(0, 10, 15)))
+    octet = lambda top: " . ".join(map(str, rng.integers(100, top, 4)))
+    real = [f(i) for i in range(1000) for f in (lambda i: f"please call {number(i)} today", lambda i: f"took {dotted(luhn_completed(random()))} today", lambda i: f"from {octet(256)} today", lambda i: f"mail joe{i} (at) site.com today")]
+    base = [f(i) for i in range(1000) for f in (lambda i: f"please call +1 {number(i)} today", lambda i: f"mail joe{i}@site.com today")]
+    chance = [f(i) for i in range(1000) for f in (lambda i: f"part {number(i)} today", lambda i: f"took {dotted(random() + '1')} today", lambda i: f"from {octet(1000)} today", lambda i: f"meet joe{i} (at) noon.sharp today")]
+
+    def added(texts):
+        docs = spark.createDataFrame(list(enumerate(texts + base)), "doc_id long, text string")
+        got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+        return [got[i] for i in range(len(texts))]
+
+    assert added(real) == [f"{kind}:{x.index(word) + len(word)}:{len(x) - 6}" for x, (kind, word) in zip(real, [("phone", "call "), ("card", "took "), ("ip", "from "), ("email", "mail ")] * 1000)]
+    assert set(added(chance)) == {""}
+
+
 def test_boosted_column_is_the_model(spark):
     rng = np.random.default_rng(6)
     x = np.column_stack([rng.integers(0, n, 300) for n in pii.FEATURES.values()])
