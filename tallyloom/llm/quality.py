@@ -4,8 +4,8 @@ P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all grades and
 the shares of hashed words and hashed word shapes among a text's words, and hashed bins of a few whole-text
 numbers. The expected grade ranks texts; the tail probability P(grade >= cut) selects them.
 
-Fitted on at most TRAIN_ROWS labelled texts, the first by a hash of doc_id: their sparse vectors (at most
-TERMS numbers each) come to the driver, which is bounded by these two parameters.
+Fitted on at most TRAIN_ROWS labelled texts, the first by a hash of doc_id: their sparse vectors come to the driver
+whole, six bytes for each bucket that a text holds. They are at most BUCKETS numbers each; the texts' words are what bounds them in practice.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from .toxicity import held_out
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 16_000
-TERMS = 250
 STEPS = 120
 PENALTY = 1e-6
+#: Numbers of the training vectors that a step works on at once.
+BLOCK = 1 << 20
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -103,35 +104,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
-            xs = []
-            for t in batch.column(1).to_pylist():
-                x = sorted(_vector(t, buckets).items(), key=lambda kv: (-kv[1], kv[0]))[:TERMS]
-                xs.append(x)
-            cols = [pa.array([[b for b, _ in x] for x in xs], pa.list_(pa.int32())), pa.array([[v for _, v in x] for x in xs], pa.list_(pa.float32()))]
+            xs = [_vector(t, buckets) for t in batch.column(1).to_pylist()]
+            cols = [pa.array([np.fromiter(x, dtype, len(x)).tobytes() for x in part], pa.binary()) for part, dtype in ((xs, "<u2"), (map(dict.values, xs), "<f4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["label", "at", "x"])
 
-    got = rows.mapInArrow(vectors, "label int, at array<int>, x array<float>").toArrow()
+    got = rows.mapInArrow(vectors, "label int, at binary, x binary").toArrow()
     y = got["label"].to_numpy()
     grades = sorted({int(v) for v in y})
     if len(grades) < 2:
         return Model(grades or [0], np.zeros(BUCKETS), np.zeros(0))
     level = np.searchsorted(grades, y)
-    sizes = np.array([len(x) for x in got["at"].to_pylist()])
-    row = np.repeat(np.arange(len(y)), sizes)
-    at = np.concatenate([np.asarray(c.flatten()) for c in got["at"].chunks])
-    x = np.concatenate([np.asarray(c.flatten(), dtype=float) for c in got["x"].chunks])
+    ends = np.cumsum([len(v) // 2 for c in got["at"].chunks for v in c.to_numpy(zero_copy_only=False)])
+    at = np.frombuffer(b"".join(v for c in got["at"].chunks for v in c.to_numpy(zero_copy_only=False)), dtype="<u2")
+    x = np.frombuffer(b"".join(v for c in got["x"].chunks for v in c.to_numpy(zero_copy_only=False)), dtype="<f4")
+    del got
+    starts = np.concatenate([[0], ends[:-1]])  # every text has the terms of the text as a whole, so none is empty
+    cuts = np.unique([*np.searchsorted(ends, np.arange(0, ends[-1], BLOCK)), len(y)])
+    blocks = [(slice(a, b), slice(starts[a], ends[b - 1]), starts[a:b] - starts[a]) for a, b in zip(cuts, cuts[1:])]
     share = np.cumsum(np.bincount(level, minlength=len(grades)))[:-1] / len(y)
     theta = np.log(share / (1 - share))
     w, m, v = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     for t in range(1, STEPS + 1):  # full-batch Adam
-        z = np.bincount(row, w[at] * x, minlength=len(y))
+        z = np.concatenate([np.add.reduceat(w[at[span]] * x[span], first) for _, span, first in blocks])
         cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - z[:, None], -40, 40)))
         cdf = np.column_stack([np.zeros(len(y)), cdf, np.ones(len(y))])
         slope = cdf * (1 - cdf)
         high, low = np.arange(len(y)), level
         p = np.maximum(cdf[high, low + 1] - cdf[high, low], 1e-12)
         dz = (slope[high, low + 1] - slope[high, low]) / p  # of -log p by z
-        g = np.bincount(at, dz[row] * x, minlength=BUCKETS) / len(y) + PENALTY * w
+        g = sum(np.bincount(at[span], np.repeat(dz[texts], np.diff(first, append=span.stop - span.start)) * x[span], minlength=BUCKETS) for texts, span, first in blocks)
+        g = g / len(y) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         dtheta = np.zeros(len(theta))

@@ -227,6 +227,20 @@ def test_ordinal_grades(spark):
 # -- near duplicates
 
 
+def test_quality_fits_whole_texts(spark, monkeypatch):
+    # texts of 600 words, all told apart by one that is once in the text and comes after the others
+    rare = max((f"r{k}" for k in range(200)), key=lambda w: quality._bucket("w:" + w))
+    texts = [" ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)) + (f" {rare}" if i % 2 else " q9") for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    model = quality.fit(docs, labels)
+    assert model.weights[quality._bucket("w:" + rare)] > 0 > model.weights[quality._bucket("w:q9")]
+    assert sum(model.weights[quality._bucket(f"w:x{chr(97 + k % 26)}{chr(97 + k // 26)}")] != 0 for k in range(600)) > 590
+    monkeypatch.setattr(quality, "BLOCK", 1000)  # blocks don't change the fit
+    again = quality.fit(docs, labels)
+    assert np.allclose(again.weights, model.weights, atol=1e-6) and np.allclose(again.thresholds, model.thresholds, atol=1e-6)
+
+
 def plain_fingerprint(text):
     import xxhash
 
