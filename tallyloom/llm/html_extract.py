@@ -3,7 +3,8 @@
 Each paragraph (block of text) earns a point, one for each comma and up to three for its length. Its parent gets all
 of them, its grandparent half, further ancestors a share that falls with distance. A container's points are discounted by its link
 density, the best container is kept with those siblings that score well beside it, and
-boilerplate subtrees never count. Work is linear in the page; nothing recurses.
+boilerplate subtrees never count. A block that only its name or <form> makes boilerplate is lifted if it holds an
+article or over half of the page's text outside links; where nothing is left, names don't count. Work is linear in the page; nothing recurses.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _BLOCK = frozenset(
 #: An opening tag ends these open elements, unless one of the scopes lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _P_SCOPE = frozenset(("button", "td", "th", "table", "object"))
-_BOILERPLATE = frozenset("nav footer aside form button select svg math canvas object menu dialog input".split())
+_BOILERPLATE = frozenset("nav footer aside button select svg math canvas object menu dialog input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|"
@@ -38,33 +39,56 @@ _NAMES = re.compile(
     r"skip\w*|widget\w*|disclaimer|copyright|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
+#: Of these names, the ones whose blocks are never lifted while other text is left: they hold articles and much text of their own.
+_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|related|recommend\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|hidden|sr-only)(?=$|[\s_-])", re.I)
 _HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|topbar)(?=$|[\s_-])", re.I)
 #: Points that a container starts with.
 _START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 LEVELS = 6
 SIBLING_SHARE = 0.2
+PLAIN, NAMED, ASIDE, DROPPED = range(4)
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
+    """DROPPED for boilerplate, NAMED or (never lifted beside other text) ASIDE where only a name or <form> says so."""
     if tag in _BOILERPLATE or (tag == "header" and not in_article):
-        return True
+        return DROPPED
+    kind = NAMED if tag == "form" else PLAIN
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return kind
     for name, a, b, c, bare in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if bare or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in _ROLES):
-            return True
+            return DROPPED
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return DROPPED
         if name in ("class", "id") and (_NAMES.search(value) or (not in_article and _HEAD_NAMES.search(value))):
-            return True
-    return False
+            kind = max(kind, ASIDE if _ASIDE_NAMES.search(value) else NAMED)
+    return kind if tag in _BLOCK or kind == PLAIN else DROPPED
+
+
+def _unnamed(tags: list[str], parents: list[int], named: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The blocks outside named subtrees that aren't lifted; all if there are none."""
+    if not any(named):
+        return blocks
+    n = len(tags)
+    size, article, out = [0] * n, [False] * n, [False] * n
+    for owner, text, links in blocks:
+        size[owner] += len(text) - links
+    for k in range(n - 1, 0, -1):
+        size[parents[k]] += size[k]
+        if article[k] or (tags[k] in ("article", "main") and size[k] > 0):
+            article[parents[k]] = True
+    for k in range(1, n):
+        lifted = named[k] == NAMED and (article[k] or 2 * size[k] > size[0])
+        out[k] = out[parents[k]] or (named[k] > PLAIN and not lifted)
+    return [b for b in blocks if not out[b[0]]] or blocks
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks in page order joined by an empty line; empty if there is none."""
     page = page or ""
-    tags, parents, dropped, inside = ["#"], [-1], [False], [False]  # nodes
+    tags, parents, dropped, inside, named = ["#"], [-1], [False], [False], [PLAIN]  # nodes
     blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
     stack, part, links, at = [0], [], 0, 0
     opened: Counter[str] = Counter()  # open elements by tag, so that the stack is only searched for what is there
@@ -129,14 +153,16 @@ def extract(page: str | None) -> str:
         tags.append(name)
         parents.append(up)
         article = name in ("article", "main")
-        dropped.append(dropped[up] or _boilerplate(name, attrs, inside[up]))
+        kind = _boilerplate(name, attrs, inside[up])
+        dropped.append(dropped[up] or kind == DROPPED)
+        named.append(kind if kind < DROPPED else PLAIN)
         inside.append(inside[up] or article)
         if not attrs.endswith("/") or name not in ("path", "g", "use"):
             stack.append(len(tags) - 1)
             opened[name] += 1
     say(page[at:])
     flush()
-    return "\n\n".join(text for _, text, _ in _kept(tags, parents, blocks))
+    return "\n\n".join(text for _, text, _ in _kept(tags, parents, _unnamed(tags, parents, named, blocks)))
 
 
 def _kept(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:

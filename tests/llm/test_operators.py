@@ -81,6 +81,21 @@ def test_html_scores_without_article():
     assert html_extract.extract(page).split("\n\n") == [f"Paragraph {i}, with some text, and commas, that is long enough to count for something here." for i in range(5)]
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="overflow-hidden"', 'div id="content-widget"', 'form id="aspnetForm"', 'div class="hidden"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrapper_with_a_name(wrapper, inner):
+    story = "".join(f"<p>Paragraph {i}, with some text, and commas, that is long enough to count for something here.</p>" for i in range(5))
+    page = f"<body><{wrapper}><{inner}>{story}</{inner}><div class=sidebar><p>Buy</p></div></{wrapper.split()[0]}><footer>me</footer></body>"
+    got = html_extract.extract(page).split("\n\n")
+    assert [x for x in got if x.startswith("Paragraph")] == [f"Paragraph {i}, with some text, and commas, that is long enough to count for something here." for i in range(5)]
+    assert "me" not in got
+
+
+def test_html_long_comments_stay_out():
+    talk = "<article><p>A reader says, at length, that this is great, and so on, and on.</p></article>" * 20
+    assert html_extract.extract(f"<body><div><p>The story, as it was told, in short.</p></div><section id=comments>{talk}</section></body>") == "The story, as it was told, in short."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "<p>b</p>", "x")], "page_id long, url string, html string, text string")
     got = sorted(((r["page_id"] or 0), r["text"], r["n_chars"]) for r in html_extract.extract_pages(pages).collect())
