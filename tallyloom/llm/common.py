@@ -21,7 +21,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -58,6 +60,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_rows(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows with _salt: 0, or for keys in hot (key, _spread; few rows) one of _spread numbers in turn, for equal rows too.
+
+    The running number is taken straight from rows, which must be stable when read again (see materialized).
+    """
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left")
+    return numbered.withColumn("_salt", F.coalesce(F.pmod("_row", "_spread"), F.lit(0)).cast("int")).drop("_row", "_spread")
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join many rows of left for each key to one row of right, with hot keys dealt over several tasks.
 
@@ -68,8 +79,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     parts = 4 * shuffle_partitions(left.sparkSession)
     limit = max(1, left.count() // parts)
     counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_spread")))
-    salt = F.when(F.col("_spread").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_spread")).cast("int"))
-    many = left.join(hot, key, "left").withColumn("_salt", salt).drop("_spread")
-    one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))).drop("_spread")
-    return many.join(one, [key, "_salt"], how).drop("_salt")
+    hot = counts.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_spread"))
+    one = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))).drop("_spread")
+    return salted_rows(left, hot, key).join(one, [key, "_salt"], how).drop("_salt")

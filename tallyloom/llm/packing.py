@@ -19,7 +19,6 @@ from .common import bounded_batches, materialized, shuffle_partitions
 from .tokens import encoder
 
 SEQUENCE = 2048
-END_ID = b"\x00\x00\x00\x00"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,22 +31,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, with_id
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary).encode_ended
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + END_ID
-                n = len(ids) // 4
-                ends = range(n - (n - 1) // size * size, n + 1, size)
-                for k, end in enumerate(ends):
-                    start = max(0, end - size) if k else 0
-                    part = ids[4 * start : 4 * end]
-                    for column, value in zip(out, (doc_id, k, start, end - start, zlib.crc32(part), part), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            keep = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:keep], kinds[:keep], strict=True)], names[:keep])
+            ids, ends = encode(batch.column(1))
+            data = memoryview(ids.astype("<u4", copy=False).tobytes())
+            n = np.diff(ends, prepend=0)
+            pieces = -(-n // size)  # of each document
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = n - (pieces - 1) * size
+            start = np.where(piece > 0, first[doc] + (piece - 1) * size, 0)
+            length = np.where(piece > 0, size, first[doc])
+            at = 4 * (ends - n)[doc] + 4 * start
+            parts = [data[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, parts), pa.int64())]
+            cols += [pa.array(parts, pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
@@ -111,14 +110,14 @@ def plan_table(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
 
 
 def place(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to pieces, a table that is stable when read again (see materialized).
+    """Adds sequence_id and offset to pieces.
 
     Ranks are counted within (length, salt) and shifted by the counts of the salts before, so that a length which
-    many pieces share is spread over many tasks.
+    many pieces share is spread over many tasks. Salts go by a running number, so equal rows are spread too.
     """
     spark = pieces.sparkSession
     salts = max(64, 4 * shuffle_partitions(spark))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = materialized(pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")))
     counts = materialized(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = np.zeros(size + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length
@@ -154,4 +153,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, with_
     An empty table gives no rows. With with_ids, ordering a sequence's rows by offset and joining their ids gives
     the training sequence.
     """
-    return place(materialized(token_pieces(docs, vocabulary, size, with_ids)), size)
+    return place(token_pieces(docs, vocabulary, size, with_ids), size)

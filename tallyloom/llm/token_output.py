@@ -8,8 +8,10 @@ A shard file holds, in this order,
     XXH64 of the plain bytes of every frame, then the frame count, the flag byte 0x80 and the magic number.
 Any zstandard tool decompresses a shard to its ids; a reader of a few documents only decompresses their frames.
 
-Documents are range-partitioned by doc_id, so shards follow each other in doc_id order. A task writes to a name
-of its own and renames the file, so a repeated or lost task leaves no half file behind.
+Documents are range-partitioned by doc_id, so shards follow each other in the order of their part (the task) and
+number in it: a task begins a new shard after shard_ids ids or shard_docs documents, so neither a shard nor its index grows with the
+corpus. A task writes to a name of its own and renames the file when it is whole; the manifest only names the files of
+tasks that ended well. A failed task removes its unfinished file; one whose executor is lost leaves it (.part), and nothing reads it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from .common import bounded_batches, shuffle_partitions
 from .tokens import encoder
 
 FRAME_IDS = 1 << 16
+SHARD_IDS = 1 << 27
+SHARD_DOCS = 1 << 20
 # Fixed values of the zstandard formats.
 MAGIC_INDEX = 0x184D2A51
 MAGIC_SEEK = 0x184D2A5E
@@ -39,8 +45,8 @@ MAGIC_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-MANIFEST = "path string, first_doc_id long, n_docs long, n_tokens long"
-END_ID = struct.pack("<I", 0)
+MANIFEST = "path string, part int, number int, first_doc_id long, last_doc_id long, n_docs long, n_tokens long"
+_MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int32()), ("number", pa.int32()), *((c, pa.int64()) for c in ("first_doc_id", "last_doc_id", "n_docs", "n_tokens"))])
 
 
 class ShardWriter:
@@ -52,7 +58,7 @@ class ShardWriter:
         self.ids = 0
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         for column, value in zip(self.docs, (doc_id, self.ids, len(ids) // 4), strict=True):
             column.append(value)
         self.ids += len(ids) // 4
@@ -101,7 +107,7 @@ class ShardReader:
         packed = self.file.read(int(self.entries[n - 1, 0]))
         if struct.unpack("<I", packed[:4])[0] != MAGIC_INDEX:
             raise ValueError(f"{path}: no document index")
-        plain = zstandard.ZstdDecompressor().decompress(packed[8:], max_output_size=1 << 31)
+        plain = zstandard.ZstdDecompressor().decompress(packed[8:])
         self.index = ipc.open_stream(plain).read_all()
         self.zstd = zstandard.ZstdDecompressor()
         self.kept: tuple[int, bytes] = (-1, b"")
@@ -126,7 +132,7 @@ class ShardReader:
             a, k = a + len(part), k + 1
 
 
-def write_token_files(docs: DataFrame, out: str, vocabulary: str) -> DataFrame:
+def write_token_files(docs: DataFrame, out: str, vocabulary: str, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encode docs (doc_id long, text string) into shards under the URI out; returns their manifest.
 
     Ids are those of the whole text, then id 0. Null and empty texts: only id 0. Null doc_ids come first;
@@ -136,20 +142,36 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(vocabulary).encode, None
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard is None:
-                    fs, at = pafs.FileSystem.from_uri(out)
-                    fs.create_dir(at, recursive=True)
-                    name, first = uuid.uuid4().hex, doc_id
-                    shard = ShardWriter(fs.open_output_stream(f"{at}/.{name}.part"))
-                shard.add(doc_id, encode(text or "") + END_ID)
-        if shard is not None:
+        encode, shard, number, part = encoder(vocabulary).encode_ended, None, 0, TaskContext.get().partitionId()
+        fs, at = pafs.FileSystem.from_uri(out)
+
+        def closed() -> pa.RecordBatch:
             shard.close()
             fs.move(f"{at}/.{name}.part", f"{at}/{name}.zst")
-            row = [[f"{out}/{name}.zst"], [first], [len(shard.docs[0])], [shard.ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.string()), *(pa.array(x, pa.int64()) for x in row[1:])], ["path", "first_doc_id", "n_docs", "n_tokens"])
+            row = {"path": f"{out}/{name}.zst", "part": part, "number": number, "first_doc_id": shard.docs[0][0], "last_doc_id": shard.docs[0][-1], "n_docs": len(shard.docs[0]), "n_tokens": shard.ids}
+            return pa.RecordBatch.from_pylist([row], _MANIFEST)
+
+        try:
+            for batch in batches:
+                ids, ends = encode(batch.column(1))
+                data, begin = memoryview(ids.astype("<u4", copy=False).tobytes()), 0
+                for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                    if shard is None:
+                        fs.create_dir(at, recursive=True)
+                        name = uuid.uuid4().hex
+                        shard = ShardWriter(fs.open_output_stream(f"{at}/.{name}.part"))
+                    shard.add(doc_id, data[4 * begin : 4 * end])
+                    begin = end
+                    if shard.ids >= shard_ids or len(shard.docs[0]) >= shard_docs:
+                        yield closed()
+                        shard, number = None, number + 1
+            if shard is not None:
+                yield closed()
+                shard = None
+        finally:
+            if shard is not None:
+                shard.stream.close()
+                fs.delete_file(f"{at}/.{name}.part")
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -159,9 +181,12 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str) -> DataFrame:
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
-    """Adds base: the ids of all shards before. One row for each file, so one window over all is small."""
-    order = Window.orderBy(F.col("first_doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    """Adds base: the ids of all shards before, from running sums within the parts and over the parts' totals."""
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))  # one row for each task of the writing stage
+    parts = parts.select("part", before(Window.orderBy("part")).alias("_base"))
+    inner = manifest.withColumn("_within", before(Window.partitionBy("part").orderBy("number")))
+    return inner.join(parts, "part").withColumn("base", F.col("_base") + F.col("_within")).drop("_base", "_within")
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -189,20 +214,25 @@ def digest_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids (array of int) of the wanted doc_ids: each shard's reader decompresses their frames only."""
+    """doc_id and ids (array of int) of the wanted doc_ids: each shard's reader decompresses their frames only.
+
+    A doc_id that several rows had comes out once for each. Null doc_ids can't be asked for.
+    """
     spark = manifest.sparkSession
-    ordered = Window.orderBy(F.col("first_doc_id").asc_nulls_first())
-    spans = manifest.select("path", F.col("first_doc_id").alias("lo"), F.lead("first_doc_id").over(ordered).alias("hi"))
+    spans = manifest.where("last_doc_id IS NOT NULL").select("path", F.coalesce("first_doc_id", F.lit(-(2**63))).alias("lo"), F.col("last_doc_id").alias("hi"))
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    hits = asked.join(spans, (F.col("doc_id") >= F.coalesce("lo", F.lit(-(2**63)))) & (F.col("hi").isNull() | (F.col("doc_id") < F.col("hi"))))
+    hits = asked.join(spans, F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("path", "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, shard = None, None
         for batch in batches:
-            for path, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard, ask = ShardReader(path), set(ids)
-                for row in shard.index.to_pylist():
-                    if row["doc_id"] in ask:
-                        data = b"".join(shard.parts(row["start"], row["n_tokens"]))
-                        yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([np.frombuffer(data, dtype="<u4").astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return hits.groupBy("path").agg(F.collect_list("doc_id").alias("ids")).repartition(shuffle_partitions(spark), "path").mapInArrow(read, "doc_id long, ids array<int>")
+            for one in batch.column(0).dictionary_encode().dictionary.to_pylist():
+                asked = batch.filter(pc.equal(batch.column(0), one)).column(1)
+                if path != one:
+                    path, shard = one, ShardReader(one)
+                rows = shard.index.filter(pc.is_in(shard.index["doc_id"], asked))
+                for row in rows.to_pylist():
+                    data = b"".join(shard.parts(row["start"], row["n_tokens"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([np.frombuffer(data, dtype="<u4").astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return hits.repartition(shuffle_partitions(spark), "path").sortWithinPartitions("path").mapInArrow(read, "doc_id long, ids array<int>")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm import components, decontaminate, html_extract, packing, pii, quality, quality_rules, simhash, token_output, toxicity, warc
+from tallyloom.llm import components, decontaminate, html_extract, packing, pii, quality, quality_rules, simhash, token_output, tokens, toxicity, warc
 from tallyloom.llm.common import new_path
 from tallyloom.llm.tokens import default_vocabulary, encoder
 
@@ -54,6 +54,19 @@ def test_encoding_by_pieces_is_the_library_s():
         assert np.frombuffer(e.encode(text), dtype="<u4").tolist() == ids_of(text)[:-1], repr(text)
 
 
+def test_encoding_of_batches_that_forget(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMORY_WORDS", 40)
+    monkeypatch.setattr(tokens, "MEMORY_IDS", 150)
+    rng, e = np.random.default_rng(8), tokens.Encoder(default_vocabulary())
+    parts = ["the", "Cat.", "sat,", "don't", "é", "naïve,", "x1", "12", "...", "a!b", "日本", "日本.", "Word;", "zz", "ever?", "it:", "\n", "  ", "\t"]
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice(parts, rng.integers(0, 30))) + str(rng.integers(0, 99)) * int(rng.integers(0, 2)) for _ in range(rng.integers(0, 9))]
+        ids, ends = e.encode_ended(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [ids_of(t) for t in texts]
+
+
 # -- HTML
 
 
@@ -157,10 +170,12 @@ def test_packing_nothing(spark):
     assert packing.pack_documents(odd_docs(spark).limit(0), default_vocabulary()).count() == 0
 
 
-def test_token_files(spark, monkeypatch):
+@pytest.mark.parametrize("shard_docs", [1 << 20, 7])
+def test_token_files(spark, shard_docs):
     docs = documents(spark).select("doc_id", "text", F.lit("x").alias("path")).unionByName(odd_docs(spark).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", F.lit("x").alias("path")))
     out = new_path(spark, "test-op4")
-    manifest = token_output.write_token_files(docs, out, default_vocabulary())
+    manifest = token_output.write_token_files(docs, out, default_vocabulary(), shard_docs=shard_docs)
+    assert manifest.count() == (4 if shard_docs > 7 else manifest.selectExpr("sum(ceil(n_docs / 7))").first()[0])
     got = [tuple(r) for r in token_output.digest_files(spark, manifest).collect()]
     start, want = 0, []
     for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
@@ -172,7 +187,7 @@ def test_token_files(spark, monkeypatch):
     back = {r["doc_id"]: r["ids"] for r in token_output.read_documents(manifest, wanted).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert back == {k: ids_of(texts[k]) for k in (0, 17, 10_000_008)}
-    path = manifest.first()["path"]
+    path = manifest.orderBy(F.desc("n_tokens")).first()["path"]
     shard = token_output.ShardReader(path)
     assert len(shard.entries) >= 2
     local = path.removeprefix("file://").removeprefix("file:")
@@ -535,3 +550,14 @@ def test_spread_join(spark):
     want = sorted(map(str, left.join(right, "k", "left").select("id", "k", "v").collect()))
     assert sorted(map(str, spread_join(left, right, "k", "left").select("id", "k", "v").collect())) == want
     assert spread_join(left.limit(0), right, "k").count() == 0
+    same = spark.createDataFrame([("hot",)] * 4000, "k string").repartition(4).checkpoint()
+    joined = spread_join(same, spark.createDataFrame([("hot", 1)], "k string, v int"), "k")
+    assert joined.count() == 4000
+
+
+def test_repeated_rows_get_different_salts(spark):
+    from tallyloom.llm import common
+
+    same = spark.createDataFrame([("hot",)] * 4000, "k string").repartition(4).checkpoint()
+    many = common.salted_rows(same, same.select("k").distinct().withColumn("_spread", F.lit(16)), "k")
+    assert max(r["count"] for r in many.groupBy("_salt").count().collect()) <= 260
