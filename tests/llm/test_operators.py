@@ -445,7 +445,7 @@ def test_decontamination(spark):
     docs = [(r["doc_id"], r["text"]) for r in documents(spark).collect()] + odd
     df = spark.createDataFrame([(*d, "x", "y") for d in docs], "doc_id long, text string, fp string, key string")
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, key string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.decontaminate(df, bench).drop("key").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.decontaminate(df, bench).drop("_id", "_key").collect()}
     assert got == plain_hits(docs, items)
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in got.items() if not x[4]}
@@ -458,8 +458,31 @@ def test_decontamination(spark):
 def test_decontamination_by_shuffle(spark, monkeypatch):
     df, bench = documents(spark), benchmark(spark)
     want = sorted(map(tuple, decontaminate.decontaminate(df, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, decontaminate.decontaminate(df, bench).collect())) == want
+    monkeypatch.setattr(decontaminate, "LISTED", -1)
+    assert sorted(map(tuple, decontaminate.decontaminate(df, bench).collect())) == want
+
+
+def test_decontamination_by_many_short_items(spark):
+    # 100,000 short items, more than are listed, and 3,000 long ones that share a window
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(i, f"a{i} b{i} c{i % 7}") for i in range(100_000)] + [(200_000 + i, f"{shared} own{i}") for i in range(3000)]
+    docs = [(i, f"x {shared} y a{i} b{i} c{i % 7} z a{i} b{i + 1}") for i in range(300)] + [(1000 + i, f"none of a{i} is b{i} here") for i in range(50)]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i in range(300):
+        ids = sorted([str(i), *(str(200_000 + k) for k in range(3000))])
+        assert (got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (16, 3001, hashlib.sha256(",".join(ids).encode()).hexdigest())
+    assert not any(got[1000 + i]["n_hit"] for i in range(50))
+
+
+def test_drop_contaminated_by_id_and_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, item, 1), (1, "other words", 2), (2, "other words", 3), (None, item, 4), (None, "other words", 5), (None, None, 6), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["a.b"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3, 5, 6, 7]
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 7 and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
 # -- personal data
