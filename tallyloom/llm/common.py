@@ -47,6 +47,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and bind it inside body, so that the optimizer can't inline it into each lambda call."""
     return F.element_at(F.transform(F.array(value), body), 1)

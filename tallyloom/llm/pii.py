@@ -14,19 +14,20 @@ real ones and a rate by chance: Luhn (1 and a tenth) for cards, octets (1 and 15
 for machines, a private cue word before it (its rate among base spans and among other digit runs) for phones and mail. The
 share of real ones follows from the three rates; the lowest score where it is at least PRECISION by Wilson bounds is taken.
 
-Patterns are written with possessive repeats and \\G so that very long runs neither backtrack nor recurse.
+Patterns are written with possessive repeats and \\G so that very long runs neither backtrack nor recurse. Work grows little
+faster than a text: places are running sums, kept in blocks; base spans are searched by halving; context comes from chunks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialized, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -55,27 +56,67 @@ _PUBLIC = r"(?i)(?:version|licen[sc]e|v\.?|isbn|no\.?|release|password|token|key
 _OCTET, _LUHN_CHANCE = 156 / 900, 0.1
 _CANDIDATE = "array<struct<start:int,end:int,f:array<int>,hit:boolean,apart:boolean,label:boolean,valid:boolean,cue:boolean,trial:boolean,chance:double>>"
 _SPAN = "array<struct<start:int,end:int,s:string>>"
+_SIZED = "array<struct<start:int,kind:int,end:int>>"
+_RAW = "array<struct<start:int,end:int,kind:int,s:string>>"
+#: Results that are appended one by one before they are joined to those before.
+BLOCK = 256
+
+
+def _scan(items: Column, first: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state, item) for each item in turn, step(state, item) being the next state; kind: the type of the array.
+
+    Results are appended within blocks, so that appending does not copy all results before.
+    """
+
+    def block(state: Column, part: Column) -> Column:
+        zero = F.struct(state.alias("state"), F.array().cast(kind).alias("out"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).cast(kind).alias("out")))
+
+    def one(acc: Column, i: Column) -> Column:
+        return let(block(acc["state"], F.slice(items, i + 1, BLOCK)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    zero = F.struct(first.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(F.size(items) == 0, F.array().cast(kind)).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), zero, one)["out"]))
 
 
 def _found(text: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and text of all matches, from the texts between them."""
 
     def place(m: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda g, s: F.struct(F.length(g).alias("gap"), s.alias("s")))
+        start = lambda at, x: at + x["gap"]
+        end = lambda at, x: at + x["gap"] + F.length(x["s"])
+        found = lambda p: _scan(p, F.lit(0), end, lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end"), x["s"].alias("s")), _SPAN)
+        return F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(let(pairs, found))
 
-        def step(g: Column):
-            def one(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(g, i))
-                end = start + F.length(F.get(m, i))
-                span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.get(m, i).alias("s"))
-                return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), first, one)["out"]
 
-        return F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(let(gaps, step))
+def _chunks(text: Column) -> Column:
+    """width and parts of a text: each part has twice the width, so that a short piece lies in one of them whole."""
+    width = F.greatest(F.lit(2048), F.ceil(F.length(text) / 512).cast("int"))
+    part = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / w).cast("int")), lambda i: F.substring(text, i * w + 1, 2 * w))
+    return let(width, lambda w: F.struct(w.alias("width"), part(w).alias("parts")))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+
+def _piece(text: Column, chunks: Column, start: Column, length: Column) -> Column:
+    """length code points from start on (from 0), without walking there from the text's start."""
+    width = chunks["width"]
+    near = F.substring(F.get(chunks["parts"], F.floor(start / width).cast("int")), (start % width).cast("int") + 1, length)
+    return F.when(length <= width, near).otherwise(F.substring(text, start + 1, length))
+
+
+def _ending_after(spans: Column, at: Column) -> Column:
+    """The place of the first of the ordered spans that ends after at, by halving; their number if none does."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        left = F.get(spans, mid)["end"] > at
+        lo, hi = F.when(left, acc["lo"]).otherwise(mid + 1), F.when(left, mid).otherwise(acc["hi"])
+        return F.when(acc["lo"] < acc["hi"], F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(acc)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve)["lo"]
 
 
 def _digits(s: Column) -> Column:
@@ -107,15 +148,19 @@ def _guard(kind: int | None, text: Column) -> Column:
     return text.contains("+") if kind == PHONE else F.col("_digits")
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans (start, kind, end) of a text, ordered."""
+def base_matches(text: Column) -> Column:
+    """For each kind the matches of its base pattern (start, end, s), valid or not."""
+    return F.array(*(F.when(_guard(k, text), _found(text, _BASE[k])).otherwise(F.array().cast(_SPAN)) for k in range(4)))
+
 
-    def of(kind: int) -> Column:
-        found = F.filter(_found(text, _BASE[kind]), lambda x: _valid(kind, x["s"]))
-        spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-        return F.when(_guard(kind, text), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+def base_spans(matches: Column) -> Column:
+    """For each kind its base spans (start, kind, end), ordered and apart from each other."""
 
-    return F.array_sort(F.concat(*map(of, range(4))))
+    def of(k: int) -> Column:
+        valid = F.filter(F.get(matches, F.lit(k)), lambda x: _valid(k, x["s"]))
+        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+
+    return F.array(*map(of, range(4)))
 
 
 def _near(char: Column) -> Column:
@@ -124,56 +169,62 @@ def _near(char: Column) -> Column:
     )
 
 
-def _features(kind: Column, x: Column, text: Column, anchor: Column, cue: Column) -> list[Column]:
-    s, end = x["s"], x["end"]
+def _features(kind: Column, s: Column, before: Column, after: Column, cue: Column) -> list[Column]:
     n = F.length(_digits(s))
     digits = F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 12, 3).when(n < 15, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7)
     groups = F.least(F.regexp_count(s, F.lit("[0-9]+")), F.lit(4))
     separator = F.when(kind == EMAIL, 0).when(s.contains("("), 3).when(s.contains("."), 2).when(s.rlike("[ -]"), 1).when(s.contains("/"), 4).otherwise(0)
-    before = F.when(anchor == 0, 0).otherwise(_near(F.substring(text, anchor, F.lit(1))))
     seen = F.when(kind.isin(EMAIL, PHONE), 0).otherwise(cue)  # their witness
-    return [kind, digits, groups, separator, before, _near(F.substring(text, end + 1, F.lit(1))), seen]
+    return [kind, digits, groups, separator, _near(before), _near(after), seen]
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, matches: Column, base: Column) -> Column:
     """Loose candidates: start, end, f (array of features), hit (over a base span of the same kind), apart (touches no base span),
     label (what the trees learn), valid (may be added), cue (a private one before it), trial (the witness can tell) and
     chance (that the witness speaks for a candidate that isn't real; 0 where that is measured).
     """
-    loose: Sequence[tuple[int | None, str]] = (*_LOOSE, *((k, _BASE[k]) for k in (IP, CARD, PHONE)))
-
-    def described(k: Column, x: Column) -> Column:
-        touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        same = F.filter(touching, lambda b: b["kind"] == k)
-        hit = F.size(same) > 0
-        anchor = F.least(x["start"], F.coalesce(F.get(same, F.lit(0))["start"], x["start"]))
-        context = F.substring(text, F.greatest(anchor - 23, F.lit(1)), F.least(anchor, F.lit(24)))
-        cue = F.when(context.rlike(_PRIVATE), 2).when(context.rlike(_PUBLIC), 1).otherwise(0)
-        f = F.array(*(c.cast("int") for c in _features(k, x, text, anchor, cue)))
-        threes = F.regexp_count(x["s"], F.lit("(?<![0-9])[1-9][0-9]{2}(?![0-9])"))
-        valid = F.when(k == CARD, _valid(CARD, x["s"])).when(k == IP, _valid(IP, F.replace(x["s"], F.lit(" "), F.lit("")))).otherwise(cue != 1)
-        label = F.when(k.isin(CARD, IP), valid).otherwise(hit)
-        trial = F.when(k == IP, threes > 0).when(k == CARD, F.length(_digits(x["s"])).between(12, 19)).otherwise(True)
-        chance = F.when(k == CARD, _LUHN_CHANCE).when(k == IP, F.pow(F.lit(_OCTET), threes)).otherwise(0.0)
-        named = {"start": x["start"], "end": x["end"], "f": f, "hit": hit, "apart": F.size(touching) == 0, "label": label, "valid": valid, "cue": cue == 2, "trial": trial, "chance": chance}
-        return F.struct(*(c.alias(n) for n, c in named.items()))
-
-    def of(kind: int | None, pattern: str) -> Column:
-        def one(x: Column) -> Column:
-            return described(F.lit(kind) if kind is not None else F.when(F.length(_digits(x["s"])) < 12, PHONE).otherwise(CARD), x)
-
-        guard = (text.contains("(at)") | text.contains("[at]")) if kind == EMAIL else F.col("_digits")
-        enough = _found(text, pattern)
-        if kind not in (EMAIL, IP):
-            enough = F.filter(enough, lambda x: F.length(_digits(x["s"])) >= 7)
-        return F.when(guard, F.transform(enough, one)).otherwise(F.array().cast(_CANDIDATE))
 
-    def mail(b: Column) -> Column:
-        at = F.substring(text, b["start"] + 1, b["end"] - b["start"])
-        return described(F.lit(EMAIL), F.struct(b["start"].alias("start"), b["end"].alias("end"), at.alias("s")))
+    def as_raw(found: Column, kind: int | None) -> Column:
+        which = F.lit(kind) if kind is not None else None
+        by_digits = lambda x: F.when(F.length(_digits(x["s"])) < 12, PHONE).otherwise(CARD)
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (by_digits(x) if which is None else which).alias("kind"), x["s"].alias("s")))
 
-    mails = F.transform(F.filter(base, lambda b: b["kind"] == EMAIL), mail)
-    return F.array_distinct(F.concat(mails, *(of(*x) for x in loose)))
+    def loose(kind: int | None, pattern: str) -> Column:
+        guard = (text.contains("(at)") | text.contains("[at]")) if kind == EMAIL else F.col("_digits")
+        return F.when(guard, as_raw(_found(text, pattern), kind)).otherwise(F.array().cast(_RAW))
+
+    def described(x: Column, chunks: Column) -> Column:
+        k, s, end = x["kind"], x["s"], x["end"]
+        over = lambda spans: let(F.get(spans, _ending_after(spans, x["start"]))["start"], lambda a: F.when(a < end, a))
+        same = over(F.get(base, k))
+
+        def of(first: Column) -> Column:
+            anchor = F.least(x["start"], F.coalesce(first, x["start"]))
+            context = _piece(text, chunks, F.greatest(anchor - 24, F.lit(0)), F.least(anchor, F.lit(24)))
+            last = F.when(anchor == 0, "").otherwise(_piece(text, chunks, anchor - 1, F.lit(1)))
+
+            def at(c: Column) -> Column:
+                cue = F.when(c["context"].rlike(_PRIVATE), 2).when(c["context"].rlike(_PUBLIC), 1).otherwise(0)
+                f = F.array(*(v.cast("int") for v in _features(k, s, c["before"], _piece(text, chunks, end, F.lit(1)), cue)))
+                threes = F.regexp_count(s, F.lit("(?<![0-9])[1-9][0-9]{2}(?![0-9])"))
+                valid = F.when(k == CARD, _valid(CARD, s)).when(k == IP, _valid(IP, F.replace(s, F.lit(" "), F.lit("")))).otherwise(cue != 1)
+                label = F.when(k.isin(CARD, IP), valid).otherwise(first.isNotNull())
+                trial = F.when(k == IP, threes > 0).when(k == CARD, F.length(_digits(s)).between(12, 19)).otherwise(True)
+                chance = F.when(k == CARD, _LUHN_CHANCE).when(k == IP, F.pow(F.lit(_OCTET), threes)).otherwise(0.0)
+                apart = ~F.exists(base, lambda spans: over(spans).isNotNull())
+                named = {"start": x["start"], "end": end, "f": f, "hit": first.isNotNull(), "apart": apart, "label": label, "valid": valid, "cue": cue == 2, "trial": trial, "chance": chance}
+                return F.struct(*(c.alias(n) for n, c in named.items()))
+
+            return let(F.struct(context.alias("context"), last.alias("before")), at)
+
+        return let(same, of)
+
+    enough = lambda x: x["kind"].isin(EMAIL, IP) | (F.length(_digits(x["s"])) >= 7)
+    again = lambda raw: F.filter(raw, lambda x, i: (i == 0) | ~F.get(raw, i - 1).eqNullSafe(x))
+    mails = F.filter(F.get(matches, F.lit(EMAIL)), lambda x: _valid(EMAIL, x["s"]))
+    raw = F.concat(as_raw(mails, EMAIL), *(loose(*x) for x in _LOOSE), *(as_raw(F.get(matches, F.lit(k)), k) for k in (IP, CARD, PHONE)))
+    raw = let(F.array_sort(F.filter(raw, enough)), again)  # each once
+    return let(raw, lambda r: F.when(F.size(r) == 0, F.array().cast(_CANDIDATE)).otherwise(let(_chunks(text), lambda c: F.transform(r, lambda x: described(x, c)))))
 
 
 class Boosted:
@@ -253,18 +304,20 @@ def _proven(kind: int, of: dict[str, float], rest: dict[str, float], junk: dict[
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
+    """_row of docs with _text, _bases (spans by kind), _base (all of them, ordered) and _cand."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*docs.columns).alias("_row")  # so that no column of docs clashes with those added here
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")  # so that no column of docs clashes with those added here
     rows = docs.select(row, text.alias("_text"), text.rlike("[0-9]").alias("_digits"))
-    rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    return rows.withColumn("_cand", let(F.col("_base"), lambda b: candidates(F.col("_text"), b)))
+    rows = rows.withColumn("_matches", base_matches(F.col("_text")))
+    rows = rows.withColumn("_bases", base_spans(F.col("_matches")))
+    rows = rows.withColumn("_cand", candidates(F.col("_text"), F.col("_matches"), F.col("_bases")))
+    return rows.withColumn("_base", F.array_sort(F.flatten("_bases"))).drop("_matches", "_digits")
 
 
-def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
-    """Trees and the score each kind needs, from counts over all documents; math.inf where nothing is proven."""
-    rows = _prepared(docs).where(F.size("_cand") > 0)
-    fold = F.pmod(F.xxhash64("_row.doc_id", F.lit("calibration")), F.lit(5)) == 0
-    each = rows.select(fold.alias("held"), F.explode("_cand").alias("c"))
+def _fit(rows: DataFrame) -> tuple[Boosted, dict[int, float]]:
+    """Trees and the score each kind needs, from counts over all rows (_doc, _cand); math.inf where nothing is proven."""
+    fold = F.pmod(F.xxhash64("_doc", F.lit("calibration")), F.lit(5)) == 0
+    each = rows.select(fold.alias("held"), F.explode_outer("_cand").alias("c")).where("c IS NOT NULL")  # explode() would make the array a second time, to test its size
     c, kind = F.col("c"), F.get(F.col("c.f"), F.lit(0))
     witness = F.when(kind.isin(CARD, IP), c["valid"]).otherwise(c["cue"])
     usable, bad = c["apart"] & c["trial"], c["apart"] & kind.isin(CARD, IP) & ~c["valid"]
@@ -288,26 +341,27 @@ def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
     return model, needed
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """_row of docs with _text, _base and _all spans (start, kind, end)."""
-    model, needed = fit(docs)
-    sized = "array<struct<start:int,kind:int,end:int>>"
-    passing = {k: v for k, v in needed.items() if v < math.inf}
-    rows = _prepared(docs)
-    if not passing:
-        return rows.withColumn("_all", F.col("_base"))
+def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
+    """The trees and thresholds that a table's own candidates prove."""
+    rows = _prepared(docs.select("doc_id", "text"))
+    return _fit(rows.select(F.col("_row.doc_id").alias("_doc"), "_cand"))
 
-    def chosen(c: Column) -> Column:
-        kind = F.get(c["f"], F.lit(0))
-        cut = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in passing.items()), F.lit(math.inf))
-        return c["apart"] & c["valid"] & (model.column(c["f"]) >= cut)
 
-    ranked = F.array_sort(F.transform(F.filter("_cand", chosen), lambda c: F.struct((-model.column(c["f"])).alias("rank"), (c["start"] - c["end"]).alias("length"), c["start"].alias("start"), F.get(c["f"], F.lit(0)).alias("kind"), c["end"].alias("end"))))
-    # the best candidate first; later ones only where they touch none taken before
-    free = lambda acc, c: ~F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"]))
-    take = lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))).otherwise(acc)
-    added = F.when(F.size("_cand") == 0, F.array().cast(sized)).otherwise(F.aggregate(ranked, F.array().cast(sized), take))
-    return rows.withColumn("_all", F.array_sort(F.concat("_base", added)))
+def _all_spans(model: Boosted, needed: dict[int, float]) -> Column:
+    """_base with the candidates of _cand that reach their kind's score, ordered; of those that touch, the first and then the best."""
+    passing = {k: v for k, v in needed.items() if v < math.inf}
+    if not passing:
+        return F.col("_base")
+    cut = lambda c: F.coalesce(*(F.when(F.get(c["f"], F.lit(0)) == k, F.lit(v)) for k, v in passing.items()), F.lit(math.inf))
+    scored = F.transform(
+        F.filter("_cand", lambda c: c["apart"] & c["valid"]),
+        lambda c: F.struct(c["start"].alias("start"), (-model.column(c["f"])).alias("rank"), (c["start"] - c["end"]).alias("length"), F.get(c["f"], F.lit(0)).alias("kind"), c["end"].alias("end"), cut(c).alias("cut")),
+    )
+    ranked = F.array_sort(F.filter(scored, lambda c: -c["rank"] >= c["cut"]))
+    free = lambda at, c: c["start"] >= at
+    span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
+    taken = lambda r: _scan(r, F.lit(0), lambda at, c: F.when(free(at, c), c["end"]).otherwise(at), lambda at, c: F.when(free(at, c), span(c)), _SIZED)
+    return F.array_sort(F.concat("_base", F.filter(let(ranked, taken), lambda x: x.isNotNull())))
 
 
 def _joined(spans: str) -> Column:
@@ -321,30 +375,34 @@ def find(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Rows that repeat are found apart. Columns other than doc_id and
     text aren't read. An empty table gives no rows.
     """
-    rows = _with_spans(docs.select("doc_id", "text"))
+    rows = _prepared(docs.select("doc_id", "text"))
+    rows = materialized(rows.select(F.col("_row.doc_id").alias("_doc"), "_base", "_cand"))  # texts are read once
+    rows = rows.withColumn("_all", _all_spans(*_fit(rows)))
     number = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return rows.select("_row.doc_id", *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
+    return rows.select(F.col("_doc").alias("doc_id"), *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span (or run of overlapping spans) in text replaced by <kind>, and n_chars to match.
 
-    Rows without spans, null texts and all other columns stay as they are.
+    Rows without spans, null and empty texts and all other columns stay as they are, whatever their names. Rows that repeat
+    are redacted apart, an empty table gives no rows.
     """
     names = F.array(*map(F.lit, KINDS))
     text = F.col("_text")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    model, needed = fit(docs)
+    rows = _prepared(docs).withColumn("_all", _all_spans(model, needed)).select("_row", "_text", "_all")
+    found = F.size("_all") > 0
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.get(names, x["kind"]), F.lit(">"))
-        return F.struct(F.when(inside, acc["out"]).otherwise(piece).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def pieces(chunks: Column) -> Column:
+        """What replaces the text up to each span's end."""
+        piece = lambda at, x: F.when(x["start"] < at, "").otherwise(F.concat(_piece(text, chunks, at, x["start"] - at), F.lit("<"), F.get(names, x["kind"]), F.lit(">")))
+        return _scan(F.col("_all"), F.lit(0), lambda at, x: F.greatest(at, x["end"]), piece, "array<string>")
 
-    whole = F.aggregate("_all", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = _with_spans(docs)
-    found = F.size("_all") > 0
-    out = {"text": F.when(found, whole).otherwise(F.col("_row.text"))}
+    rest = F.substring(text, F.array_max(F.transform("_all", lambda x: x["end"])) + 1, F.length(text))
+    rows = rows.withColumn("_whole", F.when(found, F.concat(F.array_join(let(_chunks(text), pieces), ""), rest)))
+    out = {"text": F.when(found, F.col("_whole")).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(found, F.length(whole).cast("long")).otherwise(F.col("_row.n_chars"))
-    return rows.select(*(out[c].alias(c) if c in out else F.col(f"_row.{c}") for c in docs.columns))
+        out["n_chars"] = F.when(found, F.length("_whole").cast("long")).otherwise(F.col("_row.n_chars"))
+    return rows.select(*(out[c].alias(c) if c in out else F.col("_row")[c].alias(c) for c in docs.columns))
