@@ -3,8 +3,8 @@
 A fingerprint's 32 segments of two bits each have 0, 1 or 2 bits set; those counts are its point in a grid.
 One differing bit moves the point by one, so the Manhattan distance of two points never exceeds the Hamming
 distance of the fingerprints. In thermometer code (00, 01, 11 for 0, 1, 2) that distance is the bit count of
-an exclusive or. Points within MAX_BITS = 3 of each other differ on at most three of GROUPS = 6 groups of axes,
-so they meet in the projection on some three of the groups: fingerprints are joined on the 20 projections,
+an exclusive or. Points within MAX_BITS = 3 of each other differ on at most three of six groups of axes (more of
+them for more fingerprints), so they meet in the projection on some three of the groups: fingerprints are joined on the 20 projections,
 then held against the Manhattan bound and then compared exactly. Only distinct fingerprints are joined, so a
 group of copies counts once, however large; a set of fingerprints that are all within three bits of each other has at most
 128 members, so links stay few beside the input.
@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialized, spread_join
+from .common import bounded_batches, materialized, quoted, spread_join
 from .components import connected_components
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-GROUPS = 6
+#: Members of a cell beyond which it is split.
+HOT_CELL = 5_000
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -54,17 +55,21 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * bits > n).view(">i8")[0])
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("key"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long) of docs (doc_id, text); other columns are not read. Null text: no words."""
+    """doc_id, key (a hash of the text) and fp (long) of docs (doc_id, text); other columns are not read. Null text: no words."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _thermometer(fp: Column) -> Column:
@@ -72,52 +77,81 @@ def _thermometer(fp: Column) -> Column:
     return fp.bitwiseOR(next_bit).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(low), 1))
 
 
-def _projections(groups: int = GROUPS) -> list[int]:
+def _projections(groups: int) -> list[int]:
     """Bit masks of all choices of groups - MAX_BITS groups of axes."""
     cuts = [round(i * 32 / groups) for i in range(groups + 1)]
     masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
     return [_signed(sum(c)) for c in combinations(masks, groups - MAX_BITS)]
 
 
-def links(reps: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """u < v: all pairs of the distinct fingerprints reps.fp that differ in 1 to MAX_BITS bits.
+def _groups_for(n: int) -> int:
+    """More groups give more rows to join but fewer candidates in each cell."""
+    return 6 if n <= 20_000_000 else 8 if n <= 2_000_000_000 else 10
+
+
+def _cells(rows: DataFrame, groups: int, p: str, cell: str) -> DataFrame:
+    """Each of rows (fp, point, ...) once for every projection p of its point, with the cell that it falls into."""
+    cells = F.array(*(F.struct(F.lit(i).alias("p"), F.col("point").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_projections(groups))))
+    return rows.withColumn("_c", F.explode(cells)).withColumn(p, F.col("_c.p")).withColumn(cell, F.col("_c.cell")).drop("_c")
+
 
-    More groups give more rows to join but fewer candidates: 6 serve some tens of millions of fingerprints,
-    8 (56 projections) some billions.
+def links(reps: DataFrame, groups: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
+    """u < v: all pairs of the distinct fingerprints reps.fp (a stable table) that differ in 1 to MAX_BITS bits.
+
+    Points of a cell with more than hot_cell members are projected a second time, with two groups more: two points within the
+    bound share one of those cells as well, so such a cell splits and no link is lost.
     """
+    groups = groups or _groups_for(reps.count())
     point = reps.select("fp", _thermometer(F.col("fp")).alias("point"))
-    cells = F.array(*(F.struct(F.lit(i).alias("p"), F.col("point").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_projections(groups))))
-    rows = point.select("fp", F.explode(cells).alias("c")).select("fp", F.col("c.p").alias("p"), F.col("c.cell").alias("cell"))
-    a, b = rows.withColumnRenamed("fp", "u"), rows.withColumnRenamed("fp", "v")
+    rows = _cells(point, groups, "p", "cell")
+    hot = materialized(rows.groupBy("p", "cell").count().where(F.col("count") > hot_cell).select("p", "cell"))
+    many = hot.count()
     u, v = F.col("u"), F.col("v")
-    manhattan = F.bit_count(_thermometer(u).bitwiseXOR(_thermometer(v)))
-    return a.join(b, ["p", "cell"]).where((u < v) & (manhattan <= MAX_BITS) & (F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS)).select("u", "v").distinct()
 
+    def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = rows.select(*keys, F.col("fp").alias("u")), rows.select(*keys, F.col("fp").alias("v"))
+        manhattan = F.bit_count(_thermometer(u).bitwiseXOR(_thermometer(v)))
+        return a.join(b, keys).where((u < v) & (manhattan <= MAX_BITS) & (F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS)).select("u", "v")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of each row.
+    if not many:
+        return pairs(rows, ["p", "cell"]).distinct()
+    hot = F.broadcast(hot) if many <= 100_000 else hot
+    cold = pairs(rows.join(hot, ["p", "cell"], "left_anti"), ["p", "cell"])
+    split = _cells(rows.join(hot, ["p", "cell"], "left_semi"), groups + 2, "q", "inner")
+    return cold.union(pairs(split, ["p", "cell", "q", "inner"])).distinct()
 
-    Rows with equal fingerprints are linked. Null doc_ids don't count as smallest; a component of null doc_ids
-    only has a null component_id. An empty table gives no rows.
-    """
+
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), fp, root (the least fingerprint reachable over links) and component_id of each row of docs."""
     fps = materialized(fingerprints(docs))
     reps = materialized(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(reps))
     linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    known = reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return spread_join(fps, known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = linked.join(least, "root").select("fp", "root", "component_id")
+    known = reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return spread_join(fps, known, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of each row.
+
+    Rows with equal fingerprints are linked. Null doc_ids don't count as smallest; a component of null doc_ids
+    only has a null component_id. An empty table gives no rows.
+    """
+    return _members(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest: one row for each group.
+    """The rows of docs that stand for their component: one row for each, among those with its smallest doc_id.
 
-    Of rows that repeat such a doc_id one stays, the first by text. Rows without a doc_id can't be told apart by
-    it and all stay. All columns of docs are kept.
+    Of several such rows the first by text and then by all its columns as JSON stays; a doc_id whose rows belong to several components
+    keeps one row for each. Rows without a doc_id can't be told apart by it and all stay. All columns
+    of docs are kept, whatever their names; an empty table gives no rows.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    row = F.struct(*docs.columns)
-    kept = docs.join(keep, "doc_id", "left_semi")
-    kept = kept.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    kept = _members(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("root").alias("_root")).distinct()
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
+    rows = docs.where("doc_id IS NOT NULL").select(row, F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    first = F.min_by("_row", F.struct(F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")), F.to_json("_row")))
+    one = rows.join(kept, ["_id", "_key"]).groupBy("_root").agg(first.alias("_row"))
+    return one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
