@@ -51,7 +51,7 @@ def _bucket(term: str) -> int:
 
 
 def _shape(token: str) -> str:
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in token[:64])
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in token)
     return _RUNS.sub(r"\1+", kinds)
 
 

@@ -254,9 +254,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score under limit, with all their columns."""
+    """The rows of docs that score under limit, with all their columns.
+
+    Null and empty texts have the score of a text without any toxic word; rows that repeat stay or go together, an empty
+    table gives no rows. Without labels of both kinds nothing is known and all rows stay.
+    """
     spark = docs.sparkSession
     model = fit(docs, labels, label)
+    if not model.scores:
+        return docs
     shared = spark.sparkContext.broadcast(model)
     bounded_batches(spark)
 

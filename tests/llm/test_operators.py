@@ -320,8 +320,8 @@ def test_simhash_links_are_complete(spark):
     signed = [simhash._signed(x) for x in fps]
     reps = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    for groups in (5, 6, 8):
-        assert {(r["u"], r["v"]) for r in simhash.links(reps, groups).collect()} == want
+    for groups, hot in ((5, 5000), (6, 5000), (6, 3), (8, 0)):
+        assert {(r["u"], r["v"]) for r in simhash.links(reps, groups, hot).collect()} == want
 
 
 def test_components_of_a_path(spark):
@@ -342,6 +342,17 @@ def test_simhash_odd_rows(spark):
     assert kept.where("doc_id = 7").count() == 0 and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_keep_one_each_with_equal_ids(spark):
+    near = " ".join(f"token{i}" for i in range(300))
+    other = " ".join(f"more{i}" for i in range(300))
+    rows = [(1, near, 1), (2, near, 2), (2, other, 3), (2, other, 4), (1, near, 0), (3, None, 5), (4, "", 6), (None, near, 7), (None, near, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["a.b"] for r in kept.collect()) == [0, 3, 5, 7, 8]
+    assert simhash.keep_one_each(docs.limit(0)).count() == 0
+
+
 # -- quality rules
 
 
@@ -555,6 +566,22 @@ def test_pii_adds_what_a_witness_proves(spark):
     assert set(added(chance)) == {""}
 
 
+def test_pii_in_very_long_texts(spark):
+    import time
+
+    mails, digits = " ".join(f"joe{i}@site.com" for i in range(20_000)), "1" * 1_000_000
+    docs = spark.createDataFrame([(1, mails, 0), (2, digits, 0), (3, "é " * 300_000 + "a@b.co", 0)], "doc_id long, text string, `a.b` int")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert (got[1]["n_email"], got[2]["spans"], got[3]["spans"]) == (20_000, "", "email:600000:600006")
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(plain_spans(mails)).encode()).hexdigest()
+    redacted = pii.redact(docs)
+    assert redacted.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in redacted.collect()}
+    assert texts == {1: " ".join(["<email>"] * 20_000), 2: digits, 3: "é " * 300_000 + "<email>"}
+    assert time.time() - began < 120
+
+
 def test_boosted_column_is_the_model(spark):
     rng = np.random.default_rng(6)
     x = np.column_stack([rng.integers(0, n, 300) for n in pii.FEATURES.values()])
