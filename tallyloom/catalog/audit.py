@@ -259,3 +259,19 @@ _NEW = "SELECT * FROM (VALUES ('a', 1, 'allow', 'x'), ('b', 5, 'block', 'y'), ('
 def _(t):
     spark = t("keys").sparkSession
     return audit.policy_diff(spark.sql(_OLD), spark.sql(_NEW))
+
+
+_EDGES = "[" + ", ".join(map(str, audit.LATENCY_EDGES)) + "]"
+
+
+@query(
+    "prometheus_histogram",
+    f"""WITH x AS (SELECT l2_label AS l, l2_latency_ms AS v FROM audit WHERE l2_label IS NOT NULL AND l2_latency_ms IS NOT NULL)
+    SELECT concat('l2_latency_ms_bucket{{label="', l, '",le="', CAST(e AS VARCHAR), '"}} ', CAST(count(*) FILTER (v <= e) AS VARCHAR)) AS line FROM x, (SELECT unnest({_EDGES}) AS e) GROUP BY l, e
+    UNION ALL SELECT concat('l2_latency_ms_bucket{{label="', l, '",le="+Inf"}} ', CAST(count(*) AS VARCHAR)) FROM x GROUP BY l
+    UNION ALL SELECT concat('l2_latency_ms_sum{{label="', l, '"}} ', CAST(sum(v) AS VARCHAR)) FROM x GROUP BY l
+    UNION ALL SELECT concat('l2_latency_ms_count{{label="', l, '"}} ', CAST(count(*) AS VARCHAR)) FROM x GROUP BY l""",
+    AU,
+)
+def _(t):
+    return audit.prometheus_histogram(t("audit"))

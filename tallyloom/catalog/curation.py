@@ -65,10 +65,30 @@ def _(t):
     return curation.weight_hard(rows, rows.where("id % 5 = 0")).withColumn("copy", F.col("copy").cast("long"))
 
 
-@query("balance_downsample", f"WITH {_RESOLVED} SELECT sha, label, synthetic FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY concat(CASE WHEN synthetic THEN '1' ELSE '0' END, sha)) AS k FROM (SELECT sha, label, id % 3 = 0 AS synthetic FROM c)) WHERE k <= 60")
+@query(
+    "balance_downsample",
+    f"WITH {_RESOLVED}, m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM c GROUP BY label)) SELECT sha, label, synthetic FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY synthetic, sha) AS k, count(*) OVER (PARTITION BY label) AS n FROM (SELECT sha, label, id % 3 = 0 AS synthetic FROM c)), m WHERE k <= CAST(floor(1.5 * least) AS BIGINT) OR n = least",
+)
 def _(t):
     rows = _resolved(t).select("sha", "label", (F.col("id") % 3 == 0).alias("synthetic"))
-    return curation.balance(rows, 60)
+    return curation.balance(rows, 1.5)
+
+
+_NORM = "trim(regexp_replace(left(d.text, 200), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "divergence_regression",
+    f"""WITH x AS (SELECT {_NORM} AS text FROM audit a JOIN documents d USING (doc_id) WHERE l2_label <> shadow_label AND NOT regexp_matches(left(d.text, 200), '<system-reminder|data:image/|base64,')),
+    h AS (SELECT left(text, 16) AS head, arg_min(toxic, doc_id) AS want FROM (SELECT doc_id, toxic, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents JOIN labels USING (doc_id)) WHERE length(text) >= 16 GROUP BY 1)
+    SELECT CASE WHEN want IS NOT NULL THEN sha1(text) END AS sha, want, count(*) AS dup FROM x LEFT JOIN h ON left(text, 16) = head WHERE length(text) >= 10 GROUP BY 1, 2""",
+    ("audit",),
+)
+def _(t):
+    texts = t("documents").select("doc_id", "text")
+    rows = t("audit").join(texts, "doc_id").select(F.left("text", F.lit(200)).alias("text"), F.col("l2_label").alias("label"), F.col("shadow_label").alias("other"))
+    candidates = texts.join(t("labels"), "doc_id").select(F.col("doc_id").alias("id"), scope.one_space(F.col("text")).alias("text"), F.col("toxic").alias("want"))
+    return curation.divergences(rows, candidates)
 
 
 @query("theta_overlap", "SELECT doc_id AS id, item_id AS held_id FROM documents d, benchmark b WHERE length(d.text) >= 8 AND length(b.text) >= 8 AND (strpos(d.text, b.text) > 0 OR strpos(b.text, d.text) > 0)")

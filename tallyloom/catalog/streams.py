@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scope
+from ..functions import changes, scope
 from ..sources import jsonl
 from ..streaming import metrics, state
 from .registry import QUERIES, SQL, query
@@ -53,6 +53,24 @@ def _(t):
     return t("conversations").select("conv_id", "turn", (~F.col("text").eqNullSafe(before)).alias("changed"))
 
 
+@query("diff_spans")
+def _(t):
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t("conversations").select("conv_id", "turn", "text", before.alias("before"))
+    pieces = rows.select("conv_id", "turn", changes.changed_pieces(F.col("before"), F.col("text")).alias("pieces"))
+    return pieces.select("conv_id", "turn", F.size("pieces").alias("n"), F.sha2(F.array_join("pieces", "\n"), 256).alias("digest"))
+
+
+@query("model_rpm_bucket")
+def _(t):
+    """Requests under the limit of their provider and model, a bucket for each pair; the first enabled limit that names it counts."""
+    limits = t("keys").sparkSession.sql("SELECT * FROM (VALUES (1, 'external/fast', 0, true), (2, 'local/base', 1, true), (3, 'fast', 2, true), (4, 'external/pro', 1, false)) AS t(position, name, rpm, enabled)")
+    rows = t("request_log").select("provider", "model", F.concat_ws("/", "provider", "model").alias("pair"), F.unix_timestamp("ts").alias("t"), "id")
+    return state.fold(state.with_limits(rows, limits), "pair", ["rpm"], state.limited(), "long")
+
+
 @query("long_windows", "SELECT doc_id, CASE WHEN n <= 4 THEN n ELSE 4 END AS windows FROM (SELECT doc_id, CAST(ceil(length(text) / 500) AS BIGINT) AS n FROM documents)")
 def _(t):
     n = F.ceil(F.length("text") / 500)

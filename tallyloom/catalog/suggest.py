@@ -142,3 +142,11 @@ def _(t):
     state = log.sparkSession.createDataFrame([("external", "fast", "open", 12)], "provider string, model string, state string, elapsed int")
     joined = known.join(F.broadcast(state), ["provider", "model"], "left")
     return joined.select("provider", "model", F.coalesce("state", F.lit("closed")).alias("state"), F.when(F.col("state") == "open", F.greatest(F.lit(0), 30 - F.col("elapsed"))).otherwise(0).alias("cooldown"))
+
+
+_STATES = "(VALUES ('external', 'open', 7), ('local', 'half_open', 2), ('spare', 'closed', 1)) AS s(provider, state, failures)"
+
+
+@query("suggest_breaker", f"SELECT concat('breaker:', provider) AS id, 'provider_breaker' AS type, 'high' AS severity, concat(provider, ' ', state, ' ', CAST(failures AS VARCHAR)) AS metric FROM {_STATES} WHERE state IN ('open', 'half_open')")
+def _(t):
+    return suggest.broken_providers(t("keys").sparkSession.sql(f"SELECT * FROM {_STATES}"))

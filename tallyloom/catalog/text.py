@@ -104,9 +104,11 @@ def _(t):
 
 @query("decode_layers")
 def _(t):
-    coded = F.when(F.col("doc_id") % 3 == 0, F.base64(F.encode(F.left("text", F.lit(60)), "UTF-8"))).when(F.col("doc_id") % 3 == 1, F.hex(F.encode(F.left("text", F.lit(40)), "UTF-8"))).otherwise(F.left("text", F.lit(40)))
+    plain = F.encode("text", "UTF-8")
+    coded = F.when(F.col("doc_id") % 3 == 0, F.base64(plain)).when(F.col("doc_id") % 3 == 1, F.hex(plain)).otherwise(F.col("text"))
     rows = t("documents").select("doc_id", decoding.decoded(coded).alias("layers"))
-    return rows.select("doc_id", F.size("layers").alias("n"), F.try_element_at("layers", F.lit(1))["via"].alias("via"))
+    first = F.try_element_at("layers", F.lit(1))
+    return rows.select("doc_id", F.size("layers").alias("n"), first["via"].alias("via"), F.sha2(first["text"], 256).alias("decoded"))
 
 
 @query("encoded_only_keywords")
@@ -189,10 +191,10 @@ def _(t):
     return t("events").select("event_id", F.get_json_object(F.regexp_extract(event, r"(?m)^data: (.*)$", 1), "$.k").cast("long").alias("usage"))
 
 
-@query("sse_stream", "SELECT event_id, p AS part, concat('data: ', CAST(p AS VARCHAR)) AS event FROM events, (VALUES (0), (1), (2)) AS t(p) WHERE event_id % 100 = 0")
+@query("sse_stream", "SELECT event_id, p AS part, concat('data: ', CAST(p AS VARCHAR)) AS event FROM events, (VALUES (0), (1), (2)) AS t(p)")
 def _(t):
     body = F.lit("data: 0\n\ndata: 1\n\ndata: 2")
-    return t("events").where("event_id % 100 = 0").select("event_id", F.posexplode(F.split(body, "\n\n")).alias("part", "event"))
+    return t("events").select("event_id", F.posexplode(F.split(body, "\n\n")).alias("part", "event"))
 
 
 @query("peek_model", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE '' END AS model FROM events")
@@ -229,17 +231,25 @@ def _(t):
     return t("events").where("event_id % 5000 > 0 OR event_id % 7 = 0").select("event_id", scope.token_cap(asked, 1024, 4096).alias("tokens"))
 
 
-@query("ood_perturb", "SELECT lang, n AS variant FROM (SELECT DISTINCT lang FROM documents), (VALUES ('plain'), ('upper'), ('spaced'), ('quoted'), ('cut'), ('twice')) AS v(n)")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_FORMS = {"plain": "x", "upper": f"translate(x, '{_LETTERS}', '{_LETTERS.upper()}')", "spaced": "regexp_replace(x, '(.)', '\\1 ', 'g')", "quoted": "concat('\"', x, '\"')", "cut": "left(x, 100)", "twice": "concat(x, chr(10), x)"}
+
+
+@query("ood_perturb", "WITH f AS (SELECT lang, arg_min(text, doc_id) AS x FROM documents GROUP BY 1) " + " UNION ALL ".join(f"SELECT lang, '{k}' AS variant, sha256({v}) AS digest FROM f" for k, v in _FORMS.items()))
 def _(t):
     first = t("documents").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
     x = F.col("text")
-    forms = {"plain": x, "upper": F.upper(x), "spaced": F.regexp_replace(x, "(.)", "$1 "), "quoted": F.concat(F.lit('"'), x, F.lit('"')), "cut": F.left(x, F.lit(100)), "twice": F.concat(x, F.lit("\n"), x)}
-    return first.select("lang", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in forms.items()))).alias("p")).select("lang", "p.variant")
+    forms = {"plain": x, "upper": F.translate(x, _LETTERS, _LETTERS.upper()), "spaced": F.regexp_replace(x, "(.)", "$1 "), "quoted": F.concat(F.lit('"'), x, F.lit('"')), "cut": F.left(x, F.lit(100)), "twice": F.concat(x, F.lit("\n"), x)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.sha2(v, 256).alias("digest")) for k, v in forms.items())))
+    return first.select("lang", each.alias("p")).select("lang", "p.variant", "p.digest")
 
 
-@query("sampling_skip", "SELECT count(*) AS n FROM events WHERE event_id % 20 = 0")
+@query("sampling_skip", "SELECT r.id, w.key_name IS NOT NULL AS white, w.key_name IS NULL OR r.id % 20 = 0 AS judged FROM request_log r LEFT JOIN (SELECT DISTINCT key_name FROM key_rules WHERE kind = 'white') w ON r.key_name = w.key_name", ("request_log", "key_rules"))
 def _(t):
-    return t("events").where("event_id % 20 = 0").agg(F.count("*").alias("n"))
+    white = t("key_rules").where("kind = 'white'").select("key_name", F.lit(True).alias("_white")).distinct()
+    rows = t("request_log").join(white, "key_name", "left")
+    known = F.coalesce("_white", F.lit(False))
+    return rows.select("id", known.alias("white"), (~known | (F.col("id") % 20 == 0)).alias("judged"))
 
 
 @query("file_keyword_flags", f"WITH {_P} SELECT doc_id, regexp_matches(text, '工资|财务|预算') AS financial, regexp_matches(text, '图纸|施工图') AS drawing FROM p")
@@ -255,11 +265,16 @@ def _(t):
     return clean.select("doc_id", F.col("text").contains("REDACTED").alias("text_changed"), F.element_at("reasons", 1).alias("reason"))
 
 
-@query("scope_blocks", "SELECT conv_id, least(5, CAST(count(*) AS BIGINT)) AS blocks FROM conversations WHERE length(text) > 0 GROUP BY 1")
+@query("scope_blocks")
 def _(t):
-    turns = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("back"), F.substring("text", 1, 1800).alias("text"))))
-    rows = t("conversations").where(F.length("text") > 0).groupBy("conv_id").agg(turns.alias("turns"))
-    return rows.select("conv_id", F.size(F.slice("turns", 1, 5)).cast("long").alias("blocks"))
+    """Blocks of each conversation: the last user text, the last system text as its tool result, the user text before, windows of the rest."""
+    size, budget = 300, 900
+    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    of = lambda role: F.transform(F.filter("turns", lambda x: x["role"] == role), lambda x: F.coalesce(x["text"], F.lit("")))
+    rows = turns.select("conv_id", of("user").alias("user"), of("system").alias("system"))
+    back = lambda c, n: F.coalesce(F.try_element_at(c, F.lit(-n)), F.lit(""))
+    rows = rows.select("conv_id", scope.blocks(back("user", 1), back("system", 1), back("user", 2), size, budget).alias("blocks"))
+    return rows.select("conv_id", F.size("blocks").alias("n"), F.array_join("blocks.name", ",").alias("names"), F.sha2(F.array_join("blocks.text", "\n"), 256).alias("texts"))
 
 
 @query("tools_text", "SELECT event_id, concat('{\"name\":\"', event_type, '\",\"value\":', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), '}', chr(10), '{\"name\":\"x\",\"value\":1}') AS tools FROM events")

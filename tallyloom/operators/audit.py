@@ -149,8 +149,9 @@ def hourly_events(rows: DataFrame, until: str, hours: int) -> DataFrame:
 
 
 def rounds(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Agreement in each round [started, finished]; rounds are few, so they are broadcast."""
-    joined = rows.join(F.broadcast(spans), F.col("ts").between(F.col("started"), F.col("finished")))
+    """Agreement in each round [started, finished]: rows meet the rounds of their day, then the exact times are compared."""
+    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("started"), F.to_date("finished"))))
+    joined = rows.withColumn("_day", F.to_date("ts")).join(days, "_day").where(F.col("ts").between(F.col("started"), F.col("finished")))
     valid = joined.where(F.col("l2_label").isNotNull() & F.col("shadow_label").isNotNull() & ~F.col("l2_degraded"))
     return valid.groupBy("round").agg(F.count("*").alias("compared"), F.count_if(F.col("l2_label") == F.col("shadow_label")).alias("agree"))
 
@@ -178,3 +179,18 @@ def prometheus_lines(counts: DataFrame) -> DataFrame:
     cells = ("provider", "action", "status")
     labels = F.array_join(F.array(*(F.concat(F.lit(f'{c}="'), F.col(c), F.lit('"')) for c in cells)), ",")
     return counts.select(F.concat(F.lit("requests_total{"), labels, F.lit("} "), F.col("n").cast("string")).alias("line"))
+
+
+# Upper edges of the second classifier's latency histogram, in milliseconds.
+LATENCY_EDGES = (50, 100, 200, 300, 500, 1000, 2000)
+
+
+def prometheus_histogram(rows: DataFrame) -> DataFrame:
+    """Text exposition of the second classifier's latency by label: cumulative buckets, then sum and count."""
+    ms = F.col("l2_latency_ms")
+    sums = {f'_bucket{{{{label="%s",le="{e}"}}}}': F.count_if(ms <= e) for e in LATENCY_EDGES}
+    sums |= {'_bucket{{label="%s",le="+Inf"}}': F.count("*"), '_sum{{label="%s"}}': F.sum(ms), '_count{{label="%s"}}': F.count("*")}
+    found = rows.where("l2_label IS NOT NULL AND l2_latency_ms IS NOT NULL").groupBy("l2_label").agg(F.array(*(v.cast("long") for v in sums.values())).alias("n"))
+    names = F.array(*(F.lit("l2_latency_ms" + k.replace("{{", "{").replace("}}", "}")) for k in sums))
+    lines = F.transform(names, lambda x, i: F.concat(F.replace(x, F.lit("%s"), F.col("l2_label")), F.lit(" "), F.get("n", i).cast("string")))
+    return found.select(F.explode(lines).alias("line"))

@@ -55,13 +55,23 @@ def weight_hard(rows: DataFrame, hard: DataFrame, times: int = 4) -> DataFrame:
     return kept.select("sha", "label", "part", F.explode(F.sequence(F.lit(1), n)).alias("copy"))
 
 
-def balance(rows: DataFrame, per_class: int) -> DataFrame:
-    """At most so many rows of each label: real ones first, then by hash (which stands for a random choice).
+def balance(rows: DataFrame, ratio: float = 1.0) -> DataFrame:
+    """The rarest label whole, of each other one at most ratio times as many: real rows first, then by hash (which stands for a random choice).
 
-    rows: sha, label, synthetic. Ranks come from ranked(), so a large class is not one task.
+    rows: sha, label, synthetic. Labels are few; rows without one are left out. Ranks come from ranked(), so a large class is not one task.
     """
-    parts = [ranked(rows.where(F.col("label") == k).withColumn("_o", F.concat(F.col("synthetic").cast("int").cast("string"), F.col("sha"))), "_o") for k in (0, 1)]
-    return reduce(DataFrame.unionByName, parts).where(F.col("rank") <= per_class).drop("_o", "rank")
+    counts = {r["label"]: r["n"] for r in rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = int(ratio * min(counts.values(), default=0))
+    parts = []
+    for label, n in sorted(counts.items()):
+        part = rows.where(F.col("label") == label)
+        if n > max(most, min(counts.values())):
+            # the hash's digits lead, so that ranks are dealt by them: real and synthetic rows are ranked apart
+            real, made = (ranked(part.where(F.col("synthetic") == s), "sha") for s in (False, True))
+            n_real = part.where(~F.col("synthetic")).count()
+            part = real.where(F.col("rank") <= most).unionByName(made.where(F.col("rank") <= most - n_real)).drop("rank")
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts, rows.limit(0))
 
 
 def overlaps(train: DataFrame, held: DataFrame, shortest: int = 8) -> DataFrame:
@@ -88,3 +98,20 @@ def regressions(labels: DataFrame, rows: DataFrame) -> DataFrame:
     joined = labels.where("label IS NOT NULL").join(rows, "req_id")
     newest = F.struct("ts", "id")
     return joined.groupBy("sha").agg(F.count("*").alias("dup"), F.max("label").alias("want"), F.max_by("predicted", newest).alias("got"))
+
+
+_NOISE = r"<system-reminder|data:image/|base64,"
+
+
+def divergences(rows: DataFrame, candidates: DataFrame, size: int = 16) -> DataFrame:
+    """Texts on which two classifiers differ: sha, want and dup of each that a candidate's first characters match; the others as one row without them.
+
+    rows: text, label, other. candidates: id, text, want; the first by id with a head counts. Injected context, images and very
+    short texts are no real conversation and left out.
+    """
+    norm = scope.one_space(F.col("text"))
+    real = rows.where(F.col("label").isNotNull() & F.col("other").isNotNull() & (F.col("label") != F.col("other")))
+    real = real.where(~F.col("text").rlike(_NOISE) & (F.length(norm) >= 10)).select(norm.alias("text"))
+    heads = candidates.where(F.length("text") >= size).groupBy(F.left("text", F.lit(size)).alias("head")).agg(F.min_by("want", "id").alias("want"))
+    found = real.join(heads, F.left("text", F.lit(size)) == F.col("head"), "left")
+    return found.groupBy(F.when(F.col("want").isNotNull(), F.sha1("text")).alias("sha"), "want").agg(F.count("*").alias("dup"))

@@ -139,3 +139,10 @@ def capped(rows: DataFrame, th: Thresholds) -> DataFrame:
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("type").orderBy("seq"))).where(F.col("_k") <= th.per_rule)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     return first.orderBy(rank, "seq").limit(th.total).drop("_k")
+
+
+def broken_providers(states: DataFrame) -> DataFrame:
+    """A suggestion for each provider whose breaker is open or half open. states: provider, state, failures."""
+    some = states.where(F.col("state").isin("open", "half_open"))
+    metric = F.concat_ws(" ", "provider", "state", F.col("failures").cast("string"))
+    return some.select(F.concat(F.lit("breaker:"), F.col("provider")).alias("id"), F.lit("provider_breaker").alias("type"), F.lit("high").alias("severity"), metric.alias("metric"))

@@ -57,25 +57,44 @@ def chart(log: DataFrame, since: str, until: str, n: int) -> DataFrame:
     )
 
 
+def _by_day(ticks: DataFrame, seconds: int) -> DataFrame:
+    """Ticks with their day, so that windows over time run within days; days are joined by a window over one row a day."""
+    return ticks.withColumn("_day", F.floor(F.col("t") * seconds / 86400).cast("long"))
+
+
+def _neighbour(ticks: DataFrame, columns: list[str], seconds: int, ahead: bool = False) -> DataFrame:
+    """Adds _near: the columns of the tick before (or ahead), across days."""
+    rows, row = _by_day(ticks, seconds), F.struct(*columns)
+    edge = (F.min_by if ahead else F.max_by)(row, "t").alias("_edge")
+    over = Window.orderBy("_day")
+    days = rows.groupBy("_day").agg(edge).select("_day", (F.lead if ahead else F.lag)("_edge").over(over).alias("_far"))
+    inner = (F.lead if ahead else F.lag)(row).over(Window.partitionBy("_day").orderBy("t"))
+    return rows.withColumn("_inner", inner).join(days, "_day").withColumn("_near", F.coalesce("_inner", "_far")).drop("_day", "_inner", "_far")
+
+
 def snapshots(log: DataFrame, tick: int, wrap: int) -> DataFrame:
     """Running counters at each tick with calls; calls starts again at 0 after wrap, as a restarted process would."""
     ticks = log.groupBy(F.floor(F.unix_timestamp("ts") / tick).cast("long").alias("t")).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("d"))
-    # ticks, not rows, meet in this window: one for each tick of the whole span
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.select("t", (F.sum("n").over(w) % wrap).alias("calls"), F.sum("d").over(w).alias("total"))
+    rows = _by_day(ticks, tick)
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}")
+    days = rows.groupBy("_day").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).select("_day", base("n"), base("d"))
+    w = Window.partitionBy("_day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(c).over(w) + F.col(f"_{c}")
+    return rows.join(days, "_day").select("t", (total("n") % wrap).alias("calls"), total("d").alias("total"))
 
 
 def derived(snaps: DataFrame, tick: int) -> DataFrame:
     """Differences of counters; a counter that fell counts 0."""
-    w = Window.orderBy("t")
-    step = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c) - F.lag(c).over(w))
-    rows = snaps.select("t", step("calls").alias("calls"), step("total").alias("total_ms"), (F.col("t") - F.lag("t").over(w)).alias("ticks"))
-    return rows.where("ticks IS NOT NULL").select("t", "calls", "total_ms", (F.col("calls") / (F.col("ticks") * float(tick))).alias("rate"))
+    rows = _neighbour(snaps, ["t", "calls", "total"], tick).where("_near IS NOT NULL")
+    step = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c) - F.col(f"_near.{c}"))
+    rows = rows.select("t", step("calls").alias("calls"), step("total").alias("total_ms"), (F.col("t") - F.col("_near.t")).alias("ticks"))
+    return rows.select("t", "calls", "total_ms", (F.col("calls") / (F.col("ticks") * float(tick))).alias("rate"))
 
 
 def with_gaps(ticks: DataFrame, tick: int) -> DataFrame:
-    """Ticks and, in the middle of each hole of over 2.5 ticks, a marker."""
-    rows = ticks.select("t", F.lead("t").over(Window.orderBy("t")).alias("next"))
+    """Ticks (seconds) and, in the middle of each hole of over 2.5 ticks, a marker."""
+    rows = _neighbour(ticks.select("t"), ["t"], 1, ahead=True).select("t", F.col("_near.t").alias("next"))
     hole = F.col("next") - F.col("t") > int(2.5 * tick)
     both = F.when(hole, F.array(F.struct(F.col("t"), F.lit(False).alias("gap")), F.struct((F.col("t") + F.floor((F.col("next") - F.col("t")) / 2)).alias("t"), F.lit(True).alias("gap"))))
     return rows.select(F.explode(F.coalesce(both, F.array(F.struct(F.col("t"), F.lit(False).alias("gap"))))).alias("x")).select("x.t", "x.gap")

@@ -63,7 +63,7 @@ def header_row(rows: list[list[str]]) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def csv_headers(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: header_row(_rows((t or "")[:100_000], 5)))
+    return text.map(lambda t: header_row(_rows(t or "", 5)))
 
 
 def inspected(files: DataFrame) -> DataFrame:

@@ -24,12 +24,12 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def append_stream(rows: DataFrame, path: str, dead: str, valid: Callable[[], Column], checkpoint: str) -> StreamingQuery:
-    """Append valid rows; the others go to a dead-letter table with the batch that held them."""
+    """Append valid rows; the others go to a dead-letter table. Each batch has a folder of its own (the column batch) and replaces it when repeated."""
 
     def put(batch: DataFrame, number: int) -> None:
         ok = F.coalesce(valid(), F.lit(False))
-        append(batch.where(ok), path)
-        batch.where(~ok).withColumn("batch", F.lit(number)).write.mode("append").parquet(dead)
+        batch.where(ok).withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+        batch.where(~ok).write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 

@@ -12,8 +12,12 @@ LATENESS = "10 minutes"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared one of the cluster; a temporary one only where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-")
+    """A fresh folder below the shared one of the cluster; a temporary one only where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tallyloom-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -31,13 +35,13 @@ def windowed(events: DataFrame, size: str = "1 day") -> DataFrame:
 
 
 def drained(result: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming result over what is there and return its last output as a table."""
+    """Run a streaming result over what is there and return its last output as a table; a batch that is repeated replaces itself."""
     spark = result.sparkSession
     out = scratch(spark, "stream")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{'all' if mode == 'complete' else number}")
 
     running = result.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(put).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")

@@ -64,6 +64,25 @@ def token_bucket(rate: float, capacity: float) -> Step:
     return step
 
 
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds rpm to rows (provider, model): of the enabled limits (position, name, rpm) over 0 the first that is "provider/model" or the bare model; else 0."""
+    some = limits.where("enabled AND rpm > 0 AND name <> ''").groupBy("name").agg(F.min(F.struct("position", "rpm")).alias("limit"))
+    both, bare = (F.broadcast(some.select(F.col("name").alias(n), F.col("limit").alias(f"_{n}"))) for n in ("_both", "_bare"))  # settings, a few rows
+    joined = rows.join(both, F.concat_ws("/", "provider", "model") == F.col("_both"), "left").join(bare.where("NOT contains(_bare, '/')"), F.col("model") == F.col("_bare"), "left")
+    first = F.least("__both", "__bare")  # structs compare by position; nulls are left out
+    return joined.withColumn("rpm", F.coalesce(first["rpm"], F.lit(0))).drop("_both", "_bare", "__both", "__bare")
+
+
+def limited() -> Step:
+    """1 or 0 for each event (t, id, rpm) of one bucket of rpm tokens a minute; no limit: 1."""
+
+    def step(state: tuple | None, event: tuple) -> tuple[tuple, int]:
+        rpm = float(event[2])
+        return token_bucket(rpm / 60, rpm)(state, event) if rpm > 0 else (state or (rpm, float(event[0])), 1)
+
+    return step
+
+
 def two_buckets(rps: float, rpm: float) -> Step:
     """ok, rps or rpm. A refusal by the minute bucket has used up the second bucket's token."""
     second, minute = token_bucket(rps, max(1.0, rps)), token_bucket(rpm / 60, max(1.0, rpm))

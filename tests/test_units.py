@@ -85,6 +85,7 @@ def test_checks(spark):
     rows = spark.createDataFrame([("4111111111111111",), ("4111111111111112",)], "c string")
     assert [r[0] for r in rows.select(inspection.luhn(F.col("c"))).collect()] == [True, False]
     assert decoding.decode_layers("x " + "aGVsbG8gd29ybGQsIHRoaXMgaXMgYSB0ZXN0" + " y") == [("hello world, this is a test", "base64")]
+    assert decoding.decode_layers("aGVsbG8gd29ybGQsIHRo\naXMgaXMgYSB0ZXN0")[0] == ("hello world, this is a test", "base64")
     assert decoding.decode_layers("68656c6c6f20776f726c64212121212121") == [("hello world!!!!!!", "hex")]
 
 
@@ -146,3 +147,57 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["t"] for r in jsonl.read(spark, str(tmp_path / "lines"), "t double").collect()) == [1, 3]
     jsonl.compact(spark, str(tmp_path / "lines"), str(tmp_path / "short"), "t", 1)
     assert [r[0] for r in spark.read.text(str(tmp_path / "short")).collect()] == ['{"t": 3}']
+
+
+def test_decoded_documents(spark):
+    from tallyloom.catalog import QUERIES
+
+    import hashlib
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["decode_layers"](spark, "/root/testdata/sf0.001").collect()}
+    for i, text in texts.items():
+        if i % 3 < 2 and len(text) >= 16:
+            assert got[i]["via"] == ("base64", "hex")[i % 3] and got[i]["decoded"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_changed_pieces(spark):
+    from tallyloom.functions import changes
+
+    old = "".join(f"line {i} of the text\n" for i in range(100))
+    new = old.replace("line 20 of", "line twenty of").replace("line 80 of", "line eighty of")
+    found = changes.pieces(old, new)
+    assert len(found) == 2 and "twenty" in found[0] and "eighty" in found[1] and all(len(x) < 300 for x in found)
+    assert changes.pieces(old, old) == [] and changes.pieces(None, "short") == ["short"] and changes.pieces("a", None) == []
+    sample = changes.pieces(None, "".join(chr(97 + k % 26) * 1200 for k in range(10)))
+    assert [x[0] for x in sample] == ["a", "d", "g", "j"]
+    rows = spark.createDataFrame([(old, new), (old, old), (None, "x")], "a string, b string")
+    assert [r[0] for r in rows.select(F.size(changes.changed_pieces(F.col("a"), F.col("b")))).collect()] == [2, 0, 1]
+
+
+def test_scope_blocks(spark):
+    rows = spark.createDataFrame([("a" * 10 + "b" * 10 + "c" * 10 + "d" * 5, "t" * 30, "h" * 9 + "x" * 10), ("short", "", "before"), ("", "t", ""), ("l" * 200, "t" * 10, "h" * 10)], "last string, tool string, before string")
+    got = [[tuple(x) for x in r[0]] for r in rows.select(scope.blocks(F.col("last"), F.col("tool"), F.col("before"), 10, 35)).collect()]
+    # 30 characters are used before the window of ten c, which no longer fits into 35; the last five do
+    assert got[0] == [("last_user", "a" * 10), ("tool", "t" * 10), ("history", "x" * 10), ("long_text", "b" * 10), ("long_text", "d" * 5)]
+    assert got[1] == [("last_user", "short"), ("history", "before")] and got[2] == [("tool", "t")]
+    assert [n for n, _ in got[3]] == ["last_user", "tool", "history", "long_text"]
+
+
+def test_model_limits(spark):
+    rows = spark.createDataFrame([(i, float(i), "p", "m") for i in range(4)] + [(9, 9.0, "q", "n"), (10, 10.0, "q", "m")], "id long, t double, provider string, model string")
+    limits = spark.createDataFrame([(1, "p/m", 0, True), (2, "m", 2, True), (3, "p/m", 1, True), (4, "n", 5, False)], "position int, name string, rpm int, enabled boolean")
+    limited = state.with_limits(rows, limits)
+    assert {r["id"]: r["rpm"] for r in limited.collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 0, 10: 2}
+    got = state.fold(limited.withColumn("pair", F.concat_ws("/", "provider", "model")), "pair", ["rpm"], state.limited(), "long")
+    assert {r["id"]: r["out"] for r in got.collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 9: 1, 10: 1}
+
+
+def test_balance_keeps_the_rarest(spark):
+    from tallyloom.operators import curation
+
+    rows = spark.createDataFrame([(f"{i * 7919 % 4096:03x}{i}", i % 10 // 4, i % 3 == 0) for i in range(300)] + [("fff", None, True)], "sha string, label int, synthetic boolean")
+    got = curation.balance(rows, 1.5)
+    assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {0: 90, 1: 90, 2: 60}
+    assert got.where("label = 0 AND NOT synthetic").count() == rows.where("label = 0 AND NOT synthetic").count()
+    assert curation.balance(rows.limit(0)).count() == 0
