@@ -4,7 +4,8 @@ Each paragraph (block of text) earns a point, one for each comma and up to three
 of them, its grandparent half, further ancestors a share that falls with distance. A container's points are discounted by its link
 density, the best container is kept with those siblings that score well beside it, and
 boilerplate subtrees never count. A block that only its name or <form> makes boilerplate is lifted if it holds an
-article or over half of the page's text outside links; where nothing is left, names don't count. Work is linear in the page; nothing recurses.
+article or over half of the page's text outside links; where nothing is left, names don't count. An article stays whole; articles beside it are kept
+if they have a fair share of its points. Work is linear in the page; nothing recurses.
 """
 
 from __future__ import annotations
@@ -35,17 +36,22 @@ _BOILERPLATE = frozenset("nav footer aside button select svg math canvas object
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|"
-    r"cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar(?:e|ing)\w*|social\w*|related|recommend\w*|foot(?:er)?|masthead|pagination|pager|toolbar|"
+    r"cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar(?:e|ing)\w*|social\w*|related(?!-\w)|related-(?:posts?|articles?|stories|links?|content|items?|news|reading|topics?)|recommend\w*|foot(?:er)?|masthead|pagination|pager|toolbar|"
     r"skip\w*|widget\w*|disclaimer|copyright|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
 #: Of these names, the ones whose blocks are never lifted while other text is left: they hold articles and much text of their own.
-_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|related|recommend\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|hidden|sr-only)(?=$|[\s_-])", re.I)
+_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|related\w*|recommend\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|hidden|sr-only)(?=$|[\s_-])", re.I)
+#: Names that say what a page has not, has beside its article or is about: they name no block.
+_OTHER_NAMES = re.compile(r"(?:no|not|non|without|with|has|category|cat|tag|topic)[_-]\S*|ad-?free", re.I)
+_COMMENT = re.compile(r"comments?|comment-\w+|reader-?comments?|reply|replies", re.I)
 _HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|topbar)(?=$|[\s_-])", re.I)
 #: Points that a container starts with.
 _START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 LEVELS = 6
 SIBLING_SHARE = 0.2
+#: Share of the best article's points, without what any article starts with, that makes an article beside it part of the page's text.
+ARTICLE_SHARE = 0.3
 PLAIN, NAMED, ASIDE, DROPPED = range(4)
 
 
@@ -62,8 +68,12 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
             return DROPPED
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return DROPPED
-        if name in ("class", "id") and (_NAMES.search(value) or (not in_article and _HEAD_NAMES.search(value))):
-            kind = max(kind, ASIDE if _ASIDE_NAMES.search(value) else NAMED)
+        if name in ("class", "id"):
+            for word in value.split():
+                if _OTHER_NAMES.fullmatch(word) or (tag == "article" and not _COMMENT.fullmatch(word)):
+                    continue
+                if _NAMES.search(word) or (not in_article and _HEAD_NAMES.search(word)):
+                    kind = max(kind, ASIDE if _ASIDE_NAMES.search(word) else NAMED)
     return kind if tag in _BLOCK or kind == PLAIN else DROPPED
 
 
@@ -185,6 +195,7 @@ def _kept(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]
     for k in range(n - 1, 0, -1):
         size[parents[k]] += size[k]
         linked[parents[k]] += linked[k]
+    own = lambda k: points[k] * (1 - linked[k] / max(1, size[k]))
     score = [(points[k] + _START.get(tags[k], 0)) * (1 - linked[k] / max(1, size[k])) if scored[k] and points[k] > 0 else -1.0 for k in range(n)]
     best = max(range(n), key=lambda k: (score[k], -k))
     if score[best] < 0:
@@ -197,9 +208,11 @@ def _kept(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]
     keep = [False] * n
     keep[best] = True
     need = max(10.0, SIBLING_SHARE * score[best])
-    if tags[best] not in ("article", "main"):
-        for k in range(1, n):
-            if parents[k] == parents[best] and k != best:
+    for k in range(1, n):
+        if parents[k] == parents[best] and k != best:
+            if tags[best] in ("article", "main"):  # other articles beside it, not what a main or an article stands beside
+                keep[k] = tags[k] == tags[best] and own(k) >= ARTICLE_SHARE * own(best)
+            else:
                 text_like = tags[k] in ("p", "h1", "h2", "h3", "blockquote", "pre") and linked[k] < 0.25 * max(1, size[k]) and size[k] > 0
                 keep[k] = score[k] >= need or text_like
     for k in range(1, n):

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -104,6 +105,164 @@ def test_html_wrapper_with_a_name(wrapper, inner):
     assert "me" not in got
 
 
+STORY = "".join(f"<p>Paragraph {i}, with some text, and commas, that is long enough to count for something here.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post category-social-policy">S</article>', '<article class="post tag-related">S</article>', '<div id="page" class="site no-sidebar"><article>S</article></div>',
+        '<div class="layout with-sidebar"><div>S</div></div>', '<div class="page ad-free"><div>S</div></div>', "<form>S</form>", '<div class="has-popup">S</div>', '<article class="related">S</article>',
+    ],
+)
+def test_html_usual_class_names(page):
+    assert html_extract.extract(f"<body><div class=ad>Buy</div>{page}<footer>me</footer></body>".replace("S", STORY)).count("Paragraph") == 5
+
+
+def test_html_sections_and_siblings():
+    related = "<section id=related-work><p>Earlier work, as told.</p></section>"
+    comments = '<div class="post-comments"><p>Nice, really nice, thanks.</p></div><div class="related-posts"><p>Read on, and on.</p></div>'
+    assert html_extract.extract(f"<article>{STORY}{related}{comments}</article>").endswith("here.\n\nEarlier work, as told.")
+    assert html_extract.extract(f"<article>{STORY}</article><article>{STORY}</article>").count("Paragraph") == 10
+    teaser = "<article class=card><h3><a href=x>teaser</a></h3><p>short</p></article>"
+    assert html_extract.extract(f"<main><article>{STORY}</article>{teaser}</main>").count("short") == 1  # main stays whole
+    assert html_extract.extract(f"<article>{STORY}</article>{teaser}").count("short") == 0
+
+
+class PlainTree(HTMLParser):
+    """A second, plain version of tree scoring: a tree of dictionaries, scored by recursion from the definition."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = {"tag": "#", "kids": [], "up": None, "attrs": ""}
+        self.skip = None
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        raw = self.get_starttag_text()[1 + len(tag) : -1]
+        if tag in html_extract._BLOCK and self.inside("p"):
+            self.leave("p")
+        if tag == "li" and self.inside("li", "ul", "ol"):
+            self.leave("li")
+        if tag in html_extract._VOID:
+            if tag in ("br", "hr"):
+                self.handle_data(" ")
+            return
+        node = {"tag": tag, "kids": [], "up": self.at, "attrs": raw}
+        self.at["kids"].append(node)
+        self.at = node
+
+    def inside(self, tag, *scopes):
+        n = self.at
+        while n:
+            if n["tag"] == tag:
+                return True
+            if n["tag"] in scopes:
+                return False
+            n = n["up"]
+
+    def leave(self, tag):
+        while self.at["tag"] != tag:
+            self.at = self.at["up"]
+        self.at = self.at["up"]
+
+    def handle_endtag(self, tag):
+        if self.inside(tag):
+            self.leave(tag)
+
+    def handle_data(self, data):
+        if self.at["tag"] not in html_extract._RAW:
+            self.at["kids"].append(data)
+
+
+def plain_extract(page):
+    root = PlainTree(page).root
+    blocks = []  # (owner, text, characters in links)
+
+    def walk(node, owner, dropped, article, link):
+        for kid in node["kids"]:
+            if isinstance(kid, str):
+                if not dropped:
+                    part.append((owner, kid, link))
+                continue
+            block = kid["tag"] in html_extract._BLOCK
+            if block:
+                flush()
+            out = html_extract._boilerplate(kid["tag"], kid["attrs"], article)
+            kid["named"] = out
+            walk(kid, kid if block else owner, dropped or out == html_extract.DROPPED, article or kid["tag"] in ("article", "main"), link or kid["tag"] == "a")
+            if block:
+                flush()
+
+    def flush():
+        text = " ".join("".join(t for _, t, _ in part).split())
+        if text:
+            blocks.append((part[-1][0], text, min(sum(len(t.strip()) for _, t, a in part if a), len(text))))
+        part.clear()
+
+    part = []
+    walk(root, root, False, False, False)
+    flush()
+    up = lambda n: [] if n is None else [n, *up(n["up"])]
+    within = lambda n: [b for b in blocks if any(x is n for x in up(b[0]))]
+    nodes = lambda n: [n, *(x for k in n["kids"] if not isinstance(k, str) for x in nodes(k))]
+    size = lambda n: sum(len(t) - a for _, t, a in within(n))
+    whole = size(root)
+    gone = []
+    for n in nodes(root)[1:]:
+        if n["named"] in (html_extract.NAMED, html_extract.ASIDE):
+            holds = any(x["tag"] in ("article", "main") and size(x) > 0 for x in nodes(n)[1:])
+            if n["named"] == html_extract.ASIDE or not (holds or n["tag"] in ("article", "main") and size(n) > 0 or 2 * size(n) > whole):
+                gone.append(n)
+    blocks = [b for b in blocks if not any(x is g for x in up(b[0]) for g in gone)] or blocks
+    if not blocks:
+        return ""
+
+    def value(text, links):
+        return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - links / len(text))
+
+    def points(n):
+        total = 0.0
+        for owner, text, links in blocks:
+            first = owner if owner["tag"] in html_extract._START or owner is root or owner["tag"] == "body" else owner["up"]
+            for level, x in enumerate(up(first)[: html_extract.LEVELS]):
+                if x is n:
+                    total += value(text, links) / (1, 2, 6, 9, 12, 15)[level]
+        return total
+
+    def density(n):
+        inner = within(n)
+        return sum(a for *_, a in inner) / max(1, sum(len(t) for _, t, _ in inner))
+
+    every = nodes(root)
+    score = lambda n: (points(n) + html_extract._START.get(n["tag"], 0)) * (1 - density(n)) if points(n) > 0 else -1
+    scores = [score(n) for n in every]
+    best = every[max(range(len(every)), key=lambda k: (scores[k], -k))]
+    if max(scores) < 0:
+        return "\n\n".join(t for _, t, _ in blocks)
+    top = max(scores)
+    best = next((x for x in reversed(up(best)) if x["tag"] in ("article", "main")), best)
+    keep = [best]
+    for n in every[1:]:
+        if n["up"] is best["up"] and n is not best:
+            if best["tag"] in ("article", "main"):
+                if n["tag"] == best["tag"] and points(n) * (1 - density(n)) >= 0.3 * points(best) * (1 - density(best)):
+                    keep.append(n)
+            elif score(n) >= max(10, 0.2 * top) or n["tag"] in ("p", "h1", "h2", "h3", "blockquote", "pre") and within(n) and density(n) < 0.25:
+                keep.append(n)
+    return "\n\n".join(t for o, t, _ in blocks if any(x is k for x in up(o) for k in keep))
+
+
+def test_html_against_a_plain_version():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    pages += [p.replace("<article>", "<div class=story>").replace("</article>", "</div>") for p in pages if p]
+    for page in pages:
+        assert html_extract.extract(page) == plain_extract(page or "")
+
+
 def test_html_long_comments_stay_out():
     talk = "<article><p>A reader says, at length, that this is great, and so on, and on.</p></article>" * 20
     assert html_extract.extract(f"<body><div><p>The story, as it was told, in short.</p></div><section id=comments>{talk}</section></body>") == "The story, as it was told, in short."
