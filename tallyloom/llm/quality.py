@@ -92,6 +92,18 @@ def _vector(text: str, buckets: _Buckets) -> dict[int, float]:
     return x
 
 
+def _slopes(z: np.ndarray, theta: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the sum of -log P(level) by each text's z and by each threshold."""
+    cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - z[:, None], -40, 40)))
+    cdf = np.column_stack([np.zeros(len(z)), cdf, np.ones(len(z))])
+    slope, rows = cdf * (1 - cdf), np.arange(len(z))
+    p = np.maximum(cdf[rows, level + 1] - cdf[rows, level], 1e-12)
+    dtheta = np.zeros(len(theta))
+    np.add.at(dtheta, level[level < len(theta)], -(slope[rows, level + 1] / p)[level < len(theta)])
+    np.add.at(dtheta, level[level > 0] - 1, (slope[rows, level] / p)[level > 0])
+    return (slope[rows, level + 1] - slope[rows, level]) / p, dtheta
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled rows that aren't held out. Null labels and ids don't count; without labels all grades are 0."""
     bounded_batches(docs.sparkSession)
@@ -126,19 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     w, m, v = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     for t in range(1, STEPS + 1):  # full-batch Adam
         z = np.concatenate([np.add.reduceat(w[at[span]] * x[span], first) for _, span, first in blocks])
-        cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - z[:, None], -40, 40)))
-        cdf = np.column_stack([np.zeros(len(y)), cdf, np.ones(len(y))])
-        slope = cdf * (1 - cdf)
-        high, low = np.arange(len(y)), level
-        p = np.maximum(cdf[high, low + 1] - cdf[high, low], 1e-12)
-        dz = (slope[high, low + 1] - slope[high, low]) / p  # of -log p by z
+        dz, dtheta = _slopes(z, theta, level)
         g = sum(np.bincount(at[span], np.repeat(dz[texts], np.diff(first, append=span.stop - span.start)) * x[span], minlength=BUCKETS) for texts, span, first in blocks)
         g = g / len(y) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        dtheta = np.zeros(len(theta))
-        np.add.at(dtheta, low[low < len(theta)], -(slope[high, low + 1] / p)[low < len(theta)])
-        np.add.at(dtheta, low[low > 0] - 1, (slope[high, low] / p)[low > 0])
         theta = np.maximum.accumulate(theta - 2.0 * dtheta / len(y))  # thresholds stay in order
     return Model(grades, w, theta)
 

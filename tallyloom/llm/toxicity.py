@@ -265,15 +265,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit:
         return docs
     shared = spark.sparkContext.broadcast(model)
     bounded_batches(spark)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         lookup = _WordScores(model.scores).__getitem__
         for batch in batches:
             keep = []
-            for t in batch.column("text").to_pylist():
+            for t in batch.column(at).to_pylist():
                 scores = list(map(lookup, (t or "").split()))
                 keep.append(_probability(_statistic(segments(scores), len(scores), model), model.curve) < limit)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow looks columns up by name, which may hold dots
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

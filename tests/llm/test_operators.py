@@ -370,6 +370,49 @@ def test_segments():
     assert toxicity.segments([]) == [] and toxicity.segments([-1.0, -2.0]) == []
 
 
+def plain_segments(scores, a, b):
+    """By the definition: the best stretch of all, then the same to its left and to its right."""
+    best = max(((sum(scores[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, a, a))
+    return plain_segments(scores, a, best[1]) + [(best[1], best[2], best[0])] + plain_segments(scores, best[2], b) if best[0] > 0 else []
+
+
+def test_segments_by_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        scores = list(rng.normal(-0.2, 1, rng.integers(0, 30)))
+        got, want = toxicity.segments(scores), plain_segments(scores, 0, len(scores))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_ordinal_slopes_by_differences():
+    rng = np.random.default_rng(10)
+    z, theta, level = rng.normal(0, 1, 40), np.array([-1.0, 0.2, 0.9]), rng.integers(0, 4, 40)
+
+    def loss(z, theta):
+        below = [np.zeros(40), *(1 / (1 + np.exp(z - t)) for t in theta), np.ones(40)]
+        return -sum(np.log(below[k + 1][i] - below[k][i]) for i, k in enumerate(level))
+
+    dz, dtheta = quality._slopes(z, theta, level)
+    nudge = lambda n, k: 1e-6 * (np.arange(n) == k)
+    assert np.allclose(dz, [(loss(z + nudge(40, k), theta) - loss(z - nudge(40, k), theta)) / 2e-6 for k in range(40)], atol=1e-5)
+    assert np.allclose(dtheta, [(loss(z, theta + nudge(3, k)) - loss(z, theta - nudge(3, k))) / 2e-6 for k in range(3)], atol=1e-4)
+
+
+def test_classifiers_take_odd_rows(spark):
+    docs, lab = documents(spark).select("doc_id", "text"), labels(spark)
+    odd = odd_docs(spark).withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    both = docs.unionByName(odd.select("doc_id", "text")).withColumn("a.b", F.lit(1))
+    n = both.count()
+    graded = quality.select(both, lab).collect()
+    assert len(graded) == n and all(0 <= r["tail_probability"] <= 1 for r in graded)
+    scored = toxicity.classify(both, lab).collect()
+    assert len(scored) == n and all(0 <= r["score"] <= 1 for r in scored)
+    kept = toxicity.drop_toxic(both, lab)
+    bad = {r["doc_id"] for r in scored if r["predicted"]}
+    assert kept.columns == both.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(r["doc_id"]) for r in scored if not r["predicted"]) and len(bad) < n
+    assert toxicity.drop_toxic(both, lab.limit(0)).count() == n and toxicity.drop_toxic(both.limit(0), lab).count() == 0
+
+
 def test_toxicity_and_quality(spark):
     good, bad = "the of and to in is it for on with".split(), "idiot moron scum".split()
     rng = np.random.default_rng(3)
