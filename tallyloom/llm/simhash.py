@@ -149,9 +149,15 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     keeps one row for each. Rows without a doc_id can't be told apart by it and all stay. All columns
     of docs are kept, whatever their names; an empty table gives no rows.
     """
-    kept = _members(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("root").alias("_root")).distinct()
+    least = materialized(_members(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("root").alias("_root")))
+    roots = least.groupBy("_root").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"), F.min("_key").alias("_key"))
+    key = (F.col("doc_id").cast("long") == F.col("_id")) & (text_key() == F.col("_key"))
+    kept = docs.join(roots.where("_n = 1").select("_id", "_key"), key, "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    repeated = least.join(roots.where("_n > 1").select("_root"), "_root").distinct()
+    if repeated.isEmpty():
+        return kept
     row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
-    rows = docs.where("doc_id IS NOT NULL").select(row, F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    rows = docs.where("doc_id IS NOT NULL").select(row, F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key")).join(repeated, ["_id", "_key"])
     first = F.min_by("_row", F.struct(F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")), F.to_json("_row")))
-    one = rows.join(kept, ["_id", "_key"]).groupBy("_root").agg(first.alias("_row"))
-    return one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    one = rows.groupBy("_root").agg(first.alias("_row"))
+    return kept.unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))

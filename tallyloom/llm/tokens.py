@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 #: Texts that the library gets whole.
 _ODD_SPACE = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $"
 #: Words that a worker remembers (some 150 bytes each) and ids that it keeps for them; beyond that the less used half goes.
-MEMORY_WORDS = 600_000
-MEMORY_IDS = 6_000_000
+MEMORY_WORDS = 400_000
+MEMORY_IDS = 4_000_000
+#: Bytes of text whose words are looked up at once, if they are several texts.
+BLOCK_BYTES = 2 << 20
 END_ID = 0
 _ENDINGS = (".", ",", ";", ":", "!", "?")
 
@@ -109,6 +111,10 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (unsigned 32-bit) of all texts, one after the other, and where each text's ids end. Null: no ids."""
+        if len(texts) > 1 and texts.nbytes > BLOCK_BYTES:
+            half = len(texts) // 2
+            (a, a_ends), (b, b_ends) = self.encode_all(texts.slice(0, half)), self.encode_all(texts.slice(half))
+            return np.concatenate([a, b]), np.concatenate([a_ends, b_ends + len(a)])
         if len(self.slots) > MEMORY_WORDS or len(self.ids) > MEMORY_IDS:
             self._forget(MEMORY_WORDS // 2 if len(self.ids) <= MEMORY_IDS else 1)
         texts = pc.fill_null(texts, "")

@@ -60,6 +60,7 @@ def test_encoding_of_batches_that_forget(monkeypatch):
 
     monkeypatch.setattr(tokens, "MEMORY_WORDS", 40)
     monkeypatch.setattr(tokens, "MEMORY_IDS", 150)
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 200)
     rng, e = np.random.default_rng(8), tokens.Encoder(default_vocabulary())
     parts = ["the", "Cat.", "sat,", "don't", "é", "naïve,", "x1", "12", "...", "a!b", "日本", "日本.", "Word;", "zz", "ever?", "it:", "\n", "  ", "\t"]
     for _ in range(60):
