@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import decoding, inspection, scope
@@ -94,7 +96,34 @@ def _(t):
     return cards.select("card", inspection.id_valid(F.col("card")).alias("valid"))
 
 
-@query("inspect_text")
+# Width forms (U+3000, U+FF01 to U+FF5E) are the only characters of the tables that NFKC changes where it matters here; SQL has no NFKC.
+_WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = unicodedata.normalize("NFKC", _WIDE)
+_ALL_WEIGHTS = ", ".join(f"('{k}', {w})" for k, (_, w) in inspection.PATTERNS.items())
+_ID_SUM = f"list_sum(list_transform(range(1, 18), lambda i: CAST(substr(v, i, 1) AS INT) * list_extract({list(inspection.ID_WEIGHTS)}, i)))"
+_ID_OK = f"try_strptime(substr(v, 7, 8), '%Y%m%d') IS NOT NULL AND substr(v, 7, 4) BETWEEN '1900' AND '2100' AND substr('{inspection.ID_CHECKS}', CAST({_ID_SUM} % 11 + 1 AS INT), 1) = upper(substr(v, 18, 1))"
+
+
+def _inspect_sql() -> str:
+    each = lambda kind, pattern: f"SELECT DISTINCT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(x, '{pattern}')) AS v FROM"
+    both = "(SELECT doc_id, text AS x FROM v UNION ALL SELECT doc_id, digits FROM v)"
+    found = [f"{each(k, p)} (SELECT doc_id, text AS x FROM v)" for k, p in _SIMPLE.items()]
+    found.append(f"SELECT * FROM ({each('idcard', inspection.PATTERNS['idcard'][0])} {both}) WHERE {_ID_OK}")
+    found.append(f"SELECT * FROM ({each('phone', '[0-9]+')} {both}) WHERE length(v) = 11 AND regexp_matches(v, '^1[3-9]')")
+    found.append(f"SELECT * FROM ({each('bankcard', '[0-9]+')} {both}) WHERE length(v) BETWEEN 16 AND 19 AND {_LUHN}")
+    rules = " + ".join(f"CASE WHEN regexp_matches(text, '{p}') OR regexp_matches(compact, '{p}') THEN {inspection.RISK_WEIGHT} ELSE 0 END" for p in inspection.RISK_RULES.values())
+    return f"""WITH {_P}, s AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '{inspection.INVISIBLE}', '', 'g'), '{_WIDE}', '{_NARROW.replace("'", "''")}') AS text FROM p),
+    v AS (SELECT doc_id, text, regexp_replace(text, '[\\s\\-_.,/|]+', '', 'g') AS digits, regexp_replace(text, '\\s+', '', 'g') AS compact FROM s),
+    f AS ({' UNION ALL '.join(found)}),
+    n AS (SELECT doc_id, kind, least({inspection.MATCH_CAP}, count(*)) AS n FROM f GROUP BY 1, 2),
+    w AS (SELECT doc_id, sum(n) AS n, sum(n * weight) AS weighted FROM n JOIN (VALUES {_ALL_WEIGHTS}) AS t(kind, weight) USING (kind) GROUP BY 1),
+    k AS (SELECT doc_id, sum(n) AS score FROM v, (VALUES {_WORDS}) AS t(word, n) WHERE strpos(text, word) > 0 OR strpos(compact, word) > 0 GROUP BY 1),
+    r AS (SELECT doc_id, {rules} AS score FROM v),
+    o AS (SELECT doc_id, CAST(coalesce(w.n, 0) AS INT) AS n_findings, CAST(coalesce(weighted, 0) AS INT) AS weighted, CAST(coalesce(k.score, 0) + r.score AS INT) AS keyword_score FROM r LEFT JOIN w USING (doc_id) LEFT JOIN k USING (doc_id))
+    SELECT *, CAST(least({inspection.RISK_CAP}, weighted + keyword_score) AS INT) AS risk FROM o"""
+
+
+@query("inspect_text", _inspect_sql())
 def _(t):
     text = decoding.nfkc(inspection.visible(F.col("text")))
     rows = _planted(t).select("doc_id", text.alias("text"))

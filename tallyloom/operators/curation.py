@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scope
 
-#: Rows of the smaller side that one pass of a substring join broadcasts.
-BLOCK_ROWS = 2_000
+#: Characters in a gram of the substring join, and grams in its windows.
+GRAM, SPREAD = 8, 33
 
 
 def hashed(rows: DataFrame) -> DataFrame:
@@ -74,13 +78,62 @@ def balance(rows: DataFrame, ratio: float = 1.0) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, rows.limit(0))
 
 
-def overlaps(train: DataFrame, held: DataFrame, shortest: int = 8) -> DataFrame:
-    """Pairs (id, held_id) where one text holds the other; the held side is broadcast in blocks of bounded size."""
-    a = train.select("id", F.col("text").alias("a")).where(F.length("text") >= shortest)
-    b = held.select(F.col("id").alias("held_id"), F.col("text").alias("b")).where(F.length("text") >= shortest)
-    blocks = -(-b.count() // BLOCK_ROWS) or 1
-    one = lambda k: a.join(F.broadcast(b.where(F.pmod(F.xxhash64("held_id"), F.lit(blocks)) == k)), F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    return reduce(DataFrame.unionByName, map(one, range(blocks))).select("id", "held_id")
+def _least_grams(spread: int) -> Callable[[Column], Column]:
+    """Array of the different least gram hashes over all windows of so many grams of a text; none where it has no window."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            code = np.frombuffer((t or "").encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+            n = len(code) - GRAM + 1
+            if n < spread:
+                return np.zeros(0, np.int64)
+            h = np.zeros(n, np.uint64)
+            for k in range(GRAM):
+                h = (h ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            return np.unique(np.lib.stride_tricks.sliding_window_view(h, spread).min(axis=1)).view(np.int64)
+
+        return text.map(one)
+
+    return run
+
+
+def _held_in(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs (whole, part) of ids where the whole's text holds the part's."""
+    keyed = lambda rows: rows.withColumn("key", F.md5("text"))
+    whole, part, found = keyed(whole), keyed(part), []
+    for spread, low, high in ((SPREAD, GRAM + SPREAD - 1, None), (1, GRAM, GRAM + SPREAD - 2)):
+        sought = part.where(F.length("text") >= low) if high is None else part.where(F.length("text").between(low, high))
+        if sought.isEmpty():
+            continue
+        grams = _least_grams(spread)
+        theirs = whole.where(F.length("text") >= low).select("key", "text").dropDuplicates(["key"]).select(F.col("key").alias("whole_key"), F.explode(grams("text")).alias("gram"))
+        mine = sought.select("key", "text").dropDuplicates(["key"]).select(F.col("key").alias("part_key"), F.explode(grams("text")).alias("gram"))
+        often = theirs.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = mine.join(often, "gram", "left").groupBy("part_key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        pairs = theirs.join(rarest, "gram").select("whole_key", "part_key")
+        pairs = pairs.join(whole.select(F.col("key").alias("whole_key"), F.col("id").alias("whole"), F.col("text").alias("a")), "whole_key")
+        pairs = pairs.join(sought.select(F.col("key").alias("part_key"), F.col("id").alias("part"), F.col("text").alias("b")), "part_key")
+        found.append(pairs.where(F.col("a").contains(F.col("b"))).select("whole", "part", "whole_key", "part_key"))
+    if not found:
+        return whole.select(F.col("id").alias("whole"), "key").limit(0).join(part.select(F.col("id").alias("part"), "key").limit(0), "key").select("whole", "part", F.col("key").alias("whole_key"), F.col("key").alias("part_key"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def overlaps(train: DataFrame, held: DataFrame, shortest: int = GRAM) -> DataFrame:
+    """Pairs (id, held_id) where one text holds the other; shorter texts and nulls have none.
+
+    What a text holds has no window of grams that the text lacks, so the least gram of each of its windows is one of the text's least
+    grams too (winnowing). Each text looks for its rarest one among those of the other side, and contains() decides. Texts of fewer than
+    GRAM + SPREAD - 1 characters have no such window: they look for a gram among all, which costs a row for each character of the other side.
+    """
+    if shortest < GRAM:
+        raise ValueError(f"texts are compared from {GRAM} characters on")
+    a, b = (rows.select("id", "text").where(F.length("text") >= shortest) for rows in (train, held))
+    down = _held_in(a, b).select(F.col("whole").alias("id"), F.col("part").alias("held_id"))
+    up = _held_in(b, a).where("whole_key <> part_key").select(F.col("part").alias("id"), F.col("whole").alias("held_id"))  # equal texts are in down
+    return down.unionByName(up)
 
 
 def by_prefix(previews: DataFrame, candidates: DataFrame, size: int = 16) -> DataFrame:

@@ -36,11 +36,20 @@ def sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def calibration(rows: DataFrame) -> DataFrame:
-    """Per class: n, mean squared distance of p to the class, median and 10 % and 90 % points by place."""
+    """Per class: n, mean squared distance of p to the class, median and 10 % and 90 % points by place.
+
+    Equal scores are counted before they are placed, so one task sorts the different scores of a class, not its rows.
+    """
     w = Window.partitionBy("want")
-    placed = rows.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("p", "id")) - 1)
-    pick = lambda q, name: F.max(F.when(F.col("k") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("p"))).alias(name)
-    return placed.groupBy("want").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("want"), 2)), 9).alias("brier"), pick(0.1, "p10"), pick(0.5, "p50"), pick(0.9, "p90"))
+    counts = rows.groupBy("want", "p").agg(F.count("*").alias("c"))
+    placed = counts.withColumn("n", F.sum("c").over(w)).withColumn("end", F.sum("c").over(w.orderBy("p")))
+
+    def pick(q: float, name: str) -> Column:
+        at = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+        return F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col("p"))).alias(name)
+
+    square = F.sum(F.col("c") * F.pow(F.col("p") - F.col("want"), 2)) / F.sum("c")
+    return placed.groupBy("want").agg(F.sum("c").alias("n"), F.round(square, 9).alias("brier"), pick(0.1, "p10"), pick(0.5, "p50"), pick(0.9, "p90"))
 
 
 def deltas(rows: DataFrame, full: str = "full") -> DataFrame:

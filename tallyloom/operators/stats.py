@@ -147,10 +147,15 @@ def percentiles(log: DataFrame, column: str = "gateway_internal_ms") -> DataFram
 
 
 def ranked_percentile(rows: DataFrame, value: str, by: list[str], rank: Column) -> DataFrame:
-    """The value whose place in ascending order within by (from 0) is rank, an expression over n."""
+    """by, n and the value whose place in ascending order within by (from 0) is rank, an expression over n.
+
+    Equal values are counted before they are placed, so one task sorts the different values of a group, not its rows.
+    """
     w = Window.partitionBy(*by)
-    placed = rows.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(value)) - 1)
-    return placed.where(F.col("place") == F.greatest(F.least(rank, F.col("n") - 1), F.lit(0)))
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    placed = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_end", F.sum("_c").over(w.orderBy(value)))
+    at = F.greatest(F.least(rank, F.col("n") - 1), F.lit(0))
+    return placed.where((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at)).drop("_c", "_end")
 
 
 def peak_per_minute(log: DataFrame, *by: str) -> DataFrame:

@@ -115,6 +115,34 @@ def decide(rules: list[Rule], field: Field, copies: Mapping[str, Column] | None
     return last if out is None else out.otherwise(last)
 
 
+def rules_of(document: Any) -> list[Rule]:
+    """Rules of a parsed document, {"policies": [...]} or the list alone, by priority. A rule without name, action or when, or one that Rule refuses, is an error."""
+    listed = document.get("policies") if isinstance(document, Mapping) else document
+    if not isinstance(listed, list):
+        raise ValueError("no list of policies")
+    made = []
+    for n, entry in enumerate(listed):
+        if not isinstance(entry, Mapping) or not entry.get("name") or "when" not in entry or "action" not in entry:
+            raise ValueError(f"policy {n}: name, action and when are needed")
+        made.append(Rule(str(entry["name"]), entry["action"], entry["when"], entry.get("priority", 100)))
+    return sorted(made, key=lambda r: r.priority)
+
+
+def load(path: str, last: list[Rule] | None = None) -> list[Rule]:
+    """Rules of a YAML (or JSON, which is YAML) file. No file: all is allowed. A broken file: last, the rules in force, or the error where there are none."""
+    import yaml  # only this reader needs it
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            return rules_of(yaml.safe_load(f) or {})
+    except FileNotFoundError:
+        return [Rule(DEFAULT, "allow", "always", 100)]
+    except (ValueError, TypeError, yaml.YAMLError):
+        if last is None:
+            raise
+        return last
+
+
 def l2_decision(rule: Column, label: Column, confidence: Column, injection: Column, degraded: Column, least: float = 0.7) -> Column:
     """What a second classifier changes; the order counts."""
     return F.when((label == "CONFIDENTIAL") & (confidence >= least), "l2_confidential").when(injection, "l2_injection").when(degraded, "l2_unavailable").otherwise(rule)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,15 @@ from pyspark.sql import types as T
 
 from ..functions import scope
 
-# Leading bytes (hex) of file kinds.
-SIGNATURES = {"25504446": "pdf", "504B0304": "zip", "89504E47": "png", "FFD8FF": "jpeg", "47494638": "gif", "D0CF11E0": "ole", "52617221": "rar", "1F8B": "gzip", "41433130": "dwg"}
-FAMILIES = {"pdf": ("pdf",), "zip": ("docx", "xlsx", "pptx", "zip"), "png": ("png",), "jpeg": ("jpg", "jpeg"), "gif": ("gif",), "ole": ("doc", "xls", "ppt"), "dwg": ("dwg",)}
+# Leading bytes (hex) of file kinds, brands of ISO media files, folders of office archives, families of kinds and of name endings.
+SIGNATURES = {"25504446": "pdf", "504B0304": "zip", "89504E47": "png", "FFD8FF": "jpeg", "47494638": "gif", "424D": "bmp", "49492A00": "tiff", "4D4D002A": "tiff", "D0CF11E0": "ole", "52617221": "rar", "1F8B": "gzip", "41433130": "dwg"}
+BRANDS = {"heic": ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1"), "avif": ("avif", "avis")}
+OFFICE = {"word/": "docx", "xl/": "xlsx", "ppt/": "pptx"}
+KIND_FAMILIES = {"pdf": ("pdf",), "image": ("png", "jpeg", "gif", "bmp", "tiff", "webp", "heic", "avif"), "sheet": ("xlsx",), "doc": ("docx", "pptx"), "cad": ("dwg",)}
+NAME_FAMILIES = {
+    "pdf": ("pdf",), "image": ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif", "webp", "heic", "heif", "avif"),
+    "sheet": ("xlsx", "xls", "csv"), "doc": ("docx", "doc", "pptx", "ppt"), "cad": ("dwg", "dxf", "rvt", "skp"),
+}
 FINANCIAL = ("工资", "薪资", "财务", "预算", "决算", "成本", "营收", "利润")
 DRAWING = ("图纸", "施工图", "结构图", "竣工图", "图号")
 CHUNK, CHUNKS = 1800, 10
@@ -22,19 +29,41 @@ HEADERS, HEADER_CHARS = 20, 200
 
 
 def kind(content: Column) -> Column:
-    """pdf, zip, ... by the leading bytes; text where they look like text; else unknown."""
-    head = F.hex(F.substring(content, 1, 8))
-    found = F.coalesce(*(F.when(head.startswith(sign), F.lit(name)) for sign, name in SIGNATURES.items()))
-    return F.coalesce(found, F.when(looks_textual(content), "text").otherwise("unknown"))
+    """pdf, docx, heic, ... by the leading bytes, for archives by what they list; text where they look like text; else unknown."""
+    head, mark = F.hex(F.substring(content, 1, 8)), F.hex(F.substring(content, 9, 4))
+    found = [F.when(head.startswith(sign), F.lit(name)) for sign, name in SIGNATURES.items() if name != "zip"]
+    zipped = head.startswith(next(sign for sign, name in SIGNATURES.items() if name == "zip"))
+    found.append(F.when(zipped, archive_kind(F.when(zipped, content))))
+    found.append(F.when(head.startswith(b"RIFF".hex().upper()) & (mark == b"WEBP".hex().upper()), "webp"))
+    for name, brands in BRANDS.items():
+        found.append(F.when((F.substring(head, 9, 8) == b"ftyp".hex().upper()) & mark.isin([b.encode().hex().upper() for b in brands]), name))
+    return F.coalesce(*found, F.when(looks_textual(content), "text").otherwise("unknown"))
+
+
+def _family(c: Column, families: dict[str, tuple[str, ...]]) -> Column:
+    return F.coalesce(*(F.when(F.lower(c).isin(*names), F.lit(f)) for f, names in families.items()))
 
 
 def mismatch(ext: Column, found: Column) -> Column:
-    """Does the file's name promise another family than its bytes show?"""
-    clash = [(found == k) & ~F.lower(ext).isin(*exts) for k, exts in FAMILIES.items()]
-    out = clash[0]
-    for c in clash[1:]:
-        out = out | c
-    return F.coalesce(out, F.lit(False))
+    """Does the file's name promise another family than its bytes show? Endings of no family promise text; kinds of none are no evidence."""
+    return F.coalesce(_family(found, KIND_FAMILIES) != F.coalesce(_family(ext, NAME_FAMILIES), F.lit("text")), F.lit(False))
+
+
+@F.pandas_udf(T.StringType())
+def archive_kind(content: pd.Series) -> pd.Series:
+    """docx, xlsx or pptx by a folder in the archive's listing; zip for others and broken ones; null for null."""
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                names = z.namelist()
+        except (zipfile.BadZipFile, ValueError, NotImplementedError):
+            return "zip"
+        return next((k for folder, k in OFFICE.items() if any(n.startswith(folder) for n in names)), "zip")
+
+    return content.map(one)
 
 
 @F.pandas_udf(T.BooleanType())

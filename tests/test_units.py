@@ -1,11 +1,16 @@
 """Literal cases of pricing, rules, state machines, scales and checks."""
 
+import io
+import random
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import decoding, inspection, scope
-from tallyloom.operators import stats, suggest
+from tallyloom.operators import curation, evaluation, stats, suggest
 from tallyloom.plans import policy
+from tallyloom.sources import files
 from tallyloom.streaming import metrics, state
 
 
@@ -201,3 +206,58 @@ def test_balance_keeps_the_rarest(spark):
     assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {0: 90, 1: 90, 2: 60}
     assert got.where("label = 0 AND NOT synthetic").count() == rows.where("label = 0 AND NOT synthetic").count()
     assert curation.balance(rows.limit(0)).count() == 0
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["alpha", "be", "工资表", "d" * 12, "épsilon", "zeta\n", " "]
+    long = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    cut = [t[i : i + rng.randint(6, 90)] for t in long for i in [rng.randint(0, max(0, len(t) - 1))]]
+    train = [*enumerate(long + cut[:20] + ["", None, long[0]])]
+    held = [*enumerate(cut + long[:8] + [None, "a" * 7])]
+    got = curation.overlaps(spark.createDataFrame(train, "id long, text string"), spark.createDataFrame(held, "id long, text string"))
+    want = [(i, j) for i, a in train for j, b in held if a and b and min(len(a), len(b)) >= 8 and (b in a or a in b)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 40
+    none = spark.createDataFrame([], "id long, text string")
+    assert curation.overlaps(none, none).count() == 0 and curation.overlaps(spark.createDataFrame(train, "id long, text string"), none).count() == 0
+
+
+def test_places_among_equal_values(spark):
+    rows = [(1, i, p) for i, p in enumerate([0.5] * 70 + [0.9] * 20 + [0.1] * 10)] + [(0, 1, 0.25)]
+    got = {r["want"]: r for r in evaluation.calibration(spark.createDataFrame(rows, "want int, id long, p double")).collect()}
+    assert (got[1]["n"], got[1]["p10"], got[1]["p50"], got[1]["p90"]) == (100, 0.5, 0.5, 0.9)
+    assert (got[0]["n"], got[0]["p10"], got[0]["p90"], got[0]["brier"]) == (1, 0.25, 0.25, 0.0625)
+    values = spark.createDataFrame([("a", v) for v in [3] * 5 + [1] * 4 + [7]], "k string, v long")
+    at = lambda n: stats.ranked_percentile(values, "v", ["k"], F.lit(n)).collect()
+    assert [[(r["k"], r["n"], r["v"]) for r in at(n)] for n in (-1, 3, 4, 8, 9, 50)] == [[("a", 10, v)] for v in (1, 1, 3, 3, 7, 7)]
+
+
+def test_archives_and_media(spark):
+    def archive(name: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, "x")
+        return out.getvalue()
+
+    cases = [
+        ("a.docx", archive("word/document.xml"), "docx", False), ("a.xlsx", archive("word/document.xml"), "docx", True), ("a.csv", archive("xl/workbook.xml"), "xlsx", False), ("a.txt", archive("ppt/x"), "pptx", True),
+        ("a.zip", archive("readme"), "zip", False), ("a.docx", b"PK\x03\x04broken", "zip", False), ("a.heic", b"\0\0\0\x18ftypmif1\0", "heic", False), ("a.png", b"\0\0\0\x18ftypavif\0", "avif", False),
+        ("a.mp4", b"\0\0\0\x18ftypisom\0", "unknown", False), ("a.webp", b"RIFF\0\0\0\0WEBPVP8 ", "webp", False), ("salary.txt", b"\x89PNG\r\n\x1a\n\0", "png", True), ("a.jpg", b"\x89PNG\r\n\x1a\n\0", "png", False), ("a.txt", None, "text", False),
+    ]
+    rows = spark.createDataFrame([(f"/{n}/{name}", data) for n, (name, data, _, _) in enumerate(cases)], "path string, content binary")
+    got = files.inspected(rows).select("name", "kind", "mismatch").collect()
+    assert sorted(map(tuple, got)) == sorted((n, k, m) for n, _, k, m in cases)
+
+
+def test_policy_files(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "policy.yaml"
+    assert [r.name for r in policy.load(str(path))] == ["default_allow"]
+    path.write_text("policies:\n  - {name: late, action: allow, when: always, priority: 900}\n  - name: early\n    action: block\n    priority: 5\n    when:\n      any:\n        - {'risk >=': 60}\n")
+    good = policy.load(str(path))
+    assert [(r.name, r.action, r.priority) for r in good] == [("early", "block", 5), ("late", "allow", 900)] and good[0].when == {"any": [{"risk >=": 60}]}
+    for bad in ("policies: [{name: x, action: stop, when: always}]", "policies: [{action: allow, when: always}]", "policies: 3", "a: [", "policies: [{name: x, action: allow, when: always, priority: 1001}]"):
+        path.write_text(bad)
+        assert policy.load(str(path), good) == good
+        with pytest.raises(Exception):
+            policy.load(str(path))
