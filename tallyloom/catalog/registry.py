@@ -25,6 +25,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             body = sql.strip()
             if views:
                 head = sql_views(*views)
+                if body.upper().startswith("WITH RECURSIVE "):
+                    head, body = head.replace("WITH ", "WITH RECURSIVE ", 1), "WITH " + body[15:]
                 body = f"{head}, {body[5:]}" if body.upper().startswith("WITH ") else f"{head} {body}"
             SQL[name] = body
         return f

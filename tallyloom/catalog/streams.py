@@ -9,24 +9,53 @@ from ..sources import jsonl
 from ..streaming import metrics, state
 from .registry import QUERIES, SQL, query
 
+RL = ("request_log",)
+
 
 def _timed(t):
     return t("request_log").select("key_name", "provider", F.unix_timestamp("ts").alias("t"), "id", (F.col("status_code") >= 500).alias("failed"), F.when(F.col("id") % 5 != 0, F.col("id") % 4).alias("level"))
 
 
-@query("token_bucket")
+def _walk(key: str, start: str, step: str) -> str:
+    """SQL that walks each key's events e in time order from the state r: start gives the first state's columns, step the next one's, out last."""
+    events = f"SELECT {key} AS k, CAST(epoch(ts) AS DOUBLE) AS t, id, status_code >= 500 AS failed, CASE WHEN id % 5 <> 0 THEN id % 4 END AS level, CASE WHEN provider = 'local' AND model = 'base' THEN CAST(1 AS DOUBLE) WHEN model = 'fast' THEN 2 ELSE 0 END AS rpm, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS n FROM request_log"
+    return f"WITH RECURSIVE e AS MATERIALIZED ({events}), r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, {start} FROM e UNION ALL {step}) SELECT id, out FROM r WHERE n > 0"
+
+
+_NEXT = "FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1"
+_RATE = f"CAST({0.05 / 60!r} AS DOUBLE)"
+_ONE = "CAST(1 AS DOUBLE)"
+_BUCKETS = f"""SELECT k, n, id, CASE WHEN a >= 1 THEN a - 1 ELSE a END, t, CASE WHEN a < 1 THEN old_b WHEN b >= 1 THEN b - 1 ELSE b END,
+    CASE WHEN a < 1 THEN old_at ELSE t END, CASE WHEN a < 1 THEN 'rps' WHEN b >= 1 THEN 'ok' ELSE 'rpm' END
+    FROM (SELECT e.k, e.n, e.id, e.t, least({_ONE}, r.a + greatest(0, e.t - r.a_at)) AS a, least({_ONE}, r.b + greatest(0, e.t - r.b_at) * {_RATE}) AS b, r.b AS old_b, r.b_at AS old_at {_NEXT})"""
+_BREAKER = f"""SELECT k, n, id,
+    CASE WHEN was = 'closed' AND c >= 5 OR was = 'half_open' AND failed THEN 'open' WHEN was = 'half_open' AND c >= 2 THEN 'closed' ELSE was END AS name,
+    CASE WHEN was = 'closed' AND c >= 5 OR was = 'half_open' AND (failed OR c >= 2 OR old_c IS NULL) THEN t ELSE since END,
+    CASE WHEN was = 'closed' AND c < 5 OR was = 'half_open' AND NOT failed AND c < 2 THEN c ELSE 0 END,
+    CASE WHEN was = 'closed' AND failed AND old_c = 0 THEN t ELSE first END, name
+    FROM (SELECT *, CASE was WHEN 'open' THEN 0 WHEN 'closed' THEN old_c + CASE WHEN failed THEN 1 ELSE 0 END ELSE coalesce(old_c, 0) + CASE WHEN failed THEN 0 ELSE 1 END END AS c
+    FROM (SELECT e.k, e.n, e.id, e.t, e.failed, r.since, r.first, CASE WHEN r.name = 'open' AND e.t - r.since >= 3600 THEN 'half_open' ELSE r.name END AS was,
+    CASE WHEN r.name = 'open' THEN NULL WHEN r.name = 'closed' AND e.t - r.first > 86400 THEN 0 ELSE r.c END AS old_c {_NEXT}))"""
+_LIMITED = f"""SELECT k, n, id, CASE WHEN rpm > 0 AND a >= 1 THEN a - 1 ELSE a END, t, CASE WHEN rpm = 0 OR a >= 1 THEN CAST(1 AS BIGINT) ELSE 0 END
+    FROM (SELECT e.k, e.n, e.id, e.t, e.rpm, least(e.rpm, r.a + greatest(0, e.t - r.used) * (e.rpm / 60)) AS a {_NEXT})"""
+_STICKY = f"""SELECT k, n, id, CASE WHEN now >= 2 THEN now WHEN held > 0 THEN tier ELSE 0 END, CASE WHEN now >= 2 THEN t ELSE used END, now
+    FROM (SELECT *, greatest(coalesce(level, held), held) AS now
+    FROM (SELECT e.k, e.n, e.id, e.t, e.level, r.tier, r.used, CASE WHEN r.tier >= 2 AND e.t - r.used <= 3600 THEN r.tier ELSE 0 END AS held {_NEXT}))"""
+
+
+@query("token_bucket", _walk("key_name", f"{_ONE} AS a, CAST(0 AS DOUBLE) AS a_at, {_ONE} AS b, CAST(0 AS DOUBLE) AS b_at, '' AS out", _BUCKETS), RL)
 def _(t):
     return state.fold(_timed(t), "key_name", [], state.two_buckets(1, 0.05), "string")
 
 
-@query("breaker_fsm")
+@query("breaker_fsm", _walk("provider", "'closed' AS name, CAST(0 AS DOUBLE) AS since, 0 AS c, CAST(0 AS DOUBLE) AS first, '' AS out", _BREAKER), RL)
 def _(t):
     return state.fold(_timed(t), "provider", ["failed"], state.breaker(window=86400, recovery=3600), "string")
 
 
-@query("sticky_tier")
+@query("sticky_tier", _walk("key_name", "CAST(0 AS BIGINT) AS tier, CAST(0 AS DOUBLE) AS used, CAST(0 AS BIGINT) AS out", _STICKY), RL)
 def _(t):
-    return state.fold(_timed(t), "key_name", ["level"], state.sticky_tier(3600), "long")
+    return state.sticky_tiers(_timed(t), "key_name", 3600)
 
 
 def _windowed(spark, sf_dir):
@@ -63,7 +92,7 @@ def _(t):
     return pieces.select("conv_id", "turn", F.size("pieces").alias("n"), F.sha2(F.array_join("pieces", "\n"), 256).alias("digest"))
 
 
-@query("model_rpm_bucket")
+@query("model_rpm_bucket", _walk("concat_ws('/', provider, model)", "CAST(2 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS used, CAST(0 AS BIGINT) AS out", _LIMITED), RL)
 def _(t):
     """Requests under the limit of their provider and model, a bucket for each pair; the first enabled limit that names it counts."""
     limits = t("keys").sparkSession.sql("SELECT * FROM (VALUES (1, 'external/fast', 0, true), (2, 'local/base', 1, true), (3, 'fast', 2, true), (4, 'external/pro', 1, false)) AS t(position, name, rpm, enabled)")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -137,3 +137,24 @@ def sticky_tier(ttl: float) -> Step:
         return ((now, t) if now >= 2 else (tier if held else 0, last)), now
 
     return step
+
+
+def sticky_tiers(rows: DataFrame, key: str, ttl: float, chunk: int = 86400) -> DataFrame:
+    """sticky_tier over a table (key, t, id, level), with windows only: id and out for each row.
+
+    Uses of a key that follow each other within ttl share the highest level so far, once that is 2 or more. Windows
+    run within chunks of time, so that one key's rows are spread; what a chunk hands on is one row for each key and chunk.
+    """
+    rows = rows.select(F.col(key).alias("key"), F.floor(F.col("t") / chunk).alias("chunk"), "t", "id", "level")
+    within, over = Window.partitionBy("key", "chunk").orderBy("t", "id"), Window.partitionBy("key").orderBy("chunk")
+    rows = rows.withColumn("near", F.lag("t").over(within))
+    rows = rows.withColumn("part", F.count_if(F.col("t") - F.col("near") > ttl).over(within)).drop("near")
+    rows = rows.withColumn("top", F.max("level").over(Window.partitionBy("key", "chunk", "part").orderBy("t", "id")))
+    edges = rows.groupBy("key", "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("part").alias("cuts"), F.max_by("top", F.struct("t", "id")).alias("tail"))
+    edges = edges.withColumn("linked", F.coalesce(F.col("first") - F.lag("last").over(over) <= ttl, F.lit(False)))
+    edges = edges.withColumn("run", F.count_if(~F.col("linked") | (F.col("cuts") > 0)).over(over))
+    edges = edges.withColumn("held", F.max("tail").over(Window.partitionBy("key", "run").orderBy("chunk")))
+    edges = edges.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), F.when(F.col("linked"), F.lag("held").over(over)).alias("carry"))
+    both = rows.join(edges, F.col("key").eqNullSafe(F.col("_key")) & F.col("chunk").eqNullSafe(F.col("_chunk")))
+    top = F.greatest("top", F.when(F.col("part") == 0, F.col("carry")))
+    return both.select("id", F.when(top >= 2, top).otherwise(F.greatest(F.coalesce("level", F.lit(0)), F.lit(0))).cast("long").alias("out"))

@@ -77,6 +77,18 @@ def test_machines():
     assert run(state.sticky_tier(10), [(0, 1, 1), (1, 2, 3), (5, 3, None), (14, 4, 1), (30, 5, 1)]) == [1, 3, 3, 3, 1]
 
 
+def test_sticky_tiers_equal_the_machine(spark):
+    import random
+
+    random.seed(7)
+    rows = [(random.choice(["a", "b", None]), random.randrange(0, 400), i, random.choice([None, -1, 0, 1, 1, 2, 3])) for i in range(400)]
+    rows = spark.createDataFrame(rows, "k string, t long, id long, level long")
+    for ttl, chunk in ((2, 7), (5, 20), (1, 1000), (60, 3)):
+        want = sorted(map(tuple, state.fold(rows, "k", ["level"], state.sticky_tier(ttl), "long").collect()))
+        assert sorted(map(tuple, state.sticky_tiers(rows, "k", ttl, chunk).collect())) == want
+    assert state.sticky_tiers(rows.limit(0), "k", 5).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(k, float(i % 7), i) for i in range(60) for k in ("a", "b")], "k string, t double, id long").withColumn("id", F.col("id") * 2 + (F.col("k") == "b").cast("int"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
