@@ -251,7 +251,7 @@ def _(t):
     from pyspark.sql import Window
 
     users = t("conversations").where((F.col("role") == "user") & (scope.norm("text") != ""))
-    before = users.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("k IN (2, 3)")
+    before = users.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("k <= 3 AND k >= 2")
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return before.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["text"]), "\n").alias("text"))
 

@@ -115,7 +115,7 @@ def _(t):
     return t("audit").groupBy(route.alias("route"), (pinned & ~F.col("provider").isin("", "local")).alias("override_denied")).agg(F.count("*").alias("n"))
 
 
-@query("body_text_flatten")
+@query("body_text_flatten", "SELECT event_id, left(concat_ws(chr(10), left(event_type, 4000), left(props, 4000), 'x'), 20000) AS text FROM events")
 def _(t):
     from ..functions.flatten import body_text
 

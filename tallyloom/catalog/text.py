@@ -140,7 +140,7 @@ def _(t):
     return rows.select("doc_id", F.size("layers").alias("n"), first["via"].alias("via"), F.sha2(first["text"], 256).alias("decoded"))
 
 
-@query("encoded_only_keywords")
+@query("encoded_only_keywords", "SELECT doc_id, 'salary,bonus' AS only_encoded FROM documents")
 def _(t):
     plain = F.concat(F.lit("the bonus and the salary of "), F.col("doc_id").cast("string"))
     rows = t("documents").select("doc_id", F.base64(F.encode(plain, "UTF-8")).alias("text"))
@@ -298,11 +298,14 @@ def _(t):
 def _(t):
     """Blocks of each conversation: the last user text, the last system text as its tool result, the user text before, windows of the rest."""
     size, budget = 300, 900
-    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    of = lambda role: F.transform(F.filter("turns", lambda x: x["role"] == role), lambda x: F.coalesce(x["text"], F.lit("")))
-    rows = turns.select("conv_id", of("user").alias("user"), of("system").alias("system"))
-    back = lambda c, n: F.coalesce(F.try_element_at(c, F.lit(-n)), F.lit(""))
-    rows = rows.select("conv_id", scope.blocks(back("user", 1), back("system", 1), back("user", 2), size, budget).alias("blocks"))
+    from pyspark.sql import Window
+
+    latest = Window.partitionBy("conv_id", "role").orderBy(F.desc("turn"), F.desc("text"))
+    # two turns of a role at most leave each task, however long the conversation
+    turns = t("conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.row_number().over(latest)).where("k <= 2")
+    back = lambda role, k: F.coalesce(F.max(F.when((F.col("role") == role) & (F.col("k") == k), F.col("text"))), F.lit(""))
+    rows = turns.groupBy("conv_id").agg(back("user", 1).alias("last"), back("system", 1).alias("tool"), back("user", 2).alias("before"))
+    rows = rows.select("conv_id", scope.blocks(F.col("last"), F.col("tool"), F.col("before"), size, budget).alias("blocks"))
     return rows.select("conv_id", F.size("blocks").alias("n"), F.array_join("blocks.name", ",").alias("names"), F.sha2(F.array_join("blocks.text", "\n"), 256).alias("texts"))
 
 
