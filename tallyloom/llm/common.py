@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder made with new_path that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder: later reads survive lost executors."""
     shared_dir(df.sparkSession)

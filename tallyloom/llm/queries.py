@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, packing, pii, quality, quality_rules, simhash, token_output, toxicity, warc
+from . import decontaminate, html_extract, licenses, packing, periodic_runs, pii, quality, quality_rules, simhash, token_output, toxicity, vector_codes, warc
 from .common import new_path, read_table
 from .tokens import default_vocabulary
 
@@ -55,12 +55,41 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_quality, op4_token_files, op5_toxicity, op6_simhash, op7_quality_rules, op8_warc, op9_decontamination, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_best_fit_packing,
+        op3_quality,
+        op4_token_files,
+        op5_toxicity,
+        op6_simhash,
+        op7_quality_rules,
+        op8_warc,
+        op9_decontamination,
+        op10_pii,
+        op11_vector_codes,
+        op12_licenses,
+        op13_periodic_runs,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": quality_rules.SQL,
     "op8_warc": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_licenses": licenses.SQL,
 }

@@ -16,6 +16,9 @@ COLUMNS = {
     "op7": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
 
@@ -25,12 +28,12 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.columns == COLUMNS[name.split("_")[0]]
     rows = df.collect()
-    source = "pages" if name.startswith(("op1_", "op8_")) else "documents"
+    source = "pages" if name.startswith(("op1_", "op8_")) else "embeddings" if name.startswith("op11_") else "documents"
     n = spark.read.parquet(f"{SMALL}/{source}.parquet").count()
     assert len(rows) >= n if name.startswith("op2_") else len(rows) == n
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "labels", "pages"):
+        for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
         got = con.execute(ORACLE_SQL[name])
         order = [c[0] for c in got.description]
