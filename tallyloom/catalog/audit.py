@@ -235,22 +235,6 @@ def _(t):
     return audit.asof_sticky(t("audit").where("client_ip <> ''"), F.col("action") == "route_local", 86400, "client_ip").select("id", "sticky")
 
 
-@query(
-    "asof_tainted_file",
-    """WITH f AS (SELECT * FROM audit WHERE filename <> ''), x AS (SELECT a.id, max(b.ts) AS m_at FROM f a JOIN f b ON a.token_masked = b.token_masked AND a.filename = b.filename AND b.local_flag AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 3 DAY GROUP BY 1)
-    SELECT id, strftime(m_at, '%Y-%m-%d %H:%M:%S') AS tainted_at FROM x""",
-    AU,
-)
-def _(t):
-    from pyspark.sql import Window
-
-    files = t("audit").where("filename <> ''")
-    seconds = F.unix_timestamp("ts")
-    w = Window.partitionBy("token_masked", "filename").orderBy(seconds).rangeBetween(-3 * 86400, -1)
-    marked = files.withColumn("at", F.max(F.when(F.col("local_flag"), F.col("ts"))).over(w))
-    return marked.where("at IS NOT NULL").select("id", scope.stamp(F.col("at")).alias("tainted_at"))
-
-
 _OLD = "SELECT * FROM (VALUES ('a', 1, 'allow', 'x'), ('b', 2, 'block', 'y'), ('c', 3, 'block', 'z'), ('d', 4, 'allow', 'w')) AS t(name, priority, action, body)"
 _NEW = "SELECT * FROM (VALUES ('a', 1, 'allow', 'x'), ('b', 5, 'block', 'y'), ('c', 3, 'allow', 'z'), ('e', 6, 'block', 'v')) AS t(name, priority, action, body)"
 

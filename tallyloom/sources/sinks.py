@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+KINDS = ("accepted", "late", "invalid")
+_COUNTS = "n long, accepted long, late long, invalid long, latest double"
+
 
 def normalized(rows: DataFrame, defaults: dict[str, object], cuts: dict[str, int]) -> DataFrame:
     """Nulls become defaults, long strings are cut."""
@@ -34,6 +37,42 @@ def append_stream(rows: DataFrame, path: str, dead: str, valid: Callable[[], Col
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
+def checked_stream(rows: DataFrame, path: str, valid: Callable[[], Column], lateness: float, checkpoint: str) -> StreamingQuery:
+    """Append a stream's rows (ts and others) with what is wrong with them counted by cause; every row is kept somewhere.
+
+    path/rows/batch=N/kind=accepted, late (its time lies over lateness seconds before the latest of the batches before; the column
+    behind has the seconds) or invalid; path/counts/batch=N has n, accepted, late, invalid and the latest time of valid rows.
+    The counts come from the one pass that writes. The watermark is read from the batches before N, so a repeated batch decides and writes the same again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = latest_before(spark, path, number)
+        seconds = F.col("ts").cast("double")
+        behind = F.lit(before).cast("double") - lateness - seconds
+        ok = F.coalesce(valid() & F.col("ts").isNotNull(), F.lit(False))
+        kind = F.when(~ok, "invalid").when(F.coalesce(behind > 0, F.lit(False)), "late").otherwise("accepted")
+        seen = Observation()
+        count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+        tagged = batch.withColumn("kind", kind).withColumn("behind", F.when(F.col("kind") == "late", behind))
+        tagged = tagged.observe(seen, F.count(F.lit(1)).alias("n"), *map(count, KINDS), F.max(F.when(F.col("kind") != "invalid", seconds)).alias("latest"))
+        tagged.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows/batch={number}")
+        got = seen.get
+        spark.createDataFrame([tuple(got[c] for c in ("n", *KINDS, "latest"))], _COUNTS).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """batch, n, accepted, late, invalid, latest of a checked stream."""
+    return spark.read.schema(f"{_COUNTS}, batch long").option("basePath", f"{path}/counts").parquet(f"{path}/counts")
+
+
+def latest_before(spark: SparkSession, path: str, number: int) -> float | None:
+    """The latest time of the batches before one; none for the first."""
+    return counts(spark, path).where(F.col("batch") < number).agg(F.max("latest")).first()[0] if number else None
+
+
 def purge(rows: DataFrame, before: str, out: str) -> int:
     """Write what isn't older than before to another folder; the number of rows left out."""
     cut = F.lit(before).cast("timestamp")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,26 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def materialized(rows: DataFrame) -> DataFrame:
+    """rows from a reliable checkpoint in the shared folder: partitions and their order stay as they are when read again."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "state"))
+    return rows.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store, which machines with timers need, for the streams that are started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with an event time that a watermark accepts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -1,55 +1,163 @@
-"""Per-key state machines over events in time order: token bucket, circuit breaker, sticky tier.
+"""Per-key state machines over events in time order: token bucket, circuit breaker, sticky tier, recently tainted files.
 
-Each machine is a pure step (state, event) -> (state, output). fold() runs it over a table: rows are dealt by key and
-sorted, and each task walks its partition with one key's state in hand, so a key of any size needs constant memory.
-stream() runs the same step over a stream with the state kept by Spark.
+Each machine is a pure step (state, event) -> (state, output). fold() runs it over a table, stream() over a stream.
+
+fold() deals rows by ranges of (key, time, id), so that a hot key is spread over many tasks. A task that begins in the middle of a key needs
+the state that the one before it ends with. States are small and there is one such key for each task, so the driver chains them: every
+task's last key is walked from no state, then those tasks again whose entry turned out another, until none does. A machine that comes to
+the same state from different entries (a bucket that was full, a breaker that was closed) needs one or two turns; a machine that can
+combine an entry with what a task did (tainted files) needs none.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .metrics import LATENESS, materialized
 
 Step = Callable[[tuple | None, tuple], tuple[tuple, object]]
+Combine = Callable[[tuple | None, tuple | None], tuple | None]
+_TAIL = "chunk int, first string, last string, state binary"
 
 
-def fold(rows: DataFrame, key: str, columns: list[str], step: Step, out: str) -> DataFrame:
-    """key, id and out for each row; columns: what the step sees, in (t, id) order. Rows with a null key are one key."""
+def _walk(step: Step, entries: dict[int, tuple | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """id and out for every row of the sorted chunks; a chunk's first key begins with its entry."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, started = None, None, False
+        chunk, key, state = None, None, None
         for batch in batches:
             made = []
             for row in batch.itertuples(index=False):
-                if not started or row[0] != now:
-                    now, state, started = row[0], None, True
-                state, value = step(state, tuple(row[1:]))
+                if row[0] != chunk:
+                    chunk, key, state = row[0], row[1], entries.get(row[0])
+                elif row[1] != key:
+                    key, state = row[1], None
+                state, value = step(state, tuple(row[2:]))
                 made.append(value)
             yield pd.DataFrame({"id": batch["id"], "out": made})
 
-    picked = rows.select(F.col(key).alias("key"), "t", "id", *columns)
-    return picked.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, f"id long, out {out}")
+    return run
 
 
-def stream(rows: DataFrame, key: str, columns: list[str], step: Step, out: str, state: str) -> DataFrame:
-    """The streaming form; events of one micro-batch are taken in time order."""
+def _tails(step: Step, entries: dict[int, tuple | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """First and last key of each chunk and the state that the last one ends with; only the last key's rows are walked."""
 
-    def run(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else None
-        events = pd.concat(list(batches)).sort_values(["t", "id"], kind="stable")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, first, key, state = None, None, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if chunk is None:
+                chunk, first = int(batch["chunk"].iloc[0]), batch["key"].iloc[0]
+                key, state = first, entries.get(chunk)
+            last = batch["key"].iloc[-1]
+            if last != key:
+                key, state = last, None
+            own = batch[(batch["key"] == last).to_numpy()]
+            for row in own.itertuples(index=False):
+                state, _ = step(state, tuple(row[2:]))
+        if chunk is not None:
+            yield pd.DataFrame({"chunk": [chunk], "first": [first], "last": [key], "state": [pickle.dumps(state)]})
+
+    return run
+
+
+def entries_of(dealt: DataFrame, step: Step, combine: Combine | None = None) -> dict[int, tuple | None]:
+    """The state that each chunk's first key begins with, for the chunks that begin in the middle of a key."""
+    tails: dict[int, Row] = {}
+    known: dict[int, tuple | None] = {}
+
+    def walked(chunks: list[int] | None) -> None:
+        rows = dealt if chunks is None else dealt.where(F.col("chunk").isin(chunks))
+        for row in rows.mapInPandas(_tails(step, dict(known)), _TAIL).collect():  # one row for each task
+            tails[row["chunk"]] = row
+
+    walked(None)
+    while True:
+        now: dict[int, tuple | None] = {}
+        before = None
+        for chunk in sorted(tails):
+            tail = tails[chunk]
+            state = pickle.loads(tail["state"])
+            if before is not None and before[0] == tail["first"]:
+                now[chunk] = before[1]
+                if combine is not None and tail["first"] == tail["last"]:
+                    state = combine(now[chunk], state)
+            before = (tail["last"], state)
+        if combine is not None:
+            return now
+        # a chunk that ends with another key than it began with ends with the same state whatever its entry
+        again = [c for c, state in now.items() if known.get(c) != state and tails[c]["first"] == tails[c]["last"]]
+        known = now
+        if not again:
+            return now
+        walked(again)
+
+
+def fold(rows: DataFrame, key: str, columns: list[str], step: Step, out: str, combine: Combine | None = None, tasks: int | None = None) -> DataFrame:
+    """key, id and out for each row; columns: what the step sees, in (t, id) order. Rows with a null key are one key."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    picked = rows.select(name.alias("key"), "t", "id", *columns)
+    order = ["key", "t", "id"]
+    ranged = picked.repartitionByRange(tasks, *order) if tasks else picked.repartitionByRange(*order)
+    dealt = materialized(ranged.sortWithinPartitions(*order).select(F.spark_partition_id().alias("chunk"), *picked.columns))
+    return dealt.mapInPandas(_walk(step, entries_of(dealt, step, combine)), f"id long, out {out}")
+
+
+class Machine(StatefulProcessor):
+    """A step over a stream. The state is freed by an event-time timer, ttl seconds after the key's last event."""
+
+    def __init__(self, step: Step, columns: list[str], ttl: float | None):
+        self.step, self.columns, self.ttl = step, columns, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state binary, last double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
+        state, last = None, None
+        if self.held.exists():
+            packed, last = self.held.get()
+            state = pickle.loads(packed)
         made = []
-        for row in events[["t", "id", *columns]].itertuples(index=False):
-            now, value = step(now, tuple(row))
+        for event in events[["t", "id", *self.columns]].itertuples(index=False):
+            state, value = self.step(state, tuple(event))
             made.append(value)
-        held.update(now)
+        now = max(float(events["t"].iloc[-1]), last if last is not None else float("-inf"))
+        self.held.update((pickle.dumps(state), now))
+        if self.ttl is not None:
+            if last is not None:
+                self.handle.deleteTimer(self._due(last))
+            self.handle.registerTimer(self._due(now))
         yield pd.DataFrame({"id": events["id"], "out": made})
 
-    picked = rows.select(F.col(key).alias("key"), "t", "id", *columns)
-    return picked.groupBy("key").applyInPandasWithState(run, f"id long, out {out}", state, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+    def _due(self, t: float) -> int:
+        return int((t + self.ttl) * 1000) + 1
+
+
+def stream(rows: DataFrame, key: str, columns: list[str], step: Step, out: str, ttl: float | None = None, lateness: str = LATENESS) -> DataFrame:
+    """id and out for each row of a stream; the events of one micro-batch are taken in time order, those behind the watermark are left out.
+
+    ttl: seconds after which a machine without events is as one that has none (a full bucket, a tier no longer held); its
+    state is then freed. Without it states stay. Needs the RocksDB state store (see stateful).
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    picked = rows.select(name.alias("key"), "t", "id", *columns, F.timestamp_seconds("t").alias("at")).withWatermark("at", lateness)
+    return picked.groupBy("key").transformWithStateInPandas(Machine(step, columns, ttl), f"id long, out {out}", "Append", "EventTime")
 
 
 def token_bucket(rate: float, capacity: float) -> Step:
@@ -97,34 +205,93 @@ def two_buckets(rps: float, rpm: float) -> Step:
     return step
 
 
+def retry(step_rate: float, capacity: float) -> Step:
+    """Seconds to wait, 0 where a token was there. State: (tokens, time)."""
+    take = token_bucket(step_rate, capacity)
+
+    def step(state: tuple | None, event: tuple) -> tuple[tuple, int]:
+        state, got = take(state, event)
+        return state, 0 if got else max(1, int((1 - state[0]) / max(step_rate, 1e-9)))
+
+    return step
+
+
+def limiter(rps: float, rpm: float, files_rpm: float) -> Step:
+    """What each event (t, id, scope) gets: "ok 0", or the bucket that refuses it and the seconds to wait.
+
+    Uploads (scope files) have one bucket, other requests one for each second and one for each minute; both must have a token, and a
+    refusal by the second one has used up the first one's. A rate of 0 is no limit. A key of the fold is one identity in one scope.
+    """
+
+    def step(state: tuple | None, event: tuple) -> tuple[tuple, str]:
+        limits = [("files_rpm", files_rpm / 60, files_rpm)] if event[2] == "files" else [("rps", rps, rps), ("rpm", rpm / 60, rpm)]
+        held = list(state) if state else [None] * len(limits)
+        for k, (name, rate, capacity) in enumerate(limits):
+            if capacity > 0:
+                held[k], wait = retry(rate, capacity)(held[k] or (capacity, float(event[0])), event)
+                if wait:
+                    return tuple(held), f"{name} {wait}"
+        return tuple(held), "ok 0"
+
+    return step
+
+
 def breaker(failures: int = 5, window: float = 60, recovery: float = 30, successes: int = 2) -> Step:
-    """State after each event (t, id, failed): closed, open or half_open. State: (name, since, count, first failure)."""
+    """State after each event (t, id, failed): closed, open or half_open. State: (name, opened at, successes while half open, times of failures).
+
+    It opens where so many failures lie within the sliding window. Failures while it is open count too and move the opening; those of the
+    probes while it is half open reopen it and don't count. A success while it is closed forgets all failures once the first one has left
+    the window, and so does closing. No more than `failures` times are kept: the older ones decide nothing.
+    """
 
     def step(state: tuple | None, event: tuple) -> tuple[tuple, str]:
         t, failed = float(event[0]), bool(event[2])
-        name, since, count, first = state if state else ("closed", t, 0, t)
-        if name == "open" and t - since >= recovery:
-            name, since, count = "half_open", t, 0
-        if name == "closed":
-            if count and t - first > window:
-                count = 0
+        name, opened, good, times = state or ("closed", 0.0, 0, ())
+        if name == "open" and t - opened >= recovery:
+            name, good = "half_open", 0
+        if name == "half_open":
             if failed:
-                first = first if count else t
-                count += 1
-                if count >= failures:
-                    name, since, count = "open", t, 0
-        elif name == "half_open":
-            if failed:
-                name, since, count = "open", t, 0
+                name, opened, good = "open", t, 0
             else:
-                count += 1
-                if count >= successes:
-                    name, since, count = "closed", t, 0
-        return (name, since, count, first), name
+                good += 1
+                if good >= successes:
+                    name, opened, good, times = "closed", 0.0, 0, ()
+        elif failed:
+            times = tuple(x for x in (*times, t) if t - x <= window)[-failures:]
+            if len(times) >= failures:
+                name, opened = "open", t
+        elif name == "closed" and times and t - times[0] > window:
+            times = ()
+        return (name, opened, good, times), name
 
     return step
 
 
+def tainted_files(ttl: float, most: int = 200) -> tuple[Step, Combine]:
+    """For each event (t, id, mention, tainted): time and name of the tainted file that mention means, as "seconds name"; null for none.
+
+    The newest `most` different names of a key count, for ttl seconds after they were last tainted. A mention means a name that it ends
+    with or that ends with it; of several the one tainted last. A row that taints (its mention is a file's name) is looked up before. Names
+    are trimmed and lower-cased; empty ones and those over 256 characters are neither looked up nor kept. State: (name, time), newest first.
+    """
+
+    def step(state: tuple | None, event: tuple) -> tuple[tuple, str | None]:
+        held, t = state or (), float(event[0])
+        name = event[2].strip().lower() if isinstance(event[2], str) else ""
+        if not name or len(name) > 256:
+            return held, None
+        found = next((f"{int(at)} {x}" for x, at in held if t - at <= ttl and (name.endswith(x) or x.endswith(name))), None)
+        if event[3]:
+            held = ((name, t), *(x for x in held if x[0] != name and t - x[1] <= ttl))[:most]
+        return held, found
+
+    def combine(entry: tuple | None, own: tuple | None) -> tuple:
+        names = {x for x, _ in own or ()}
+        return ((own or ()) + tuple(x for x in entry or () if x[0] not in names))[:most]
+
+    return step, combine
+
+
 def sticky_tier(ttl: float) -> Step:
     """Effective tier of (t, id, level): at least the tier of the last use within ttl where that was 2 or more."""
 

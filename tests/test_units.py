@@ -2,6 +2,7 @@
 
 import io
 import random
+import shutil
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import decoding, inspection, scope
 from tallyloom.operators import curation, evaluation, stats, suggest
 from tallyloom.plans import policy
-from tallyloom.sources import files
+from tallyloom.sources import files, sinks
 from tallyloom.streaming import metrics, state
 
 
@@ -74,6 +75,17 @@ def test_machines():
     fails = [(t, t, True) for t in range(5)]
     assert run(state.breaker(), [*fails, (10, 6, False), (40, 7, False), (41, 8, False)]) == ["closed"] * 4 + ["open", "open", "half_open", "closed"]
     assert run(state.breaker(), [*fails, (40, 6, True)])[-1] == "open"
+    # the window slides: five failures within 60 seconds at 63
+    assert run(state.breaker(), [(t, t, True) for t in (0, 50, 59, 61, 62, 63)]) == ["closed"] * 5 + ["open"]
+    # a failure while open counts and moves the opening: not half open at 35
+    assert run(state.breaker(), [*fails, (20, 6, True), (35, 7, False), (50, 8, False)]) == ["closed"] * 4 + ["open"] * 3 + ["half_open"]
+    # a late success forgets all failures, recent ones too
+    assert run(state.breaker(), [(0, 1, True), *((59, i, True) for i in range(2, 5)), (61, 5, False), (62, 6, True), (63, 7, True)])[-1] == "closed"
+    # a failing probe reopens it and doesn't count
+    assert run(state.breaker(), [*fails, (34, 6, True), (35, 7, False), (64, 8, False), (65, 9, False)])[5:] == ["open", "open", "half_open", "closed"]
+    wait = state.limiter(1, 1, 3)
+    assert run(wait, [(0, 1, "default"), (0, 2, "default"), (30, 3, "default"), (60, 4, "default")]) == ["ok 0", "rps 1", "rpm 30", "ok 0"]
+    assert run(wait, [(0, k, "files") for k in range(4)]) == ["ok 0"] * 3 + ["files_rpm 20"] and run(state.limiter(0, 0, 0), [(0, 1, "x"), (0, 2, "files")]) == ["ok 0"] * 2
     assert run(state.sticky_tier(10), [(0, 1, 1), (1, 2, 3), (5, 3, None), (14, 4, 1), (30, 5, 1)]) == [1, 3, 3, 3, 1]
 
 
@@ -89,13 +101,90 @@ def test_sticky_tiers_equal_the_machine(spark):
     assert state.sticky_tiers(rows.limit(0), "k", 5).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(k, float(i % 7), i) for i in range(60) for k in ("a", "b")], "k string, t double, id long").withColumn("id", F.col("id") * 2 + (F.col("k") == "b").cast("int"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+def walked(step, rows, key):
+    """id and out of each row by one walk over each key."""
+    held, out = {}, []
+    for row in sorted(rows, key=lambda r: (r["t"], r["id"])):
+        held[row[key]], value = step(held.get(row[key]), tuple(v for k, v in row.items() if k != key))
+        out.append((row["id"], value))
+    return sorted(out)
+
+
+def test_hot_keys_are_walked_in_many_tasks(spark):
+    rng = random.Random(11)
+    t, rows = 0.0, []
+    for i in range(1500):
+        t += rng.choice([0, 1, 1, 2, 30]) if i % 200 else 90
+        rows.append({"k": rng.choice(["hot"] * 8 + ["b", None]), "t": t, "id": i, "failed": rng.random() < (0.8 if i // 150 % 2 else 0.1)})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "k string, t double, id long, failed boolean").repartition(5)
+    for step, out in ((state.breaker(3, 60, 30, 2), "string"), (state.limiter(1, 4, 2), "string"), (state.token_bucket(0.01, 50), "long")):
+        for tasks in (1, 9, 40):
+            got = state.fold(df, "k", ["failed"], step, out, tasks=tasks)
+            assert sorted(map(tuple, got.collect())) == walked(step, rows, "k")
+    assert state.fold(df.limit(0), "k", ["failed"], state.breaker(), "string").count() == 0
+
+
+def test_tainted_files(spark):
+    rng = random.Random(5)
+    names = ["a.csv", "aa.csv", "xaa.csv", "csv", "b.xlsx", "帮我b.xlsx", " B.XLSX ", "long" * 70, "", None]
+    rows = [{"k": rng.choice(["hot"] * 4 + ["b"]), "t": rng.randrange(300), "id": i, "mention": rng.choice(names), "tainted": rng.random() < 0.3} for i in range(600)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "k string, t long, id long, mention string, tainted boolean")
+    clean = lambda x: (x or "").strip().lower() if len((x or "").strip()) <= 256 else ""
+    for ttl, most in ((40, 3), (1000, 2), (25, 200)):
+        want = []
+        for r in rows:
+            before = [x for x in rows if x["k"] == r["k"] and x["tainted"] and clean(x["mention"]) and (x["t"], x["id"]) < (r["t"], r["id"])]
+            last = {clean(x["mention"]): (x["t"], x["id"]) for x in sorted(before, key=lambda x: (x["t"], x["id"]))}
+            kept = sorted(((at, n) for n, at in last.items()), reverse=True)[:most]
+            me = clean(r["mention"])
+            hits = [(at, n) for at, n in kept if me and r["t"] - at[0] <= ttl and (me.endswith(n) or n.endswith(me))]
+            want.append((r["id"], f"{hits[0][0][0]} {hits[0][1]}" if hits else None))
+        step, combine = state.tainted_files(ttl, most)
+        for tasks in (2, 13):
+            assert sorted(map(tuple, state.fold(df, "k", ["mention", "tainted"], step, "string", combine, tasks).collect())) == sorted(want)
+        # without the combination the same by walking again
+        assert sorted(map(tuple, state.fold(df, "k", ["mention", "tainted"], step, "string", tasks=6).collect())) == sorted(want)
+
+
+def test_stream_goes_on_after_a_restart_and_frees_its_state(spark, tmp_path):
+    rows = [{"k": k, "t": 100.0 + i // 2, "id": 2 * i + (k == "b")} for i in range(60) for k in ("a", "b")]
     step = state.token_bucket(0.5, 3)
-    batch = sorted(map(tuple, state.fold(rows, "k", [], step, "long").collect()))
-    live = state.stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", [], step, "long", "tokens double, t double")
-    assert sorted(map(tuple, metrics.drained(live, "append").collect())) == batch
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+
+    def feed(part):
+        """Adds rows and runs the stream from its checkpoint until they are done; the state rows that are left."""
+        spark.createDataFrame([tuple(r.values()) for r in part], "k string, t double, id long").coalesce(1).write.mode("append").parquet(source)
+        live = state.stream(spark.readStream.schema("k string, t double, id long").parquet(source), "k", [], step, "long", ttl=6, lateness="2 seconds")
+        with metrics.stateful(spark):
+            q = live.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            q.awaitTermination()
+        return q.lastProgress.stateOperators[0].numRowsTotal
+
+    assert feed(rows[:50]) > 0
+    feed([r for r in rows[50:]])
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == walked(step, rows, "k")
+    # far later all timers are due: only the new key has state
+    one = feed([{"k": "c", "t": 1000.0, "id": 1000}])
+    last = feed([{"k": "c", "t": 9000.0, "id": 1001}])
+    assert spark.read.parquet(out).count() == len(rows) + 2 and last <= one
+    assert last <= 2
+
+
+def test_checked_stream_counts_every_row(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    portions = [[(1, 100.0, 1), (2, None, 1), (3, 50.0, 1)], [(4, 89.0, 1), (5, 90.0, 1), (6, 200.0, None), (7, 300.0, 1)], [(8, 289.0, 1), (9, 10.0, -1)], [(10, 291.0, 1)]]
+    for k, part in enumerate(portions):
+        spark.createDataFrame(part, "id long, t double, v long").select("id", F.timestamp_seconds("t").alias("ts"), "v").coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema("id long, ts timestamp, v long").parquet(source)
+        sinks.checked_stream(live, out, lambda: F.col("v") > 0, 10, str(tmp_path / "checkpoint")).awaitTermination()
+        if k == 1:
+            # a repeated batch decides and writes the same again
+            shutil.rmtree(tmp_path / "checkpoint" / "commits", ignore_errors=True)
+            sinks.checked_stream(live, out, lambda: F.col("v") > 0, 10, str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted(tuple(r[c] for c in ("batch", "n", "accepted", "late", "invalid", "latest")) for r in sinks.counts(spark, out).collect())
+    assert got == [(0, 3, 2, 0, 1, 100.0), (1, 4, 2, 1, 1, 300.0), (2, 2, 0, 1, 1, 289.0), (3, 1, 1, 0, 0, 291.0)]
+    kept = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+    assert {(r["id"], r["kind"], r["behind"]) for r in kept.where("kind <> 'accepted'").collect()} == {(2, "invalid", None), (4, "late", 1.0), (6, "invalid", None), (8, "late", 1.0), (9, "invalid", None)}
 
 
 def test_checks(spark):
