@@ -115,9 +115,22 @@ def _(t):
     return t("audit").groupBy(route.alias("route"), (pinned & ~F.col("provider").isin("", "local")).alias("override_denied")).agg(F.count("*").alias("n"))
 
 
-@query("body_text_flatten", "SELECT event_id, left(concat_ws(chr(10), left(event_type, 4000), left(props, 4000), 'x'), 20000) AS text FROM events")
+# The n-th string is begun only while fewer than 20,000 characters stand before it.
+_BODY = "[CAST(e.event_type AS VARCHAR), e.props, '', d.text, d.text, d.lang, left(d.text, 50), d.text, d.text, d.text, d.source]"
+
+
+@query(
+    "body_text_flatten",
+    f"""WITH b AS (SELECT d.doc_id, [left(x, 4000) for x in {_BODY}] AS parts FROM documents d JOIN events e ON e.event_id = d.doc_id),
+    k AS (SELECT doc_id, parts[i] AS x, i FROM b, range(1, 12) AS t(i) WHERE coalesce(list_sum([length(y) for y in parts[1 : i - 1]]), 0) < 20000 AND parts[i] <> '')
+    SELECT doc_id, CAST(sum(length(x)) + count(*) - 1 AS BIGINT) AS n, sha256(string_agg(x, ' ' ORDER BY i)) AS digest FROM k GROUP BY doc_id""",
+)
 def _(t):
+    """Bodies of documents with the events of their numbers: strings in lists and maps down to the fourth level."""
     from ..functions.flatten import body_text
 
-    body = F.to_json(F.struct(F.col("event_type").alias("a"), F.array(F.col("props"), F.lit("x")).alias("b")))
-    return t("events").select("event_id", body_text(body).alias("text"))
+    both = t("documents").join(t("events").select(F.col("event_id").alias("doc_id"), "event_type", "props"), "doc_id")
+    inner = F.struct(F.array("text", "text").alias("messages"), F.struct("lang", F.array(F.left("text", F.lit(50))).alias("head")).alias("meta"))
+    body = F.to_json(F.struct("event_type", F.array(F.col("props"), F.lit("")).alias("list"), inner.alias("inner"), F.array("text", "text", "text").alias("rest"), "source"))
+    rows = both.select("doc_id", body_text(body).alias("text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))

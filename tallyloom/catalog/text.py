@@ -131,22 +131,45 @@ def _(t):
     return rows.select("doc_id", F.size("found").alias("n_findings"), inspection.total(F.col("found")).alias("weighted"), inspection.total(F.col("hits")).alias("keyword_score"), inspection.risk(F.col("found"), F.col("hits")).alias("risk"))
 
 
-@query("decode_layers")
+def _base64(text):
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "\r\n", "")  # in one line
+
+
+_CODED = "CASE doc_id % 4 WHEN 0 THEN to_base64(encode(text)) WHEN 1 THEN lower(hex(encode(text))) WHEN 2 THEN concat(left(text, 200), ' ', to_base64(encode(left(text, 90))), chr(10), hex(encode(right(text, 40))), ' ', to_base64(encode(left(text, 90)))) ELSE text END"
+
+
+@query(
+    "decode_layers",
+    f"""WITH c AS (SELECT doc_id, {_CODED} AS coded FROM documents), l AS MATERIALIZED (SELECT doc_id, {decoding.decoded_sql("coded")} AS layers FROM c)
+    SELECT doc_id, CAST(len(layers) AS INT) AS n, array_to_string(list_transform(layers, lambda x: x.via), ',') AS via, sha256(array_to_string(list_transform(layers, lambda x: x.text), chr(10))) AS decoded FROM l""",
+)
 def _(t):
-    plain = F.encode("text", "UTF-8")
-    coded = F.when(F.col("doc_id") % 3 == 0, F.base64(plain)).when(F.col("doc_id") % 3 == 1, F.hex(plain)).otherwise(F.col("text"))
+    """Whole texts in base64, in hex, coded pieces among words, and plain texts."""
+    some = F.concat(F.left("text", F.lit(200)), F.lit(" "), _base64(F.left("text", F.lit(90))), F.lit("\n"), F.hex(F.encode(F.right("text", F.lit(40)), "UTF-8")), F.lit(" "), _base64(F.left("text", F.lit(90))))
+    kind = F.col("doc_id") % 4
+    coded = F.when(kind == 0, _base64(F.col("text"))).when(kind == 1, F.lower(F.hex(F.encode("text", "UTF-8")))).when(kind == 2, some).otherwise(F.col("text"))
     rows = t("documents").select("doc_id", decoding.decoded(coded).alias("layers"))
-    first = F.try_element_at("layers", F.lit(1))
-    return rows.select("doc_id", F.size("layers").alias("n"), first["via"].alias("via"), F.sha2(first["text"], 256).alias("decoded"))
+    return rows.select("doc_id", F.size("layers").alias("n"), F.array_join("layers.via", ",").alias("via"), F.sha2(F.array_join("layers.text", "\n"), 256).alias("decoded"))
+
+
+_HIDDEN = "concat(to_base64(encode(concat(left(text, 60), CASE doc_id % 3 WHEN 0 THEN ' the salary 工资' WHEN 1 THEN ' bonus and salary' ELSE '' END))), '. ', right(text, 300), CASE WHEN doc_id % 2 = 0 THEN ' salary' ELSE '' END)"
+_HITS = lambda x: f"list_filter(words, lambda w: strpos({x}, w) > 0 OR strpos(regexp_replace({x}, '\\s+', '', 'g'), w) > 0)"
 
 
-@query("encoded_only_keywords", "SELECT doc_id, 'salary,bonus' AS only_encoded FROM documents")
+@query(
+    "encoded_only_keywords",
+    f"""WITH c AS (SELECT doc_id, {_HIDDEN} AS coded, [{", ".join(f"'{w}'" for ws in inspection.KEYWORDS.values() for w in ws)}] AS words FROM documents),
+    l AS MATERIALIZED (SELECT doc_id, coded, words, array_to_string(list_transform({decoding.decoded_sql("coded")}, lambda y: y.text), chr(10)) AS inside FROM c)
+    SELECT doc_id, array_to_string(list_filter({_HITS("inside")}, lambda w: NOT list_contains({_HITS("coded")}, w)), ',') AS only_encoded FROM l""",
+)
 def _(t):
-    plain = F.concat(F.lit("the bonus and the salary of "), F.col("doc_id").cast("string"))
-    rows = t("documents").select("doc_id", F.base64(F.encode(plain, "UTF-8")).alias("text"))
-    names = lambda c: F.transform(inspection.keyword_hits(c), lambda x: x["name"])
-    inside = F.array_join(F.transform(decoding.decoded(F.col("text")), lambda x: x["text"]), "\n")
-    rows = rows.select("doc_id", "text", inside.alias("inside"))
+    """Keywords that only the coded part of a text has."""
+    word = F.when(F.col("doc_id") % 3 == 0, " the salary 工资").when(F.col("doc_id") % 3 == 1, " bonus and salary").otherwise("")
+    coded = _base64(F.concat(F.left("text", F.lit(60)), word))
+    text = F.concat(coded, F.lit(". "), F.right("text", F.lit(300)), F.when(F.col("doc_id") % 2 == 0, " salary").otherwise(""))
+    names = lambda c: F.transform(F.filter(inspection.keyword_hits(c), lambda x: ~x["name"].isin(*inspection.RISK_RULES)), lambda x: x["name"])
+    rows = t("documents").select("doc_id", text.alias("text"))
+    rows = rows.select("doc_id", "text", F.array_join(F.transform(decoding.decoded(F.col("text")), lambda x: x["text"]), "\n").alias("inside"))
     return rows.select("doc_id", F.array_join(F.array_except(names(F.col("inside")), names(F.col("text"))), ",").alias("only_encoded"))
 
 

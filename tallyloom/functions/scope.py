@@ -139,9 +139,9 @@ def csv_guard(c: Column) -> Column:
 
 
 def windows(text: Column, size: int, most: Column, start: int = 0) -> Column:
-    """Pieces of size characters from start on: all of them, or most of them spread evenly with the first and the last."""
+    """Pieces of size characters from start on: all of them, or most of them spread evenly with the first and the last; of one, the last."""
     n = F.greatest(F.ceil((F.length(text) - start) / size), F.lit(0)).cast("int")
-    spread = F.when(most < 2, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(1))), lambda i: F.bround(i * (n - 1) / (most - 1), 0).cast("int"))))
+    spread = F.when(most < 2, F.array(n - 1)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(1))), lambda i: F.bround(i * (n - 1) / (most - 1), 0).cast("int"))))
     every = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     places = F.when(most < 1, F.array().cast("array<int>")).when(n <= most, every).otherwise(spread)
     return F.transform(places, lambda i: F.substring(text, i * size + start + 1, F.lit(size)))
@@ -149,12 +149,12 @@ def windows(text: Column, size: int, most: Column, start: int = 0) -> Column:
 
 def blocks(last: Column, tool: Column, before: Column, size: int, budget: int, most: int = 5) -> Column:
     """What a second classifier sees of a conversation (name, text): the last user text, never cut by the budget; the tool result's
-    head and the tail of the user text before while the budget lasts; then windows of the last user text beyond its first piece."""
+    head and the tail of the user text before while the budget lasts (0: no limit); then windows of the last user text beyond its first piece."""
     part = lambda name, text: F.struct(F.lit(name).alias("name"), F.trim(text).alias("text"))
 
     def add(acc: Column, x: Column) -> Column:
         n = F.length(x["text"])
-        fits = (n > 0) & (F.size(acc["out"]) < most) & ((x["name"] == "last_user") | (acc["used"] + n <= budget))
+        fits = (n > 0) & (F.size(acc["out"]) < most) & (F.lit(budget <= 0) | (x["name"] == "last_user") | (acc["used"] + n <= budget))
         used = acc["used"] + F.when(x["name"] == "last_user", 0).otherwise(n)
         return F.when(fits, F.struct(used.alias("used"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
 

@@ -1,14 +1,17 @@
 """Literal cases of pricing, rules, state machines, scales and checks."""
 
+import base64
 import io
 import random
+import re
 import shutil
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import decoding, inspection, scope
+from tallyloom.functions import changes, decoding, inspection, scope
 from tallyloom.operators import curation, evaluation, stats, suggest
 from tallyloom.plans import policy
 from tallyloom.sources import files, sinks
@@ -190,9 +193,41 @@ def test_checked_stream_counts_every_row(spark, tmp_path):
 def test_checks(spark):
     rows = spark.createDataFrame([("4111111111111111",), ("4111111111111112",)], "c string")
     assert [r[0] for r in rows.select(inspection.luhn(F.col("c"))).collect()] == [True, False]
-    assert decoding.decode_layers("x " + "aGVsbG8gd29ybGQsIHRoaXMgaXMgYSB0ZXN0" + " y") == [("hello world, this is a test", "base64")]
-    assert decoding.decode_layers("aGVsbG8gd29ybGQsIHRo\naXMgaXMgYSB0ZXN0")[0] == ("hello world, this is a test", "base64")
-    assert decoding.decode_layers("68656c6c6f20776f726c64212121212121") == [("hello world!!!!!!", "hex")]
+
+
+def test_decoded_layers_equal_plain_python(spark):
+    """Random mixes of coded pieces and noise against the rules in plain Python."""
+
+    def plain(text):
+        found = []
+        tried = []
+        for run in re.findall(r"[A-Za-z0-9+/= \t\n\x0b\f\r]{24,}", text):
+            whole = "".join(run.split())
+            tried += [(x, "base64") for x in (whole, *(w.lstrip("=") for w in run.split() if w.lstrip("=") != whole)) if x]
+        tried += [(x, "hex") for x in re.findall("[0-9a-fA-F]{32,}", text)]
+        for x, via in tried[:256]:
+            try:
+                if via == "hex":
+                    y = bytes.fromhex(x).decode()
+                elif len(x) >= 16 and len(x) % 4 == 0 and re.fullmatch("[A-Za-z0-9+/]+={0,2}", x):
+                    y = base64.b64decode(x, validate=True).decode()
+                else:
+                    continue
+            except ValueError:
+                continue
+            if y not in [z for z, _ in found] and len(found) < 8:
+                found.append((y, via))
+        return found
+
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("ab c工é\n") for _ in range(rng.randint(8, 40)))
+    code = lambda: rng.choice([lambda x: base64.b64encode(x).decode(), lambda x: x.hex(), lambda x: x.hex().upper(), lambda x: base64.b64encode(x + b"\xff").decode(), lambda x: base64.encodebytes(x * 4).decode(), lambda x: x.hex() + "a"])(text().encode())
+    noise = lambda: rng.choice([" ", ". ", "\n", "word ", "==", "abcdefgh" * 4, "工", text()])
+    cases = ["".join(rng.choice([code, noise])() for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    cases += ["", "aGVsbG8gd29ybGQsIHRo\naXMgaXMgYSB0ZXN0", "68656c6c6f20776f726c64212121212121", " ".join("QUFBQUFBQUFBQUFBQUFBQQ%02d" % (k % 90) for k in range(400))]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(cases)] + [(-1, None)], "k long, t string")
+    got = {r["k"]: [tuple(x) for x in r["d"]] for r in rows.select("k", decoding.decoded(F.col("t")).alias("d")).collect()}
+    assert got.pop(-1) == [] and [got[k] for k in range(len(cases))] == [plain(x) for x in cases]
 
 
 def test_key_tiebreak_of_dimensions(spark):
@@ -263,22 +298,91 @@ def test_decoded_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in QUERIES["decode_layers"](spark, "/root/testdata/sf0.001").collect()}
     for i, text in texts.items():
-        if i % 3 < 2 and len(text) >= 16:
-            assert got[i]["via"] == ("base64", "hex")[i % 3] and got[i]["decoded"] == hashlib.sha256(text.encode()).hexdigest()
+        if i % 4 < 2 and len(text) >= 24:
+            assert got[i]["via"] == ("base64", "hex")[i % 4] and got[i]["decoded"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_changes_leave_the_rest_as_it_was():
+    """What lies outside the changed stretches stands in the old text, in order; what was put in lies inside."""
+    rng = random.Random(1)
+    words = ["alpha", "beta", "x", "。", "工资", " ", "\n", "the"]
+
+    def check(old, new):
+        spans, at, place = changes.changed(old, new), 0, 0
+        for a, b in [*spans, (len(new), len(new))]:
+            assert at <= a <= b <= len(new)
+            place = old.index(new[at:a], place) + a - at
+            at = b
+        return spans
+
+    for _ in range(1500):
+        old = "".join(rng.choice(words) for _ in range(rng.randint(0, 60)))
+        new = old
+        for k in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(new))
+            new = new[:i] + rng.choice(["", f"Q{k}Q", " zz ", "alpha"]) + new[min(len(new), i + rng.randint(0, 5)) :]
+        spans = check(old, new)
+        for m in re.finditer(r"Q\dQ", new):
+            assert any(a <= m.start() and m.end() <= b for a, b in spans)
+    assert check("same", "same") == [] and check("a b c", "a b") == [(3, 3)] and check("", "new") == [(0, 3)]
+    unit = "one repeated line of text\n"
+    old = unit * (150_000 // len(unit))
+    began = time.time()
+    assert len(check(old, old[:40_000] + "CHANGE" + old[40_000:90_000] + old[90_100:])) == 2
+    assert time.time() - began < 1
+    hostile = ["".join(rng.choice("abc ") for _ in range(150_000)) for _ in range(2)]
+    began = time.time()
+    check(*hostile)
+    assert time.time() - began < 10
+
+
+def pieces_by_loop(old, new, piece, most):
+    """The pieces from the changed stretches in plain Python."""
+    old, new = old or "", new or ""
+    if old == new:
+        return []
+    spans = None
+    if old and len(old) + len(new) <= changes.COMPARED:
+        spans = []
+        for a, b in changes.changed(old, new):
+            a, b = max(0, a - 100), min(len(new), b + 100)
+            if spans and a <= spans[-1][1]:
+                a, b = spans.pop()[0], max(b, a)
+            spans.append((a, b))
+    if spans is None or sum(b - a for a, b in spans) > piece * most:
+        n = -(-len(new) // piece)
+        at = range(n) if n <= most else sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
+        spans = [(k * piece, k * piece + piece) for k in at]
+    return [new[a:b][i : i + piece] for a, b in spans for i in range(0, len(new[a:b]), piece)][:most]
 
 
 def test_changed_pieces(spark):
-    from tallyloom.functions import changes
-
     old = "".join(f"line {i} of the text\n" for i in range(100))
     new = old.replace("line 20 of", "line twenty of").replace("line 80 of", "line eighty of")
-    found = changes.pieces(old, new)
-    assert len(found) == 2 and "twenty" in found[0] and "eighty" in found[1] and all(len(x) < 300 for x in found)
-    assert changes.pieces(old, old) == [] and changes.pieces(None, "short") == ["short"] and changes.pieces("a", None) == []
-    sample = changes.pieces(None, "".join(chr(97 + k % 26) * 1200 for k in range(10)))
-    assert [x[0] for x in sample] == ["a", "d", "g", "j"]
-    rows = spark.createDataFrame([(old, new), (old, old), (None, "x")], "a string, b string")
-    assert [r[0] for r in rows.select(F.size(changes.changed_pieces(F.col("a"), F.col("b")))).collect()] == [2, 0, 1]
+    rng = random.Random(4)
+    many = "".join(x if rng.random() < 0.9 else "changed\n" for x in old.splitlines(True))
+    cases = [(old, new), (old, old), (None, "x"), ("x", None), (None, None), (old, old[:500]), (old, many), (None, "".join(chr(97 + k % 26) * 1200 for k in range(10))), (new, "y" * 300 + old), ("short", "a" * 400_000)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], "k long, a string, b string")
+    for piece, most in ((1200, 4), (150, 3)):
+        got = {r[0]: r[1] for r in rows.select("k", changes.changed_pieces(F.col("a"), F.col("b"), piece, most)).collect()}
+        assert [got[k] for k in range(len(cases))] == [pieces_by_loop(a, b, piece, most) for a, b in cases]
+    found = {r[0]: r[1] for r in rows.select("k", changes.changed_pieces(F.col("a"), F.col("b"))).collect()}
+    assert len(found[0]) == 2 and "twenty" in found[0][0] and "eighty" in found[0][1] and [x[0] for x in found[7]] == ["a", "d", "g", "j"]
+
+
+def test_windows_and_body_texts(spark):
+    rows = spark.createDataFrame([("aaabbbcccddd",), ("ab",), ("",)], "t string")
+    of = lambda most, start=0: [r[0] for r in rows.select(scope.windows(F.col("t"), 3, F.lit(most), start)).collect()]
+    assert of(1) == [["ddd"], ["ab"], []] and of(2) == [["aaa", "ddd"], ["ab"], []] and of(3)[0] == ["aaa", "ccc", "ddd"] and of(0)[0] == [] and of(4, 3)[0] == ["bbb", "ccc", "ddd"]
+    assert [x["name"] for x in spark.createDataFrame([("l" * 50, "t" * 50, "h" * 50)], "l string, t string, h string").select(scope.blocks(F.col("l"), F.col("t"), F.col("h"), 40, 0)).first()[0]] == ["last_user", "tool", "history", "long_text"]
+    from tallyloom.functions import flatten
+
+    deep = ["x"]
+    for _ in range(7):
+        deep = [deep, "in"]
+    assert flatten.texts({"a": ["p", "", 3, None, {"b": "q"}], "c": "r"}) == ["p", "q", "r"]
+    assert flatten.texts(deep).count("in") == 6 and "x" not in flatten.texts(deep)
+    assert [len(x) for x in flatten.texts(["y" * 5000] * 9)] == [4000] * 5 and [len(x) for x in flatten.texts(["z" * 3999] * 9)] == [3999] * 6
 
 
 def test_scope_blocks(spark):
