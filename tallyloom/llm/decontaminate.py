@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialized
+from .common import let, materialized, quoted
 
 WINDOW = 13
 GRAM = 5
@@ -161,13 +161,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns.
+    """The rows of docs that aren't contaminated, with all their columns, whatever their names.
 
     Null and empty texts stay, rows that repeat stay or go together, an empty table gives no rows and an empty benchmark drops none.
     """
     bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("_id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
-    row_id, key = identity(F.col("doc_id"), _text())
-    return docs.join(bad, (row_id == F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")  # so that no column of docs clashes with those of bad
+    rows = docs.select(row, *identity(F.col("doc_id"), _text()))
+    kept = rows.join(bad, (F.col("_id") == F.col("_bad_id")) & (F.col("_key") == F.col("_bad_key")), "left_anti")
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 SQL = r"""

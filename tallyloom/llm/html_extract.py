@@ -1,19 +1,23 @@
 """Main text of web pages by tree scoring.
 
-Each paragraph (block of text) earns a point, one for each comma and up to three for its length. Its parent gets all
-of them, its grandparent half, further ancestors a share that falls with distance. A container's points are discounted by its link
-density, the best container is kept with those siblings that score well beside it, and
-boilerplate subtrees never count. A block that only its name or <form> makes boilerplate is lifted if it holds an
-article or over half of the page's text outside links; where nothing is left, names don't count. An article stays whole; articles beside it are kept
-if they have a fair share of its points. Work is linear in the page; nothing recurses.
+Each paragraph (block of text) earns a point, one for each comma and up to three for its length. Its parent gets all of them, its
+grandparent half, further ancestors a share that falls with distance, LEVELS of them in all. A container's points are discounted
+by its link density; the best container is kept with those siblings that score well beside it, and with the columns beside it or beside its
+ancestors that hold a container of like score. Boilerplate tags, roles and hidden subtrees never count.
+
+Class names and ids only speak for a block as whole words of a few kinds (_NAMED), a heading's, section's or list item's id never does but for a
+comment form's, and neither does a name that is the slug of the block's own heading. A named block goes, unless it holds an article or over half of
+the page's text outside links; inside an article it only goes if it is short or mostly links. Blocks of comments,
+adverts and the like (_ASIDE) only count where nothing else is left. An article stays whole; articles beside
+it are kept if they have a fair share of its points. Work is linear in the page; nothing recurses.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,88 +38,114 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 _P_SCOPE = frozenset(("button", "td", "th", "table", "object"))
 _BOILERPLATE = frozenset("nav footer aside button select svg math canvas object menu dialog input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|"
-    r"cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar(?:e|ing)\w*|social\w*|related(?!-\w)|related-(?:posts?|articles?|stories|links?|content|items?|news|reading|topics?)|recommend\w*|foot(?:er)?|masthead|pagination|pager|toolbar|"
-    r"skip\w*|widget\w*|disclaimer|copyright|hidden|sr-only)(?=$|[\s_-])",
-    re.I,
-)
-#: Of these names, the ones whose blocks are never lifted while other text is left: they hold articles and much text of their own.
-_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reader-?comments?|disqus\w*|respond|reply|replies|related\w*|recommend\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|hidden|sr-only)(?=$|[\s_-])", re.I)
-#: Names that say what a page has not, has beside its article or is about: they name no block.
-_OTHER_NAMES = re.compile(r"(?:no|not|non|without|with|has|category|cat|tag|topic)[_-]\S*|ad-?free", re.I)
-_COMMENT = re.compile(r"comments?|comment-\w+|reader-?comments?|reply|replies", re.I)
-_HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|topbar)(?=$|[\s_-])", re.I)
+_BEFORE = r"(?:(?:site|page|post|entry|main|top|bottom|left|right|global|article|blog|primary|secondary|mobile|desktop|block|section|content|inner|inline|user|reader|google|more|sub|js)[_-])*"
+_AFTER = r"(?:[_-](?:\d+|area|list|wrapper|wrap|container|box|block|bar|content|links?|menu|nav|slot|unit|banner|buttons?|icons?|panel|form|items?|inner|outer|left|right|top|bottom|row|col|group|widget|text|message|popup|modal|overlay|posts?|articles?|stories|news|reading|topics?|thread|notice|reply|only|signup|subscribe|subscription|prompt|cta|placeholder|label|toggle|trigger|consent|sidebar|heading|title|wrap|inner|body|meta))*"
+#: Words of class and id that name a block which isn't the article, with the usual words around them.
+_NAMED = re.compile(_BEFORE + r"(?:banners?|side-?bars?|menu|nav|navbar|navigation|breadcrumbs?|notices?|notifications?|alert|overlay|login|share|sharing|social|foot|footer|masthead|pagination|pager|toolbar|skip|widgets?|disclaimer|copyright|popup|modal)" + _AFTER, re.I)
+#: Of those, the ones whose blocks are never lifted while other text is left: they hold articles and much text of their own.
+_ASIDE = re.compile(_BEFORE + r"(?:ads?|adv|adverts?|advertisements?|advertising|adsense|sponsor|sponsored|promo|promos|promotion|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|related-(?:posts?|articles?|stories|links?|content|items?|news|reading|topics?)|related|recommended|recommendations|hidden|sr-only)" + _AFTER, re.I)
+_COMMENT = re.compile(r"comments?|comment-\w+|reader-?comments?|commentlist|disqus_thread|respond|reply|replies", re.I)
+_HEAD = re.compile(_BEFORE + r"(?:header|head|topbar)" + _AFTER, re.I)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Tags whose id is most often the slug of a heading.
+_SLUGS = frozenset((*_HEADINGS, "section", "li", "dt", "dd", "p", "tr", "figure", "article", "blockquote", "pre", "hgroup"))
+#: A named block inside an article is part of it from so many characters outside links on, if they are more than this share of its text.
+PROSE_CHARS, PROSE_SHARE = 300, 2 / 3
 #: Points that a container starts with.
 _START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 LEVELS = 6
 SIBLING_SHARE = 0.2
 #: Share of the best article's points, without what any article starts with, that makes an article beside it part of the page's text.
 ARTICLE_SHARE = 0.3
+#: Share of the best container's score that makes a container elsewhere a column of the same text.
+COLUMN_SHARE = 0.5
 PLAIN, NAMED, ASIDE, DROPPED = range(4)
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
-    """DROPPED for boilerplate, NAMED or (never lifted beside other text) ASIDE where only a name or <form> says so."""
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[int, str]:
+    """DROPPED for boilerplate, NAMED or (never lifted beside other text) ASIDE where only a name or <form> says so; and that name."""
     if tag in _BOILERPLATE or (tag == "header" and not in_article):
-        return DROPPED
-    kind = NAMED if tag == "form" else PLAIN
+        return DROPPED, ""
+    kind, named = (NAMED, "") if tag == "form" else (PLAIN, "")
     if not attrs or tag in ("html", "body", "main"):
-        return kind
+        return kind, named
     for name, a, b, c, bare in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if bare or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in _ROLES):
-            return DROPPED
+            return DROPPED, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return DROPPED
-        if name in ("class", "id"):
-            for word in value.split():
-                if _OTHER_NAMES.fullmatch(word) or (tag == "article" and not _COMMENT.fullmatch(word)):
-                    continue
-                if _NAMES.search(word) or (not in_article and _HEAD_NAMES.search(word)):
-                    kind = max(kind, ASIDE if _ASIDE_NAMES.search(word) else NAMED)
-    return kind if tag in _BLOCK or kind == PLAIN else DROPPED
+            return DROPPED, ""
+        if name not in ("class", "id") or tag in _HEADINGS:
+            continue
+        for word in value.split():
+            only_comments = tag == "article" or (name == "id" and (tag in _SLUGS or tag not in _BLOCK))
+            if only_comments and not _COMMENT.fullmatch(word):
+                continue
+            if _ASIDE.fullmatch(word):
+                kind, named = max((kind, named), (ASIDE, word))
+            elif _NAMED.fullmatch(word) or (not in_article and _HEAD.fullmatch(word)):
+                kind, named = max((kind, named), (NAMED, word))
+    return (kind if tag in _BLOCK or kind == PLAIN else DROPPED), named
+
+
+def _slug(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
 
 
-def _unnamed(tags: list[str], parents: list[int], named: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def _unnamed(tags: list[str], parents: list[int], named: list[int], names: list[str], inside: list[bool], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """The blocks outside named subtrees that aren't lifted; all if there are none."""
     if not any(named):
         return blocks
     n = len(tags)
-    size, article, out = [0] * n, [False] * n, [False] * n
+    size, whole, article, heading, out = [0] * n, [0] * n, [False] * n, [""] * n, [False] * n
     for owner, text, links in blocks:
         size[owner] += len(text) - links
-    for k in range(n - 1, 0, -1):
-        size[parents[k]] += size[k]
+        whole[owner] += len(text)
+        if tags[owner] in _HEADINGS and not heading[owner]:
+            heading[owner] = text
+    for k in range(n - 1, 0, -1):  # the first heading of a block comes last here
+        up = parents[k]
+        size[up] += size[k]
+        whole[up] += whole[k]
+        heading[up] = heading[k] or heading[up]
         if article[k] or (tags[k] in ("article", "main") and size[k] > 0):
-            article[parents[k]] = True
+            article[up] = True
     for k in range(1, n):
-        lifted = named[k] == NAMED and (article[k] or 2 * size[k] > size[0])
-        out[k] = out[parents[k]] or (named[k] > PLAIN and not lifted)
+        if named[k] == PLAIN:
+            out[k] = out[parents[k]]
+            continue
+        lifted = named[k] == NAMED and (article[k] or 2 * size[k] > size[0] or (inside[parents[k]] and size[k] >= PROSE_CHARS and size[k] > PROSE_SHARE * whole[k]))
+        own = names[k] and heading[k] and _slug(heading[k]) == _slug(names[k]) and not _COMMENT.fullmatch(names[k]) and size[k] > PROSE_SHARE * whole[k]
+        out[k] = out[parents[k]] or not (lifted or own)
     return [b for b in blocks if not out[b[0]]] or blocks
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks in page order joined by an empty line; empty if there is none."""
     page = page or ""
-    tags, parents, dropped, inside, named = ["#"], [-1], [False], [False], [PLAIN]  # nodes
+    tags, parents, dropped, inside, named, names = ["#"], [-1], [False], [False], [PLAIN], [""]  # nodes
     blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
-    stack, part, links, at = [0], [], 0, 0
-    opened: Counter[str] = Counter()  # open elements by tag, so that the stack is only searched for what is there
+    stack, owners, part, links, at = [0], [0], [], 0, 0
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places on the stack of the open elements of a tag
 
     def flush() -> None:
         nonlocal links
         if part:
             text = " ".join("".join(part).split())
             if text:
-                owner = next(n for n in reversed(stack) if n == 0 or tags[n] in _BLOCK)
-                blocks.append((owner, text, min(links, len(text))))
+                blocks.append((owners[-1], text, min(links, len(text))))
             part.clear()
         links = 0
 
+    def last(some: Iterable[str]) -> int:
+        """The place on the stack of the last open element with one of some tags; 0 for none."""
+        return max((opened[x][-1] for x in some if opened[x]), default=0)
+
     def pop_to(depth: int) -> None:
-        for n in stack[depth:]:
-            opened[tags[n]] -= 1
+        for n in reversed(stack[depth:]):
+            opened[tags[n]].pop()
+            if owners[-1] == n:
+                owners.pop()
         del stack[depth:]
 
     def say(text: str) -> None:
@@ -123,7 +153,7 @@ def extract(page: str | None) -> str:
         if text and not dropped[stack[-1]]:
             text = html.unescape(text) if "&" in text else text
             part.append(text)
-            if opened["a"] > 0:
+            if opened["a"]:
                 links += len(text.strip())
 
     while m := _TAG.search(page, at):
@@ -133,7 +163,7 @@ def extract(page: str | None) -> str:
         if not name:
             continue
         if m[1] or m[4]:
-            depth = opened[name] > 0 and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == name)
+            depth = last((name,))
             if depth:
                 if any(tags[n] in _BLOCK for n in stack[depth:]):
                     flush()
@@ -141,16 +171,12 @@ def extract(page: str | None) -> str:
             continue
         if name in _BLOCK:
             flush()
-            depth = opened["p"] > 0 and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == "p" or tags[stack[d]] in _P_SCOPE)
-            if depth and tags[stack[depth]] == "p":
+            if (depth := last(("p",))) > last(_P_SCOPE):
                 pop_to(depth)
         if name in _ENDS:
             ends, scope = _ENDS[name]
-            some = any(opened[x] > 0 for x in ends)
-            depth = some and next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] in ends or tags[stack[d]] in scope)
-            while depth and tags[stack[depth]] in ends:
+            while (depth := last(ends)) > last(scope - ends):
                 pop_to(depth)
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] in ends or tags[stack[d]] in scope), 0)
         if name in _RAW:
             end = _RAW[name].search(page, at)
             at = end.start() if end else len(page)
@@ -162,17 +188,19 @@ def extract(page: str | None) -> str:
         up, attrs = stack[-1], m[3] or m[6] or ""
         tags.append(name)
         parents.append(up)
-        article = name in ("article", "main")
-        kind = _boilerplate(name, attrs, inside[up])
+        kind, word = _boilerplate(name, attrs, inside[up])
         dropped.append(dropped[up] or kind == DROPPED)
         named.append(kind if kind < DROPPED else PLAIN)
-        inside.append(inside[up] or article)
+        names.append(word)
+        inside.append(inside[up] or name in ("article", "main"))
         if not attrs.endswith("/") or name not in ("path", "g", "use"):
+            opened[name].append(len(stack))
             stack.append(len(tags) - 1)
-            opened[name] += 1
+            if name in _BLOCK:
+                owners.append(len(tags) - 1)
     say(page[at:])
     flush()
-    return "\n\n".join(text for _, text, _ in _kept(tags, parents, _unnamed(tags, parents, named, blocks)))
+    return "\n\n".join(text for _, text, _ in _kept(tags, parents, _unnamed(tags, parents, named, names, inside, blocks)))
 
 
 def _kept(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -200,14 +228,22 @@ def _kept(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]
     best = max(range(n), key=lambda k: (score[k], -k))
     if score[best] < 0:
         return blocks
-    k = best  # an article stays whole
+    k, above, in_article = best, [best], False  # an article stays whole
     while k > 0:
         if tags[k] in ("article", "main"):
-            best = k
+            best, in_article = k, True
         k = parents[k]
+        above.append(k)
     keep = [False] * n
     keep[best] = True
     need = max(10.0, SIBLING_SHARE * score[best])
+    if not in_article:  # columns: what stands beside an ancestor and holds a container of like score
+        on_way, strong = set(above), [False] * n
+        for k in range(n - 1, 0, -1):
+            strong[k] = strong[k] or (score[k] >= COLUMN_SHARE * score[best] and 3 * linked[k] < size[k])
+            strong[parents[k]] = strong[parents[k]] or strong[k]
+        for k in range(1, n):
+            keep[k] = keep[k] or (strong[k] and k not in on_way and parents[k] in on_way and parents[k] != best)
     for k in range(1, n):
         if parents[k] == parents[best] and k != best:
             if tags[best] in ("article", "main"):  # other articles beside it, not what a main or an article stands beside

@@ -151,13 +151,11 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """
     least = materialized(_members(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("root").alias("_root")))
     roots = least.groupBy("_root").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"), F.min("_key").alias("_key"))
-    key = (F.col("doc_id").cast("long") == F.col("_id")) & (text_key() == F.col("_key"))
-    kept = docs.join(roots.where("_n = 1").select("_id", "_key"), key, "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")  # so that no column of docs clashes with those joined here
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    kept = rows.join(roots.where("_n = 1").select("_id", "_key"), ["_id", "_key"], "left_semi").select("_row").union(rows.where("_id IS NULL").select("_row"))
     repeated = least.join(roots.where("_n > 1").select("_root"), "_root").distinct()
-    if repeated.isEmpty():
-        return kept
-    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
-    rows = docs.where("doc_id IS NOT NULL").select(row, F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key")).join(repeated, ["_id", "_key"])
-    first = F.min_by("_row", F.struct(F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")), F.to_json("_row")))
-    one = rows.groupBy("_root").agg(first.alias("_row"))
-    return kept.unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
+    if not repeated.isEmpty():
+        first = F.min_by("_row", F.struct(F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")), F.to_json("_row")))
+        kept = kept.union(rows.where("_id IS NOT NULL").join(repeated, ["_id", "_key"]).groupBy("_root").agg(first.alias("_row")).select("_row"))
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -130,6 +130,11 @@ def test_html_sections_and_siblings():
     assert html_extract.extract(f"<article>{STORY}</article>{teaser}").count("short") == 0
 
 
+BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+RAW = set("script style textarea title noscript template iframe xmp noembed".split())
+
+
 class PlainTree(HTMLParser):
     """A second, plain version of tree scoring: a tree of dictionaries, scored by recursion from the definition."""
 
@@ -142,11 +147,11 @@ class PlainTree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         raw = self.get_starttag_text()[1 + len(tag) : -1]
-        if tag in html_extract._BLOCK and self.inside("p"):
+        if tag in BLOCKS and self.inside("p"):
             self.leave("p")
         if tag == "li" and self.inside("li", "ul", "ol"):
             self.leave("li")
-        if tag in html_extract._VOID:
+        if tag in VOID:
             if tag in ("br", "hr"):
                 self.handle_data(" ")
             return
@@ -173,12 +178,13 @@ class PlainTree(HTMLParser):
             self.leave(tag)
 
     def handle_data(self, data):
-        if self.at["tag"] not in html_extract._RAW:
+        if self.at["tag"] not in RAW:
             self.at["kids"].append(data)
 
 
 def plain_extract(page):
     root = PlainTree(page).root
+    START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "th": -5} | {f"h{k}": -5 for k in range(1, 7)}
     blocks = []  # (owner, text, characters in links)
 
     def walk(node, owner, dropped, article, link):
@@ -187,12 +193,12 @@ def plain_extract(page):
                 if not dropped:
                     part.append((owner, kid, link))
                 continue
-            block = kid["tag"] in html_extract._BLOCK
+            block = kid["tag"] in BLOCKS
             if block:
                 flush()
-            out = html_extract._boilerplate(kid["tag"], kid["attrs"], article)
-            kid["named"] = out
-            walk(kid, kid if block else owner, dropped or out == html_extract.DROPPED, article or kid["tag"] in ("article", "main"), link or kid["tag"] == "a")
+            kid["named"] = 'class="ad"' in kid["attrs"]  # the only name in these pages
+            out = kid["tag"] in ("nav", "footer", "aside", "button", "select", "svg") or (kid["tag"] == "header" and not article)
+            walk(kid, kid if block else owner, dropped or out, article or kid["tag"] in ("article", "main"), link or kid["tag"] == "a")
             if block:
                 flush()
 
@@ -209,13 +215,7 @@ def plain_extract(page):
     within = lambda n: [b for b in blocks if any(x is n for x in up(b[0]))]
     nodes = lambda n: [n, *(x for k in n["kids"] if not isinstance(k, str) for x in nodes(k))]
     size = lambda n: sum(len(t) - a for _, t, a in within(n))
-    whole = size(root)
-    gone = []
-    for n in nodes(root)[1:]:
-        if n["named"] in (html_extract.NAMED, html_extract.ASIDE):
-            holds = any(x["tag"] in ("article", "main") and size(x) > 0 for x in nodes(n)[1:])
-            if n["named"] == html_extract.ASIDE or not (holds or n["tag"] in ("article", "main") and size(n) > 0 or 2 * size(n) > whole):
-                gone.append(n)
+    gone = [n for n in nodes(root)[1:] if n["named"]]
     blocks = [b for b in blocks if not any(x is g for x in up(b[0]) for g in gone)] or blocks
     if not blocks:
         return ""
@@ -226,8 +226,8 @@ def plain_extract(page):
     def points(n):
         total = 0.0
         for owner, text, links in blocks:
-            first = owner if owner["tag"] in html_extract._START or owner is root or owner["tag"] == "body" else owner["up"]
-            for level, x in enumerate(up(first)[: html_extract.LEVELS]):
+            first = owner if owner["tag"] in START or owner is root or owner["tag"] == "body" else owner["up"]
+            for level, x in enumerate(up(first)[: 6]):
                 if x is n:
                     total += value(text, links) / (1, 2, 6, 9, 12, 15)[level]
         return total
@@ -237,7 +237,7 @@ def plain_extract(page):
         return sum(a for *_, a in inner) / max(1, sum(len(t) for _, t, _ in inner))
 
     every = nodes(root)
-    score = lambda n: (points(n) + html_extract._START.get(n["tag"], 0)) * (1 - density(n)) if points(n) > 0 else -1
+    score = lambda n: (points(n) + START.get(n["tag"], 0)) * (1 - density(n)) if points(n) > 0 else -1
     scores = [score(n) for n in every]
     best = every[max(range(len(every)), key=lambda k: (scores[k], -k))]
     if max(scores) < 0:
@@ -252,6 +252,12 @@ def plain_extract(page):
                     keep.append(n)
             elif score(n) >= max(10, 0.2 * top) or n["tag"] in ("p", "h1", "h2", "h3", "blockquote", "pre") and within(n) and density(n) < 0.25:
                 keep.append(n)
+    if not any(x["tag"] in ("article", "main") for x in up(best)):
+        above = up(best)
+        for n in every[1:]:
+            beside = any(n["up"] is x for x in above[1:]) and not any(n is x for x in above)
+            if beside and any(score(x) >= 0.5 * top and density(x) < 1 / 3 for x in nodes(n)):
+                keep.append(n)
     return "\n\n".join(t for o, t, _ in blocks if any(x is k for x in up(o) for k in keep))
 
 
@@ -264,6 +270,64 @@ def test_html_against_a_plain_version():
         assert html_extract.extract(page) == plain_extract(page or "")
 
 
+def prose(rng, n=1):
+    """Sentences that end as prose does."""
+    return " ".join("The " + " ".join(rng.choice(["river", "town,", "old", "bridge", "was", "built,", "under", "rain"]) for _ in range(18)) + "." for _ in range(n))
+
+
+def test_html_of_pages_built_from_known_parts():
+    """Pages whose article is known because they are built around it: wrappers, slugs of headings, columns, and what must go."""
+    rng = np.random.default_rng(12)
+    words = "navigation menu widgets sidebar banner notices alerts social-history copyright-law sharing footer login popup related-work promo-codes toolbar pagination header".split()
+    gone = [
+        '<div class="ad"><p>GONE</p></div>', '<div class="sidebar-left"><p>GONE, GONE</p><a href=x>GONE</a></div>', '<section class="comments-area"><h3>GONE</h3><p>GONE, as said, at length, and so on.</p></section>', "<nav><a href=x>GONE</a></nav>",
+        '<div id="cookie-consent">GONE</div>', '<aside><p>GONE</p></aside>', '<form><label>GONE</label><input></form>', "<script>var x = '<p>GONE</p>';</script>", '<div class="share-buttons"><a href=x>GONE</a><a href=y>GONE</a></div>',
+        '<div hidden><p>GONE</p></div>', '<div role="search"><p>GONE</p></div>', '<div class="newsletter-signup"><p>GONE</p></div>', '<!-- GONE -->', '<ul class="breadcrumbs"><li><a href=x>GONE</a></li></ul>', '<div class="related-posts"><a href=x>GONE</a></div>', '<div class="notice">GONE</div>',
+    ]
+    for case in range(150):
+        want, inner = [], []
+
+        def say(tag, text, attrs=""):
+            want.append(text)
+            return f"<{tag}{attrs}>{text}</{tag}>"
+
+        for k in range(int(rng.integers(3, 7))):
+            word = str(rng.choice(words))
+            part = say("h2", word.replace("-", " ").title(), f' id="{word}"') + "".join(say("p", prose(rng, 3)) for _ in range(2))
+            wrapper = rng.choice(["section", "div", "none"])
+            if wrapper == "section":
+                part = f'<section id="{word}">{part}</section>'
+            elif wrapper == "div":
+                part = f'<div class="part" id="{word}">{part}</div>'
+            inner.append(part)
+            if rng.random() < 0.5:
+                inner.append(str(rng.choice(gone)))
+        body = "".join(inner)
+        shell = case % 4
+        body = f"<main>{body}</main>" if shell == 0 else f'<div class="post"><article>{body}</article></div>' if shell == 1 else f'<div class="layout has-sidebar"><article class="post category-promo">{body}</article></div>' if shell == 2 else f'<form id="aspnetForm"><article>{body}</article></form>'
+        around = [str(x) for x in rng.choice(gone, 4)]
+        page = f"<html><body><header><p>GONE</p></header>{''.join(around[:2])}{body}{''.join(around[2:])}<footer>GONE</footer></body></html>"
+        assert html_extract.extract(page) == "\n\n".join(want), page
+
+
+def test_html_columns():
+    rng = np.random.default_rng(3)
+    left, right = prose(rng, 4), prose(rng, 4)
+    for page in (f"<div><div><p>{left}</p><p>{left}</p></div></div><div><div><p>{right}</p><p>{right}</p></div></div>", f"<div class=row><div class=col-6><p>{left}</p><p>{left}</p></div><div class=col-6><div><p>{right}</p><p>{right}</p></div></div></div>"):
+        assert html_extract.extract(f"<body><nav>menu</nav>{page}<div class=sidebar><p>{left}</p></div></body>").split("\n\n") == [left, left, right, right]
+    links = "".join(f"<li><a href=x>{prose(rng)}</a></li>" for _ in range(9))
+    assert html_extract.extract(f"<body><div><div><p>{left}</p><p>{left}</p></div></div><div><ul>{links}</ul></div></body>") == f"{left}\n\n{left}"
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<p><button>" + "<div>" * 100_000 + "x", "<li><ul>" * 50_000 + "x", "<b>" * 100_000 + "x<p>y" * 1000, "<table><tr><td>" * 40_000 + "x", "<a>" * 100_000 + "x</a>" * 50_000, "<div id=comments>" * 50_000 + "x"):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 4
+
+
 def test_html_long_comments_stay_out():
     talk = "<article><p>A reader says, at length, that this is great, and so on, and on.</p></article>" * 20
     assert html_extract.extract(f"<body><div><p>The story, as it was told, in short.</p></div><section id=comments>{talk}</section></body>") == "The story, as it was told, in short."
@@ -699,6 +763,18 @@ def test_drop_contaminated_by_id_and_text(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 7 and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("name", ["_id", "_key", "_root", "_n", "_row", "_bad_id", "_bad_key", "fp", "root", "component_id", "n_words", "a.b", "_salt", "_spread", "_c", "h", "item_id", "DOC_ID_2"])
+def test_stages_take_any_column_names(spark, name):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, item, 1), (2, "some other words", 2), (3, "some other words", 3), (3, "some other words", 4), (None, "no id here", 5)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns and sorted(r[name] for r in kept.collect()) == [1, 2, 5]
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r[name] for r in clean.collect()) == [2, 3, 4, 5]
+
+
 # -- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
