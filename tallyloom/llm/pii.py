@@ -2,16 +2,17 @@
 
 Four strict patterns give the base spans. Looser generators propose further, overlapping candidates: matches that
 fail a strict check, digit runs with any separators, national phone numbers, spelled-out mail addresses,
-spaced addresses of machines. Boosted trees over format and context features rank them. What makes a base span one
+spaced addresses of machines, and opaque strings that may be secrets (a kind of its own, without base spans). Boosted trees over format and context features rank them. What makes a base span one
 is masked there: a candidate inside a base span has the context of that span, so no "+" is seen; mail addresses show no sign
 for "at"; Luhn and octets are never features. All features are small integers, so the corpus is counted by
 feature pattern (at most PATTERNS of them) in one aggregation and the trees are fitted to those counts on the
 driver; they come back as CASE expressions.
 
-A threshold per kind is calibrated on a fifth of the documents, on the candidates that touch no base span, as only those can be
-added. Whether they are base spans says nothing about them; a witness does that the trees don't see, with a rate among
+A threshold per kind is calibrated on scores of trees that were fitted without the candidate's fifth of the documents, over the candidates that
+touch no base span, as only those can be added. Whether they are base spans says nothing about them; a witness does that the trees don't see, with a rate among
 real ones and a rate by chance: Luhn (1 and a tenth) for cards, octets (1 and 156 of 900 for each group of three digits)
-for machines, a private cue word before it (its rate among base spans and among other digit runs) for phones and mail. The
+for machines, a private cue word before it (its rate among base spans and among other digit runs) for phones and mail, a secret's name before it or an issuer's
+mark at its head (1 and the rate among the candidates below the threshold) for secrets. The
 share of real ones follows from the three rates; the lowest score where it is at least PRECISION by Wilson bounds is taken.
 
 Patterns are written with possessive repeats and \\G so that very long runs neither backtrack nor recurse. Work grows little
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import let, materialized, quoted
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
+BASE_KINDS = KINDS[:SECRET]
+FOLDS = 5
 PRECISION = 0.97
 TREES, RATE, PENALTY = 40, 0.3, 1.0
-FEATURES = {"kind": 4, "digits": 8, "groups": 5, "separator": 5, "before": 5, "after": 5, "cue": 3}
+FEATURES = {"kind": 5, "digits": 8, "groups": 5, "separator": 5, "before": 5, "after": 5, "cue": 3}
 PATTERNS = math.prod(FEATURES.values())
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -43,13 +46,19 @@ _BASE = {
     CARD: r"[0-9](?:[\x20-]?[0-9])++",
     PHONE: r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Letters, digits and a few signs without a break; a letter and a digit among them.
+_OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"
 #: Loose generators: kind (None: by the number of digits) and pattern.
 _LOOSE: tuple[tuple[int | None, str], ...] = (
     (None, r"[0-9](?:[\x20().\-/]{0,3}+[0-9])++"),
     (PHONE, r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     (IP, r"(?<![0-9.])[0-9]{1,3}\x20?\.\x20?[0-9]{1,3}\x20?\.\x20?[0-9]{1,3}\x20?\.\x20?[0-9]{1,3}(?![0-9])"),
     (EMAIL, rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]++)++"),
+    (SECRET, _OPAQUE),
 )
+# What stands before a secret, and marks that issuers put at its head.
+_NAMED = r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]?>?\s{0,2}[\"']?$"
+_MARKED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)"
 _PRIVATE = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|address|server|host|ip)\b[^0-9@]{0,12}$"
 _PUBLIC = r"(?i)(?:version|licen[sc]e|v\.?|isbn|no\.?|release|password|token|key|id)\b[^0-9@]{0,12}$"
 #: Chance that a random group of three digits (100 to 999) is at most 255, and that random digits pass the Luhn check.
@@ -150,17 +159,17 @@ def _guard(kind: int | None, text: Column) -> Column:
 
 def base_matches(text: Column) -> Column:
     """For each kind the matches of its base pattern (start, end, s), valid or not."""
-    return F.array(*(F.when(_guard(k, text), _found(text, _BASE[k])).otherwise(F.array().cast(_SPAN)) for k in range(4)))
+    return F.array(*(F.when(_guard(k, text), _found(text, _BASE[k])).otherwise(F.array().cast(_SPAN)) for k in range(SECRET)))
 
 
 def base_spans(matches: Column) -> Column:
-    """For each kind its base spans (start, kind, end), ordered and apart from each other."""
+    """For each kind its base spans (start, kind, end), ordered and apart from each other; secrets have none."""
 
     def of(k: int) -> Column:
         valid = F.filter(F.get(matches, F.lit(k)), lambda x: _valid(k, x["s"]))
         return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
 
-    return F.array(*map(of, range(4)))
+    return F.array(*map(of, range(SECRET)), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def _near(char: Column) -> Column:
@@ -173,13 +182,16 @@ def _features(kind: Column, s: Column, before: Column, after: Column, cue: Colum
     n = F.length(_digits(s))
     digits = F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 12, 3).when(n < 15, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7)
     groups = F.least(F.regexp_count(s, F.lit("[0-9]+")), F.lit(4))
-    separator = F.when(kind == EMAIL, 0).when(s.contains("("), 3).when(s.contains("."), 2).when(s.rlike("[ -]"), 1).when(s.contains("/"), 4).otherwise(0)
-    seen = F.when(kind.isin(EMAIL, PHONE), 0).otherwise(cue)  # their witness
+    letters = F.when(s.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 0).when(s.rlike("^[0-9A-Z]+$"), 1).when(s.rlike("^[0-9a-z]+$"), 2).when(s.rlike("^[0-9A-Za-z]+$"), 3).otherwise(4)
+    size = F.when(F.length(s) < 20, 0).when(F.length(s) < 32, 1).when(F.length(s) < 41, 2).when(F.length(s) < 65, 3).otherwise(4)
+    groups = F.when(kind == SECRET, size).otherwise(groups)
+    separator = F.when(kind == SECRET, letters).when(kind == EMAIL, 0).when(s.contains("("), 3).when(s.contains("."), 2).when(s.rlike("[ -]"), 1).when(s.contains("/"), 4).otherwise(0)
+    seen = F.when(kind.isin(EMAIL, PHONE, SECRET), 0).otherwise(cue)  # their witness
     return [kind, digits, groups, separator, _near(before), _near(after), seen]
 
 
 def candidates(text: Column, matches: Column, base: Column) -> Column:
-    """Loose candidates: start, end, f (array of features), hit (over a base span of the same kind), apart (touches no base span),
+    """Loose candidates: start, end, f (array of features), hit (over a base span of the same kind), apart (touches no base span; a secret: no mail address or machine),
     label (what the trees learn), valid (may be added), cue (a private one before it), trial (the witness can tell) and
     chance (that the witness speaks for a candidate that isn't real; 0 where that is measured).
     """
@@ -206,20 +218,23 @@ def candidates(text: Column, matches: Column, base: Column) -> Column:
             def at(c: Column) -> Column:
                 cue = F.when(c["context"].rlike(_PRIVATE), 2).when(c["context"].rlike(_PUBLIC), 1).otherwise(0)
                 f = F.array(*(v.cast("int") for v in _features(k, s, c["before"], _piece(text, chunks, end, F.lit(1)), cue)))
+                secret = c["context"].rlike(_NAMED) | s.rlike(_MARKED)
                 threes = F.regexp_count(s, F.lit("(?<![0-9])[1-9][0-9]{2}(?![0-9])"))
-                valid = F.when(k == CARD, _valid(CARD, s)).when(k == IP, _valid(IP, F.replace(s, F.lit(" "), F.lit("")))).otherwise(cue != 1)
-                label = F.when(k.isin(CARD, IP), valid).otherwise(first.isNotNull())
+                valid = F.when(k == CARD, _valid(CARD, s)).when(k == IP, _valid(IP, F.replace(s, F.lit(" "), F.lit("")))).when(k == SECRET, True).otherwise(cue != 1)
+                label = F.when(k.isin(CARD, IP), valid).when(k == SECRET, secret).otherwise(first.isNotNull())
                 trial = F.when(k == IP, threes > 0).when(k == CARD, F.length(_digits(s)).between(12, 19)).otherwise(True)
                 chance = F.when(k == CARD, _LUHN_CHANCE).when(k == IP, F.pow(F.lit(_OCTET), threes)).otherwise(0.0)
-                apart = ~F.exists(base, lambda spans: over(spans).isNotNull())
-                named = {"start": x["start"], "end": end, "f": f, "hit": first.isNotNull(), "apart": apart, "label": label, "valid": valid, "cue": cue == 2, "trial": trial, "chance": chance}
+                others = F.when(k == SECRET, F.slice(base, 1, 2)).otherwise(base)  # numbers inside a secret are part of it
+                apart = ~F.exists(others, lambda spans: over(spans).isNotNull())
+                named = {"start": x["start"], "end": end, "f": f, "hit": first.isNotNull(), "apart": apart, "label": label, "valid": valid, "cue": F.lit(None), "trial": trial, "chance": chance}
+                named["cue"] = F.when(k == SECRET, secret).otherwise(cue == 2)
                 return F.struct(*(c.alias(n) for n, c in named.items()))
 
             return let(F.struct(context.alias("context"), last.alias("before")), at)
 
         return let(same, of)
 
-    enough = lambda x: x["kind"].isin(EMAIL, IP) | (F.length(_digits(x["s"])) >= 7)
+    enough = lambda x: x["kind"].isin(EMAIL, IP, SECRET) | (F.length(_digits(x["s"])) >= 7)
     again = lambda raw: F.filter(raw, lambda x, i: (i == 0) | ~F.get(raw, i - 1).eqNullSafe(x))
     mails = F.filter(F.get(matches, F.lit(EMAIL)), lambda x: _valid(EMAIL, x["s"]))
     raw = F.concat(as_raw(mails, EMAIL), *(loose(*x) for x in _LOOSE), *(as_raw(F.get(matches, F.lit(k)), k) for k in (IP, CARD, PHONE)))
@@ -294,6 +309,8 @@ def _proven(kind: int, of: dict[str, float], rest: dict[str, float], junk: dict[
     low = _wilson(of["k"], of["n"])
     if kind in (CARD, IP):
         high, chance = 1.0, of["chance"] / of["n"]
+    elif kind == SECRET:
+        high, chance = 1.0, rest["k"] / max(1.0, rest["n"])
     else:
         high = _wilson(of["base_k"], of["base_n"], -1.96) if of["base_n"] else 1.0
         chance = (rest["k"] + junk["bad_k"]) / max(1.0, rest["n"] + junk["bad_n"])
@@ -316,22 +333,24 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def _fit(rows: DataFrame) -> tuple[Boosted, dict[int, float]]:
     """Trees and the score each kind needs, from counts over all rows (_doc, _cand); math.inf where nothing is proven."""
-    fold = F.pmod(F.xxhash64("_doc", F.lit("calibration")), F.lit(5)) == 0
-    each = rows.select(fold.alias("held"), F.explode_outer("_cand").alias("c")).where("c IS NOT NULL")  # explode() would make the array a second time, to test its size
+    fold = F.pmod(F.xxhash64("_doc", F.lit("calibration")), F.lit(FOLDS)).cast("int")
+    each = rows.select(fold.alias("fold"), F.explode_outer("_cand").alias("c")).where("c IS NOT NULL")  # explode() would make the array a second time, to test its size
     c, kind = F.col("c"), F.get(F.col("c.f"), F.lit(0))
     witness = F.when(kind.isin(CARD, IP), c["valid"]).otherwise(c["cue"])
     usable, bad = c["apart"] & c["trial"], c["apart"] & kind.isin(CARD, IP) & ~c["valid"]
     sums = {"pos": c["label"], "neg": ~c["label"], "k": usable & witness, "n": usable, "base_k": c["hit"] & c["cue"], "base_n": c["hit"], "bad_k": bad & c["cue"], "bad_n": bad}
-    counts = each.groupBy("held", c["f"].alias("f")).agg(*(F.count_if(v).alias(n) for n, v in sums.items()), F.sum(F.when(usable, F.round(c["chance"] * 1e6).cast("long")).otherwise(0)).alias("chance"))
-    got = counts.orderBy("held", "f").collect()  # at most 2 * PATTERNS rows
-    table = lambda held: (np.array([r["f"] for r in got if r["held"] == held]).reshape(-1, len(FEATURES)), {n: np.array([r[n] for r in got if r["held"] == held], dtype=float) for n in (*sums, "chance")})
-    x, count = table(False)
-    model = Boosted(x, count["pos"], count["neg"])
-    x, count = table(True)
+    counts = each.groupBy("fold", c["f"].alias("f")).agg(*(F.count_if(v).alias(n) for n, v in sums.items()), F.sum(F.when(usable, F.round(c["chance"] * 1e6).cast("long")).otherwise(0)).alias("chance"))
+    got = counts.orderBy("fold", "f").collect()  # at most FOLDS * PATTERNS rows
+    x, folds = np.array([r["f"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["fold"] for r in got], dtype=int)
+    count = {n: np.array([r[n] for r in got], dtype=float) for n in (*sums, "chance")}
     count["chance"] /= 1e6
+    trained = lambda rows: Boosted(x[rows], count["pos"][rows], count["neg"][rows])
+    score = np.zeros(len(x))
+    for k in range(FOLDS):  # each pattern is scored by trees that have not seen its documents
+        score[folds == k] = np.round(trained(folds != k).score(x[folds == k]), 9)
     total = lambda rows: {n: float(v[rows].sum()) for n, v in count.items()}
-    score, needed = np.round(model.score(x), 9), dict.fromkeys(range(4), math.inf)
-    for kind in range(4):
+    model, needed = trained(np.ones(len(x), dtype=bool)), dict.fromkeys(range(len(KINDS)), math.inf)
+    for kind in range(len(KINDS)):
         of = np.flatnonzero(x[:, 0] == kind) if len(x) else np.array([], dtype=int)
         for cut in sorted(set(score[of])):
             over = of[score[of] >= cut]
@@ -379,7 +398,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = materialized(rows.select(F.col("_row.doc_id").alias("_doc"), "_base", "_cand"))  # texts are read once
     rows = rows.withColumn("_all", _all_spans(*_fit(rows)))
     number = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
-    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     return rows.select(F.col("_doc").alias("doc_id"), *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
 

@@ -816,10 +816,10 @@ def test_pii_redaction(spark):
 
 
 def test_pii_adds_proven_candidates(spark):
-    rows = [(i, f"please call +1 ({200 + i % 700}) 555-{1000 + i} today") for i in range(400)] + [(1000 + i, f"please call ({200 + i}) 555-{1000 + i} today") for i in range(5)]
+    rows = [(i, f"please call +1 ({200 + i % 700}) 555-{1000 + i} today") for i in range(400)] + [(1000 + i, f"please call ({200 + i}) 555-{1000 + i} today") for i in range(300)]
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].startswith("phone:12:") for i in range(400))
-    assert all(x in ("", "phone:12:26") for x in (got[1000 + i] for i in range(5)))
+    assert {got[1000 + i] for i in range(300)} == {"phone:12:26"}
 
 
 def luhn_completed(digits):
@@ -845,6 +845,23 @@ def test_pii_adds_what_a_witness_proves(spark):
     assert set(added(chance)) == {""}
 
 
+def test_pii_adds_secrets(spark):
+    """Opaque strings are secrets where enough of their form stand behind a secret's name or bear an issuer's mark; parts and hashes of other forms aren't."""
+    rng = np.random.default_rng(3)
+    letters = lambda n, alphabet: "".join(rng.choice(list(alphabet), n))
+    hexes = [letters(39, "0123456789abcdef") + "7" for _ in range(300)]
+    keys = ["AKIA" + letters(15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") + "2" for _ in range(300)]
+    parts = ["Part-" + letters(14, "0123456789abcdefghijklmnopqrstuvwxyz") + "-x1/z" for _ in range(300)]
+    texts = [f'see token = "{h}" there' for h in hexes] + [f"see {k} there" for k in keys] + [f"see {x} there" for x in parts] + ["a@b.de"] * 50 + [f"left {hexes[0]} bare"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all("secret:13:53" in got[k].split(",") for k in range(300)) and all(got[300 + k] == "secret:4:24" for k in range(300))
+    assert {got[600 + k] for k in range(300)} == {""} and got[900] == "email:0:6"
+    few = {r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")).collect()}
+    assert few == {""}  # 40 don't prove a precision of 0.97
+    redacted = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in redacted.where("doc_id IN (0, 300, 600)").collect()} == {0: 'see token = "<secret>" there', 300: "see <secret> there", 600: texts[600]}
+
+
 def test_pii_in_very_long_texts(spark):
     import time
 
