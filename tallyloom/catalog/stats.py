@@ -189,6 +189,34 @@ def _(t):
     return stats.summary_groups(_labelled(t))
 
 
+_ALL = f"""count(*) AS calls, CAST(coalesce(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion,
+    CAST(coalesce(sum({_CLIP.format("cached_tokens")}), 0) AS BIGINT) AS cached, CAST(coalesce(sum({_CLIP.format("cache_creation_tokens")}), 0) AS BIGINT) AS creation, count(*) FILTER ({_BLOCKED}) AS blocked, count(*) FILTER ({_LOCAL}) AS local_routed,
+    count(*) FILTER (status_code >= 500) AS errors, CAST(coalesce(floor(sum(duration_ms) FILTER (duration_ms > 0) / count(*) FILTER (duration_ms > 0)), 0) AS BIGINT) AS avg_ms"""
+_BUCKET = f"CAST(floor(epoch(ts - TIMESTAMP '{SINCE}') / (epoch(TIMESTAMP '{UNTIL}' - TIMESTAMP '{SINCE}') / 60)) AS BIGINT)"
+
+
+@query(
+    "stats_summary",
+    f"""WITH {_LABELLED}, v AS MATERIALIZED (SELECT l.* REPLACE (coalesce(nullif(trim(k.name), ''), trim(key_name)) AS key_name) FROM lab l LEFT JOIN keys k USING (key_id)),
+    r AS MATERIALIZED (SELECT * FROM v WHERE key_name IN (SELECT name FROM keys WHERE name <> '')), o AS (SELECT * FROM v WHERE provider IN ('external', 'other')),
+    km AS (SELECT key_name, label, {_ALL} FROM r GROUP BY 1, 2), kt AS (SELECT key_name FROM km WHERE tokens > 0 GROUP BY 1 ORDER BY sum(tokens) DESC, 1 LIMIT 5),
+    p AS (SELECT 'overview' AS part, CAST(NULL AS VARCHAR) AS k1, CAST(NULL AS VARCHAR) AS k2, {_ALL} FROM v
+    UNION ALL SELECT 'key', key_name, NULL, {_ALL} FROM r GROUP BY key_name UNION ALL SELECT 'provider', provider, NULL, {_ALL} FROM o GROUP BY provider UNION ALL SELECT 'model', label, NULL, {_ALL} FROM o GROUP BY label
+    UNION ALL SELECT 'rule', CASE WHEN trim(blocked_reason) = '' THEN '(unknown)' ELSE trim(blocked_reason) END AS rule, NULL, {_ALL} FROM v GROUP BY rule
+    UNION ALL SELECT 'billing', * FROM km UNION ALL SELECT 'key_model', * FROM km WHERE tokens > 0 AND key_name IN (SELECT key_name FROM kt) UNION ALL SELECT 'daily', {_DAY} AS day, label, {_ALL} FROM r GROUP BY day, label
+    UNION ALL SELECT 'series', CAST({_BUCKET} AS VARCHAR) AS k1, NULL, {_ALL} FROM v WHERE {_BUCKET} < 60 GROUP BY {_BUCKET}
+    UNION ALL SELECT 'series', CAST(i AS VARCHAR), NULL, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM range(60) AS t(i) WHERE i NOT IN (SELECT {_BUCKET} FROM v))
+    SELECT part, k1, CASE WHEN part = 'series' THEN strftime(TIMESTAMP '{SINCE}' + INTERVAL 8 HOUR + CAST(k1 AS BIGINT) * INTERVAL '29520 seconds', '%m-%d %H:%M') ELSE k2 END AS k2, calls, tokens, prompt, completion, cached, creation, blocked, local_routed, errors,
+    CASE WHEN part = 'overview' THEN (SELECT count(DISTINCT nullif(trim(client_ip), '')) FROM v) ELSE 0 END AS active_ips, avg_ms FROM p""",
+    ("request_log", "aliases", "keys"),
+)
+def _(t):
+    """The whole page; keys by their present names, one of two providers registered."""
+    log = stats.with_key_name(stats.with_label(_log(t), t("aliases")), t("keys"))
+    providers = t("keys").sparkSession.createDataFrame([("external",), ("other",)], "provider string")
+    return stats.summary(log, SINCE, UNTIL, 60, 5, t("keys"), providers)
+
+
 _BOUNDS = [50, 100, 200, 500, 1000, 2000]
 
 
@@ -265,8 +293,8 @@ def _(t):
     f"""WITH e AS (SELECT *, CAST(floor(epoch(ts - TIMESTAMP '2024-01-10 00:00:00') / 600) AS BIGINT) AS idx, CAST(floor(epoch(ts - TIMESTAMP '2024-01-10 00:00:00') / 10) AS BIGINT) AS slot FROM request_log WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'),
     m AS (SELECT idx, max(c) AS peak FROM (SELECT idx, slot, count(*) AS c FROM e GROUP BY 1, 2) GROUP BY 1),
     b AS (SELECT idx, count(*) AS calls, count(*) FILTER (status_code >= 500) AS e5, count(*) FILTER (status_code = 403) AS e403, count(*) FILTER (status_code = 429) AS e429, CAST(quantile_disc(gateway_internal_ms, 0.5) FILTER (gateway_internal_ms > 0) AS DOUBLE) AS p50,
-      CAST(quantile_disc(gateway_internal_ms, 0.95) FILTER (gateway_internal_ms > 0) AS DOUBLE) AS p95, min(gateway_internal_ms) FILTER (gateway_internal_ms > 0) AS min_ms, max(gateway_internal_ms) FILTER (gateway_internal_ms > 0) AS max_ms FROM e GROUP BY 1),
-    c AS (SELECT unnest(range(144)) AS idx) SELECT idx, coalesce(calls, 0) AS calls, coalesce(calls, 0) / 600.0 AS qps, coalesce(peak, 0) / 10.0 AS qps_max, e5 / calls AS share_5xx, e403 / calls AS share_403, e429 / calls AS share_429, p50, p95, min_ms, max_ms FROM c LEFT JOIN b USING (idx) LEFT JOIN m USING (idx)""",
+      CAST(quantile_disc(gateway_internal_ms, 0.95) FILTER (gateway_internal_ms > 0) AS DOUBLE) AS p95, CAST(quantile_disc(gateway_internal_ms, 0.99) FILTER (gateway_internal_ms > 0) AS DOUBLE) AS p99, min(gateway_internal_ms) FILTER (gateway_internal_ms > 0) AS min_ms, max(gateway_internal_ms) FILTER (gateway_internal_ms > 0) AS max_ms FROM e GROUP BY 1),
+    c AS (SELECT unnest(range(144)) AS idx) SELECT idx, coalesce(calls, 0) AS calls, coalesce(calls, 0) / 600.0 AS qps, coalesce(peak, 0) / 10.0 AS qps_max, e5 / calls AS share_5xx, e403 / calls AS share_403, e429 / calls AS share_429, p50, p95, p99, min_ms, max_ms FROM c LEFT JOIN b USING (idx) LEFT JOIN m USING (idx)""",
     RL,
 )
 def _(t):
@@ -309,13 +337,13 @@ def _(t):
 
 @query(
     "trailing_percentile",
-    """WITH w AS (SELECT ts, gateway_internal_ms AS v FROM request_log WHERE gateway_internal_ms > 0 AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'),
-    k AS (SELECT TIMESTAMP '2024-01-10 00:00:00' + i * INTERVAL 1 HOUR AS tick FROM (SELECT unnest(range(1, 25)) AS i))
-    SELECT strftime(tick, '%Y-%m-%d %H:%M:%S') AS tick, count(*) AS n, CAST(quantile_disc(v, 0.95) AS DOUBLE) AS p95 FROM k JOIN w ON ts >= tick - INTERVAL 3 HOUR AND ts < tick GROUP BY 1""",
+    """WITH x AS (SELECT gateway_internal_ms AS v, unnest(range(CAST(ceil(epoch(ts) / 10) AS BIGINT), CAST(floor((epoch(ts) + 300) / 10) AS BIGINT) + 1)) * 10 AS t FROM request_log WHERE gateway_internal_ms > 0)
+    SELECT t, count(*) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99 FROM x GROUP BY t""",
     RL,
 )
 def _(t):
-    return timeseries.trailing_p95(stats.window(t("request_log"), "2024-01-10 00:00:00", "2024-01-10 23:59:59"), "3 hours", "1 hour").where("tick > '2024-01-10 00:00:00' AND tick <= '2024-01-11 00:00:00'")
+    """Every ten seconds over the last five minutes."""
+    return timeseries.trailing_percentiles(t("request_log"), 300, 10)
 
 
 @query(

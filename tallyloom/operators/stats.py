@@ -175,6 +175,74 @@ def summary_groups(labelled: DataFrame) -> DataFrame:
     return out.where((F.col("label") != "") & (F.col("label") != scope.UNKNOWN))
 
 
+_SUMS = ("calls", "tokens", "prompt", "completion", "cached", "creation", "blocked", "local_routed", "errors")
+
+
+def summary(labelled: DataFrame, since: str, until: str, n: int, top: int, keys: DataFrame, providers: DataFrame) -> DataFrame:
+    """The whole statistics page from one scan of the window: part, k1, k2 and the same measures in every part.
+
+    part: overview (also active_ips and avg_ms), key, provider, model, rule (k1: the label), series (k1: bucket of n, k2: its label; empty ones
+    too), key_model (the top keys by tokens, pairs with tokens), billing (key, label) and daily (display day, label). keys (name) and
+    providers (provider) are the registered ones: rows of others count in neither key, provider, model nor bill; an empty list registers all.
+    """
+    spark = labelled.sparkSession
+    some = lambda c: scope.norm(c)
+    listed = lambda df, c, name: F.broadcast(df.select(some(c).alias(f"_{name}")).where(F.col(f"_{name}") != "").distinct().withColumn(f"_is_{name}", F.lit(True)))  # settings, a few rows
+    known_keys, known_providers = listed(keys, "name", "key"), listed(providers, "provider", "provider")
+    all_keys, all_providers = known_keys.isEmpty(), known_providers.isEmpty()
+    rows = window(labelled, since, until)
+    rows = rows.join(known_keys, some("key_name") == F.col("_key"), "left").join(known_providers, some("provider") == F.col("_provider"), "left")
+    key_ok = F.lit(all_keys) | F.coalesce("_is_key", F.lit(False))
+    provider_ok = (some("provider") != "") & (F.lit(all_providers) | F.coalesce("_is_provider", F.lit(False)))
+    begin, end = (F.unix_timestamp(F.lit(x).cast("timestamp")) for x in (since, until))
+    span = F.greatest(end - begin, F.lit(n))
+    idx = F.floor((F.unix_timestamp("ts") - begin) / (span / n)).cast("long")
+    flat = rows.select(
+        F.nullif(some("client_ip"), F.lit("")).alias("ip"),
+        F.when(key_ok, scope.or_unknown("key_name")).alias("key"),
+        F.when(provider_ok, some("provider")).alias("provider"),
+        F.when(provider_ok, F.col("label")).alias("model"),
+        scope.or_unknown("blocked_reason").alias("rule"),
+        F.when(idx < n, idx).alias("idx"),
+        F.when(key_ok, F.when(some("key_name") == "", UNREGISTERED).otherwise(some("key_name"))).alias("bill_key"),
+        F.when(key_ok, F.date_format(scope.local_time(F.col("ts")), "yyyy-MM-dd")).alias("day"),
+        F.col("label").alias("bill_label"),
+        F.lit(1).cast("long").alias("calls"), _tokens().alias("tokens"), F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion"),
+        scope.clipped("cached_tokens").alias("cached"), scope.clipped("cache_creation_tokens").alias("creation"),
+        _blocked().cast("long").alias("blocked"), _local().cast("long").alias("local_routed"), (F.col("status_code") >= 500).cast("long").alias("errors"),
+        F.when(F.col("duration_ms") > 0, F.col("duration_ms")).alias("ms"),
+    )
+    columns = ["ip", "key", "provider", "model", "rule", "idx", "bill_key", "day", "bill_label"]
+    grains = {"overview": [], "ips": ["ip"], "key": ["key"], "provider": ["provider"], "model": ["model"], "rule": ["rule"], "series": ["idx"], "billing": ["bill_key", "bill_label"], "daily": ["day", "bill_label"]}
+    measures = [*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS), F.coalesce(F.sum("ms"), F.lit(0)).alias("ms"), F.count("ms").alias("with_ms")]
+    sets = flat.groupingSets(list(grains.values()), *columns).agg(F.grouping_id(*columns).alias("gid"), *measures)
+    number = {name: sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in of) for name, of in grains.items()}
+    part = F.coalesce(*(F.when(F.col("gid") == g, F.lit(name)) for name, g in number.items()))
+    first = F.coalesce(*(F.when(F.col("gid") == number[name], F.col(of[0]).cast("string")) for name, of in grains.items() if of))
+    found = sets.select(part.alias("part"), first.alias("k1"), "bill_label", *_SUMS, "ms", "with_ms").where((F.col("part") == "overview") | F.col("k1").isNotNull())
+    # addresses are counted by their rows; the other parts stay as they are
+    zero = [F.lit(0).cast("long").alias(c) for c in (*_SUMS, "ms", "with_ms", "active_ips")]
+    at_ip = F.col("part") == "ips"
+    kept = found.select(
+        F.when(at_ip, "overview").otherwise(F.col("part")).alias("part"), F.when(~at_ip, F.col("k1")).alias("k1"), F.col("bill_label").alias("k2"),
+        *(F.when(at_ip, 0).otherwise(F.col(c)).alias(c) for c in (*_SUMS, "ms", "with_ms")), at_ip.cast("long").alias("active_ips"),
+    )
+    ticks = spark.range(n).select(F.lit("series").alias("part"), F.col("id").cast("string").alias("k1"), F.lit(None).cast("string").alias("k2"), *zero)
+    nothing = spark.range(1).select(F.lit("overview").alias("part"), F.lit(None).cast("string").alias("k1"), F.lit(None).cast("string").alias("k2"), *zero)
+    parts = kept.unionByName(ticks).unionByName(nothing).groupBy("part", "k1", "k2").agg(*(F.sum(c).alias(c) for c in (*_SUMS, "ms", "with_ms", "active_ips")))
+    # billing rows are pairs of registered keys and labels; of the top keys those with tokens come once more as key_model
+    pair = (F.col("part") == "billing") & (F.col("tokens") > 0)
+    parts = parts.withColumn("_of_key", F.sum(F.when(pair, F.col("tokens"))).over(Window.partitionBy("part", "k1")))
+    parts = parts.withColumn("_place", F.when(pair, F.dense_rank().over(Window.partitionBy("part", pair).orderBy(F.desc("_of_key"), "k1"))))
+    both = F.when(F.col("_place") <= top, F.array(F.lit("billing"), F.lit("key_model"))).otherwise(F.array("part"))
+    start = F.timestamp_seconds(begin + F.floor(F.col("k1").try_cast("long") * (span / n)))
+    label = F.when(span <= 26 * 3600, F.date_format(scope.local_time(start), "HH:mm")).otherwise(F.date_format(scope.local_time(start), "MM-dd HH:mm"))
+    return parts.select(
+        F.explode(both).alias("part"), "k1", F.when(F.col("part") == "series", label).otherwise(F.col("k2")).alias("k2"), *_SUMS, "active_ips",
+        F.coalesce(F.floor(F.try_divide("ms", "with_ms")), F.lit(0)).cast("long").alias("avg_ms"),
+    )
+
+
 def histogram(log: DataFrame, column: str, bounds: list[int]) -> DataFrame:
     """Cumulative counts by upper bound, +Inf last; every bound has a row."""
     values = log.where(F.col(column) > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +50,12 @@ def chart(log: DataFrame, since: str, until: str, n: int) -> DataFrame:
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN gateway_internal_ms > 0 THEN gateway_internal_ms END)").cast("double")
     found = rows.groupBy("idx").agg(
         F.count("*").alias("calls"), share(s >= 500).alias("share_5xx"), share(s == 403).alias("share_403"), share(s == 429).alias("share_429"),
-        p(0.5).alias("p50"), p(0.95).alias("p95"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
+        p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
     )
     calls = F.coalesce("calls", F.lit(0))
     return _calendar(log, n).join(F.broadcast(found), "idx", "left").join(F.broadcast(peak), "idx", "left").select(
         "idx", calls.alias("calls"), (calls / width).alias("qps"), (F.coalesce("peak", F.lit(0)) / F.least(width, F.lit(10.0))).alias("qps_max"),
-        "share_5xx", "share_403", "share_429", "p50", "p95", "min_ms", "max_ms",
+        "share_5xx", "share_403", "share_429", "p50", "p95", "p99", "min_ms", "max_ms",
     )
 
 
@@ -100,11 +102,43 @@ def with_gaps(ticks: DataFrame, tick: int) -> DataFrame:
     return rows.select(F.explode(F.coalesce(both, F.array(F.struct(F.col("t"), F.lit(False).alias("gap"))))).alias("x")).select("x.t", "x.gap")
 
 
-def trailing_p95(log: DataFrame, size: str, step: str) -> DataFrame:
-    """Nearest-rank p95 of the latency over the trailing window at each step; tick is the window's end."""
-    rows = log.where("gateway_internal_ms > 0").groupBy(F.window("ts", size, step).alias("w"))
-    found = rows.agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY gateway_internal_ms)").cast("double").alias("p95"))
-    return found.select(scope.stamp(F.col("w.end")).alias("tick"), "n", "p95")
+#: Ticks that one task walks; the windows that reach into it come with it.
+CHUNK_TICKS = 360
+PERCENTS = (50, 95, 99)
+
+
+def trailing_percentiles(log: DataFrame, size: int = 300, step: int = 10) -> DataFrame:
+    """At every step (t, seconds): n and the nearest-rank p50, p95 and p99 of the latencies of the last size seconds, both ends included; ticks without any are left out.
+
+    Equal values that enter and leave the windows at the same ticks are counted first. Such a count goes to the chunk of ticks where it
+    enters, and to the next one if it leaves there; a task walks its chunk with the counts by value, adding each once and taking it away once.
+    """
+    s = F.unix_timestamp("ts")
+    rows = log.where("gateway_internal_ms > 0").select(F.ceil(s / step).cast("long").alias("first"), F.floor((s + size) / step).cast("long").alias("last"), F.col("gateway_internal_ms").cast("long").alias("v"))
+    per = max(CHUNK_TICKS, size // step + 1)
+    counts = rows.groupBy("first", "last", "v").agg(F.count("*").alias("n"))
+    chunk = lambda c: F.floor(F.col(c) / per)
+    dealt = counts.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk("first"), chunk("last")))))
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        start = int(part["chunk"].iloc[0]) * per
+        values, place = np.unique(part["v"].to_numpy(), return_inverse=True)
+        n = part["n"].to_numpy()
+        enter, leave = np.maximum(part["first"].to_numpy() - start, 0), np.minimum(part["last"].to_numpy() + 1 - start, per)
+        held, out = np.zeros(len(values), dtype=np.int64), []
+        by_enter, by_leave = np.argsort(enter, kind="stable"), np.argsort(leave, kind="stable")
+        ins, outs = (np.searchsorted(x[order], np.arange(per + 2)) for x, order in ((enter, by_enter), (leave, by_leave)))
+        for t in range(per):
+            new, old = by_enter[ins[t] : ins[t + 1]], by_leave[outs[t] : outs[t + 1]]
+            np.add.at(held, place[new], n[new])
+            np.subtract.at(held, place[old], n[old])
+            upto = np.cumsum(held)
+            if upto[-1]:
+                at = np.searchsorted(upto, [-(-upto[-1] * q // 100) for q in PERCENTS])
+                out.append(((start + t) * step, upto[-1], *values[at]))
+        return pd.DataFrame(out, columns=["t", "n", *(f"p{q}" for q in PERCENTS)])
+
+    return dealt.groupBy("chunk").applyInPandas(walk, "t long, n long, " + ", ".join(f"p{q} long" for q in PERCENTS))
 
 
 def token_growth(log: DataFrame, start: str, middle: str, end: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import changes, decoding, inspection, scope
-from tallyloom.operators import curation, evaluation, stats, suggest
+from tallyloom.operators import curation, evaluation, stats, suggest, timeseries
 from tallyloom.plans import policy
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import metrics, state
@@ -437,6 +437,43 @@ def test_places_among_equal_values(spark):
     assert [[(r["k"], r["n"], r["v"]) for r in at(n)] for n in (-1, 3, 4, 8, 9, 50)] == [[("a", 10, v)] for v in (1, 1, 3, 3, 7, 7)]
 
 
+def test_trailing_percentiles(spark, monkeypatch):
+    rng = random.Random(2)
+    seconds = [rng.randrange(0, 4000) for _ in range(400)] + [0, 10, 300, 310, 599, 600, 601] + [777] * 50
+    rows = [(s, rng.choice([0, 1, 5, 5, 80, None, rng.randrange(2000)])) for s in seconds]
+    log = spark.createDataFrame(rows, "s long, gateway_internal_ms long").select(F.timestamp_seconds("s").alias("ts"), "gateway_internal_ms")
+    for size, step, per in ((300, 10, 360), (300, 10, 31), (60, 7, 5), (45, 60, 4)):
+        monkeypatch.setattr(timeseries, "CHUNK_TICKS", per)
+        want = []
+        for t in range(0, 4400, step):
+            v = sorted(ms for s, ms in rows if ms and t - size <= s <= t)
+            if v:
+                want.append((t, len(v), *(v[-(-len(v) * q // 100) - 1] for q in (50, 95, 99))))
+        assert sorted(map(tuple, timeseries.trailing_percentiles(log, size, step).collect())) == want
+    assert timeseries.trailing_percentiles(log.limit(0)).count() == 0
+
+
+def test_summary_is_one_scan(spark, tmp_path):
+    rows = [("2024-01-01 00:00:30", "1.1.1.1", "a", "p", "m", "allow", 200, "", 5, 3, 2, 9, 1), ("2024-01-01 01:00:00", "1.1.1.1", "b", "", "m", "block", 403, "r", 0, 1, 1, 0, 0), ("2024-01-01 02:00:00", " ", "a", "q", "m", "route_local", 500, None, None, 4, 4, -1, 9), ("2024-01-02 09:00:00", "2.2.2.2", "a", "p", "m", "allow", 200, "", 1, 9, 9, 9, 9)]
+    log = spark.createDataFrame(rows, "ts string, client_ip string, key_name string, provider string, model string, action string, status_code int, blocked_reason string, duration_ms long, prompt_tokens long, completion_tokens long, cached_tokens long, cache_creation_tokens long").withColumn("ts", F.to_timestamp("ts"))
+    log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log")).withColumn("label", scope.label(F.col("provider"), F.col("model")))
+    keys, providers = spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([("p",)], "provider string")
+    page = stats.summary(log, "2024-01-01 00:00:00", "2024-01-02 00:00:00", 4, 1, keys, providers)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    got = {(r["part"], r["k1"], r["k2"]): r for r in page.collect()}
+    o = got["overview", None, None]
+    assert (o["calls"], o["tokens"], o["active_ips"], o["avg_ms"], o["blocked"], o["local_routed"], o["errors"], o["cached"], o["creation"]) == (3, 15, 1, 5, 1, 1, 1, 3, 5)
+    assert {k[1] for k in got if k[0] == "key"} == {"a"} and {k[1] for k in got if k[0] == "provider"} == {"p"} and {k[1] for k in got if k[0] == "rule"} == {"r", "(unknown)"}
+    assert {(k[1], k[2], r["calls"]) for k, r in got.items() if k[0] == "series"} == {("0", "08:00", 3), ("1", "14:00", 0), ("2", "20:00", 0), ("3", "02:00", 0)}
+    assert {(k[1], k[2], r["tokens"]) for k, r in got.items() if k[0] == "billing"} == {("a", "p/m", 5), ("a", "q/m", 8)} == {(k[1], k[2], r["tokens"]) for k, r in got.items() if k[0] == "key_model"}
+    everyone = {(r["part"], r["k1"]) for r in stats.summary(log, "2024-01-01 00:00:00", "2024-01-02 00:00:00", 4, 1, keys.limit(0), providers.limit(0)).collect()}
+    assert {("key", "b"), ("provider", "q"), ("billing", "b")} <= everyone
+    empty = stats.summary(log.limit(0), "2024-01-01 00:00:00", "2024-01-02 00:00:00", 4, 1, keys, providers).collect()
+    assert sorted(r["part"] for r in empty) == ["overview"] + ["series"] * 4 and all(r["calls"] == 0 for r in empty)
+
+
 def test_archives_and_media(spark):
     def archive(name: str) -> bytes:
         out = io.BytesIO()
