@@ -2,10 +2,11 @@
 
 Each rule is a number for each text, the worse the larger. For every stratum (language) and rule, cutoffs on
 a fixed grid are tried on labelled rows of good quality: a cutoff is safe if, were its true share of falsely
-rejected good texts over ALPHA, so few rejections as were counted would come about with a probability of at most
+rejected good texts over the rule's part of ALPHA, so few rejections as were counted would come about with a probability of at most
 DELTA / (number of tests in all), an exact binomial tail. With that (Bonferroni) correction all safe cutoffs of all
 strata are valid at once with probability 1 - DELTA, so the strictest safe one is taken. A stratum whose labels
-prove no cutoff gets none and rejects by no rule.
+prove no cutoff gets none and rejects by no rule. ALPHA is shared out evenly among the rules, so all of them together falsely reject
+at most that share of a stratum's good texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import let, materialized
 
-#: Highest accepted share of good texts that one rule rejects in one stratum, and the risk that any cutoff breaks it.
-ALPHA = 0.02
+#: Highest accepted share of good texts that all rules together reject in one stratum, and the risk that any cutoff breaks it.
+ALPHA = 0.1
 DELTA = 0.05
 MIN_WORDS = 50
 REPEATED = 50
@@ -110,6 +111,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
 
     labels: doc_id, quality (1: good). Rows with other or null labels and texts that fail the base rules don't count.
     """
+    alpha = alpha / len(RULES)
     good = labels.where("quality = 1").select("doc_id").distinct()
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("x"), F.array(*map(F.lit, cuts)).alias("cuts")) for r, cuts in RULES.items()))
     long = measured.where(~base_failed()).join(good, "doc_id", "left_semi").select("lang", F.explode(rules).alias("r"))
@@ -145,7 +147,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
 def _sql() -> str:
     cuts = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({list(c)}) AS cutoff" for r, c in RULES.items())
     long = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, CAST({r} AS DOUBLE) AS x, bad FROM m" for r in RULES)
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))))"
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(RULES)}) + (n - j) * ln(1 - {ALPHA / len(RULES)}))))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -158,7 +160,7 @@ m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_w
   n_repeat_words / greatest(n_words, 1) AS repeated_words, n_shouted / greatest(n_words, 1) AS shouted, abs(word_chars / greatest(n_words, 1) - 5) AS word_chars_far_from_5 FROM b),
 l AS ({long}),
 c AS (SELECT lang, rule, CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM l JOIN ({cuts}) USING (rule) WHERE NOT bad AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2, 3),
-s AS (SELECT lang, rule, min(cutoff) AS cutoff FROM c WHERE k < {ALPHA} * n AND {tail} <= {DELTA} / ((SELECT count(DISTINCT lang) FROM c) * {sum(map(len, RULES.values()))}) GROUP BY 1, 2),
+s AS (SELECT lang, rule, min(cutoff) AS cutoff FROM c WHERE k < {ALPHA / len(RULES)} * n AND {tail} <= {DELTA} / ((SELECT count(DISTINCT lang) FROM c) * {sum(map(len, RULES.values()))}) GROUP BY 1, 2),
 o AS (SELECT DISTINCT doc_id FROM l JOIN s USING (lang, rule) WHERE x > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM m
 """

@@ -659,7 +659,7 @@ def test_proven_cutoffs(spark):
     names = ", ".join(f"{r} double" for r in quality_rules.RULES)
     measured = spark.createDataFrame(rows, f"doc_id long, lang string, n_words long, {names}, n_repeat_words long")
     lab = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
-    got = {r["rule"]: r["cutoff"] for r in quality_rules.thresholds(measured, lab, alpha=0.3).collect()}
+    got = {r["rule"]: r["cutoff"] for r in quality_rules.thresholds(measured, lab, alpha=0.3 * len(quality_rules.RULES)).collect()}
     tests = sum(map(len, quality_rules.RULES.values()))
     tail = lambda k: sum(comb(n, j) * 0.3**j * 0.7 ** (n - j) for j in range(k + 1))
     for c, (rule, cuts) in enumerate(quality_rules.RULES.items()):
