@@ -64,9 +64,11 @@ def _(t):
     return t("audit").select("id", scope.display_time(raw).alias("shown"))
 
 
-@query("mask_key", "SELECT key_value, CASE WHEN length(key_value) <= 8 THEN '***' ELSE concat(left(key_value, 3), '***', right(key_value, 4)) END AS masked FROM keys", ("keys",))
+@query("mask_key", "SELECT key_value, CASE WHEN length(key_value) <= 8 THEN '***' ELSE concat(left(key_value, 3), '***', right(key_value, 4)) END AS masked, users FROM (SELECT concat('k-', CAST(user_id * 7919 AS VARCHAR)) AS key_value, count(*) AS users FROM events GROUP BY 1)")
 def _(t):
-    return t("keys").select("key_value", scope.mask_key(F.col("key_value")).alias("masked"))
+    """Keys made from the users of events, short and long ones."""
+    keys = t("events").groupBy(F.concat(F.lit("k-"), (F.col("user_id") * 7919).cast("string")).alias("key_value")).agg(F.count("*").alias("users"))
+    return keys.select("key_value", scope.mask_key(F.col("key_value")).alias("masked"), "users")
 
 
 @query("logs_filter_page", "SELECT id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shown FROM request_log WHERE action = 'block' AND provider = 'external' ORDER BY ts DESC, id DESC LIMIT 100 OFFSET 50", ("request_log",))
@@ -235,14 +237,46 @@ def _(t):
     return audit.asof_sticky(t("audit").where("client_ip <> ''"), F.col("action") == "route_local", 86400, "client_ip").select("id", "sticky")
 
 
-_OLD = "SELECT * FROM (VALUES ('a', 1, 'allow', 'x'), ('b', 2, 'block', 'y'), ('c', 3, 'block', 'z'), ('d', 4, 'allow', 'w')) AS t(name, priority, action, body)"
-_NEW = "SELECT * FROM (VALUES ('a', 1, 'allow', 'x'), ('b', 5, 'block', 'y'), ('c', 3, 'allow', 'z'), ('e', 6, 'block', 'v')) AS t(name, priority, action, body)"
+# A version of the policy for each day: the rules that decided that day, with what they did.
+_SNAPSHOTS = "SELECT strftime(ts, '%Y-%m-%d') AS version, rule AS name, CAST(count(*) % 3 AS BIGINT) AS priority, max(action) AS action, min(provider) AS body FROM audit WHERE rule <> '' AND id % 4 = 0 GROUP BY 1, 2"
+_LIVE = "SELECT rule AS name, CAST(count(*) % 3 AS BIGINT) AS priority, max(action) AS action, min(provider) AS body FROM audit WHERE rule <> '' AND id % 4 = 1 GROUP BY 1"
 
 
-@query("outer_policy_diff", f"SELECT * FROM (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.action <> b.action OR a.body <> b.body THEN 'changed' WHEN a.priority <> b.priority THEN 'priority' END AS change FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.name = b.name) WHERE change IS NOT NULL")
+def _versions(t):
+    rows = t("audit").where("rule <> ''").withColumn("version", F.date_format("ts", "yyyy-MM-dd")).withColumnRenamed("rule", "name")
+    made = ((F.count("*") % 3).alias("priority"), F.max("action").alias("action"), F.min("provider").alias("body"))
+    return rows.where("id % 4 = 0").groupBy("version", "name").agg(*made), rows.where("id % 4 = 1").groupBy("name").agg(*made)
+
+
+_KINDS = """SELECT name, unnest(CASE WHEN a IS NULL THEN ['added'] WHEN b IS NULL THEN ['removed'] ELSE list_filter([CASE WHEN a.priority <> b.priority THEN 'priority' END, CASE WHEN a.action <> b.action OR a.body <> b.body THEN 'changed' END], lambda x: x IS NOT NULL) END) AS change"""
+
+
+@query("outer_policy_diff", f"WITH s AS ({_SNAPSHOTS}), a AS (SELECT name, struct_pack(priority, action, body) AS a FROM s WHERE version = '2024-01-03'), b AS (SELECT name, struct_pack(priority, action, body) AS b FROM s WHERE version = '2024-01-20') {_KINDS} FROM a FULL JOIN b USING (name)", AU)
+def _(t):
+    """The policies of two days."""
+    snapshots, _live = _versions(t)
+    return audit.policy_diff(snapshots.where("version = '2024-01-03'"), snapshots.where("version = '2024-01-20'"))
+
+
+_STEPS = f"s AS MATERIALIZED ({_SNAPSHOTS}), v AS (SELECT version, row_number() OVER (ORDER BY version) AS step FROM (SELECT DISTINCT version FROM s)), r AS MATERIALIZED (SELECT step, name, struct_pack(priority, action, body) AS rule FROM s JOIN v USING (version) UNION ALL SELECT (SELECT count(*) FROM v) + 1, name, struct_pack(priority, action, body) FROM ({_LIVE}))"
+
+
+@query("policy_version_changes", f"WITH {_STEPS}, p AS (SELECT v.version, coalesce(x.name, y.name) AS name, x.rule AS a, y.rule AS b FROM v JOIN (SELECT DISTINCT name FROM r) n ON true LEFT JOIN r x ON x.step = v.step AND x.name = n.name LEFT JOIN r y ON y.step = v.step + 1 AND y.name = n.name WHERE x.name IS NOT NULL OR y.name IS NOT NULL) {_KINDS.replace('SELECT name', 'SELECT version, name')} FROM p", AU)
+def _(t):
+    """Every version with the next newer one, the newest with the live rules."""
+    return audit.policy_changes(*_versions(t))
+
+
+@query(
+    "policy_intervals",
+    f"""WITH {_STEPS}, g AS (SELECT *, sum(CASE WHEN b.rule IS NULL OR b.rule <> a.rule THEN 1 ELSE 0 END) OVER (PARTITION BY a.name ORDER BY a.step) AS run FROM (SELECT a.step, a.name, a.rule FROM r a) a LEFT JOIN (SELECT step + 1 AS step, name, rule FROM r) b USING (step, name))
+    SELECT name, any_value(rule.priority) AS priority, any_value(rule.action) AS action, any_value(rule.body) AS body, min(version) AS first, CASE WHEN max(step) <= (SELECT count(*) FROM v) THEN max(version) END AS last
+    FROM (SELECT g.step, g.name, g.run, r.rule, v.version FROM g JOIN r USING (step, name) LEFT JOIN v USING (step)) GROUP BY name, run""",
+    AU,
+)
 def _(t):
-    spark = t("keys").sparkSession
-    return audit.policy_diff(spark.sql(_OLD), spark.sql(_NEW))
+    """From when to when each rule was in force as it was."""
+    return audit.policy_intervals(*_versions(t))
 
 
 _EDGES = "[" + ", ".join(map(str, audit.LATENCY_EDGES)) + "]"

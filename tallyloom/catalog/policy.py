@@ -61,15 +61,17 @@ for _name, _cond, _sql in (
     ("ge", {"risk >=": "60"}, "risk_score >= 60"),
     ("le", {"risk <=": 10}, "risk_score <= 10"),
     ("gt", {"risk >": 60}, "risk_score > 60"),
-    ("lt", {"provider <": 10}, "false"),
+    ("lt", {"risk <": "10"}, "risk_score < 10"),
 ):
     _op_query(_name, _cond, _sql)
 
 
-@query("dry_run", "SELECT 'block' AS action, 'secret_name' AS rule")
+@query("dry_run", f"SELECT a.action AS was, {_ACT} AS action, {_RULE} AS rule, count(*) AS n FROM (SELECT action, id, TIMESTAMP '2024-01-01 12:00:00' AS ts, rule, filename, risk_score, 'local' AS provider FROM audit) a GROUP BY ALL", ("audit",))
 def _(t):
-    one = t("keys").sparkSession.sql("SELECT TIMESTAMP '2024-01-01 12:00:00' AS ts, 'x' AS rule, 'file3.txt' AS filename, 5 AS risk_score, 'local' AS provider")
-    return one.select(policy.decide(RULES, _field).alias("d")).select("d.action", "d.rule")
+    """What the rules would do with the recorded requests at noon on the local provider, beside what was done."""
+    rows = t("audit").withColumn("ts", F.lit("2024-01-01 12:00:00").cast("timestamp")).withColumn("provider", F.lit("local"))
+    tried = rows.select(F.col("action").alias("was"), policy.decide(RULES, _field).alias("d"))
+    return tried.groupBy("was", "d.action", "d.rule").agg(F.count("*").alias("n"))
 
 
 @query("block_to_fallback", f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN a = 'block' AND id % 2 = 0 THEN 'route_local' ELSE a END AS action FROM (SELECT id, {_ACT} AS a FROM audit)) GROUP BY 1", ("audit",))

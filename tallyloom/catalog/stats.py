@@ -45,9 +45,14 @@ def _(t):
     return stats.with_key_name(t("request_log"), t("keys")).groupBy("key_name").agg(F.count("*").alias("calls"))
 
 
-@query("join_alias_head", "SELECT lower(alias) AS alias, arg_min(concat(head_provider, '/', head_model), priority) AS head, count(*) AS members FROM aliases WHERE enabled GROUP BY 1", ("aliases",))
+# Aliases made from parts: a brand in any case stands for its enabled parts, the smallest first.
+_PART_ALIASES = "SELECT CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END AS alias, p_type AS head_provider, concat('part', CAST(p_partkey AS varchar(20))) AS head_model, CAST(p_size AS BIGINT) * 1000000000 + p_partkey AS priority, p_partkey % 3 <> 0 AS enabled"
+
+
+@query("join_alias_head", f"SELECT lower(alias) AS alias, arg_min(concat(head_provider, '/', head_model), priority) AS head, count(*) AS members FROM ({_PART_ALIASES} FROM part) WHERE enabled GROUP BY 1")
 def _(t):
-    return t("aliases").where("enabled").groupBy(F.lower("alias").alias("alias")).agg(F.min_by(F.concat_ws("/", "head_provider", "head_model"), "priority").alias("head"), F.count("*").alias("members"))
+    aliases = t("part").select(F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("alias"), F.col("p_type").alias("head_provider"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("head_model"), (F.col("p_size").cast("long") * 1000000000 + F.col("p_partkey")).alias("priority"), (F.col("p_partkey") % 3 != 0).alias("enabled"))
+    return aliases.where("enabled").groupBy(F.lower("alias").alias("alias")).agg(F.min_by(F.concat_ws("/", "head_provider", "head_model"), "priority").alias("head"), F.count("*").alias("members"))
 
 
 @query("real_model_label", f"WITH {_LABELLED} SELECT label, count(*) AS calls FROM lab GROUP BY 1", LAB)
@@ -240,24 +245,47 @@ def _(t):
     return _log(t).join(t("keys"), "key_id", "left_semi").groupBy("key_name").agg(F.count("*").alias("calls"))
 
 
-@query("key_verdict", "SELECT key_name, CASE min(CASE kind WHEN 'black' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END) WHEN 0 THEN 'black' WHEN 1 THEN 'middle' ELSE 'white' END AS verdict FROM key_rules GROUP BY 1", ("key_rules",))
+_LISTED = "SELECT concat('key', CAST(user_id AS VARCHAR)) AS key_name, CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'black' WHEN event_type = 'signup' THEN 'middle' ELSE 'white' END AS kind FROM events WHERE event_id % 3 = 0"
+
+
+@query("key_verdict", f"SELECT key_name, CASE min(CASE kind WHEN 'black' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END) WHEN 0 THEN 'black' WHEN 1 THEN 'middle' ELSE 'white' END AS verdict FROM ({_LISTED}) GROUP BY 1")
 def _(t):
+    """Lists made from events: the strictest that a key is on counts."""
+    kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0), "black").when(F.col("event_type") == "signup", "middle").otherwise("white")
+    rules = t("events").where("event_id % 3 = 0").select(F.concat(F.lit("key"), F.col("user_id").cast("string")).alias("key_name"), kind.alias("kind"))
     rank = F.when(F.col("kind") == "black", 0).when(F.col("kind") == "middle", 1).otherwise(2)
-    return t("key_rules").groupBy("key_name").agg(F.min_by("kind", rank).alias("verdict"))
+    return rules.groupBy("key_name").agg(F.min_by("kind", rank).alias("verdict"))
+
 
+# Keys made from users: some masked already, names that share a mask.
+_USER_KEYS = "SELECT DISTINCT user_id AS key_id, CASE WHEN user_id % 9 = 0 THEN concat('tk-***', CAST(user_id AS VARCHAR)) ELSE concat(CASE WHEN user_id % 2 = 0 THEN 'tk-' ELSE 'pk-' END, lpad(CAST(user_id * 7919 AS VARCHAR), 12, '0'), '-', lpad(CAST(user_id % 40 AS VARCHAR), 3, '0')) END AS key_value, concat('name', CAST(user_id AS VARCHAR)) AS name FROM events"
 
-@query("join_masked_token_name", "WITH k AS (SELECT concat(left(key_value, 3), '***', right(key_value, 4)) AS mask, min(name) AS name FROM keys WHERE strpos(key_value, '*') = 0 GROUP BY 1) SELECT mask, name FROM k", ("keys",))
+
+def _user_keys(t):
+    u = F.col("user_id")
+    text = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    plain = F.concat(F.when(u % 2 == 0, "tk-").otherwise("pk-"), text(u * 7919, 12), F.lit("-"), text(u % 40, 3))
+    return t("events").select(u.alias("key_id"), F.when(u % 9 == 0, F.concat(F.lit("tk-***"), u.cast("string"))).otherwise(plain).alias("key_value"), F.concat(F.lit("name"), u.cast("string")).alias("name")).distinct()
+
+
+@query("join_masked_token_name", f"WITH k AS (SELECT concat(left(key_value, 3), '***', right(key_value, 4)) AS mask, min(name) AS name FROM ({_USER_KEYS}) WHERE strpos(key_value, '*') = 0 GROUP BY 1), a AS (SELECT concat(CASE WHEN user_id % 2 = 0 THEN 'tk-***' ELSE 'pk-***' END, '-', lpad(CAST(user_id % 40 AS VARCHAR), 3, '0')) AS mask FROM events) SELECT mask, name, count(*) AS rows_named FROM a JOIN k USING (mask) GROUP BY 1, 2")
 def _(t):
-    return t("keys").where(~F.col("key_value").contains("*")).groupBy(scope.mask_key(F.col("key_value")).alias("mask")).agg(F.min("name").alias("name"))
+    """Rows that only know a masked key get its name; of keys with one mask the first name."""
+    named = _user_keys(t).where(~F.col("key_value").contains("*")).groupBy(scope.mask_key(F.col("key_value")).alias("mask")).agg(F.min("name").alias("name"))
+    u = F.col("user_id")
+    rows = t("events").select(F.concat(F.when(u % 2 == 0, "tk-***").otherwise("pk-***"), F.lit("-"), F.lpad((u % 40).cast("string"), 3, "0")).alias("mask"))
+    return rows.join(named, "mask").groupBy("mask", "name").agg(F.count("*").alias("rows_named"))
+
+
+_PATTERNS = "SELECT DISTINCT concat(left(key_value, CAST(1 + key_id % 6 AS INT)), '***', right(key_value, CAST(key_id % 5 AS INT))) AS pattern FROM k WHERE key_id % 11 = 1"
 
 
-@query("theta_fuzzy_key", "SELECT k.key_id, m.pattern FROM keys k JOIN (VALUES ('tk-***-abcd'), ('tk-0000-1***'), ('no***')) AS m(pattern) ON length(key_value) >= 14 AND starts_with(key_value, split_part(pattern, '***', 1)) AND ends_with(key_value, split_part(pattern, '***', 2))", ("keys",))
+@query("theta_fuzzy_key", f"WITH k AS ({_USER_KEYS}), m AS ({_PATTERNS}) SELECT k.key_id, m.pattern FROM k JOIN m ON length(key_value) >= 14 AND starts_with(key_value, split_part(pattern, '***', 1)) AND ends_with(key_value, split_part(pattern, '***', 2))")
 def _(t):
-    keys = t("keys")
-    patterns = keys.sparkSession.createDataFrame([("tk-***-abcd",), ("tk-0000-1***",), ("no***",)], "pattern string")
-    head, tail = F.split_part("pattern", F.lit("***"), F.lit(1)), F.split_part("pattern", F.lit("***"), F.lit(2))
-    # three literal patterns against a table of keys
-    return keys.where(F.length("key_value") >= 14).join(F.broadcast(patterns), F.col("key_value").startswith(head) & F.col("key_value").endswith(tail)).select("key_id", "pattern")
+    """Keys by patterns of different lengths, cut from some of them."""
+    keys = _user_keys(t)
+    ends = F.concat(F.left("key_value", (1 + F.col("key_id") % 6).cast("int")), F.lit("***"), F.right("key_value", (F.col("key_id") % 5).cast("int")))
+    return stats.fuzzy_keys(keys, keys.where("key_id % 11 = 1").select(ends.alias("pattern")).distinct())
 
 
 @query("retention_purge", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows_kept FROM request_log WHERE NOT (ts < TIMESTAMP '2024-01-15 00:00:00') GROUP BY 1", RL)

@@ -185,15 +185,19 @@ def _(t):
     return state.fold(state.with_limits(rows, limits), "pair", ["rpm"], state.limited(), "long")
 
 
-@query("long_windows", "SELECT doc_id, CASE WHEN n <= 4 THEN n ELSE 4 END AS windows FROM (SELECT doc_id, CAST(ceil(length(text) / 500) AS BIGINT) AS n FROM documents)")
+@query(
+    "long_windows",
+    """WITH n AS (SELECT doc_id, text, CAST(ceil(length(text) / 500) AS BIGINT) AS n FROM documents), p AS (SELECT doc_id, text, CASE WHEN n <= 4 THEN range(n) ELSE list_sort(list_distinct([CAST(round_even(i * (n - 1) / 3.0, 0) AS BIGINT) for i in range(4)])) END AS places FROM n)
+    SELECT doc_id, CAST(len(places) AS INT) AS windows, sha256(array_to_string([substr(text, k * 500 + 1, 500) for k in places], '|')) AS digest, sha256(right(text, CAST((length(text) - 1) % 500 + 1 AS BIGINT))) AS last FROM p""",
+)
 def _(t):
-    n = F.ceil(F.length("text") / 500)
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.bround(i * (n - 1) / 3, 0).cast("int")))
-    windows = F.transform(F.when(n <= 4, F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))).otherwise(places), lambda i: F.substring("text", i * 500 + 1, F.lit(500)))
-    return t("documents").select("doc_id", F.size(windows).cast("long").alias("windows"))
+    """Four windows spread over each text; of one window, the last."""
+    rows = t("documents").select("doc_id", scope.windows(F.col("text"), 500, F.lit(4)).alias("w"), scope.windows(F.col("text"), 500, F.lit(1)).alias("one"))
+    return rows.select("doc_id", F.size("w").alias("windows"), F.sha2(F.array_join("w", "|"), 256).alias("digest"), F.sha2(F.array_join("one", "|"), 256).alias("last"))
 
 
-@query("slim_envelope", "SELECT conv_id, turn, text AS query FROM conversations")
+@query("slim_envelope", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text ELSE concat(text, CASE WHEN turn % 3 = 1 THEN chr(10) || '</query> more' ELSE '' END) END AS query FROM conversations")
 def _(t):
-    wrapped = F.concat(F.lit("<client>meta</client><query>"), F.col("text"), F.lit("</query>"))
-    return t("conversations").select("conv_id", "turn", F.regexp_extract(wrapped, r"(?s)<query>(.*)</query>", 1).alias("query"))
+    """What stands between a client's tags, to the last closing one; texts without tags stay as they are."""
+    wrapped = F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(F.concat(F.lit("<client>meta</client>\n<query>"), F.col("text"), F.when(F.col("turn") % 3 == 1, "\n</query> more").otherwise(""), F.lit("</query>")))
+    return t("conversations").select("conv_id", "turn", F.when(wrapped.contains("<query>"), F.regexp_extract(wrapped, r"(?s)<query>(.*)</query>", 1)).otherwise(wrapped).alias("query"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats, suggest
-from .registry import query
+from ..sources.adapters import REQUEST_LOG
+from ..streaming import state
+from .registry import SQL, query
 from .stats import LAB, RL, SINCE, UNTIL, _BLOCKED, _IN, _LOCAL
 
 TH = suggest.Thresholds(volume=1, limit_calls=1, limit_peak=1, white_calls=1, error_rate=0.01)
@@ -55,21 +57,27 @@ def _(t):
     return suggest.model_errors(_log(t), TH, HOURS)
 
 
-_RULES = "SELECT name, priority, action, locked, hits FROM (VALUES ('a', 10, 'route_local', false, 15), ('b', 20, 'route_local', false, 50), ('c', 30, 'block', false, 12), ('d', 40, 'block', false, 25), ('e', 50, 'block', true, 99), ('f', 60, 'block', false, 70), ('g', 70, 'block', false, 80), ('h', 80, 'allow', false, 3)) AS t(name, priority, action, locked, hits)"
+# The rules that decided something, with their hits: by risk, some of them locked.
+_RULES = "SELECT concat(rule, ' ', provider, ' ', CAST(id % 4 AS VARCHAR)) AS name, CAST(max(risk_score) * 10 + min(id) AS BIGINT) AS priority, max(action) AS action, count(*) % 5 = 1 AS locked, count(*) AS hits FROM audit WHERE rule <> '' GROUP BY 1"
+
+
+def _rules(t):
+    rows = t("audit").where("rule <> ''").groupBy(F.concat_ws(" ", "rule", "provider", (F.col("id") % 4).cast("string")).alias("name"))
+    return rows.agg((F.max("risk_score") * 10 + F.min("id")).cast("long").alias("priority"), F.max("action").alias("action"), (F.count("*") % 5 == 1).alias("locked"), F.count("*").alias("hits"))
 
 
 @query("rule_reorder", f"""WITH r AS ({_RULES}), s AS (SELECT *, sum(CAST(locked AS INT)) OVER (PARTITION BY action ORDER BY priority, name) AS seg FROM r), u AS (SELECT * FROM s WHERE NOT locked AND hits >= 10),
   k AS (SELECT *, row_number() OVER (PARTITION BY action, seg ORDER BY priority, name) AS slot, row_number() OVER (PARTITION BY action, seg ORDER BY hits DESC, priority, name) AS want FROM u)
-  SELECT a.name, a.priority, b.priority AS new_priority FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot WHERE a.priority <> b.priority""")
+  SELECT a.name, a.priority, b.priority AS new_priority FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot WHERE a.priority <> b.priority""", ("audit",))
 def _(t):
-    return suggest.reorder(t("keys").sparkSession.sql(_RULES), 10)
+    return suggest.reorder(_rules(t), 10)
 
 
 @query("reorder_apply", f"""WITH r AS ({_RULES}), s AS (SELECT *, sum(CAST(locked AS INT)) OVER (PARTITION BY action ORDER BY priority, name) AS seg FROM r), u AS (SELECT * FROM s WHERE NOT locked AND hits >= 10),
   k AS (SELECT *, row_number() OVER (PARTITION BY action, seg ORDER BY priority, name) AS slot, row_number() OVER (PARTITION BY action, seg ORDER BY hits DESC, priority, name) AS want FROM u),
-  n AS (SELECT a.name, b.priority AS p FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot) SELECT r.name, coalesce(p, priority) AS priority FROM r LEFT JOIN n USING (name)""")
+  n AS (SELECT a.name, b.priority AS p FROM k a JOIN k b ON a.action = b.action AND a.seg = b.seg AND a.want = b.slot) SELECT r.name, coalesce(p, priority) AS priority FROM r LEFT JOIN n USING (name)""", ("audit",))
 def _(t):
-    rules = t("keys").sparkSession.sql(_RULES)
+    rules = _rules(t)
     moved = suggest.reorder(rules, 10).select("name", "new_priority")
     return rules.join(moved, "name", "left").select("name", F.coalesce("new_priority", "priority").alias("priority"))
 
@@ -100,39 +108,47 @@ def _(t):
     return suggest.local_share(_log(t))
 
 
-_EMITTED = "SELECT type, severity, seq FROM (VALUES ('a', 'info', 1), ('a', 'info', 2), ('a', 'info', 3), ('a', 'info', 4), ('b', 'high', 5), ('b', 'high', 6), ('c', 'warn', 7), ('c', 'warn', 8)) AS t(type, severity, seq)"
+@query("suggestion_cap", "SELECT type, severity, seq FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS k FROM (SELECT event_type AS type, CASE event_type WHEN 'error' THEN 'high' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity, event_id AS seq FROM events WHERE value > 50)) WHERE k <= 3 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, seq LIMIT 5")
+def _(t):
+    """Suggestions made from large events, three of a type and five in all."""
+    severity = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "signup", "warn").otherwise("info")
+    rows = t("events").where("value > 50").select(F.col("event_type").alias("type"), severity.alias("severity"), F.col("event_id").alias("seq"))
+    return suggest.capped(rows, suggest.Thresholds(total=5))
 
 
-@query("suggestion_cap", f"SELECT type, severity, seq FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS k FROM ({_EMITTED})) WHERE k <= 3 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, seq LIMIT 5")
-def _(t):
-    return suggest.capped(t("keys").sparkSession.sql(_EMITTED), suggest.Thresholds(total=5))
+# Candidates made from parts: for each brand an alias with its members.
+_CANDIDATES = "SELECT p_brand AS alias, concat('part', CAST(p_partkey AS VARCHAR)) AS model, p_size % 4 AS rank, CAST(p_retailprice AS DOUBLE) AS price_in, CAST(p_size AS BIGINT) * 4000 AS context_length, p_partkey % 3 + 1 AS tier, p_partkey AS pos FROM part"
 
 
-_CANDIDATES = "SELECT model, rank, price_in, context_length, tier, pos FROM (VALUES ('m1', 1, 2e0, 8000, 1, 0), ('m2', 1, 1e0, 32000, 2, 1), ('m3', 2, 5e-1, 128000, 3, 2), ('m4', 3, 9e0, 200000, 3, 3)) AS t(model, rank, price_in, context_length, tier, pos)"
+def _candidates(t):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    model = F.concat(F.lit("part"), key.cast("string"))
+    return t("part").select(F.col("p_brand").alias("alias"), model.alias("model"), (size % 4).alias("rank"), F.col("p_retailprice").cast("double").alias("price_in"), (size.cast("long") * 4000).alias("context_length"), (key % 3 + 1).alias("tier"), key.alias("pos"))
 
 
-@query("candidate_rank", f"SELECT model, row_number() OVER (ORDER BY rank, price_in, model) AS place FROM ({_CANDIDATES}) c")
+@query("candidate_rank", f"SELECT alias, model, row_number() OVER (PARTITION BY alias ORDER BY rank, price_in, pos) AS place FROM ({_CANDIDATES}) c")
 def _(t):
+    """The order in which an alias tries its members."""
     from pyspark.sql import Window
 
-    rows = t("keys").sparkSession.sql(_CANDIDATES)
-    return rows.select("model", F.row_number().over(Window.orderBy("rank", "price_in", "model")).cast("long").alias("place"))  # a handful of candidates
+    return _candidates(t).select("alias", "model", F.row_number().over(Window.partitionBy("alias").orderBy("rank", "price_in", "pos")).cast("long").alias("place"))
 
 
-@query("pick_fallback", f"SELECT model FROM ({_CANDIDATES}) c WHERE model NOT IN ('m1') AND context_length > 32000 ORDER BY context_length, rank, price_in LIMIT 1")
+@query("pick_fallback", f"SELECT alias, arg_min(model, {{'c': context_length, 'r': rank, 'p': price_in, 'k': pos}}) AS model FROM ({_CANDIDATES}) c WHERE model NOT IN (SELECT arg_min(model, {{'r': rank, 'p': price_in, 'k': pos}}) FROM ({_CANDIDATES}) d GROUP BY alias) AND context_length > 32000 GROUP BY alias")
 def _(t):
-    rows = t("keys").sparkSession.sql(_CANDIDATES)
-    tried = rows.where("model = 'm1'").select("model")
-    return rows.join(tried, "model", "left_anti").where("context_length > 32000").orderBy("context_length", "rank", "price_in").limit(1).select("model")
+    """After an alias's first member failed for its length: of the untried ones with more context the smallest."""
+    rows = _candidates(t)
+    tried = rows.groupBy("alias").agg(F.min_by("model", F.struct("rank", "price_in", "pos")).alias("model"))
+    return rows.join(tried, ["alias", "model"], "left_anti").where("context_length > 32000").groupBy("alias").agg(F.min_by("model", F.struct("context_length", "rank", "price_in", "pos")).alias("model"))
 
 
-@query("tier_select", f"SELECT level, model FROM (SELECT l.level, c.model, row_number() OVER (PARTITION BY l.level ORDER BY CASE WHEN tier >= level THEN 0 ELSE 1 END, CASE WHEN tier >= level THEN tier ELSE -tier END, pos) AS k FROM ({_CANDIDATES}) c, (VALUES (1), (2), (3), (4)) AS l(level)) WHERE k = 1")
+@query("tier_select", f"SELECT alias, level, model FROM (SELECT c.alias, l.level, c.model, row_number() OVER (PARTITION BY c.alias, l.level ORDER BY CASE WHEN tier >= level THEN 0 ELSE 1 END, CASE WHEN tier >= level THEN tier ELSE -tier END, pos) AS k FROM ({_CANDIDATES}) c, (VALUES (1), (2), (3), (4)) AS l(level)) WHERE k = 1")
 def _(t):
-    rows = t("keys").sparkSession.sql(_CANDIDATES)
+    """For each level of difficulty the member of the lowest tier that reaches it, else of the highest."""
     fits = F.col("tier") >= F.col("level")
-    leveled = rows.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("level"))
+    leveled = _candidates(t).select("*", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("level"))
     order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, F.col("tier")).otherwise(-F.col("tier")), "pos")
-    return leveled.groupBy("level").agg(F.min_by("model", order).alias("model"))
+    return leveled.groupBy("alias", "level").agg(F.min_by("model", order).alias("model"))
 
 
 @query("breaker_report", "SELECT provider, model, coalesce(state, 'closed') AS state, CASE WHEN state = 'open' THEN greatest(0, 30 - 12) ELSE 0 END AS cooldown FROM (SELECT DISTINCT provider, model FROM request_log WHERE provider <> '' UNION SELECT 'external', 'extra') LEFT JOIN (SELECT 'external' AS provider, 'fast' AS model, 'open' AS state) USING (provider, model)", RL)
@@ -144,9 +160,14 @@ def _(t):
     return joined.select("provider", "model", F.coalesce("state", F.lit("closed")).alias("state"), F.when(F.col("state") == "open", F.greatest(F.lit(0), 30 - F.col("elapsed"))).otherwise(0).alias("cooldown"))
 
 
-_STATES = "(VALUES ('external', 'open', 7), ('local', 'half_open', 2), ('spare', 'closed', 1)) AS s(provider, state, failures)"
-
-
-@query("suggest_breaker", f"SELECT concat('breaker:', provider) AS id, 'provider_breaker' AS type, 'high' AS severity, concat(provider, ' ', state, ' ', CAST(failures AS VARCHAR)) AS metric FROM {_STATES} WHERE state IN ('open', 'half_open')")
+@query(
+    "suggest_breaker",
+    f"WITH b AS ({SQL['breaker_fsm'].replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}) SELECT concat('breaker:', provider) AS id, 'provider_breaker' AS type, 'high' AS severity, concat(provider, ' ', state, ' ', CAST(failures AS VARCHAR)) AS metric FROM (SELECT concat(provider, ' ', strftime(ts, '%Y-%m-%d')) AS provider, arg_max(out, {{'t': ts, 'id': id}}) AS state, count(*) FILTER (status_code >= 500) AS failures FROM b JOIN (SELECT event_id AS id, {REQUEST_LOG['ts']} AS ts, {REQUEST_LOG['provider']} AS provider, {REQUEST_LOG['status_code']} AS status_code FROM events) USING (id) GROUP BY 1) WHERE state IN ('open', 'half_open')",
+)
 def _(t):
-    return suggest.broken_providers(t("keys").sparkSession.sql(f"SELECT * FROM {_STATES}"))
+    """What each provider's breaker ends each day with."""
+    rows = t("request_log").select("provider", F.unix_timestamp("ts").alias("t"), "id", (F.col("status_code") >= 500).alias("failed"))
+    ends = state.fold(rows, "provider", ["failed"], state.breaker(window=86400, recovery=3600), "string")
+    day = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd")
+    last = rows.join(ends, "id").groupBy(F.concat_ws(" ", "provider", day).alias("provider")).agg(F.max_by("out", F.struct("t", "id")).alias("state"), F.count_if("failed").alias("failures"))
+    return suggest.broken_providers(last)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import decoding, inspection, scope
+from ..functions import bodies, decoding, inspection, scope
 from .registry import query
 
 # Planted strings are put together from parts, so that no secret-shaped literal stands here.
@@ -89,19 +90,23 @@ def _(t):
     return rows.select("doc_id", number.alias("rule_no"), inspection.total(hits).alias("score"))
 
 
-@query("idcard_checksum", "SELECT * FROM (VALUES ('11010119900307851' || '5', true), ('11010119900230' || '8515', false), ('1101011990030785' || '1X', false), ('123', false)) AS t(card, valid)")
+_ID_SUM = f"list_sum(list_transform(range(1, 18), lambda i: CAST(substr(v, i, 1) AS INT) * list_extract({list(inspection.ID_WEIGHTS)}, i)))"
+_ID_OK = f"try_strptime(substr(v, 7, 8), '%Y%m%d') IS NOT NULL AND substr(v, 7, 4) BETWEEN '1900' AND '2100' AND substr('{inspection.ID_CHECKS}', CAST({_ID_SUM} % 11 + 1 AS INT), 1) = upper(substr(v, 18, 1))"
+# A number for each event: region, a date that may not exist, a running number, and a last character that is right for some.
+_CARDS = "SELECT event_id, concat('1101', lpad(CAST(event_id % 90 AS VARCHAR), 2, '0'), CAST(1880 + event_id % 240 AS VARCHAR), lpad(CAST(1 + event_id % 12 AS VARCHAR), 2, '0'), lpad(CAST(1 + event_id % 31 AS VARCHAR), 2, '0'), lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0'), CASE WHEN event_id % 11 = 10 THEN 'x' ELSE CAST(event_id % 11 AS VARCHAR) END) AS v FROM events"
+
+
+@query("idcard_checksum", f"SELECT event_id, v AS card, coalesce({_ID_OK}, false) AS valid FROM ({_CARDS})")
 def _(t):
-    spark = t("documents").sparkSession
-    cards = spark.createDataFrame([("11010119900307851" + "5",), ("11010119900230" + "8515",), ("1101011990030785" + "1X",), ("123",)], "card string")
-    return cards.select("card", inspection.id_valid(F.col("card")).alias("valid"))
+    e, two = F.col("event_id"), lambda c, n=2: F.lpad(c.cast("string"), n, "0")
+    card = F.concat(F.lit("1101"), two(e % 90), (1880 + e % 240).cast("string"), two(1 + e % 12), two(1 + e % 31), two(F.col("user_id") % 1000, 3), F.when(e % 11 == 10, "x").otherwise((e % 11).cast("string")))
+    return t("events").select("event_id", card.alias("card"), inspection.id_valid(card).alias("valid"))
 
 
 # Width forms (U+3000, U+FF01 to U+FF5E) are the only characters of the tables that NFKC changes where it matters here; SQL has no NFKC.
 _WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = unicodedata.normalize("NFKC", _WIDE)
 _ALL_WEIGHTS = ", ".join(f"('{k}', {w})" for k, (_, w) in inspection.PATTERNS.items())
-_ID_SUM = f"list_sum(list_transform(range(1, 18), lambda i: CAST(substr(v, i, 1) AS INT) * list_extract({list(inspection.ID_WEIGHTS)}, i)))"
-_ID_OK = f"try_strptime(substr(v, 7, 8), '%Y%m%d') IS NOT NULL AND substr(v, 7, 4) BETWEEN '1900' AND '2100' AND substr('{inspection.ID_CHECKS}', CAST({_ID_SUM} % 11 + 1 AS INT), 1) = upper(substr(v, 18, 1))"
 
 
 def _inspect_sql() -> str:
@@ -225,49 +230,106 @@ def _(t):
     return t("documents").select("doc_id", F.substring("text", 1, 80).alias("clip80"), F.substring("text", 1, 200).alias("clip200"))
 
 
-@query("mentioned_filename", "SELECT event_id, regexp_extract(concat('see report_', CAST(event_id AS VARCHAR), '.xlsx and more'), '([A-Za-z0-9_]{1,100}\\.(?:xlsx|csv|pdf))', 1) AS name FROM events")
+_SAYS = "concat(left(text, 40), CASE conv_id % 4 WHEN 0 THEN concat(' see report_', CAST(conv_id AS VARCHAR), '.xlsx and b.csv') WHEN 1 THEN concat('x', CAST(turn AS VARCHAR), '.PDF') WHEN 2 THEN ' a/b.csv.zip' ELSE '' END, right(text, 60))"
+
+
+@query("mentioned_filename", f"SELECT conv_id, turn, regexp_extract({_SAYS}, '(?:^|[^A-Za-z0-9_])([A-Za-z0-9_]{{1,100}}\\.(?:xlsx|csv|pdf))', 1) AS name FROM conversations")
 def _(t):
-    text = F.concat(F.lit("see report_"), F.col("event_id").cast("string"), F.lit(".xlsx and more"))
-    return t("events").select("event_id", F.regexp_extract(text, r"(?<![A-Za-z0-9_])([A-Za-z0-9_]{1,100}\.(?:xlsx|csv|pdf))", 1).alias("name"))
+    """The first data file that a turn names."""
+    kind = F.col("conv_id") % 4
+    said = F.when(kind == 0, F.concat(F.lit(" see report_"), F.col("conv_id").cast("string"), F.lit(".xlsx and b.csv"))).when(kind == 1, F.concat(F.lit("x"), F.col("turn").cast("string"), F.lit(".PDF"))).when(kind == 2, " a/b.csv.zip").otherwise("")
+    text = F.concat(F.left("text", F.lit(40)), said, F.right("text", F.lit(60)))
+    return t("conversations").select("conv_id", "turn", F.regexp_extract(text, r"(?<![A-Za-z0-9_])([A-Za-z0-9_]{1,100}\.(?:xlsx|csv|pdf))", 1).alias("name"))
+
+
+# Usage as different providers report it: both sides by either name, one side only, with details, or without.
+_K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
+_USAGE = f"""CASE event_id % 6 WHEN 0 THEN concat('{{"prompt_tokens":', {_K}, ',"completion_tokens":', event_id % 50, ',"prompt_tokens_details":{{"cached_tokens":', event_id % 120, '}}}}') WHEN 1 THEN concat('{{"input_tokens":', {_K}, ',"output_tokens":', event_id % 50, ',"cache_read_input_tokens":', event_id % 120, ',"cache_creation_input_tokens":', event_id % 7, '}}')
+    WHEN 2 THEN concat('{{"prompt_tokens":0,"input_tokens":', {_K}, ',"completion_tokens":"', event_id % 9, '"}}') WHEN 3 THEN concat('{{"input_tokens":', {_K}, '}}') WHEN 4 THEN concat('{{"prompt_tokens":-5,"completion_tokens":-1,"cache_read_input_tokens":', {_K}, '}}') ELSE 'null' END"""
+
 
+def _usage() -> Column:
+    e, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return (
+        F.when(e % 6 == 0, text('{"prompt_tokens":', k, ',"completion_tokens":', e % 50, ',"prompt_tokens_details":{"cached_tokens":', e % 120, "}}"))
+        .when(e % 6 == 1, text('{"input_tokens":', k, ',"output_tokens":', e % 50, ',"cache_read_input_tokens":', e % 120, ',"cache_creation_input_tokens":', e % 7, "}"))
+        .when(e % 6 == 2, text('{"prompt_tokens":0,"input_tokens":', k, ',"completion_tokens":"', e % 9, '"}'))
+        .when(e % 6 == 3, text('{"input_tokens":', k, "}"))
+        .when(e % 6 == 4, text('{"prompt_tokens":-5,"completion_tokens":-1,"cache_read_input_tokens":', k, "}"))
+        .otherwise("null")
+    )
 
-@query("normalize_usage", "SELECT event_id, k AS prompt, least(k * 2, k) AS cached FROM (SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events)")
+
+_FIRST = lambda a, b: f"CASE WHEN coalesce(TRY_CAST(u ->> '{a}' AS BIGINT), 0) > 0 THEN CAST(u ->> '{a}' AS BIGINT) ELSE greatest(0, coalesce(TRY_CAST(u ->> '{b}' AS BIGINT), 0)) END"
+_NORMAL = f"""n AS (SELECT *, {_FIRST('prompt_tokens', 'input_tokens')} AS prompt, {_FIRST('completion_tokens', 'output_tokens')} AS completion FROM u),
+    f AS (SELECT *, greatest(0, least(coalesce(nullif(TRY_CAST(u -> 'prompt_tokens_details' ->> 'cached_tokens' AS BIGINT), 0), TRY_CAST(u ->> 'cache_read_input_tokens' AS BIGINT), 0), prompt)) AS cached, greatest(0, least(coalesce(TRY_CAST(u ->> 'cache_creation_input_tokens' AS BIGINT), 0), prompt)) AS creation FROM n)"""
+
+
+@query("normalize_usage", f"WITH u AS (SELECT event_id, CAST({_USAGE} AS JSON) AS u FROM events), {_NORMAL} SELECT event_id, prompt, completion, cached, creation FROM f")
 def _(t):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return t("events").select("event_id", k.alias("prompt"), F.least(F.greatest(k * 2, F.lit(0)), k).alias("cached"))
+    return t("events").select("event_id", bodies.usage(_usage()).alias("u")).select("event_id", "u.*")
 
 
-@query("sse_usage_extract", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS usage FROM events")
+_EVENT = f"concat('event: message', chr(10), CASE WHEN event_id % 7 = 0 THEN 'data: [DONE]' WHEN event_id % 7 = 1 THEN ': comment' ELSE concat('data: ', '{{\"choices\":', CASE WHEN event_id % 2 = 0 THEN '[]' ELSE '[1]' END, ',\"usage\":', {_USAGE}, '}}') END, chr(10), 'data: {{}}')"
+
+
+@query(
+    "sse_usage_extract",
+    f"""WITH e AS (SELECT event_id, {_EVENT} AS x FROM events), d AS (SELECT event_id, trim(regexp_extract(x, '(?:^|\n)data:([^\n]*)', 1)) AS line FROM e), j AS (SELECT event_id, CASE WHEN line NOT IN ('', '[DONE]') THEN TRY_CAST(line AS JSON) END AS j FROM d),
+    u AS (SELECT event_id, j, j -> 'usage' AS u FROM j WHERE json_type(j -> 'usage') = 'OBJECT'), {_NORMAL}
+    SELECT event_id, prompt, completion, cached, creation, coalesce(CAST(j -> 'choices' AS VARCHAR) = '[]', false) AS only_usage FROM f
+    WHERE (json_exists(u, '$.prompt_tokens') OR json_exists(u, '$.input_tokens')) AND (json_exists(u, '$.completion_tokens') OR json_exists(u, '$.output_tokens'))""",
+)
 def _(t):
-    event = F.concat(F.lit("event: done\ndata: "), F.col("props"), F.lit("\ndata: {}\n"))
-    return t("events").select("event_id", F.get_json_object(F.regexp_extract(event, r"(?m)^data: (.*)$", 1), "$.k").cast("long").alias("usage"))
+    """Usage of the events of a stream that report both sides of it; only_usage: nothing else is in the event."""
+    body = F.when(F.col("event_id") % 7 == 0, "data: [DONE]").when(F.col("event_id") % 7 == 1, ": comment").otherwise(F.concat(F.lit('data: {"choices":'), F.when(F.col("event_id") % 2 == 0, "[]").otherwise("[1]"), F.lit(',"usage":'), _usage(), F.lit("}")))
+    event = F.concat(F.lit("event: message\n"), body, F.lit("\ndata: {}"))
+    found = t("events").select("event_id", bodies.event_usage(event).alias("u")).where("u IS NOT NULL")
+    return found.select("event_id", "u.*")
 
 
-@query("sse_stream", "SELECT event_id, p AS part, concat('data: ', CAST(p AS VARCHAR)) AS event FROM events, (VALUES (0), (1), (2)) AS t(p)")
+@query("sse_stream", "WITH b AS (SELECT conv_id, string_agg(concat('data: ', turn, ' ', replace(text, chr(10), ' ')), chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY 1), p AS (SELECT conv_id, string_split(body, chr(10) || chr(10)) AS parts FROM b) SELECT conv_id, CAST(i - 1 AS INT) AS part, sha256(parts[i]) AS event FROM p, range(1, 1000000) AS t(i) WHERE i <= len(parts)")
 def _(t):
-    body = F.lit("data: 0\n\ndata: 1\n\ndata: 2")
-    return t("events").select("event_id", F.posexplode(F.split(body, "\n\n")).alias("part", "event"))
+    """A stream's body is the turns of a conversation; its events are split at blank lines."""
+    line = F.concat(F.lit("data: "), F.col("turn").cast("string"), F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "text", line.alias("line"))))
+    bodies_ = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("body"))
+    return bodies_.select("conv_id", F.posexplode(F.split("body", "\n\n")).alias("part", "event")).select("conv_id", "part", F.sha2("event", 256).alias("event"))
+
+
+_ANSWER = """CASE event_id % 6 WHEN 0 THEN concat('{"model":"m', event_id % 9, '","gateway":{"provider":"', event_type, '"},"error":{"provider":"no"}}') WHEN 1 THEN concat('{"detail":{"type":"routing_error","provider":"', event_type, '"}}') WHEN 2 THEN concat('{"model":"", "error":{"provider":"', event_type, '"}}')
+    WHEN 3 THEN '{"gateway":"x","detail":["provider"]}' WHEN 4 THEN concat('{"model":"', repeat('m', CAST(event_id % 5 AS INT)), '"') ELSE concat('{"pad":"', repeat('x', 1000000), '","gateway":{"provider":"y"}}') END"""
 
 
-@query("peek_model", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE '' END AS model FROM events")
+@query("peek_model", f"WITH b AS (SELECT event_id, {_ANSWER} AS body FROM events WHERE event_id % 6 < 5 OR event_id % 3000 = 5), j AS (SELECT event_id, CASE WHEN length(body) <= 1000000 THEN TRY_CAST(body AS JSON) END AS j FROM b) SELECT event_id, coalesce(j ->> 'model', '') AS model, coalesce(nullif(j -> 'gateway' ->> 'provider', ''), nullif(j -> 'detail' ->> 'provider', ''), nullif(j -> 'error' ->> 'provider', ''), '') AS provider FROM j")
 def _(t):
-    body = F.when(F.col("event_id") % 3 == 0, '{"model": "m1"}').otherwise('{"x": 1}')
-    return t("events").select("event_id", F.coalesce(F.get_json_object(body, "$.model"), F.lit("")).alias("model"))
+    """Model and provider that an answer's body names; bodies that are no JSON or over a million characters name none."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    body = (
+        F.when(e % 6 == 0, text('{"model":"m', e % 9, '","gateway":{"provider":"', kind, '"},"error":{"provider":"no"}}')).when(e % 6 == 1, text('{"detail":{"type":"routing_error","provider":"', kind, '"}}'))
+        .when(e % 6 == 2, text('{"model":"", "error":{"provider":"', kind, '"}}')).when(e % 6 == 3, '{"gateway":"x","detail":["provider"]}').when(e % 6 == 4, text('{"model":"', F.repeat(F.lit("m"), (e % 5).cast("int")), '"'))
+        .otherwise(text('{"pad":"', F.repeat(F.lit("x"), 1_000_000), '","gateway":{"provider":"y"}}'))
+    )
+    return t("events").where("event_id % 6 < 5 OR event_id % 3000 = 5").select("event_id", body.alias("body")).select("event_id", bodies.model(F.col("body")).alias("model"), bodies.provider(F.col("body")).alias("provider"))
+
+
+_FAILED = "concat(left(text, 30), CASE doc_id % 5 WHEN 0 THEN ' Maximum Context length is ' WHEN 1 THEN ' too many tokens ' WHEN 2 THEN ' context windows' ELSE '' END, right(text, 30))"
 
 
-@query("classify_failure", "SELECT event_id % 4 AS kind, CASE WHEN event_id % 4 = 0 THEN 'overflow' ELSE 'error' END AS failure, count(*) AS n FROM events GROUP BY 1, 2")
+@query("classify_failure", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND regexp_matches(lower({_FAILED}), 'context length|maximum context|too many tokens|context window') THEN 'overflow' ELSE 'error' END AS failure FROM documents")
 def _(t):
-    kind = F.col("event_id") % 4
-    failure = scope.classify_failure(F.when(kind <= 1, 400).otherwise(500), F.when(kind == 0, "Maximum context length").otherwise("bad"))
-    return t("events").groupBy(kind.alias("kind"), failure.alias("failure")).agg(F.count("*").alias("n"))
+    kind = F.col("doc_id") % 5
+    message = F.concat(F.left("text", F.lit(30)), F.when(kind == 0, " Maximum Context length is ").when(kind == 1, " too many tokens ").when(kind == 2, " context windows").otherwise(""), F.right("text", F.lit(30)))
+    return t("documents").select("doc_id", scope.classify_failure(F.when(F.col("doc_id") % 3 == 0, 400).otherwise(500), message).alias("failure"))
 
 
-@query("cap_list_with_marker", "SELECT conv_id, least(count(*), 3) + CASE WHEN count(*) > 3 THEN 1 ELSE 0 END AS n FROM conversations GROUP BY 1")
+@query("cap_list_with_marker", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, sha256(array_to_string(CASE WHEN len(w) > 100 THEN list_append(w[1:100], concat('+', len(w) - 100)) ELSE w END, '|')) AS capped FROM w")
 def _(t):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    rows = t("conversations").groupBy("conv_id").agg(F.transform(turns, lambda x: x["role"]).alias("roles"))
-    capped = F.when(F.size("roles") > 3, F.concat(F.slice("roles", 1, 3), F.array(F.concat(F.lit("+"), (F.size("roles") - 3).cast("string"))))).otherwise(F.col("roles"))
-    return rows.select("conv_id", F.size(capped).cast("long").alias("n"))
+    """The words of a text as a list that is cut after a hundred."""
+    rows = t("documents").select("doc_id", F.split("text", " ").alias("w"))
+    return rows.select("doc_id", F.sha2(F.array_join(bodies.capped(F.col("w"), 100), "|"), 256).alias("capped"))
 
 
 @query("host_allowed", "SELECT page_id, regexp_matches(host, '(^|\\.)example\\.(com|org)$') AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)")
@@ -277,10 +339,10 @@ def _(t):
     return t("pages").select("page_id", F.exists(domains, lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))).alias("allowed"))
 
 
-@query("token_cap", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1024 ELSE least(event_id % 5000, 4096) END AS tokens FROM events WHERE event_id % 5000 > 0 OR event_id % 7 = 0")
+@query("token_cap", "SELECT event_id, CASE WHEN asked <= 0 THEN 1024 ELSE least(asked, 4096) END AS tokens, CASE WHEN asked <= 0 THEN 1024 ELSE asked END AS free FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(floor(value * 40) AS BIGINT) - 100 END AS asked FROM events)")
 def _(t):
-    asked = F.when(F.col("event_id") % 7 == 0, F.lit(0)).otherwise(F.col("event_id") % 5000)
-    return t("events").where("event_id % 5000 > 0 OR event_id % 7 = 0").select("event_id", scope.token_cap(asked, 1024, 4096).alias("tokens"))
+    asked = F.when(F.col("event_id") % 7 == 0, F.lit(0)).otherwise(F.floor(F.col("value") * 40) - 100)
+    return t("events").select("event_id", scope.token_cap(asked, 1024, 4096).cast("long").alias("tokens"), scope.token_cap(asked, 1024, 0).cast("long").alias("free"))
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -332,11 +394,12 @@ def _(t):
     return rows.select("conv_id", F.size("blocks").alias("n"), F.array_join("blocks.name", ",").alias("names"), F.sha2(F.array_join("blocks.text", "\n"), 256).alias("texts"))
 
 
-@query("tools_text", "SELECT event_id, concat('{\"name\":\"', event_type, '\",\"value\":', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), '}', chr(10), '{\"name\":\"x\",\"value\":1}') AS tools FROM events")
+@query("tools_text", "SELECT doc_id, sha256(concat(left(concat('{\"name\":\"', lang, '\",\"about\":\"', x, '\"}'), 4000), chr(10), left(concat('{\"name\":\"', source, '\"}'), 4000))) AS tools FROM (SELECT *, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') AS x FROM documents)")
 def _(t):
-    tool = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
-    tools = F.array(tool(F.col("event_type"), F.floor("value")), tool(F.lit("x"), F.lit(1).cast("long")))
-    return t("events").select("event_id", F.array_join(F.transform(tools, lambda x: F.substring(F.to_json(x), 1, 4000)), "\n").alias("tools"))
+    """Two tools for each text, one described by it."""
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", "")
+    tools = F.array(F.struct(F.col("lang").alias("name"), plain.alias("about")), F.struct(F.col("source").alias("name"), F.lit(None).cast("string").alias("about")))
+    return t("documents").select("doc_id", F.sha2(bodies.tools_text(tools), 256).alias("tools"))
 
 
 @query("source_files")

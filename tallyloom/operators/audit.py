@@ -163,15 +163,56 @@ def asof_sticky(rows: DataFrame, mark: Column, ttl_seconds: int, session: str =
     return rows.withColumn("sticky", F.coalesce(F.unix_timestamp("ts") - at <= ttl_seconds, F.lit(False)))
 
 
+def _changes(old: Column, new: Column) -> Column:
+    """What differs between two states (priority, action, body) of one rule; null: no such rule. A rule may have changed in two ways."""
+    both = old.isNotNull() & new.isNotNull()
+    differs = lambda *names: both & ~F.struct(*(old[n] for n in names)).eqNullSafe(F.struct(*(new[n] for n in names)))
+    tests = {"added": old.isNull(), "removed": new.isNull(), "priority": differs("priority"), "changed": differs("action", "body")}
+    return F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in tests.items())))
+
+
 def policy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """added, removed, priority or changed for each rule that differs between two versions."""
-    a, b = old.select("name", F.struct("priority", "action", "body").alias("a")), new.select("name", F.struct("priority", "action", "body").alias("b"))
-    rows = a.join(b, "name", "full")
-    kind = (
-        F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
-        .when((F.col("a.action") != F.col("b.action")) | (F.col("a.body") != F.col("b.body")), "changed").when(F.col("a.priority") != F.col("b.priority"), "priority")
-    )
-    return rows.select("name", kind.alias("change")).where("change IS NOT NULL")
+    """name and change (added, removed, priority, changed) for each rule that differs between two versions."""
+    a, b = (df.select("name", F.struct("priority", "action", "body").alias(k)) for df, k in ((old, "a"), (new, "b")))
+    return a.join(b, "name", "full").select("name", F.explode(_changes(F.col("a"), F.col("b"))).alias("change"))
+
+
+def _stepped(snapshots: DataFrame, live: DataFrame) -> DataFrame:
+    """name, rule, step (places of versions in order from 0, the live rules last) and last (the live rules' place)."""
+    versions = snapshots.select("version").distinct().withColumn("step", F.row_number().over(Window.orderBy("version")) - 1)  # one row for each saved version
+    last = F.lit(versions.count())
+    rule = F.struct("priority", "action", "body").alias("rule")
+    saved = snapshots.join(versions, "version").select("name", rule, "step", "version")
+    rows = saved.unionByName(live.select("name", rule, F.lit(None).cast("int").alias("step"), F.lit(None).cast(dict(snapshots.dtypes)["version"]).alias("version")))
+    return rows.withColumn("last", last).withColumn("step", F.coalesce("step", "last"))
+
+
+def policy_changes(snapshots: DataFrame, live: DataFrame) -> DataFrame:
+    """version, name, change: what each saved version lacks of the next newer one, the newest of the live rules.
+
+    snapshots: version, name, priority, action, body, one row for each rule of each version; live the same without version. A version is compared
+    with its neighbour by one window over each rule's rows, so the work is that of the rows, not of pairs of versions.
+    """
+    rows, w = _stepped(snapshots, live), Window.partitionBy("name").orderBy("step")
+    near = rows.withColumn("_before", F.lag(F.struct("step", "rule")).over(w)).withColumn("_after", F.lead("step").over(w))
+    none = F.lit(None).cast(rows.schema["rule"].dataType)
+    joined = F.col("_before.step") == F.col("step") - 1
+    arrived = F.when(F.col("step") > 0, _changes(F.when(joined, F.col("_before.rule")), F.col("rule")))
+    left = F.when((F.col("step") < F.col("last")) & ~F.coalesce(F.col("_after") == F.col("step") + 1, F.lit(False)), _changes(F.col("rule"), none))
+    each = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: x)
+    found = near.select("name", F.explode(F.concat(F.transform(each(arrived), lambda x: F.struct((F.col("step") - 1).alias("step"), x.alias("change"))), F.transform(each(left), lambda x: F.struct(F.col("step").alias("step"), x.alias("change"))))).alias("c"))
+    versions = rows.where("version IS NOT NULL").select("step", "version").distinct()
+    return found.select("name", "c.step", "c.change").join(versions, "step").select("version", "name", "change")
+
+
+def policy_intervals(snapshots: DataFrame, live: DataFrame) -> DataFrame:
+    """name, priority, action, body, first and last version of each unbroken stretch of versions in which a rule was the same; last is null where it still is."""
+    rows, w = _stepped(snapshots, live), Window.partitionBy("name").orderBy("step")
+    before = F.lag(F.struct("step", "rule")).over(w)
+    starts = ~F.coalesce((before["step"] == F.col("step") - 1) & before["rule"].eqNullSafe(F.col("rule")), F.lit(False))
+    runs = rows.withColumn("_new", starts).withColumn("_run", F.count_if("_new").over(w))
+    found = runs.groupBy("name", "_run").agg(F.first("rule").alias("rule"), F.min_by("version", "step").alias("first"), F.max_by("version", "step").alias("last"), F.max(F.col("version").isNull()).alias("_live"))
+    return found.select("name", "rule.*", "first", F.when(~F.col("_live"), F.col("last")).alias("last"))
 
 
 def prometheus_lines(counts: DataFrame) -> DataFrame:

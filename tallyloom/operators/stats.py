@@ -243,6 +243,21 @@ def summary(labelled: DataFrame, since: str, until: str, n: int, top: int, keys:
     )
 
 
+def fuzzy_keys(keys: DataFrame, patterns: DataFrame, least: int = 14) -> DataFrame:
+    """key_id and pattern of all keys (key_id, key_value, of at least so many characters) that begin and end as a pattern "head***tail" does.
+
+    The patterns' (head, tail) lengths are few, as both are shorter than a key; a key is joined by equality once for each of them.
+    """
+    head, tail = F.split_part("pattern", F.lit("***"), F.lit(1)), F.split_part("pattern", F.lit("***"), F.lit(2))
+    cut = patterns.where(F.col("pattern").contains("***")).select("pattern", head.alias("_head"), tail.alias("_tail")).distinct()
+    shapes = cut.select(F.length("_head").alias("a"), F.length("_tail").alias("b")).distinct().collect()  # pairs of lengths
+    if not shapes:
+        return keys.select("key_id", F.lit("").alias("pattern")).limit(0)
+    ends = F.explode(F.array(*(F.struct(F.left("key_value", F.lit(s["a"])).alias("_head"), F.right("key_value", F.lit(s["b"])).alias("_tail")) for s in shapes)))
+    each = keys.where(F.length("key_value") >= least).select("key_id", ends.alias("_e")).select("key_id", "_e.*").distinct()
+    return each.join(cut, ["_head", "_tail"]).select("key_id", "pattern")
+
+
 def histogram(log: DataFrame, column: str, bounds: list[int]) -> DataFrame:
     """Cumulative counts by upper bound, +Inf last; every bound has a row."""
     values = log.where(F.col(column) > 0)
