@@ -92,9 +92,24 @@ def _(t):
     return audit.search(t("audit"), ip="10.0.1", token="KEY", provider="external", status_text="4xx").select("id")
 
 
-@query("audit_fulltext_q", "SELECT id FROM audit WHERE " + " OR ".join(f"strpos(lower({c}), 'local') > 0" for c in audit.SEARCHED) + " OR local_flag", AU)
+# JSON of the judgement as Spark writes it: fields that are null are left out.
+_JUDGED = "concat('{', array_to_string(list_filter([CASE WHEN l2_label IS NOT NULL THEN concat('\"l2_label\":\"', l2_label, '\"') END, CASE WHEN l2_confidence IS NOT NULL THEN concat('\"l2_confidence\":', CAST(l2_confidence AS VARCHAR)) END, concat('\"l2_degraded\":', CAST(l2_degraded AS VARCHAR)), CASE WHEN shadow_label IS NOT NULL THEN concat('\"shadow_label\":\"', shadow_label, '\"') END, concat('\"shadow_degraded\":', CAST(shadow_degraded AS VARCHAR))], lambda x: x IS NOT NULL), ','), '}')"
+_ANY = lambda word: " OR ".join(f"coalesce(strpos(lower({c}), '{word}') > 0, false)" for c in (*audit.SEARCHED, _JUDGED))
+
+
+@query(
+    "audit_fulltext_q",
+    f"SELECT 'local' AS q, id FROM audit WHERE {_ANY('local')} OR local_flag UNION ALL SELECT '外发', id FROM audit WHERE {_ANY('外发')} OR NOT local_flag UNION ALL SELECT '判密', id FROM audit WHERE {_ANY('判密')} OR rule = 'l2_confidential' "
+    f"UNION ALL SELECT 'Degraded\":True', id FROM audit WHERE {_ANY('degraded\":true')} UNION ALL SELECT 's-7', id FROM audit WHERE {_ANY('s-7')}",
+    AU,
+)
 def _(t):
-    return audit.search(t("audit"), q="local").select("id")
+    """By columns, by the route, by a rule's display name, and by the judgement's JSON."""
+    found = None
+    for q in ("local", "外发", "判密", 'Degraded":True', "s-7"):
+        rows = audit.search(t("audit"), q=q).select(F.lit(q).alias("q"), "id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @query("pred_shadow_mismatch", f"SELECT id FROM audit WHERE {_MISMATCH}", AU)
@@ -146,11 +161,22 @@ def _(t):
     return audit.prometheus_lines(counts)
 
 
-@query("export_panel", "SELECT 'action' AS panel, action AS item, count(*) AS n FROM request_log GROUP BY 2 UNION ALL (SELECT 'provider', provider, count(*) FROM request_log WHERE provider <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'model', model, count(*) FROM request_log WHERE model <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)", ("request_log",))
+_TOP = lambda c: f"(SELECT '{c}', {c}, count(*) FROM audit WHERE {c} <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)"
+
+
+@query("export_panel", f"SELECT 'action' AS panel, action AS item, count(*) AS n FROM audit GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM audit GROUP BY 2 UNION ALL SELECT 'class', {_CLASS.format('status_code')}, count(*) FROM audit GROUP BY 2 UNION ALL {_TOP('rule')} UNION ALL {_TOP('provider')} UNION ALL {_TOP('model')}", AU)
 def _(t):
-    log = t("request_log")
-    by = lambda c: log.where(F.col(c) != "").groupBy(F.lit(c).alias("panel"), F.col(c).alias("item")).agg(F.count("*").alias("n"))
-    return by("action").unionByName(by("provider").orderBy(F.desc("n"), "item").limit(10)).unionByName(by("model").orderBy(F.desc("n"), "item").limit(10))
+    return audit.panel(t("audit"))
+
+
+@query(
+    "prometheus_summary",
+    """WITH x AS (SELECT l2_label AS l, quantile_disc(l2_latency_ms, [0.5, 0.95, 0.99]) AS q, sum(l2_latency_ms) AS s, count(*) AS n FROM audit WHERE l2_label IS NOT NULL AND l2_latency_ms IS NOT NULL GROUP BY 1)
+    SELECT concat('l2_ms{l2_label="', l, '",quantile="', ['0.5', '0.95', '0.99'][i], '"} ', CAST(q[i] AS VARCHAR)) AS line FROM x, range(1, 4) AS t(i) UNION ALL SELECT concat('l2_ms_sum{l2_label="', l, '"} ', CAST(s AS VARCHAR)) FROM x UNION ALL SELECT concat('l2_ms_count{l2_label="', l, '"} ', CAST(n AS VARCHAR)) FROM x""",
+    AU,
+)
+def _(t):
+    return audit.prometheus_summary(t("audit").where("l2_label IS NOT NULL"), "l2_ms", "l2_latency_ms", "l2_label")
 
 
 @query("rule_hits", "SELECT rule, CAST(sum(n) AS BIGINT) AS count, string_agg(concat(action, '=', CAST(n AS VARCHAR)), ',' ORDER BY action, n) AS actions, strftime(max(last), '%Y-%m-%d %H:%M:%S') AS last_seen FROM (SELECT rule, action, count(*) AS n, max(ts) AS last FROM audit WHERE rule NOT IN ('', 'bypass', 'default_allow') GROUP BY 1, 2) GROUP BY 1", AU)
@@ -202,6 +228,32 @@ def _(t):
     return audit.collapsed(_labelled(t)).groupBy("label").agg(F.count("*").alias("texts"))
 
 
+_KEPT = "TIMESTAMP '2024-01-10 12:00:00'"
+
+
+@query(
+    "stored_labels",
+    f"""WITH {_DIV}, x AS (SELECT d.id, d.ts, concat_ws('|', trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), filename) AS k FROM d LEFT JOIN documents USING (doc_id)),
+    p AS (SELECT arg_min(k, id) AS one, arg_max(k, id) AS two FROM x)
+    SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN k = two THEN 'normal' WHEN k = one THEN 'secret' END AS label, count(*) AS n FROM x, p WHERE ts >= {_KEPT} GROUP BY 1, 2""",
+    AU,
+)
+def _(t):
+    """Rows are stored, two texts are labelled with all rows that share them, old rows are purged; what the table then holds."""
+    from ..sources import sinks
+    from ..streaming.metrics import scratch
+
+    rows = audit.divergences(t("audit")).join(t("documents").select("doc_id", "text"), "doc_id", "left").select("id", "ts", "req_id", audit.group_key().alias("group"), F.lit(None).cast("string").alias("label"))
+    spark = rows.sparkSession
+    path = scratch(spark, "labels")
+    sinks.append(rows, path)
+    ends = spark.read.parquet(path).agg(F.min_by("req_id", "id").alias("one"), F.max_by("req_id", "id").alias("two")).first()
+    sinks.label_group(spark, path, "req_id", ends["one"], "group", "secret")
+    sinks.label_group(spark, path, "req_id", ends["two"], "group", "normal")
+    sinks.purge_stored(spark, path, "2024-01-10 12:00:00")
+    return spark.read.parquet(path).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "label").agg(F.count("*").alias("n"))
+
+
 @query("sink_jsonl_export", f"WITH {_DIV} SELECT concat('{{\"id\":', CAST(id AS VARCHAR), ',\"cell\":\"', cell, '\",\"rule\":\"', rule, '\"}}') AS line FROM d", AU)
 def _(t):
     return audit.divergences(t("audit")).select(F.to_json(F.struct("id", "cell", "rule")).alias("line"))

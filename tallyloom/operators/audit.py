@@ -7,9 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions import scope
 
-SEARCHED = ("req_id", "action", "rule", "provider", "model", "client_ip", "token_masked", "filename")
-EXTERNAL = ("external", "外网")
-LOCAL = ("local", "内网", "本地")
+SEARCHED = ("text_preview", "filename", "requested_model", "model", "provider", "rule", "client_ip", "type", "token_masked", "key_name", "session_id")
+JUDGED = ("l2_label", "l2_confidence", "l2_degraded", "shadow_label", "shadow_degraded")
+EXTERNAL = ("external", "外部", "外发")
+LOCAL = ("local", "本地")
+# The names under which rules are displayed and searched, and the rules that no policy holds.
+RULE_NAMES = {
+    "default_allow": "默认放行",
+    "allow": "放行",
+    "route_local": "本地路由",
+    "block": "阻断",
+    "l2_confidential": "L2 判密",
+    "l2_unavailable": "L2 不可用",
+    "l2_injection": "L2 提示注入",
+    "first_chunk_fallback": "首块转内网",
+    "prompt_too_long_fallback": "长提示转内网",
+    "key_blacklist": "密钥黑名单",
+    "key_middle_local": "密钥中间档转内网",
+    "encoded_keyword": "编码关键词转内网",
+    "review_text_overflow": "超审查预算转内网",
+    "local_alias_bypass": "全内网别名放行",
+    "financial_local_only": "财务表转内网",
+    "drawing_local_only": "图纸转内网",
+    "pii_weighted_route_local": "隐私加权转内网",
+    "pii_critical_block": "高危隐私拦截",
+    "block_secrets": "拦截密钥",
+    "session_route_local": "会话机密转内网",
+    "tainted_file_ref": "文件名转内网",
+    "unparsed_binary_route_local": "未解析二进制转内网",
+    "ocr_empty_image_route_local": "空图转内网",
+    "未解析二进制转内网": "二进制转内网",
+    "文件名污染转内网": "文件名转内网",
+    "empty_image": "空图转内网",
+}
+SYSTEM_RULES = ("l2_confidential", "l2_unavailable", "l2_injection", "encoded_keyword", "review_text_overflow", "first_chunk_fallback", "prompt_too_long_fallback", "local_alias_bypass", "key_middle_local")
+SYSTEM_MARK = "（系统内置）"
 
 
 def scan(rows: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None, **equal: str) -> DataFrame:
@@ -43,13 +75,19 @@ def search(rows: DataFrame, ip: str = "", token: str = "", status_text: str = ""
 
 
 def fulltext(q: str) -> Column:
-    """Substring of any searched column; the words for the two routes also match by the route flag."""
+    """Substring, whatever its case, of any searched column, of the name a rule is displayed under, or of the second classifier's judgement as
+    JSON; the words for the two routes also match by the route flag, a missing flag being external."""
+    word = q.lower()
     found = F.lit(False)
     for column in SEARCHED:
-        found = found | F.coalesce(F.lower(column).contains(q.lower()), F.lit(False))
-    if q.lower() in EXTERNAL:
-        found = found | ~F.col("local_flag")
-    return found | F.col("local_flag") if q.lower() in LOCAL else found
+        found = found | F.coalesce(F.lower(column).contains(word), F.lit(False))
+    # which rules' display names hold the word is known beforehand
+    named = [r for r in (*RULE_NAMES, *SYSTEM_RULES) if word in f"{RULE_NAMES.get(r, '')}{SYSTEM_MARK if r in SYSTEM_RULES else ''}".lower()]
+    if named:
+        found = found | F.coalesce(scope.norm("rule").isin(named), F.lit(False))
+    found = found | F.lower(F.to_json(F.struct(*JUDGED))).contains(word)
+    local = F.coalesce("local_flag", F.lit(False))
+    return found | ~local if word in EXTERNAL else found | local if word in LOCAL else found
 
 
 def page(rows: DataFrame, sort: str, number: int, size: int = 50) -> DataFrame:
@@ -215,6 +253,31 @@ def policy_intervals(snapshots: DataFrame, live: DataFrame) -> DataFrame:
     return found.select("name", "rule.*", "first", F.when(~F.col("_live"), F.col("last")).alias("last"))
 
 
+def panel(rows: DataFrame, top: int = 10) -> DataFrame:
+    """The live panel from one scan: panel, item and n. action, type and class (of the status) in full, of rule, provider and model the top ones."""
+    filled = lambda c: F.when(scope.norm(c) == "", "unknown").otherwise(scope.norm(c)).alias(c)
+    some = lambda c: F.nullif(scope.norm(c), F.lit("")).alias(c)
+    dims = ["action", "type", "class", "rule", "provider", "model"]
+    flat = rows.select(filled("action"), filled("type"), scope.status_class(F.col("status_code")).alias("class"), *map(some, dims[3:]))
+    sets = flat.groupingSets([[d] for d in dims], *dims).agg(F.grouping_id(*dims).alias("gid"), F.count("*").alias("n"))
+    gid = {d: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - k)) for k, d in enumerate(dims)}
+    name = F.coalesce(*(F.when(F.col("gid") == g, F.lit(d)) for d, g in gid.items()))
+    found = sets.select(name.alias("panel"), F.coalesce(*dims).alias("item"), "n").where("item IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("n"), "item"))  # over different items
+    return found.withColumn("_place", place).where(F.col("panel").isin(*dims[:3]) | (F.col("_place") <= top)).drop("_place")
+
+
+def prometheus_summary(rows: DataFrame, metric: str, column: str, by: str, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Text exposition of a column's quantiles (nearest rank), sum and count by a label."""
+    label = lambda extra="": F.concat(F.lit(f'{{{by}="'), F.col(by), F.lit(f'"{extra}}} '))
+    at = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})").cast("long").alias(f"q{k}") for k, q in enumerate(quantiles)]
+    found = rows.where(F.col(column).isNotNull()).groupBy(by).agg(*at, F.sum(column).cast("long").alias("total"), F.count("*").alias("n"))
+    value = lambda c: F.col(c).cast("string")
+    lines = [F.concat(F.lit(metric), label(f',quantile="{q}"'), value(f"q{k}")) for k, q in enumerate(quantiles)]
+    lines += [F.concat(F.lit(f"{metric}_sum"), label(), value("total")), F.concat(F.lit(f"{metric}_count"), label(), value("n"))]
+    return found.select(F.explode(F.array(*lines)).alias("line"))
+
+
 def prometheus_lines(counts: DataFrame) -> DataFrame:
     """Text exposition of calls by provider, action and status class, a line for each series."""
     cells = ("provider", "action", "status")

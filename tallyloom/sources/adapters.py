@@ -54,6 +54,10 @@ AUDIT: dict[str, str] = {
     "l2_latency_ms": "CASE WHEN event_id % 2 = 0 THEN 100 + event_id % 300 END",
     "shadow_label": "CASE WHEN event_id % 2 <> 0 OR event_id % 14 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 'CONFIDENTIAL' ELSE 'NORMAL' END",
     "shadow_degraded": "event_id % 28 = 0",
+    "text_preview": "concat('asked ', props)",
+    "requested_model": "CASE WHEN event_id % 8 = 0 THEN 'Auto-AB' ELSE '' END",
+    "key_name": REQUEST_LOG["key_name"],
+    "session_id": "concat('s-', CAST(user_id AS varchar(20)))",
 }
 
 #: Small dimensions, written as rows of SQL literals.

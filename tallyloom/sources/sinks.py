@@ -37,6 +37,53 @@ def append_stream(rows: DataFrame, path: str, dead: str, valid: Callable[[], Col
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
+def _replace_days(rows: DataFrame, path: str) -> None:
+    """Overwrite the days that rows have, and only those; rows are written aside first, as they come from the files that go."""
+    from ..streaming.metrics import materialized
+
+    materialized(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def _days(rows: DataFrame) -> list:
+    return [r["day"] for r in rows.select("day").distinct().collect()]  # folder names
+
+
+def label_group(spark: SparkSession, path: str, id_column: str, row_id: object, group: str, label: str | None) -> int:
+    """Label (null: clear) a row of a stored table and all rows that share its group; the number of rows that changed.
+
+    Only the days with rows whose label changes are rewritten; other days keep their files, and a repeated call changes none. An id that
+    isn't there changes nothing; a null group is no group, only the row itself is labelled.
+    """
+    table = spark.read.parquet(path)
+    one = table.where(F.col(id_column) == row_id).select(group).first()
+    if one is None:
+        return 0
+    mine = F.col(group) == one[0] if one[0] is not None else F.col(id_column) == row_id
+    stale = table.where(mine & ~F.col("label").eqNullSafe(F.lit(label).cast("string")))
+    found = stale.groupBy("day").count().collect()  # a row for each day
+    if found:
+        touched = table.where(F.col("day").isin([r["day"] for r in found]))
+        _replace_days(touched.withColumn("label", F.when(mine, F.lit(label).cast("string")).otherwise(F.col("label"))), path)
+    return sum(r["count"] for r in found)
+
+
+def purge_stored(spark: SparkSession, path: str, before: str) -> int:
+    """Take rows older than before out of a stored table; their number. Whole days go as folders, only the day at the border is rewritten."""
+    table, cut = spark.read.parquet(path), F.lit(before).cast("timestamp")
+    old = table.where((F.col("ts") < cut) & (F.col("day") <= F.to_date(cut)))
+    found = {r["day"]: r["count"] for r in old.groupBy("day").count().collect()}  # a row for each day
+    border = [d for d in _days(table.where((F.col("day") == F.to_date(cut)) & (F.col("ts") >= cut))) if d in found]
+    if border:
+        _replace_days(table.where((F.col("day") == border[0]) & (F.col("ts") >= cut)), path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in found:
+        if day not in border:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"day={day}"), True)
+    spark.catalog.refreshByPath(path)
+    return sum(found.values())
+
+
 def checked_stream(rows: DataFrame, path: str, valid: Callable[[], Column], lateness: float, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows (ts and others) with what is wrong with them counted by cause; every row is kept somewhere.
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import changes, decoding, inspection, scope
-from tallyloom.operators import curation, evaluation, stats, suggest, timeseries
+from tallyloom.operators import audit, curation, evaluation, stats, suggest, timeseries
 from tallyloom.plans import policy
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import metrics, state
@@ -437,6 +437,52 @@ def test_places_among_equal_values(spark):
     assert [[(r["k"], r["n"], r["v"]) for r in at(n)] for n in (-1, 3, 4, 8, 9, 50)] == [[("a", 10, v)] for v in (1, 1, 3, 3, 7, 7)]
 
 
+def test_stored_labels_and_purge(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rows = [(i, f"2024-01-0{1 + i // 10} {i % 10 + 8:02d}:00:00", ["a", "b", None][i % 3] if i < 30 else "far", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, at string, grp string, label string").select("id", F.to_timestamp("at").alias("ts"), "grp", "label")
+    sinks.append(df, path)
+    files_of = lambda: {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in (tmp_path / "rows").glob("day=*")}
+    stored = lambda: {r["id"]: r["label"] for r in spark.read.parquet(path).collect()}
+    before = files_of()
+    assert sinks.label_group(spark, path, "id", 3, "grp", "secret") == 10
+    after = files_of()
+    assert {d for d in before if before[d] != after[d]} == {"day=2024-01-01", "day=2024-01-02", "day=2024-01-03"}
+    assert stored() == {i: "secret" if i < 30 and i % 3 == 0 else None for i in range(50)}
+    assert sinks.label_group(spark, path, "id", 6, "grp", "secret") == 0 and files_of() == after
+    assert sinks.label_group(spark, path, "id", 2, "grp", "odd") == 1 and stored()[2] == "odd" and stored()[5] is None
+    assert sinks.label_group(spark, path, "id", 3, "grp", None) == 10 and sinks.label_group(spark, path, "id", 999, "grp", "x") == 0
+    kept = files_of()
+    assert sinks.purge_stored(spark, path, "2024-01-03 12:00:00") == 24
+    left = files_of()
+    assert "day=2024-01-01" not in left and left["day=2024-01-03"] != kept["day=2024-01-03"] and left["day=2024-01-04"] == kept["day=2024-01-04"]
+    assert sorted(stored()) == list(range(24, 50))
+    assert sinks.purge_stored(spark, path, "2024-01-03 12:00:00") == 0 and files_of() == left
+    assert sinks.purge_stored(spark, path, "2024-01-05 00:00:00") == 16 and sorted(stored()) == list(range(40, 50))
+
+
+def test_policy_chain(spark):
+    saved = [(10, "a", 1, "x"), (10, "b", 2, "y"), (20, "a", 1, "x"), (20, "c", 3, "z"), (35, "a", 5, "w"), (35, "b", 2, "y")]
+    snapshots = spark.createDataFrame([(v, n, p, "block", b) for v, n, p, b in saved], "version long, name string, priority int, action string, body string")
+    live = spark.createDataFrame([("a", 5, "allow", "w")], "name string, priority int, action string, body string")
+    got = sorted(map(tuple, audit.policy_changes(snapshots, live).collect()))
+    assert got == [(10, "b", "removed"), (10, "c", "added"), (20, "a", "changed"), (20, "a", "priority"), (20, "b", "added"), (20, "c", "removed"), (35, "a", "changed"), (35, "b", "removed")]
+    spans = {(r["name"], r["body"], r["action"]): (r["first"], r["last"]) for r in audit.policy_intervals(snapshots, live).where("NOT (name = 'b')").collect()}
+    assert spans == {("a", "x", "block"): (10, 20), ("a", "w", "block"): (35, 35), ("a", "w", "allow"): (None, None), ("c", "z", "block"): (20, 20)}
+    assert sorted((r["first"], r["last"]) for r in audit.policy_intervals(snapshots, live).where("name = 'b'").collect()) == [(10, 10), (35, 35)]
+    assert audit.policy_changes(snapshots.limit(0), live).count() == 0
+
+
+def test_fuzzy_keys_equal_brute_force(spark):
+    rng = random.Random(8)
+    keys = [(i, rng.choice(["tk-", "pk-", ""]) + "".join(rng.choice("ab1") for _ in range(rng.randint(8, 18)))) for i in range(300)]
+    patterns = ["tk-***", "***b", "***", "tk-a***1", "pk-***ab", "none", "a***b***c", "tk-ab1***"]
+    got = stats.fuzzy_keys(spark.createDataFrame(keys, "key_id long, key_value string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    cut = {p: p.split("***")[:2] for p in patterns if "***" in p}
+    want = sorted((i, p) for i, k in keys for p, (a, b) in cut.items() if len(k) >= 14 and k.startswith(a) and k.endswith(b))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+
+
 def test_trailing_percentiles(spark, monkeypatch):
     rng = random.Random(2)
     seconds = [rng.randrange(0, 4000) for _ in range(400)] + [0, 10, 300, 310, 599, 600, 601] + [777] * 50
