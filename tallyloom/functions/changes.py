@@ -142,7 +142,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.Struct
 
 @F.pandas_udf(_SPANS)
 def _changed(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[{"a": a, "b": b} for a, b in changed(x or "", y or "")] for x, y in zip(old, new, strict=True)])
+    return pd.Series([[] if x is None else [{"a": a, "b": b} for a, b in changed(x, y)] for x, y in zip(old, new, strict=True)])
 
 
 def changed_pieces(old: Column, new: Column, piece: int = PIECE, most: int = PIECES) -> Column:
@@ -170,6 +170,7 @@ def changed_pieces(old: Column, new: Column, piece: int = PIECE, most: int = PIE
 
     spread = windows(new, piece, F.lit(most))
     size = lambda spans: F.aggregate(spans, F.lit(0), lambda acc, x: acc + x["b"] - x["a"])
-    by_spans = let(_changed(old, new), lambda parts: let(merged(parts), lambda spans: F.when(size(spans) <= piece * most, cut(spans)).otherwise(spread)))
     comparable = (old != "") & (F.length(old) + F.length(new) <= COMPARED)
+    sent = lambda text: F.when(comparable & (old != new), text)  # a function in a CASE runs for all rows: those that don't need it send null
+    by_spans = let(_changed(sent(old), sent(new)), lambda parts: let(merged(parts), lambda spans: F.when(size(spans) <= piece * most, cut(spans)).otherwise(spread)))
     return F.when(old == new, F.array().cast("array<string>")).when(comparable, by_spans).otherwise(spread)

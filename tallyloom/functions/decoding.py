@@ -21,14 +21,19 @@ BASE64_RUN, HEX_RUN = r"[A-Za-z0-9+/= \t\n\x0b\f\r]{24,}", r"[0-9a-fA-F]{32,}"
 BASE64_WHOLE = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)$"
 
 
+#: Characters that NFKC leaves as they are, whatever stands beside them: ASCII, letters of Latin-1 and Extended-A, ideographs, common Chinese marks.
+STABLE = "\x00-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž\u3001-\u301b\u4e00-\u9fff“”‘’–—€"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC; ASCII texts are their own form and stay in the JVM."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(_nfkc(text))
+    """NFKC; texts of STABLE characters only are their own form and stay in the JVM."""
+    # a function in a CASE runs for all rows: those that don't need it send null
+    return F.coalesce(_nfkc(F.when(~text.rlike(rf"^[{STABLE}]*+\z"), text)), text)
 
 
 def _attempts(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Text inspection: patterns, checksums, keyword and risk scores, secret redaction. Built-in expressions only.
 
-Decoding of nested payloads and Unicode normalization have no built-in form; see functions/decoding.py.
+Most texts hold nothing that is looked for, so each search runs behind a plain test for what it can't do without: a digit, the head of a
+key, a Chinese character. Unicode normalization has no built-in form; see functions/decoding.py.
 """
 
 from __future__ import annotations
@@ -55,12 +56,27 @@ SECRETS: tuple[tuple[str, str], ...] = (
 )
 
 
+# What a match of each pattern can't do without; digits where nothing is given.
+_HEADS = {"aws_key": "AKIA", "private_key": "PRIVATE KEY", "gh_token": "ghp_", "ant_api_key": "sk-ant-", "deepseek_key": "sk-"}
+_SECRET_HEADS = (("AKIA",), ("aws",), ("PRIVATE KEY",), ("ghp_", "ghs_", "gho_", "ghr_", "ghu_"), ("sk-ant-",), ("sk-",), ("AIza",), ("xox",), ("eyJ",), ("authorization",))
+_PINYIN = ("daoshou", "gong", "xin")
+CHINESE = "[\u4e00-\u9fff]"
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found
+
+
 def strip_separators(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s\x{3000}\-_.,/|]+", "")
 
 
 def visible(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, "")
+    known = F.coalesce(text, F.lit(""))
+    return F.when(F.length(known) == F.octet_length(known), known).otherwise(F.regexp_replace(known, INVISIBLE, ""))
 
 
 def id_valid(s: Column) -> Column:
@@ -83,33 +99,45 @@ def findings(text: Column) -> Column:
 
     Number kinds are also sought in a copy without separators.
     """
-    return let(strip_separators(text), lambda digits: _findings(text, digits))
+    numbers = F.when(text.rlike("[0-9]"), let(strip_separators(text), lambda digits: F.concat(*(_found(k, text, digits) for k in PATTERNS if k in DIGIT_KINDS)))).otherwise(_NONE())
+    keys = [F.when(text.contains(_HEADS[k]), _found(k, text, None)).otherwise(_NONE()) for k in PATTERNS if k not in DIGIT_KINDS]
+    return F.concat(numbers, *keys)
+
 
+def _NONE() -> Column:  # noqa: N802
+    return F.array().cast("array<struct<kind:string,value:string,weight:int>>")
 
-def _findings(text: Column, digits: Column) -> Column:
-    def of(kind: str) -> Column:
-        pattern, weight = PATTERNS[kind]
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        if kind in DIGIT_KINDS:
-            found = F.concat(found, F.regexp_extract_all(digits, F.lit(pattern), F.lit(0)))
-        found = F.array_distinct(found)
-        if kind in ("idcard", "bankcard"):
-            found = F.filter(found, id_valid if kind == "idcard" else luhn)
-        return F.transform(F.slice(found, 1, MATCH_CAP), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(weight).alias("weight")))
 
-    return F.concat(*map(of, PATTERNS))
+def _found(kind: str, text: Column, digits: Column | None) -> Column:
+    pattern, weight = PATTERNS[kind]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if digits is not None:
+        found = F.concat(found, F.regexp_extract_all(digits, F.lit(pattern), F.lit(0)))
+    found = F.array_distinct(found)
+    if kind in ("idcard", "bankcard"):
+        found = F.filter(found, id_valid if kind == "idcard" else luhn)
+    return F.transform(F.slice(found, 1, MATCH_CAP), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(weight).alias("weight")))
 
 
 def keyword_hits(text: Column) -> Column:
-    """name and weight of each keyword and risk rule that the text or its copy without white space holds; case counts."""
+    """name and weight of each keyword and risk rule that the text or its copy without white space holds; case counts.
+
+    Texts without a Chinese character are only searched for the words and the rule that need none.
+    """
     return let(F.regexp_replace(text, r"(?U)\s+", ""), lambda compact: _keyword_hits(text, compact))
 
 
 def _keyword_hits(text: Column, compact: Column) -> Column:
-    words = F.array(*(F.struct(F.lit(w).alias("name"), F.lit(n).alias("weight")) for n, ws in KEYWORDS.items() for w in ws))
-    hits = F.filter(words, lambda k: text.contains(k["name"]) | compact.contains(k["name"]))
-    rules = F.array_compact(F.array(*(F.when(text.rlike(p) | compact.rlike(p), F.struct(F.lit(r).alias("name"), F.lit(RISK_WEIGHT).alias("weight"))) for r, p in RISK_RULES.items())))
-    return F.concat(hits, rules)
+    words = [(w, n) for n, ws in KEYWORDS.items() for w in ws]
+
+    def hits(some: list[tuple[str, int]]) -> Column:
+        return F.filter(F.array(*(F.struct(F.lit(w).alias("name"), F.lit(n).alias("weight")) for w, n in some)), lambda k: text.contains(k["name"]) | compact.contains(k["name"]))
+
+    def rules(names: list[str]) -> Column:
+        return F.array_compact(F.array(*(F.when(text.rlike(RISK_RULES[r]) | compact.rlike(RISK_RULES[r]), F.struct(F.lit(r).alias("name"), F.lit(RISK_WEIGHT).alias("weight"))) for r in names)))
+
+    plain = F.when(_any(compact, _PINYIN), rules(["salary_pinyin"])).otherwise(F.array().cast("array<struct<name:string,weight:int>>"))
+    return F.when(text.rlike(CHINESE), F.concat(hits(words), rules(list(RISK_RULES)))).otherwise(F.concat(hits([x for x in words if x[0].isascii()]), plain))
 
 
 def total(hits: Column) -> Column:
@@ -121,6 +149,9 @@ def risk(found: Column, hits: Column) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
-    for pattern, put in SECRETS:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+    """Each secret's place taken by its kind; texts without any secret's head come back as they are."""
+    out = text
+    for (pattern, put), heads in zip(SECRETS, _SECRET_HEADS, strict=True):
+        near = _any(F.lower(text) if pattern.startswith("(?i)") else text, heads)
+        out = let(out, lambda x: F.when(near, F.regexp_replace(x, pattern, put)).otherwise(x))  # bound once: x stands there twice  # noqa: B023
+    return out
