@@ -29,6 +29,8 @@ SEED = 42
 MAX_BITS = 3
 #: Members of a cell beyond which it is split.
 HOT_CELL = 5_000
+#: How often a cell is split further at most.
+LEVELS = 3
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -95,30 +97,44 @@ def _cells(rows: DataFrame, groups: int, p: str, cell: str) -> DataFrame:
     return rows.withColumn("_c", F.explode(cells)).withColumn(p, F.col("_c.p")).withColumn(cell, F.col("_c.cell")).drop("_c")
 
 
+def _hot_cells(rows: DataFrame, keys: list[str], hot_cell: int) -> DataFrame:
+    """The cells with some hot_cell members or more, counted on the share of fingerprints that shows them by 256 members."""
+    every = max(1, hot_cell // 256)
+    some = rows.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0) if every > 1 else rows
+    return materialized(some.groupBy(*keys).count().where(F.col("count") * every > hot_cell).select(*keys))
+
+
 def links(reps: DataFrame, groups: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
     """u < v: all pairs of the distinct fingerprints reps.fp (a stable table) that differ in 1 to MAX_BITS bits.
 
-    Points of a cell with more than hot_cell members are projected a second time, with two groups more: two points within the
-    bound share one of those cells as well, so such a cell splits and no link is lost.
+    Points of a cell with more than some hot_cell members are projected again, with two groups more, up to LEVELS times: two points within the
+    bound share one of those cells as well, so such a cell splits and no link is lost. Which cells are split decides how long it takes, never what is found.
     """
-    groups = groups or _groups_for(reps.count())
-    point = reps.select("fp", _thermometer(F.col("fp")).alias("point"))
-    rows = _cells(point, groups, "p", "cell")
-    hot = materialized(rows.groupBy("p", "cell").count().where(F.col("count") > hot_cell).select("p", "cell"))
-    many = hot.count()
+    n = reps.count()
+    groups = groups or _groups_for(n)
+    rows, keys, found = _cells(reps.select("fp", _thermometer(F.col("fp")).alias("point")), groups, "p0", "cell0"), ["p0", "cell0"], []
     u, v = F.col("u"), F.col("v")
 
-    def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def pairs(rows: DataFrame) -> DataFrame:
         a, b = rows.select(*keys, F.col("fp").alias("u")), rows.select(*keys, F.col("fp").alias("v"))
         manhattan = F.bit_count(_thermometer(u).bitwiseXOR(_thermometer(v)))
         return a.join(b, keys).where((u < v) & (manhattan <= MAX_BITS) & (F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS)).select("u", "v")
 
-    if not many:
-        return pairs(rows, ["p", "cell"]).distinct()
-    hot = F.broadcast(hot) if many <= 100_000 else hot
-    cold = pairs(rows.join(hot, ["p", "cell"], "left_anti"), ["p", "cell"])
-    split = _cells(rows.join(hot, ["p", "cell"], "left_semi"), groups + 2, "q", "inner")
-    return cold.union(pairs(split, ["p", "cell", "q", "inner"])).distinct()
+    for level in range(1, LEVELS + 1):
+        if n <= hot_cell:
+            break
+        hot = _hot_cells(rows, keys, hot_cell)
+        many = hot.count()
+        if not many:
+            break
+        hot = F.broadcast(hot) if many <= 100_000 else hot
+        found.append(pairs(rows.join(hot, keys, "left_anti")))
+        rows = _cells(rows.join(hot, keys, "left_semi"), groups + 2 * level, f"p{level}", f"cell{level}")
+        keys = [*keys, f"p{level}", f"cell{level}"]
+    out = pairs(rows)
+    for x in found:
+        out = out.union(x)
+    return out.distinct()
 
 
 def _members(docs: DataFrame) -> DataFrame:

@@ -587,7 +587,7 @@ def test_simhash_links_are_complete(spark):
     signed = [simhash._signed(x) for x in fps]
     reps = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    for groups, hot in ((5, 5000), (6, 5000), (6, 3), (8, 0)):
+    for groups, hot in ((5, 5000), (6, 5000), (6, 300), (6, 3), (8, 0)):
         assert {(r["u"], r["v"]) for r in simhash.links(reps, groups, hot).collect()} == want
 
 
