@@ -29,8 +29,9 @@ SEED = 42
 MAX_BITS = 3
 #: Members of a cell beyond which it is split.
 HOT_CELL = 5_000
-#: How often a cell is split further at most.
-LEVELS = 3
+#: How often a cell is split further at most, and how many times more members it must have for each further split, which makes over a hundred rows of one.
+LEVELS = 2
+HOTTER = 10
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -107,7 +108,7 @@ def _hot_cells(rows: DataFrame, keys: list[str], hot_cell: int) -> DataFrame:
 def links(reps: DataFrame, groups: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
     """u < v: all pairs of the distinct fingerprints reps.fp (a stable table) that differ in 1 to MAX_BITS bits.
 
-    Points of a cell with more than some hot_cell members are projected again, with two groups more, up to LEVELS times: two points within the
+    Points of a cell with more than some hot_cell members are projected again, with two groups more, and where HOTTER times as many stay together once more: two points within the
     bound share one of those cells as well, so such a cell splits and no link is lost. Which cells are split decides how long it takes, never what is found.
     """
     n = reps.count()
@@ -123,7 +124,7 @@ def links(reps: DataFrame, groups: int | None = None, hot_cell: int = HOT_CELL)
     for level in range(1, LEVELS + 1):
         if n <= hot_cell:
             break
-        hot = _hot_cells(rows, keys, hot_cell)
+        hot = _hot_cells(rows, keys, hot_cell * HOTTER ** (level - 1))
         many = hot.count()
         if not many:
             break

@@ -580,14 +580,15 @@ def test_simhash(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
-def test_simhash_links_are_complete(spark):
+def test_simhash_links_are_complete(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centers = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = {int(c) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for c in centers for _ in range(40)}
     signed = [simhash._signed(x) for x in fps]
     reps = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    for groups, hot in ((5, 5000), (6, 5000), (6, 300), (6, 3), (8, 0)):
+    for groups, hot, hotter in ((5, 5000, 10), (6, 5000, 10), (6, 300, 10), (6, 3, 1000), (6, 20, 1)):
+        monkeypatch.setattr(simhash, "HOTTER", hotter)
         assert {(r["u"], r["v"]) for r in simhash.links(reps, groups, hot).collect()} == want
 
 
