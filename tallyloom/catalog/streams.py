@@ -159,6 +159,34 @@ def _(t):
     return jsonl.parse(t("events").select(line.alias("value")), "id long, v long")
 
 
+@query(
+    "sink_request_log",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(nullif(provider, ''), '-') AS provider, count(*) AS n, count(DISTINCT req_id) AS requests, max(length(m)) AS longest FROM (SELECT *, left(concat(model, ' ', req_id), 9) AS m FROM request_log) GROUP BY 1, 2",
+    RL,
+)
+def _(t):
+    """The log is normalized, appended by day and read again."""
+    log = t("request_log")
+    path = metrics.scratch(log.sparkSession, "log")
+    rows = log.select("ts", "req_id", F.nullif("provider", F.lit("")).alias("provider"), F.concat_ws(" ", "model", "req_id").alias("model"))
+    sinks.append(sinks.normalized(rows, {"provider": "-"}, {"model": 9}), path)
+    stored = log.sparkSession.read.parquet(path)
+    return stored.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "provider").agg(F.count("*").alias("n"), F.count_distinct("req_id").alias("requests"), F.max(F.length("model")).cast("long").alias("longest"))
+
+
+@query("ring_persist_compact", "SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS t, count(*) AS calls FROM request_log GROUP BY 1 ORDER BY 1 DESC LIMIT 2160", RL)
+def _(t):
+    """Ticks are written as lines, some of them torn, the newest 2,160 whole ones are kept and read again."""
+    log = t("request_log")
+    spark, base = log.sparkSession, metrics.scratch(log.sparkSession, "ring")
+    ticks = log.groupBy((F.floor(F.unix_timestamp("ts") / 600) * 600).cast("long").alias("t")).agg(F.count("*").alias("calls"))
+    lines = ticks.select(F.to_json(F.struct("t", "calls")).alias("value"))
+    torn = lines.where(F.pmod(F.xxhash64("value"), F.lit(10)) == 0).select(F.left("value", F.length("value") - 3).alias("value"))
+    lines.unionByName(torn).write.text(f"{base}/lines")
+    jsonl.compact(spark, f"{base}/lines", f"{base}/short", "t", 2160)
+    return jsonl.read(spark, f"{base}/short", "t long, calls long")
+
+
 @query("diff_trigger", "SELECT conv_id, turn, text IS DISTINCT FROM lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS changed FROM conversations")
 def _(t):
     from pyspark.sql import Window

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import bodies, decoding, inspection, scope
+from ..sources import files
 from .registry import query
 
 # Planted strings are put together from parts, so that no secret-shaped literal stands here.
@@ -402,10 +403,21 @@ def _(t):
     return t("documents").select("doc_id", F.sha2(bodies.tools_text(tools), 256).alias("tools"))
 
 
-@query("source_files")
-def _(t):
-    from ..sources import files
+_FIN = "|".join(files.FINANCIAL)
+_CELLS = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: list_filter(list_transform(string_split(l, ','), lambda c: trim(c)), lambda c: c <> '')), lambda r: len(r) > 0)[1:5]"
+
 
-    content = F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("name,工资,date\n"), F.col("text")), "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(b"%PDF-1.4\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
-    rows = t("documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("path"), content.alias("content"))
+@query(
+    "source_files",
+    f"""WITH f AS (SELECT doc_id % 3 AS kind, concat(doc_id, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '.csv' END) AS name, CASE doc_id % 3 WHEN 0 THEN concat('name,工资,date', chr(10), replace(text, '"', '')) WHEN 1 THEN '' ELSE replace(text, '"', '') END AS text FROM documents),
+    h AS (SELECT *, list_filter({_CELLS}, lambda r, i: len(r) >= 3 OR i = 1 AND len(r) >= 2 OR len(r) > 1 AND regexp_matches(array_to_string(r, ' '), '{_FIN}'))[1] AS found FROM f)
+    SELECT name, CASE kind WHEN 1 THEN 'pdf' ELSE 'text' END AS kind, kind = 1 AND name NOT LIKE '%.pdf' AS mismatch, CASE WHEN name LIKE '%.csv' THEN coalesce(array_to_string(list_transform(found[1:{files.HEADERS}], lambda c: left(c, {files.HEADER_CHARS})), '|'), '') ELSE '' END AS headers,
+    CAST(least({files.CHUNKS}, ceil(length(text) / {files.CHUNK})) AS INT) AS chunks, regexp_matches(text, '{_FIN}') AS financial FROM h""",
+)
+def _(t):
+    """Files by their bytes, with endings that fit and don't: tables, texts and a document format that isn't read."""
+    plain, k = F.replace("text", F.lit('"'), F.lit("")), F.col("doc_id") % 3
+    content = F.when(k == 0, F.encode(F.concat(F.lit("name,工资,date\n"), plain), "UTF-8")).when(k == 1, F.concat(F.lit(b"%PDF-1.4\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode(plain, "UTF-8"))
+    ending = F.when(F.col("doc_id") % 5 == 0, ".pdf").when(F.col("doc_id") % 5 == 1, ".txt").otherwise(".csv")
+    rows = t("documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), ending).alias("path"), content.alias("content"))
     return files.inspected(rows).select("name", "kind", "mismatch", F.array_join("headers", "|").alias("headers"), F.size("chunks").alias("chunks"), "financial")
