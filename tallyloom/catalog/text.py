@@ -380,7 +380,17 @@ def _(t):
     return clean.select("doc_id", F.col("text").contains("REDACTED").alias("text_changed"), F.element_at("reasons", 1).alias("reason"))
 
 
-@query("scope_blocks")
+@query(
+    "scope_blocks",
+    """WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS k FROM conversations),
+    c AS (SELECT conv_id, coalesce(max(text) FILTER (role = 'user' AND k = 1), '') AS last, coalesce(max(text) FILTER (role = 'system' AND k = 1), '') AS tool, coalesce(max(text) FILTER (role = 'user' AND k = 2), '') AS before FROM r GROUP BY 1),
+    s AS (SELECT conv_id, list_filter([{'n': 'last_user', 't': trim(left(last, 300))}, {'n': 'tool', 't': trim(left(tool, 300))}, {'n': 'history', 't': trim(right(before, 300))}], lambda x: x.t <> '') AS first, substr(last, 301) AS rest FROM c),
+    w AS (SELECT *, CAST(ceil(length(rest) / 300) AS BIGINT) AS m, 5 - len(first) AS slots FROM s),
+    i AS (SELECT *, CASE WHEN slots < 1 OR m = 0 THEN [] WHEN m <= slots THEN range(m) WHEN slots = 1 THEN [m - 1] ELSE list_sort(list_distinct([CAST(round_even(j * (m - 1) / CAST(slots - 1 AS DOUBLE), 0) AS BIGINT) for j in range(slots)])) END AS at_ FROM w),
+    f AS (SELECT *, list_reduce(list_prepend({'used': coalesce(CAST(list_sum([length(x.t) for x in first if x.n <> 'last_user']) AS BIGINT), 0), 'out': CAST([] AS VARCHAR[])}, [{'used': length(trim(substr(rest, j * 300 + 1, 300))), 'out': [trim(substr(rest, j * 300 + 1, 300))]} for j in at_]),
+      lambda acc, x: CASE WHEN x.used > 0 AND acc.used + x.used <= 900 THEN {'used': acc.used + x.used, 'out': list_concat(acc.out, x.out)} ELSE acc END).out AS long FROM i)
+    SELECT conv_id, CAST(len(first) + len(long) AS INT) AS n, array_to_string(list_concat([x.n for x in first], ['long_text' for x in long]), ',') AS names, sha256(array_to_string(list_concat([x.t for x in first], long), chr(10))) AS texts FROM f""",
+)
 def _(t):
     """Blocks of each conversation: the last user text, the last system text as its tool result, the user text before, windows of the rest."""
     size, budget = 300, 900
