@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import placed_values
+
 
 def counts(want: Column, got: Column) -> list[Column]:
     return [F.count_if(want & got).alias("tp"), F.count_if(want & ~got).alias("fn"), F.count_if(~want & got).alias("fp"), F.count_if(~want & ~got).alias("tn")]
@@ -36,13 +38,8 @@ def sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def calibration(rows: DataFrame) -> DataFrame:
-    """Per class: n, mean squared distance of p to the class, median and 10 % and 90 % points by place.
-
-    Equal scores are counted before they are placed, so one task sorts the different scores of a class, not its rows.
-    """
-    w = Window.partitionBy("want")
-    counts = rows.groupBy("want", "p").agg(F.count("*").alias("c"))
-    placed = counts.withColumn("n", F.sum("c").over(w)).withColumn("end", F.sum("c").over(w.orderBy("p")))
+    """Per class: n, mean squared distance of p to the class, median and 10 % and 90 % points by place."""
+    placed = placed_values(rows, "p", ["want"]).withColumnsRenamed({"_c": "c", "_end": "end"})
 
     def pick(q: float, name: str) -> Column:
         at = F.least(F.floor(F.col("n") * q), F.col("n") - 1)

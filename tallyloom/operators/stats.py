@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scope
+from ..streaming.metrics import materialized
 
 UNREGISTERED = "(unregistered)"
 
@@ -146,16 +147,26 @@ def percentiles(log: DataFrame, column: str = "gateway_internal_ms") -> DataFram
     return rows.agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").cast("double").alias(f"p{p}") for p in (50, 95, 99)))
 
 
-def ranked_percentile(rows: DataFrame, value: str, by: list[str], rank: Column) -> DataFrame:
-    """by, n and the value whose place in ascending order within by (from 0) is rank, an expression over n.
+def placed_values(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, _c (rows with it), n (rows of the group) and _end (rows up to it in ascending order).
 
-    Equal values are counted before they are placed, so one task sorts the different values of a group, not its rows.
+    Different values are dealt by ranges, so that a group of any size is placed by many tasks: within a range by a window, with the counts of the ranges before added.
     """
-    w = Window.partitionBy(*by)
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    placed = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_end", F.sum("_c").over(w.orderBy(value)))
+    dealt = materialized(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy(*by)
+    ranges = dealt.groupBy(*by, "_part").agg(F.sum("_c").alias("_sum"))  # a row for each range and group
+    ranges = ranges.withColumn("n", F.sum("_sum").over(w)).withColumn("_before", F.sum("_sum").over(w.orderBy("_part")) - F.col("_sum")).drop("_sum")
+    ranges = ranges.select(*(F.col(c).alias(f"_of_{k}") for k, c in enumerate([*by, "_part"])), "n", "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate([*by, "_part"])]
+    placed = dealt.withColumn("_at", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(value))).join(ranges, same)
+    return placed.select(*by, value, "_c", "n", (F.col("_at") + F.col("_before")).alias("_end"))
+
+
+def ranked_percentile(rows: DataFrame, value: str, by: list[str], rank: Column) -> DataFrame:
+    """by, n and the value whose place in ascending order within by (from 0) is rank, an expression over n."""
     at = F.greatest(F.least(rank, F.col("n") - 1), F.lit(0))
-    return placed.where((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at)).drop("_c", "_end")
+    return placed_values(rows, value, by).where((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at)).drop("_c", "_end")
 
 
 def peak_per_minute(log: DataFrame, *by: str) -> DataFrame:
