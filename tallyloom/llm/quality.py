@@ -185,6 +185,10 @@ def grade(docs: DataFrame, model: Model, cut: int | None = None) -> DataFrame:
 
 
 def select(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: float = 0.5) -> DataFrame:
-    """doc_id, held_out, expected_grade, tail_probability and kept (tail_probability >= limit) of each row of docs."""
+    """doc_id, held_out, expected_grade, tail_probability and kept (tail_probability >= limit) of each row of docs.
+
+    Null and empty texts are graded as texts without words; rows that repeat come out as often as they came, a null doc_id is not held out. Without
+    labels every text has the same grade. An empty table gives no rows; columns other than doc_id and text aren't read.
+    """
     graded = grade(docs, fit(docs, labels, label))
     return graded.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= limit).alias("kept"))

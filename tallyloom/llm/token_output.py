@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from .tokens import encoder
 FRAME_IDS = 1 << 16
 SHARD_IDS = 1 << 27
 SHARD_DOCS = 1 << 20
+#: Shards whose ranges every task gets when documents are asked for.
+LISTED_SHARDS = 1_000_000
 # Fixed values of the zstandard formats.
 MAGIC_INDEX = 0x184D2A51
 MAGIC_SEEK = 0x184D2A5E
@@ -213,15 +215,36 @@ def digest_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return files.repartition(shuffle_partitions(spark), "path").mapInArrow(read, DIGEST)
 
 
+def _located(spans: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(path, doc_id) for each shard whose range holds an asked doc_id. Ranges are in order and share at most their ends."""
+    paths = [r["path"] for r in spans]
+    low, high = (np.array([r[c] for r in spans], dtype=np.int64) for c in ("lo", "hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, end = np.searchsorted(high, ids), np.searchsorted(low, ids, side="right")
+            n = np.maximum(end - first, 0)
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([paths[k] for k in at], pa.string()), pa.array(np.repeat(ids, n), pa.int64())], ["path", "doc_id"])
+
+    return run
+
+
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and ids (array of int) of the wanted doc_ids: each shard's reader decompresses their frames only.
 
-    A doc_id that several rows had comes out once for each. Null doc_ids can't be asked for.
+    A doc_id that several rows had comes out once for each. Null doc_ids can't be asked for, ids that aren't there give no rows. A doc_id's shards
+    are found by halving the ordered list of all shards' ranges, which every task gets while it has at most LISTED_SHARDS entries (some
+    16 MB for half an exabyte of ids); beyond that ids and ranges are joined.
     """
     spark = manifest.sparkSession
     spans = manifest.where("last_doc_id IS NOT NULL").select("path", F.coalesce("first_doc_id", F.lit(-(2**63))).alias("lo"), F.col("last_doc_id").alias("hi"))
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    hits = asked.join(spans, F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("path", "doc_id")
+    if spans.limit(LISTED_SHARDS + 1).count() <= LISTED_SHARDS:
+        hits = asked.mapInArrow(_located(spans.orderBy("lo", "hi", "path").collect()), "path string, doc_id long")
+    else:
+        hits = asked.join(spans, F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("path", "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, shard = None, None

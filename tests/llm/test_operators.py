@@ -776,6 +776,20 @@ def test_stages_take_any_column_names(spark, name):
     assert clean.columns == docs.columns and sorted(r[name] for r in clean.collect()) == [2, 3, 4, 5]
 
 
+def test_documents_are_found_in_many_shards(spark, monkeypatch, tmp_path):
+    rows = [(i // 3, f"text {i} of some words") for i in range(90)] + [(None, "no id"), (7, "more of seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_output.write_token_files(docs, f"file://{tmp_path}/out", default_vocabulary(), shard_docs=2)
+    asked = [0, 7, 7, 13, 29, 500, None, -4]
+    wanted = spark.createDataFrame([(i,) for i in asked], "doc_id long")
+    want = sorted((i, ids_of(t)) for i, t in rows if i in {0, 7, 13, 29})
+    assert sorted((r["doc_id"], list(r["ids"])) for r in token_output.read_documents(manifest, wanted).collect()) == want
+    assert "NestedLoop" not in token_output.read_documents(manifest, wanted)._jdf.queryExecution().toString()
+    monkeypatch.setattr(token_output, "LISTED_SHARDS", 3)
+    assert sorted((r["doc_id"], list(r["ids"])) for r in token_output.read_documents(manifest, wanted).collect()) == want
+    assert token_output.read_documents(manifest.limit(0), wanted).count() == 0 and token_output.read_documents(manifest, wanted.limit(0)).count() == 0
+
+
 # -- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
