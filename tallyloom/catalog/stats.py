@@ -346,6 +346,16 @@ def _(t):
     return timeseries.derived(timeseries.snapshots(t("request_log"), 3600, 500), 3600)
 
 
+@query(
+    "ring_derive_keys",
+    """WITH tick AS (SELECT key_name, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, count(*) AS n FROM request_log WHERE key_name <> '' GROUP BY 1, 2), c AS (SELECT key_name, t, CAST(sum(n) OVER (PARTITION BY key_name ORDER BY t) % 50 AS BIGINT) AS c FROM tick)
+    SELECT key_name, t, calls FROM (SELECT key_name, t, c - coalesce(lag(c) OVER (PARTITION BY key_name ORDER BY t), 0) AS calls FROM c) WHERE calls > 0""",
+    RL,
+)
+def _(t):
+    return timeseries.derived_by_key(t("request_log").where("key_name <> ''"), "key_name", 3600, 50)
+
+
 @query(
     "ring_gap",
     """WITH tick AS (SELECT DISTINCT CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS t FROM request_log), g AS (SELECT t, lead(t) OVER (ORDER BY t) AS n FROM tick)

@@ -94,6 +94,18 @@ def derived(snaps: DataFrame, tick: int) -> DataFrame:
     return rows.select("t", "calls", "total_ms", (F.col("calls") / (F.col("ticks") * float(tick))).alias("rate"))
 
 
+def derived_by_key(log: DataFrame, key: str, tick: int, wrap: int) -> DataFrame:
+    """key, t and calls of the ticks at which a key's running counter (which starts again at 0 after wrap) has grown.
+
+    A key has one row for each tick with calls, however many calls there are.
+    """
+    ticks = log.groupBy(key, F.floor(F.unix_timestamp("ts") / tick).cast("long").alias("t")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy("t")
+    counted = ticks.withColumn("_count", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) % wrap)
+    grown = counted.withColumn("calls", F.col("_count") - F.coalesce(F.lag("_count").over(w), F.lit(0)))
+    return grown.where("calls > 0").select(key, "t", "calls")
+
+
 def with_gaps(ticks: DataFrame, tick: int) -> DataFrame:
     """Ticks (seconds) and, in the middle of each hole of over 2.5 ticks, a marker."""
     rows = _neighbour(ticks.select("t"), ["t"], 1, ahead=True).select("t", F.col("_near.t").alias("next"))
