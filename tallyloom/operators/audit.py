@@ -194,11 +194,20 @@ def rounds(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return valid.groupBy("round").agg(F.count("*").alias("compared"), F.count_if(F.col("l2_label") == F.col("shadow_label")).alias("agree"))
 
 
-def asof_sticky(rows: DataFrame, mark: Column, ttl_seconds: int, session: str = "session") -> DataFrame:
-    """Adds sticky: was the session marked within the ttl before this row?"""
-    w = Window.partitionBy(session).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.last(F.when(mark, F.unix_timestamp("ts")), ignorenulls=True).over(w)
-    return rows.withColumn("sticky", F.coalesce(F.unix_timestamp("ts") - at <= ttl_seconds, F.lit(False)))
+def asof_sticky(rows: DataFrame, mark: Column, ttl_seconds: int, session: str = "session", chunk: int = 86400) -> DataFrame:
+    """Adds sticky: was the session marked within the ttl before this row?
+
+    Windows run within chunks of time, so that one session's rows are spread; what a chunk hands on is the time of its last mark.
+    """
+    at = F.unix_timestamp("ts")
+    rows = rows.withColumn("_chunk", F.floor(at / chunk)).withColumn("_mark", F.when(mark, at))
+    within = Window.partitionBy(session, "_chunk").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(session).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(session, "_chunk").agg(F.max("_mark").alias("_last"))
+    edges = edges.select(F.col(session).alias("_session"), F.col("_chunk").alias("_of"), F.max("_last").over(before).alias("_carry"))
+    both = rows.withColumn("_near", F.last("_mark", ignorenulls=True).over(within)).join(edges, F.col(session).eqNullSafe(F.col("_session")) & F.col("_chunk").eqNullSafe(F.col("_of")))
+    marked = F.coalesce("_near", "_carry")
+    return both.withColumn("sticky", F.coalesce(at - marked <= ttl_seconds, F.lit(False))).drop("_chunk", "_mark", "_session", "_of", "_carry", "_near")
 
 
 def _changes(old: Column, new: Column) -> Column:

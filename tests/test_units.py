@@ -494,6 +494,16 @@ def test_stored_labels_and_purge(spark, tmp_path):
     assert sinks.purge_stored(spark, path, "2024-01-05 00:00:00") == 16 and sorted(stored()) == list(range(40, 50))
 
 
+def test_sticky_sessions_over_chunks(spark):
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["hot"] * 4 + ["b", None]), rng.randrange(0, 3000), rng.random() < 0.05) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, session string, t long, m boolean").withColumn("ts", F.timestamp_seconds("t"))
+    for ttl, chunk in ((100, 60), (400, 1000), (50, 86400)):
+        want = {i: any(m2 and s2 == s and (t2, i2) < (t, i) and t - t2 <= ttl for i2, s2, t2, m2 in rows) for i, s, t, _ in rows}
+        got = audit.asof_sticky(df, F.col("m"), ttl, chunk=chunk)
+        assert {r["id"]: r["sticky"] for r in got.collect()} == want and got.columns == [*df.columns, "sticky"]
+
+
 def test_policy_chain(spark):
     saved = [(10, "a", 1, "x"), (10, "b", 2, "y"), (20, "a", 1, "x"), (20, "c", 3, "z"), (35, "a", 5, "w"), (35, "b", 2, "y")]
     snapshots = spark.createDataFrame([(v, n, p, "block", b) for v, n, p, b in saved], "version long, name string, priority int, action string, body string")
