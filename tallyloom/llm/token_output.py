@@ -236,7 +236,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A doc_id that several rows had comes out once for each. Null doc_ids can't be asked for, ids that aren't there give no rows. A doc_id's shards
     are found by halving the ordered list of all shards' ranges, which every task gets while it has at most LISTED_SHARDS entries (some
-    16 MB for half an exabyte of ids); beyond that ids and ranges are joined.
+    16 MB, for half a petabyte of ids); beyond that ids and ranges are joined.
     """
     spark = manifest.sparkSession
     spans = manifest.where("last_doc_id IS NOT NULL").select("path", F.coalesce("first_doc_id", F.lit(-(2**63))).alias("lo"), F.col("last_doc_id").alias("hi"))

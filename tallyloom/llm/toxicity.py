@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
         if not unit:
             continue
         word = unit.removesuffix("*")
-        chain = [u for u in _units(word) if u != unit and u.endswith("*") and len(u) < len(unit) + (not unit.endswith("*"))]
+        chain = [u for u in _units(word) if u != unit and u.endswith("*") and (not unit.endswith("*") or len(u) < len(unit))]
         parent = next((share[u] for u in reversed(chain) if u in share), share[""])
         y, n = found[unit]
         # a Dirichlet prior of PRIOR words centred on the level above
@@ -248,7 +248,11 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs."""
+    """doc_id, held_out, score and predicted of each row of docs.
+
+    Null and empty texts have the score of a text without any toxic word; rows that repeat come out as often as they came, a null doc_id is not held
+    out. Without labels of both kinds all scores are equal. An empty table gives no rows; columns other than doc_id and text aren't read.
+    """
     scored = score(docs, fit(docs, labels, label))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

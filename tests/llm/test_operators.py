@@ -776,6 +776,70 @@ def test_stages_take_any_column_names(spark, name):
     assert clean.columns == docs.columns and sorted(r[name] for r in clean.collect()) == [2, 3, 4, 5]
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    """Counts, chained priors, word scores, the extreme-value law and each text's probability by plain loops over the smallest tables."""
+    docs, model = documents(spark), toxicity.fit(documents(spark), labels(spark))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) < 2
+    known = docs.join(labels(spark).where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic", fold.alias("count")).collect()
+    known = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    units = lambda w: [w[:n] + "*" for n in (4, 5) if len(w) >= n] + [w]
+    toxic, every = Counter(), Counter()
+    for text, y in {r["text"] or "": r["toxic"] for r in known if r["count"]}.items():
+        seen = {"", *(u for w in words(text) for u in units(w))}
+        every.update(seen)
+        toxic.update(seen if y else ())
+    met = {u for u in every if every[u] >= 4}
+
+    def share(chain):
+        known_units = [u for u in chain if u in met]
+        if not known_units:
+            return toxic[""] / every[""]
+        u = known_units[-1]
+        return (toxic[u] + 30 * share(known_units[:-1])) / (every[u] + 30)
+
+    def odds(word):
+        chain = [u for u in units(word) if u in met]
+        p, base = share(chain), toxic[""] / every[""]
+        x = np.log(p / (1 - p)) - np.log(base / (1 - base))
+        return round(x, 4) if chain and abs(x) >= 0.7 else 0.0
+
+    lookup = toxicity._WordScores(model.scores)
+    vocabulary = {w for r in docs.collect() for w in words(r["text"])}
+    # a word scores as the longest of its units that was met often enough
+    assert {w for w in vocabulary if abs(lookup.one(w) - odds(w)) > 2e-4} == set()
+    token = lambda t: sum(odds(w) - 0.35 for w in words(t))
+    other = [(w, every[w] - toxic[w]) for w in met if w and not w.endswith("*")]
+    total = every[""] - toxic[""]
+    weights = np.array([n for _, n in other] + [max(total - sum(n for _, n in other), 0)], dtype=float)
+    scores = np.array([token(w) for w, _ in other] + [-0.35])
+    assert abs((weights / weights.sum()) @ np.exp(model.rate * scores) - 1) < 1e-6
+
+    def maximal(x):
+        """Maximal scoring segments by definition: the best one, then those to both sides of it."""
+        best = max(((sum(x[a:b]), a - b, -a) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if x[a] > 0 and x[b - 1] > 0), default=(0,))
+        if best[0] <= 1e-12:
+            return []
+        a = -best[2]
+        b = a - best[1]
+        return [*maximal(x[:a]), best[0], *maximal(x[b:])]
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    tried = 0
+    for r in docs.collect():
+        x = [token(t) for t in (r["text"] or "").split()]
+        if len(x) > 150:
+            continue
+        size = np.log(max(model.k, 1e-12) * max(len(x), 1))
+        all_ = sorted((model.rate * v - size for v in maximal(x)), reverse=True)
+        first = all_[0] if all_ else -size
+        further = sum(v for v in all_[1:] if v > -np.log(0.01))
+        z = model.curve[0] + model.curve[1] * first + model.curve[2] * np.log1p(further)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
+        tried += 1
+    assert tried > 40
+
+
 def test_documents_are_found_in_many_shards(spark, monkeypatch, tmp_path):
     rows = [(i // 3, f"text {i} of some words") for i in range(90)] + [(None, "no id"), (7, "more of seven")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
