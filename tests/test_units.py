@@ -369,6 +369,28 @@ def test_changes_leave_the_rest_as_it_was():
     assert time.time() - began < 10
 
 
+def test_edit_scripts_by_rows_of_bits(monkeypatch):
+    """Both searches give the same script, which is the shortest; texts without anchors cost what their length does, not the square of the steps."""
+    rng = random.Random(5)
+    for _ in range(800):
+        letters = rng.choice(["ab", "abcd", "abcdefghijklmnop"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([3, 12, 100])))) for _ in range(2))
+        common = [0] * (len(b) + 1)
+        for c in a:
+            before = common[:]
+            for j, d in enumerate(b):
+                common[j + 1] = before[j] + 1 if c == d else max(before[j + 1], common[j])
+        steps, script = len(a) + len(b) - 2 * common[-1], changes._by_rows(a, b)
+        assert script == changes._by_reach(a, b) == changes._script(a, b) and (len(script) == steps if steps <= changes.EDITS else script is None)
+    words = [f"word{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(250)) for _ in range(301)]
+    began = time.time()
+    found = [changes.changed(x, y) for x, y in zip(texts, texts[1:])]
+    assert time.time() - began < 1
+    monkeypatch.setattr(changes, "CELLS", 0)
+    assert found[:20] == [changes.changed(x, y) for x, y in zip(texts[:21], texts[1:21])]
+
+
 def pieces_by_loop(old, new, piece, most):
     """The pieces from the changed stretches in plain Python."""
     old, new = old or "", new or ""
